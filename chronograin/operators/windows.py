@@ -19,6 +19,7 @@ from chronograin.model import ntz
 from chronograin.session import require_utc
 
 ANCHOR = ("split", "timestamp")
+_US = "_us"
 _ONE_US = timedelta(microseconds=1)
 
 
@@ -34,16 +35,32 @@ def _anchor_or_null(k: Column, grid: Grid, extra: Sequence[Column] = ()) -> Colu
     return F.when(k.between(0, grid.count - 1), anchor)
 
 
+def _disjoint(grids: Sequence[Grid]) -> bool:
+    """Whether no moment lies in windows of two grids. The three splits of a task are disjoint."""
+    ordered = sorted(grids, key=lambda g: g.start)
+    return all(a.last + a.step <= b.start for a, b in zip(ordered, ordered[1:], strict=False))
+
+
+def _anchors(
+    at: str, grids: Sequence[Grid], shift: int = 0, extra: Sequence[Column] = ()
+) -> list[Column]:
+    """Anchor structs (or null) of a time in microseconds: one per grid, or a single one in all
+    where the grids are disjoint."""
+    found = [_anchor_or_null(_slot(F.col(at), g) + shift, g, extra) for g in grids]
+    return [F.coalesce(*found)] if _disjoint(grids) else found
+
+
 def _spread(df: DataFrame, anchors: list[Column], outer: bool = False) -> DataFrame:
-    """One row per non-null anchor struct; ``outer`` keeps rows without any."""
-    if outer:
-        found = F.filter(F.array(*anchors), lambda a: a.isNotNull())
-        return df.select("*", F.inline_outer(found))
+    """One row per non-null anchor struct; ``outer`` keeps one bare row of those without any."""
     if len(anchors) == 1:
-        tagged = df.withColumn("_a", anchors[0]).where(F.col("_a").isNotNull())
+        tagged = df.withColumn("_a", anchors[0])
+        tagged = tagged if outer else tagged.where(F.col("_a").isNotNull())
         return tagged.select("*", "_a.*").drop("_a")
-    found = F.filter(F.array(*anchors), lambda a: a.isNotNull())
-    return df.select("*", F.inline(found))
+    if outer:
+        return df.select("*", F.inline_outer(F.filter(F.array(*anchors), lambda a: a.isNotNull())))
+    # null structs are dropped after the generator: that stays in generated code
+    spread = df.select("*", F.explode(F.array(*anchors)).alias("_a")).where(F.col("_a").isNotNull())
+    return spread.select("*", "_a.*").drop("_a")
 
 
 def _covered(df: DataFrame, time_col: str, grids: Sequence[Grid], before: timedelta, after: timedelta) -> DataFrame:
@@ -58,8 +75,8 @@ def tag_windows(df: DataFrame, time_col: str, grids: Sequence[Grid]) -> DataFram
     """Add ``split`` and ``timestamp`` of every anchor t with time in (t, t + step]."""
     require_utc(df.sparkSession)
     df = _covered(df, time_col, grids, timedelta(0), max(g.step for g in grids))
-    at = micros(F.col(time_col))
-    return _spread(df, [_anchor_or_null(_slot(at, g), g) for g in grids])
+    timed = df.withColumn(_US, micros(F.col(time_col)))
+    return _spread(timed, _anchors(_US, grids)).drop(_US)
 
 
 def tag_windows_and_lookback(df: DataFrame, time_col: str, grids: Sequence[Grid]) -> DataFrame:
@@ -71,13 +88,12 @@ def tag_windows_and_lookback(df: DataFrame, time_col: str, grids: Sequence[Grid]
     require_utc(df.sparkSession)
     step = max(g.step for g in grids)
     df = _covered(df, time_col, grids, step, step)
-    at = micros(F.col(time_col))
-    anchors = []
-    for g in grids:
-        k = _slot(at, g)
-        anchors.append(_anchor_or_null(k, g, [F.lit(True).alias("in_window")]))
-        anchors.append(_anchor_or_null(k + 1, g, [F.lit(False).alias("in_window")]))
-    return _spread(df, anchors)
+    timed = df.withColumn(_US, micros(F.col(time_col)))
+    anchors = [
+        *_anchors(_US, grids, 0, [F.lit(True).alias("in_window")]),
+        *_anchors(_US, grids, 1, [F.lit(False).alias("in_window")]),
+    ]
+    return _spread(timed, anchors).drop(_US)
 
 
 def tag_range(
@@ -196,8 +212,8 @@ def for_each_since_first(
     require_utc(facts.sparkSession)
     end = max(g.last + g.step for g in grids)
     used = facts.select(key, time_col).dropna().where(F.col(time_col) <= ntz(end))
-    at = micros(F.col(time_col))
-    tagged = _spread(used, [_anchor_or_null(_slot(at, g), g) for g in grids], outer=True)
+    timed = used.withColumn(_US, micros(F.col(time_col)))
+    tagged = _spread(timed, _anchors(_US, grids), outer=True)
     per_anchor = tagged.groupBy(key, *ANCHOR).agg(F.min(time_col).alias("_first"))
     per_key = per_anchor.groupBy(key).agg(
         F.min("_first").alias("_first"),
