@@ -36,6 +36,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def books() -> list[Book]:
-    from chronograin.queries import labels
+    from chronograin.queries import cleaning, labels, relational
 
-    return [labels.BOOK]
+    return [labels.BOOK, cleaning.BOOK, relational.BOOK]
