@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronograin.model import Table
+from chronograin.operators.joins import with_constants
 from chronograin.operators.quantiles import percentiles
 
 # Marker of a missing value in the raw racing files, and the time that replaces it
@@ -166,7 +167,7 @@ def clamp_to_percentiles(
     """Clip ``col`` to two exact percentiles of ``reference_col``; the bounds are a single row."""
     bounds = percentiles(reference, reference_col, {"_low": low, "_high": high})
     clipped = F.least(F.greatest(F.col(col), F.col("_low")), F.col("_high"))
-    return df.join(F.broadcast(bounds)).withColumn(col, clipped).drop("_low", "_high")
+    return with_constants(df, bounds).withColumn(col, clipped).drop("_low", "_high")
 
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:

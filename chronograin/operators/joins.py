@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from chronograin.model import Table
 
 
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a frame that holds a single row, such as a global aggregate."""
+    return df.join(F.broadcast(one_row))
+
+
 def lookup(df: DataFrame, dim: DataFrame, on: str, dim_key: str, cols: Sequence[str]) -> DataFrame:
     """Add dimension attributes to every row; NULL where the key is unknown."""
     side = dim.select(F.col(dim_key).alias("_key"), *cols)

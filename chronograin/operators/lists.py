@@ -12,53 +12,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronograin.operators.running import positions
+from chronograin.operators.running import running_totals
 
 PART_ROWS = 100_000
 
 
-def collect_parts(
+def split_parts(
     rows: DataFrame,
     keys: Sequence[str],
     item: Column,
     order: Sequence[str],
     name: str,
     part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """(keys.., part, name): items sorted along ``order`` within and across parts.
+    weight: Column | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """First parts (keys.., name) and, only where a list is continued, the rest (keys.., part, name).
 
-    Keys are counted first, by partial aggregation. Only keys above ``part_rows`` take the
-    range-partitioned path that numbers their rows; all others are grouped directly.
+    Items are sorted along ``order``. Keys are weighed first, by partial aggregation. Only keys
+    above ``part_rows`` take the range-partitioned path that numbers their rows; all others are
+    grouped directly. ``weight`` is the size of an item (1 by default).
     """
     keys = list(keys)
-    packed = rows.dropna(subset=keys).select(
-        *keys, F.struct(*[F.col(c) for c in order]).alias("_by"), item.alias("_item")
+    weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
+    known = rows.dropna(subset=keys)
+    packed = known.select(
+        *keys, F.struct(*[F.col(c) for c in order]).alias("_by"), item.alias("_item"), weight.alias("_w")
     )
 
-    def grouped(df: DataFrame) -> DataFrame:
+    def grouped(df: DataFrame, by: Sequence[str]) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("_by", "_item")))
-        return df.groupBy(*keys, "part").agg(F.transform(ordered, lambda e: e["_item"]).alias(name))
+        return df.groupBy(*by).agg(F.transform(ordered, lambda e: e["_item"]).alias(name))
 
-    hot = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot.where(F.col("_n") > part_rows).drop("_n")
-    first_part = F.lit(0).cast("bigint").alias("part")
+    hot = known.groupBy(*keys).agg(F.sum(weight).alias("_n")).where(F.col("_n") > part_rows).drop("_n")
     if hot.isEmpty():
-        return grouped(packed.select("*", first_part))
-    small = grouped(packed.join(hot, keys, "left_anti").select("*", first_part))
-    numbered = positions(
-        packed.join(hot, keys, "left_semi"), keys, ["_by", F.xxhash64("_item")], "_pos"
+        return grouped(packed, keys), None
+    small = grouped(packed.join(hot, keys, "left_anti"), keys)
+    placed = running_totals(
+        packed.join(hot, keys, "left_semi"), keys, ["_by", F.xxhash64("_item")], {"_upto": F.col("_w")}
     )
-    part = F.floor((F.col("_pos") - 1) / F.lit(part_rows)).alias("part")
-    large = grouped(numbered.select(*keys, "_by", "_item", part))
-    return small.unionByName(large)
+    part = F.floor((F.col("_upto") - F.col("_w")) / F.lit(part_rows))
+    placed = placed.withColumn("part", part)
+    first = small.unionByName(grouped(placed.where(F.col("part") == 0), keys))
+    return first, grouped(placed.where(F.col("part") > 0), [*keys, "part"])
+
+
+def collect_parts(
+    rows: DataFrame,
+    keys: Sequence[str],
+    item: Column,
+    order: Sequence[str],
+    name: str,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """(keys.., part, name): all parts of all lists, sorted within and across parts."""
+    first, rest = split_parts(rows, keys, item, order, name, part_rows)
+    out = first.select(*keys, F.lit(0).cast("bigint").alias("part"), name)
+    return out if rest is None else out.unionByName(rest)
 
 
 def pairs_to_lists(
     pairs: DataFrame, keys: Sequence[str], dst: str, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """Distinct pairs to sorted lists; a ``part`` column appears only where a list is continued."""
-    parts = collect_parts(pairs, keys, F.col(dst), [dst], dst, part_rows)
-    return parts
+    """Distinct pairs to sorted lists (keys.., part, dst)."""
+    return collect_parts(pairs, keys, F.col(dst), [dst], dst, part_rows)
 
 
 def lists_to_pairs(df: DataFrame, dst: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronograin.operators.joins import with_constants
 from chronograin.operators.running import running_totals
 
 
@@ -24,7 +25,7 @@ def percentiles(
     )
     ranked = running_totals(counts, keys, ["_v"], {"_upto": F.col("_n")})
     totals = ranked.groupBy(*keys).agg(F.max("_upto").alias("_all"))
-    both = ranked.join(totals, keys) if keys else ranked.join(F.broadcast(totals))
+    both = ranked.join(totals, keys) if keys else with_constants(ranked, totals)
 
     def value_at(index):
         inside = (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
