@@ -30,7 +30,7 @@ def fields(df: DataFrame, *, drop: Sequence[str] = ()) -> list[Column]:
     """All columns as document fields, timestamps as text."""
     out = []
     for f in df.schema.fields:
-        if f.name in drop:
+        if f.name in drop or f.name.startswith("_"):
             continue
         timed = isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))
         out.append(text_time(f.name) if timed else F.col(f.name))
@@ -62,7 +62,13 @@ class Nest:
         self, owners: DataFrame, owner_key: str, rows: DataFrame, key: str, item: Column, order: Sequence[str], name: str,
         section: str = "", weight: Column | None = None,
     ) -> DataFrame:
-        """``owners`` with a list column; empty for owners without children."""
+        """``owners`` with a list column, empty for owners without children, and its length as ``_n_<name>``.
+
+        Lengths are counted apart from the lists. Where they are not asked for, that join falls
+        away; where only they are asked for, the lists do.
+        """
+        counts = rows.dropna(subset=[key]).groupBy(F.col(key).alias("_counted")).agg(F.count(F.lit(1)).alias(f"_n_{name}"))
+        owners = owners.join(counts, F.col(owner_key) == F.col("_counted"), "left").drop("_counted")
         lists = self.lists(rows, [key], item, order, name, section, weight).withColumnRenamed(key, "_owner")
         joined = owners.join(lists, F.col(owner_key) == F.col("_owner"), "left").drop("_owner")
         return joined.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
@@ -84,7 +90,7 @@ def _sizes(*names: str) -> Column:
     """Weight of an item that carries lists."""
     total = F.lit(1).cast("bigint")
     for n in names:
-        total = total + F.size(n)
+        total = total + F.coalesce(f"_n_{n}", F.lit(0))
     return total
 
 
@@ -262,9 +268,8 @@ def driver_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     item = F.struct("race", F.struct("qualifying", "result", "championship_standing").alias("driver_performance"))
     seasons = nest.lists(starts, ["driverId", "_year"], item, ["raceId"], "races", "seasons.races")
     season = F.struct(F.col("_year").alias("year"), "races")
-    drivers = nest.under(
-        db.df("drivers"), "driverId", seasons, "driverId", season, ["_year"], "seasons", weight=_sizes("races")
-    )
+    # a driver has as many seasons as there are years
+    drivers = nest.under(db.df("drivers"), "driverId", seasons, "driverId", season, ["_year"], "seasons")
     return nest.documents(drivers, ["driverId"], fields(drivers))
 
 

@@ -36,6 +36,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def books() -> list[Book]:
-    from chronograin.queries import cleaning, labels, learning, relational
+    from chronograin.queries import cleaning, keys, labels, learning, relational
 
-    return [labels.BOOK, cleaning.BOOK, relational.BOOK, learning.BOOK]
+    return [m.BOOK for m in (labels, cleaning, relational, keys, learning)]
