@@ -394,7 +394,13 @@ def _as_rows(spark, scores):
     return spark.createDataFrame([(n, None if v is None else round(float(v), 6)) for n, v in scores.items()], "metric string, value double")
 
 
-@BOOK.query("evaluate_entity")
+@BOOK.query(
+    "evaluate_entity",
+    f"""WITH lab AS ({LABELS.sql["label_shop_user_ltv"]}), m AS (SELECT customer_id, avg(ltv) AS p FROM lab WHERE split = 'train' GROUP BY 1),
+    s AS (SELECT ltv AS y, coalesce(p, 0) AS p FROM lab LEFT JOIN m USING (customer_id) WHERE split = 'val')
+    SELECT 'r2' AS metric, round(1 - sum((y - p) ** 2) / sum((y - (SELECT avg(y) FROM s)) ** 2), 6) AS value FROM s
+    UNION ALL SELECT 'mae', round(avg(abs(y - p)), 6) FROM s UNION ALL SELECT 'rmse', round(sqrt(avg((y - p) ** 2)), 6) FROM s""",
+)
 def evaluate_entity(spark, sf_dir):
     """Entity mean of past spending, scored on the validation labels of a task."""
     task, dataset = get_task("shop", "user-ltv"), shop(spark, sf_dir)
@@ -404,7 +410,18 @@ def evaluate_entity(spark, sf_dir):
     return _as_rows(spark, metrics.evaluate_entity(val, pred, ["timestamp", "customer_id"], "ltv", task.metrics))
 
 
-@BOOK.query("evaluate_link")
+@BOOK.query(
+    "evaluate_link",
+    f"""WITH lab AS ({LABELS.sql["label_fashion_user_item_purchase"]}),
+    r AS (SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, article_id) AS rank
+      FROM lab WHERE split = 'train' GROUP BY ALL),
+    n AS (SELECT customer_id, count(*) AS n FROM lab WHERE split = 'val' GROUP BY 1),
+    h AS (SELECT r.customer_id, rank, row_number() OVER (PARTITION BY r.customer_id ORDER BY rank) AS i FROM r JOIN lab ON lab.split = 'val'
+      AND lab.customer_id = r.customer_id AND lab.article_id = r.article_id WHERE rank <= 12),
+    per AS (SELECT n.customer_id, n, count(i) AS h, coalesce(sum(i / rank), 0) AS g FROM n LEFT JOIN h USING (customer_id) GROUP BY ALL)
+    SELECT 'link_precision' AS metric, round(avg(h / 12), 6) AS value FROM per UNION ALL SELECT 'link_recall', round(avg(h / n), 6) FROM per
+    UNION ALL SELECT 'link_map', round(avg(g / least(n, 12)), 6) FROM per""",
+)
 def evaluate_link(spark, sf_dir):
     """Past visits, scored on the validation pairs of a task."""
     task, dataset = get_task("fashion", "user-item-purchase"), fashion(spark, sf_dir)
