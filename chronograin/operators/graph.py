@@ -196,17 +196,24 @@ def _visible(edges: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _positions(n: Column, k: int, strategy: str, seed: int) -> Column:
-    """At most k of the positions 1 .. n: the last ones, or one at random in each of k equal strata."""
+    """At most k of the positions 1 .. n: the last ones, or a uniform sample.
+
+    The sample takes one position from each of k strata and turns the circle of positions by a
+    random amount, so that every position is as likely as any other, whatever n / k is.
+    """
     if strategy == "last":
         return F.sequence(F.greatest(n - (k - 1), F.lit(1).cast("bigint")), n)
     if strategy != "uniform":
         raise ValueError(f"unknown strategy {strategy}")
     strata = F.sequence(F.lit(0), F.lit(k - 1))
+    ask = ["edge_type", "src_table", "dst_id", "seed_id", "seed_time"]
+
+    def below(limit: Column, *salt: Column) -> Column:
+        return F.pmod(F.xxhash64(*ask, *salt, F.lit(seed)), limit)
 
     def drawn(i: Column) -> Column:
         lo, hi = F.floor(i * n / F.lit(k)), F.floor((i + 1) * n / F.lit(k))
-        u = F.pmod(F.xxhash64("edge_type", "src_table", "dst_id", "seed_id", "seed_time", i, F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
-        return lo + 1 + F.floor(u * (hi - lo))
+        return F.pmod(lo + below(hi - lo, i) + below(n, F.lit(-1)), n) + 1
 
     everything = F.sequence(F.lit(1).cast("bigint"), n)
     return F.when(n <= k, everything).otherwise(F.transform(strata, drawn))

@@ -413,8 +413,8 @@ def evaluate_entity(spark, sf_dir):
 @BOOK.query(
     "evaluate_link",
     f"""WITH lab AS ({LABELS.sql["label_fashion_user_item_purchase"]}),
-    r AS (SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, article_id) AS rank
-      FROM lab WHERE split = 'train' GROUP BY ALL),
+    c AS (SELECT customer_id, article_id, count(*) AS seen FROM lab WHERE split = 'train' GROUP BY customer_id, article_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY seen DESC, article_id) AS rank FROM c),
     n AS (SELECT customer_id, count(*) AS n FROM lab WHERE split = 'val' GROUP BY 1),
     h AS (SELECT r.customer_id, rank, row_number() OVER (PARTITION BY r.customer_id ORDER BY rank) AS i FROM r JOIN lab ON lab.split = 'val'
       AND lab.customer_id = r.customer_id AND lab.article_id = r.article_id WHERE rank <= 12),
