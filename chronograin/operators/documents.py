@@ -8,6 +8,7 @@ task ever holds an unbounded group, and nothing is left out.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from chronograin.functions.clean import DOCUMENT_TIME, columns_to_array, json_safe, numbered
 from chronograin.model import Database
 from chronograin.operators.joins import facts_upto, lookup
-from chronograin.operators.lists import PART_ROWS, split_parts
+from chronograin.operators.lists import PART_ROWS, hot_keys, split_parts
 from chronograin.operators.windows import union_all
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -37,6 +38,19 @@ def fields(df: DataFrame, *, drop: Sequence[str] = ()) -> list[Column]:
     return out
 
 
+@dataclass(frozen=True)
+class Child:
+    """A list below an owner: ``item`` of each of ``rows``, found by ``key``, sorted along ``order``."""
+
+    name: str
+    rows: DataFrame
+    key: str
+    item: Column
+    order: Sequence[str]
+    section: str = ""
+    weight: Column | None = None
+
+
 class Nest:
     """Collects lists for their owners and remembers what has to be continued."""
 
@@ -46,10 +60,10 @@ class Nest:
 
     def lists(
         self, rows: DataFrame, keys: Sequence[str], item: Column, order: Sequence[str], name: str, section: str = "",
-        weight: Column | None = None,
+        weight: Column | None = None, continued: bool | None = None,
     ) -> DataFrame:
         """(keys.., name) with the first part of each list."""
-        first, rest = split_parts(rows, keys, item, order, name, self.part_rows, weight)
+        first, rest = split_parts(rows, keys, item, order, name, self.part_rows, weight, continued)
         if rest is not None:
             self.rest.append(
                 rest.select(
@@ -58,20 +72,29 @@ class Nest:
             )
         return first
 
-    def under(
-        self, owners: DataFrame, owner_key: str, rows: DataFrame, key: str, item: Column, order: Sequence[str], name: str,
-        section: str = "", weight: Column | None = None,
-    ) -> DataFrame:
-        """``owners`` with a list column, empty for owners without children, and its length as ``_n_<name>``.
+    def _continued(self, children: Sequence[Child]) -> set[str]:
+        """Names of the lists that outgrow a part for some owner; one job for all of them."""
+        found = [
+            hot_keys(c.rows, [c.key], self.part_rows, c.weight).limit(1).select(F.lit(c.name).alias("name")) for c in children
+        ]
+        return {r.name for r in union_all(found).collect()}
+
+    def under(self, owners: DataFrame, owner_key: str, *children: Child) -> DataFrame:
+        """``owners`` with a list column per child, empty where there is none, and its length as ``_n_<name>``.
 
         Lengths are counted apart from the lists. Where they are not asked for, that join falls
         away; where only they are asked for, the lists do.
         """
-        counts = rows.dropna(subset=[key]).groupBy(F.col(key).alias("_counted")).agg(F.count(F.lit(1)).alias(f"_n_{name}"))
-        owners = owners.join(counts, F.col(owner_key) == F.col("_counted"), "left").drop("_counted")
-        lists = self.lists(rows, [key], item, order, name, section, weight).withColumnRenamed(key, "_owner")
-        joined = owners.join(lists, F.col(owner_key) == F.col("_owner"), "left").drop("_owner")
-        return joined.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+        continued = self._continued(children)
+        for c in children:
+            counts = c.rows.dropna(subset=[c.key]).groupBy(F.col(c.key).alias("_counted"))
+            counts = counts.agg(F.count(F.lit(1)).alias(f"_n_{c.name}"))
+            owners = owners.join(counts, F.col(owner_key) == F.col("_counted"), "left").drop("_counted")
+            lists = self.lists(c.rows, [c.key], c.item, c.order, c.name, c.section, c.weight, c.name in continued)
+            lists = lists.withColumnRenamed(c.key, "_owner")
+            owners = owners.join(lists, F.col(owner_key) == F.col("_owner"), "left").drop("_owner")
+            owners = owners.withColumn(c.name, F.coalesce(c.name, F.array().cast(lists.schema[c.name].dataType)))
+        return owners
 
     def documents(self, rows: DataFrame, keys: Sequence[str], doc: Sequence[Column]) -> DataFrame:
         """(key, section, part, doc): main documents have section '' and part 0."""
@@ -173,20 +196,23 @@ def classifieds_user_documents(db: Database, part_rows: int = PART_ROWS) -> Data
     shown = _with(db.df("SearchStream"), _ads(db, "ad_shown"), "AdID", "ad_shown")
     search = _with(db.df("SearchInfo"), _dimension(db.df("Location"), "LocationID", "search_location"), "LocationID", "search_location")
     search = _with(search, _dimension(db.df("Category"), "CategoryID", "search_category"), "CategoryID", "search_category")
-    search = nest.under(
-        search, "SearchID", shown, "SearchID", F.struct(*fields(shown)), ["SearchDate", "AdID"], "search_results_shown",
-        "search_history.search_results_shown",
-    )
-    users = nest.under(
-        db.df("UserInfo"), "UserID", search, "UserID", F.struct(*fields(search)), ["SearchDate", "SearchID"], "search_history",
-        weight=_sizes("search_results_shown"),
-    )
+    shown_list = Child(
+        "search_results_shown", shown, "SearchID", F.struct(*fields(shown)), ["SearchDate", "AdID"], "search_history.search_results_shown"
+    )
+    search = nest.under(search, "SearchID", shown_list)
+    children = [
+        Child(
+            "search_history", search, "UserID", F.struct(*fields(search)), ["SearchDate", "SearchID"],
+            weight=_sizes("search_results_shown"),
+        )
+    ]
     for table, time, ad, name in (
         ("VisitStream", "ViewDate", "ad_viewed", "ad_visits"),
         ("PhoneRequestsStream", "PhoneRequestDate", "ad_requested", "phone_requests"),
     ):
         rows = _with(db.df(table), _ads(db, ad), "AdID", ad)
-        users = nest.under(users, "UserID", rows, "UserID", F.struct(*fields(rows)), [time, "AdID"], name)
+        children.append(Child(name, rows, "UserID", F.struct(*fields(rows)), [time, "AdID"]))
+    users = nest.under(db.df("UserInfo"), "UserID", *children)
     return nest.documents(users, ["UserID"], fields(users))
 
 
@@ -199,23 +225,25 @@ def meetup_user_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame
     events = columns_to_array(db.df("events"), numbered("c_", 100), "c_vector")
     attendees, interest = db.df("event_attendees"), db.df("event_interest")
     created = nest.under(
-        events, "event_id", attendees, "event", F.struct(*fields(attendees)), ["start_time", "user_id", "status"], "attendees",
-        "events_created.attendees",
-    )
-    created = nest.under(
-        created, "event_id", interest, "event", F.struct(*fields(interest)), ["timestamp", "user"], "interest_shown",
-        "events_created.interest_shown",
+        events, "event_id",
+        Child(
+            "attendees", attendees, "event", F.struct(*fields(attendees)), ["start_time", "user_id", "status"], "events_created.attendees"
+        ),
+        Child(
+            "interest_shown", interest, "event", F.struct(*fields(interest)), ["timestamp", "user"], "events_created.interest_shown"
+        ),
     )
-    users = db.df("users")
     friends = db.df("user_friends").where(F.col("friend").isNotNull())
-    users = nest.under(users, "user_id", friends, "user", F.col("friend"), ["friend"], "friends")
+    engaged = _engagements(events, attendees, interest)
     users = nest.under(
-        users, "user_id", created, "user_id", F.struct(*fields(created)), ["start_time", "event_id"], "events_created",
-        weight=_sizes("attendees", "interest_shown"),
+        db.df("users"), "user_id",
+        Child("friends", friends, "user", F.col("friend"), ["friend"]),
+        Child(
+            "events_created", created, "user_id", F.struct(*fields(created)), ["start_time", "event_id"],
+            weight=_sizes("attendees", "interest_shown"),
+        ),
+        Child("event_engagements", engaged, "engaged_user", F.struct("user_engagement_details", "event"), ["engaged_event"]),
     )
-    engaged = _engagements(events, attendees, interest)
-    item = F.struct("user_engagement_details", "event")
-    users = nest.under(users, "user_id", engaged, "engaged_user", item, ["engaged_event"], "event_engagements")
     return nest.documents(users, ["user_id"], fields(users))
 
 
@@ -269,7 +297,7 @@ def driver_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     seasons = nest.lists(starts, ["driverId", "_year"], item, ["raceId"], "races", "seasons.races")
     season = F.struct(F.col("_year").alias("year"), "races")
     # a driver has as many seasons as there are years
-    drivers = nest.under(db.df("drivers"), "driverId", seasons, "driverId", season, ["_year"], "seasons")
+    drivers = nest.under(db.df("drivers"), "driverId", Child("seasons", seasons, "driverId", season, ["_year"]))
     return nest.documents(drivers, ["driverId"], fields(drivers))
 
 
@@ -284,9 +312,8 @@ def purchase_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     item = F.struct(
         F.date_format("t_dat", DOCUMENT_TIME).alias("transaction_date"), "price", "sales_channel_id", "article_purchased"
     )
-    customers = nest.under(
-        db.df("customer"), "customer_id", bought, "customer_id", item, ["t_dat", "article_id"], "purchase_history"
-    )
+    purchases = Child("purchase_history", bought, "customer_id", item, ["t_dat", "article_id"])
+    customers = nest.under(db.df("customer"), "customer_id", purchases)
     return nest.documents(customers, ["customer_id"], fields(customers))
 
 
@@ -296,21 +323,22 @@ def purchase_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
 def forum_user_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     """Users with posts (comments, votes, history, links), badges, comments and votes."""
     nest = Nest(part_rows)
-    posts = db.df("posts")
-    lists = []
-    for table, name in (("comments", "comments"), ("votes", "votes"), ("postHistory", "post_history"), ("postLinks", "post_links")):
-        rows = db.df(table)
-        posts = nest.under(
-            posts, "Id", rows, "PostId", F.struct(*fields(rows, drop=["PostId"])), ["CreationDate", "Id"], name, f"posts.{name}"
+    names = {"comments": "comments", "votes": "votes", "postHistory": "post_history", "postLinks": "post_links"}
+    below = [
+        Child(name, db.df(t), "PostId", F.struct(*fields(db.df(t), drop=["PostId"])), ["CreationDate", "Id"], f"posts.{name}")
+        for t, name in names.items()
+    ]
+    posts = nest.under(db.df("posts"), "Id", *below)
+    children = [
+        Child(
+            "posts", posts, "OwnerUserId", F.struct(*fields(posts, drop=["OwnerUserId"])), ["CreationDate", "Id"],
+            weight=_sizes(*names.values()),
         )
-        lists.append(name)
-    users = nest.under(
-        db.df("users"), "Id", posts, "OwnerUserId", F.struct(*fields(posts, drop=["OwnerUserId"])), ["CreationDate", "Id"], "posts",
-        weight=_sizes(*lists),
-    )
+    ]
     for table, time, name in (("badges", "Date", "badges"), ("comments", "CreationDate", "user_comments"), ("votes", "CreationDate", "user_votes")):
         rows = db.df(table)
-        users = nest.under(users, "Id", rows, "UserId", F.struct(*fields(rows, drop=["UserId"])), [time, "Id"], name)
+        children.append(Child(name, rows, "UserId", F.struct(*fields(rows, drop=["UserId"])), [time, "Id"]))
+    users = nest.under(db.df("users"), "Id", *children)
     return nest.documents(users, ["Id"], fields(users))
 
 
@@ -328,28 +356,24 @@ def study_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     for table, name in (("designs", "design"), ("eligibilities", "eligibility")):
         if table in db.tables:
             studies = _with(studies, _dimension(db.df(table), "nct_id", name), "nct_id", name)
+    children = []
     for name, key in _MANY:
         if name in db.tables:
-            links = db.df(f"{name}_studies")
-            rows = links.join(db.df(name), key)
-            studies = nest.under(
-                studies, "nct_id", rows, "nct_id", F.struct(*fields(rows, drop=["nct_id"])), ["date", key], name
-            )
+            rows = db.df(f"{name}_studies").join(db.df(name), key)
+            children.append(Child(name, rows, "nct_id", F.struct(*fields(rows, drop=["nct_id"])), ["date", key]))
     outcomes, analyses = db.df("outcomes"), db.df("outcome_analyses")
-    outcomes = nest.under(
-        outcomes, "id", analyses, "outcome_id", F.struct(*fields(analyses, drop=["outcome_id"])), ["date", "p_value"], "analyses",
-        "outcomes.analyses",
-    )
-    studies = nest.under(
-        studies, "nct_id", outcomes, "nct_id", F.struct(*fields(outcomes, drop=["nct_id"])), ["id"], "outcomes",
-        weight=_sizes("analyses"),
-    )
+    below = Child(
+        "analyses", analyses, "outcome_id", F.struct(*fields(analyses, drop=["outcome_id"])), ["date", "p_value"], "outcomes.analyses"
+    )
+    outcomes = nest.under(outcomes, "id", below)
+    children.append(
+        Child("outcomes", outcomes, "nct_id", F.struct(*fields(outcomes, drop=["nct_id"])), ["id"], weight=_sizes("analyses"))
+    )
     for table in ("drop_withdrawals", "reported_event_totals"):
         if table in db.tables:
             rows = db.df(table)
-            studies = nest.under(
-                studies, "nct_id", rows, "nct_id", F.struct(*fields(rows, drop=["nct_id"])), ["date"], table
-            )
+            children.append(Child(table, rows, "nct_id", F.struct(*fields(rows, drop=["nct_id"])), ["date"]))
+    studies = nest.under(studies, "nct_id", *children)
     return nest.documents(studies, ["nct_id"], fields(studies))
 
 

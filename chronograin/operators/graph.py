@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,25 +55,27 @@ def edge_types(db: Database) -> list[tuple[str, str, str]]:
     return out
 
 
-def fk_edges(db: Database) -> DataFrame:
+def fk_edges(db: Database, into: Collection[str] | None = None) -> DataFrame:
     """One row per link and direction, for a database ``with_row_ids``.
 
     A NULL or unknown key gives no edge. The reverse of ``f2p_<key>`` is ``rev_f2p_<key>``.
+    ``into`` keeps the edges that lead to these tables; links it rules out are not read.
     """
     out = []
     for name, table in db.tables.items():
         for fkey, target in table.fkeys.items():
+            fact, entity = ("_f", "_ft", name), ("_p", "_pt", target)
+            wanted = [(f"f2p_{fkey}", fact, entity), (f"rev_f2p_{fkey}", entity, fact)]
+            wanted = [w for w in wanted if into is None or w[2][2] in into]
+            if not wanted:
+                continue
             end = db[target]
             known = end.df.select(F.col(end.pkey).alias("_p"), unix_time(end).alias("_pt"))
             rows = table.df.where(F.col(fkey).isNotNull()).select(
                 F.col(ROW_ID).alias("_f"), F.col(fkey).alias("_k"), unix_time(table).alias("_ft")
             )
             met = rows.join(known, F.col("_k") == F.col("_p"))
-            fact, entity = ("_f", "_ft", name), ("_p", "_pt", target)
-            both = F.array(
-                _edge(f"f2p_{fkey}", fact, entity), _edge(f"rev_f2p_{fkey}", entity, fact)
-            )
-            out.append(met.select(F.inline(both)))
+            out.append(met.select(F.inline(F.array(*[_edge(*w) for w in wanted]))))
     return union_all(out)
 
 
@@ -249,8 +251,8 @@ def _asks(nodes: DataFrame, types: Sequence[tuple[str, str, str]]) -> DataFrame:
 
 
 def sample_subgraphs(
-    edges: DataFrame,
-    types: Sequence[tuple[str, str, str]],
+    db: Database,
+    seed_table: str,
     seeds: DataFrame,
     fanout: Sequence[int],
     strategy: str = "uniform",
@@ -258,20 +260,24 @@ def sample_subgraphs(
 ) -> DataFrame:
     """Sampled edges of every seed, hop by hop: (seed_id, seed_time, hop, edge_type, .., src_time).
 
-    ``seeds`` has (seed_id, seed_time, node_table, node_id). Subgraphs of different seeds are kept
-    apart. A node is expanded once per seed, in the hop that first reaches it. Each hop's sample
-    is cut to ``fanout`` per edge type before the next begins.
+    ``seeds`` has (seed_id, seed_time, node_id), nodes of ``seed_table``. Subgraphs of different
+    seeds are kept apart. A node is expanded once per seed, in the hop that first reaches it. Each
+    hop's sample is cut to ``fanout`` per edge type before the next begins, and reads only links
+    that lead to the tables it has reached.
     """
-    frontier = seeds.select("seed_id", "seed_time", F.col("node_table").alias("dst_table"), F.col("node_id").alias("dst_id"))
+    types, reached_tables = edge_types(db), {seed_table}
+    frontier = seeds.select("seed_id", "seed_time", F.lit(seed_table).alias("dst_table"), F.col("node_id").alias("dst_id"))
     visited, hops = frontier, []
     for hop, k in enumerate(fanout, 1):
-        asks = _asks(frontier, types)
-        found = temporal_neighbors(edges, asks, k, strategy, seed + hop)
+        found = temporal_neighbors(
+            fk_edges(db, reached_tables), _asks(frontier, types), k, strategy, seed + hop
+        )
         hops.append(found.withColumn("hop", F.lit(hop)))
         if hop < len(fanout):
             reached = found.select("seed_id", "seed_time", F.col("src_table").alias("dst_table"), F.col("src_id").alias("dst_id"))
             frontier = reached.distinct().join(visited, ["seed_id", "dst_table", "dst_id"], "left_anti")
             visited = visited.unionByName(frontier)
+            reached_tables = {s for _, s, d in types if d in reached_tables}
     return union_all(hops)
 
 

@@ -17,6 +17,13 @@ from chronograin.operators.running import running_totals
 PART_ROWS = 100_000
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], part_rows: int, weight: Column | None = None) -> DataFrame:
+    """Keys whose list outgrows ``part_rows``."""
+    size = F.sum(F.lit(1).cast("bigint") if weight is None else weight.cast("bigint"))
+    sized = rows.dropna(subset=list(keys)).groupBy(*keys).agg(size.alias("_n"))
+    return sized.where(F.col("_n") > part_rows).drop("_n")
+
+
 def split_parts(
     rows: DataFrame,
     keys: Sequence[str],
@@ -25,12 +32,14 @@ def split_parts(
     name: str,
     part_rows: int = PART_ROWS,
     weight: Column | None = None,
+    continued: bool | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """First parts (keys.., name) and, only where a list is continued, the rest (keys.., part, name).
 
     Items are sorted along ``order``. Keys are weighed first, by partial aggregation. Only keys
     above ``part_rows`` take the range-partitioned path that numbers their rows; all others are
-    grouped directly. ``weight`` is the size of an item (1 by default).
+    grouped directly. ``weight`` is the size of an item (1 by default). ``continued`` tells
+    whether any key exceeds ``part_rows`` where that is known already.
     """
     keys = list(keys)
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
@@ -43,8 +52,8 @@ def split_parts(
         ordered = F.array_sort(F.collect_list(F.struct("_by", "_item")))
         return df.groupBy(*by).agg(F.transform(ordered, lambda e: e["_item"]).alias(name))
 
-    hot = known.groupBy(*keys).agg(F.sum(weight).alias("_n")).where(F.col("_n") > part_rows).drop("_n")
-    if hot.isEmpty():
+    hot = hot_keys(rows, keys, part_rows, weight)
+    if continued is False or (continued is None and hot.isEmpty()):
         return grouped(packed, keys), None
     small = grouped(packed.join(hot, keys, "left_anti"), keys)
     placed = running_totals(

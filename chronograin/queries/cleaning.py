@@ -10,7 +10,7 @@ from chronograin.functions import clean
 from chronograin.model import Table
 from chronograin.plans.catalog import get_task
 from chronograin.queries import Book, read
-from chronograin.queries.databases import shop
+from chronograin.queries.databases import DATASETS
 
 BOOK = Book()
 CUT = datetime(2000, 7, 1)
@@ -274,7 +274,7 @@ def split_to_list(spark, sf_dir):
 )
 def mask_input_cols(spark, sf_dir):
     """The test table of a task as a model sees it: no target."""
-    return get_task("shop", "user-churn").table(shop(spark, sf_dir), "test").df
+    return get_task("shop", "user-churn").table(DATASETS["shop"](spark, sf_dir), "test").df
 
 
 @BOOK.query("remove_key_features", "SELECT rating, verified, review_text, summary FROM ({})".format(
@@ -283,7 +283,7 @@ def mask_input_cols(spark, sf_dir):
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 ))
 def remove_key_features(spark, sf_dir):
-    return clean.features(shop(spark, sf_dir).full_db["review"])
+    return clean.features(DATASETS["shop"](spark, sf_dir).full_db["review"])
 
 
 @BOOK.query(

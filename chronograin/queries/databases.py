@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -442,14 +443,10 @@ def trials(spark: SparkSession, sf_dir: str) -> Dataset:
     return Dataset(Database(tables), SHOP_VAL, SHOP_TEST)
 
 
+# built once per session and folder, so that time bounds are read once for all tasks of a schema
 DATASETS: dict[str, Callable[[SparkSession, str], Dataset]] = {
-    "shop": shop,
-    "classifieds": classifieds,
-    "meetups": meetups,
-    "racing": racing,
-    "fashion": fashion,
-    "forum": forum,
-    "trials": trials,
+    build.__name__: lru_cache(maxsize=8)(build)
+    for build in (shop, classifieds, meetups, racing, fashion, forum, trials)
 }
 
 # The same projections in SQL; {first} / {last} are the time bounds of the whole schema.

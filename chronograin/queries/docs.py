@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronograin.operators import documents
 from chronograin.queries import Book, read
-from chronograin.queries.databases import DATASETS, VIEWS, shop
+from chronograin.queries.databases import DATASETS, VIEWS
 from chronograin.queries.labels import BOOK as LABELS
 
 BOOK = Book()
@@ -62,7 +62,7 @@ BOOK.add(
 def document_labelled_cutoff(spark, sf_dir):
     """Validation and test labels, each with the customer's history up to its time."""
     labels = LABELS.queries["label_shop_user_churn"](spark, sf_dir).where(F.col("split") != "train")
-    return documents.labelled_documents(shop(spark, sf_dir).full_db, labels, "churn")
+    return documents.labelled_documents(DATASETS["shop"](spark, sf_dir).full_db, labels, "churn")
 
 
 _AD = """{{AdID: a.AdID, Title: a.Title, Price: a.Price, CategoryID: a.CategoryID, LocationID: a.LocationID,

@@ -13,7 +13,7 @@ from chronograin.operators import columns, graph, links, windows
 from chronograin.plans import boosted
 from chronograin.plans.catalog import get_task
 from chronograin.queries import Book, read
-from chronograin.queries.databases import shop
+from chronograin.queries.databases import DATASETS
 from chronograin.queries.labels import BOOK as LABELS
 
 BOOK = Book()
@@ -21,8 +21,8 @@ BOOK = Book()
 GRID = Grid("train", datetime(1997, 1, 1), timedelta(days=91), 12)
 
 
-def _db(spark, sf_dir) -> Database:
-    """Customers, parts and orders with their lines: three fact links, one of them through orders."""
+def _db(spark, sf_dir, *names: str) -> Database:
+    """Customers, parts and orders with their lines (or some of these tables, whole): three links."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     lines = read(spark, sf_dir, "lineitem").select(
         "l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"
@@ -33,7 +33,7 @@ def _db(spark, sf_dir) -> Database:
         "orders": Table(orders, "o_orderkey", "o_orderdate", {"o_custkey": "customer"}),
         "lineitem": Table(lines, None, "l_shipdate", {"l_orderkey": "orders", "l_partkey": "part"}),
     }
-    return graph.with_row_ids(Database(tables))
+    return graph.with_row_ids(Database({n: t for n, t in tables.items() if not names or n in names}))
 
 
 _LINE = """line AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS id,
@@ -192,14 +192,14 @@ def _seeds(spark, sf_dir):
     return spread.select(
         (F.col("c_custkey") * 100 + F.col("k")).alias("seed_id"),
         F.unix_seconds(F.col("a.timestamp").cast("timestamp")).alias("seed_time"),
-        F.lit("customer").alias("node_table"), F.col("c_custkey").alias("node_id"),
+        F.col("c_custkey").alias("node_id"),
     )
 
 
 def _order_asks(spark, sf_dir):
     return _seeds(spark, sf_dir).select(
         "seed_id", "seed_time", F.lit("f2p_o_custkey").alias("edge_type"), F.lit("orders").alias("src_table"),
-        F.col("node_table").alias("dst_table"), F.col("node_id").alias("dst_id"),
+        F.lit("customer").alias("dst_table"), F.col("node_id").alias("dst_id"),
     )
 
 
@@ -211,7 +211,7 @@ def _order_asks(spark, sf_dir):
 )
 def temporal_neighbors_last(spark, sf_dir):
     """The four latest orders of each customer before each anchor."""
-    edges = graph.fk_edges(_db(spark, sf_dir))
+    edges = graph.fk_edges(_db(spark, sf_dir, "customer", "orders"), into={"customer"})
     found = graph.temporal_neighbors(edges, _order_asks(spark, sf_dir), 4, "last")
     return found.select("seed_id", "seed_time", "dst_id", "src_id", "src_time")
 
@@ -222,7 +222,7 @@ def temporal_neighbors_last(spark, sf_dir):
     FROM seeds JOIN ord ON o_custkey = c_custkey AND t <= seed_time""",
 )
 def temporal_neighbors_all(spark, sf_dir):
-    edges = graph.fk_edges(_db(spark, sf_dir))
+    edges = graph.fk_edges(_db(spark, sf_dir, "customer", "orders"), into={"customer"})
     found = graph.temporal_neighbors(edges, _order_asks(spark, sf_dir), -1)
     return found.select("seed_id", "seed_time", "dst_id", "src_id", "src_time")
 
@@ -230,9 +230,8 @@ def temporal_neighbors_all(spark, sf_dir):
 @BOOK.query("temporal_neighbor_sample")
 def temporal_neighbor_sample(spark, sf_dir):
     """Two hops from every customer at every anchor, fan-out 8 and 4, uniform in time-respecting strata."""
-    db = _db(spark, sf_dir)
     return graph.sample_subgraphs(
-        graph.fk_edges(db), graph.edge_types(db), _seeds(spark, sf_dir), graph.halving(8, 2), "uniform", 42
+        _db(spark, sf_dir), "customer", _seeds(spark, sf_dir), graph.halving(8, 2), "uniform", 42
     )
 
 
@@ -271,7 +270,7 @@ def boosted_tree_baseline(spark, sf_dir):
     """Churn of customers from their features and past labels, by gradient boosted trees."""
     from chronograin.operators.joins import feature_join
 
-    task, dataset = get_task("shop", "user-churn"), shop(spark, sf_dir)
+    task, dataset = get_task("shop", "user-churn"), DATASETS["shop"](spark, sf_dir)
     labels = task.labels(dataset)
     customer = Table(
         read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "customer_id"), "customer_id", None, {"c_nationkey": "nation"}

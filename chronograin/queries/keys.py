@@ -11,7 +11,7 @@ from chronograin.operators import integrity
 from chronograin.plans.catalog import TASKS, get_task
 from chronograin.plans.task import all_splits
 from chronograin.queries import Book, read
-from chronograin.queries.databases import DATASETS, SHOP_TEST, VIEWS, anchors_sql, forum, shop
+from chronograin.queries.databases import DATASETS, SHOP_TEST, VIEWS, anchors_sql
 from chronograin.queries.labels import BOOK as LABELS
 from chronograin.session import work_path
 
@@ -54,7 +54,7 @@ def split_guards(spark, sf_dir):
 )
 def null_dangling_fkeys(spark, sf_dir):
     """Comments as of the test cut-off; posts written later leave them without a post."""
-    return forum(spark, sf_dir).db.df("comments").drop("Text")
+    return DATASETS["forum"](spark, sf_dir).db.df("comments").drop("Text")
 
 
 @BOOK.query(
@@ -98,7 +98,7 @@ def time_ordered_rowid(spark, sf_dir):
 )
 def reindex_keys(spark, sf_dir):
     """Votes with their post and user renumbered in time order."""
-    return integrity.reindex(forum(spark, sf_dir).full_db).df("votes").drop("VoteTypeId")
+    return integrity.reindex(DATASETS["forum"](spark, sf_dir).full_db).df("votes").drop("VoteTypeId")
 
 
 @BOOK.query(
@@ -108,7 +108,7 @@ def reindex_keys(spark, sf_dir):
 )
 def filter_dangling_entities(spark, sf_dir):
     labels = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return integrity.keep_known(labels, "o_custkey", forum(spark, sf_dir).entity_ids("users"))
+    return integrity.keep_known(labels, "o_custkey", DATASETS["forum"](spark, sf_dir).entity_ids("users"))
 
 
 @BOOK.query(
@@ -123,7 +123,7 @@ def filter_dangling_links(spark, sf_dir):
 
     pairs = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct()
     lists = pairs_to_lists(pairs, ["l_suppkey"], "l_orderkey")
-    kept = integrity.filter_list(lists, "l_orderkey", forum(spark, sf_dir).entity_ids("posts"), ["l_suppkey", "part"])
+    kept = integrity.filter_list(lists, "l_orderkey", DATASETS["forum"](spark, sf_dir).entity_ids("posts"), ["l_suppkey", "part"])
     spelled = F.concat_ws(",", F.col("l_orderkey").cast("array<string>"))
     return kept.select("l_suppkey", spelled.alias("posts"))
 
@@ -170,7 +170,7 @@ def task_registry(spark, sf_dir):
 )
 def cached_task_table(spark, sf_dir):
     """The first call computes and stores, the second loads; both give the same rows."""
-    folder, task, dataset = work_path(spark, "labels"), get_task("shop", "user-churn"), shop(spark, sf_dir)
+    folder, task, dataset = work_path(spark, "labels"), get_task("shop", "user-churn"), DATASETS["shop"](spark, sf_dir)
     computed = task.table(dataset, "val", cache_dir=folder).df
     loaded = task.table(dataset, "val", cache_dir=folder).df
     return computed.unionByName(loaded).groupBy("timestamp", "customer_id", "churn").agg(F.count(F.lit(1)).alias("n"))
@@ -183,7 +183,7 @@ def cached_task_table(spark, sf_dir):
 )
 def link_list_form(spark, sf_dir):
     """A recommendation label table as lists: collect_distinct_list per (anchor, source)."""
-    lists = get_task("shop", "user-item-rate").table(shop(spark, sf_dir), "train").df
+    lists = get_task("shop", "user-item-rate").table(DATASETS["shop"](spark, sf_dir), "train").df
     spelled = F.concat_ws(",", F.col("product_id").cast("array<string>"))
     return lists.select("timestamp", "customer_id", spelled.alias("product_id"))
 
@@ -191,6 +191,6 @@ def link_list_form(spark, sf_dir):
 @BOOK.query("masked_link_table", f"""SELECT DISTINCT timestamp, customer_id FROM ({LABELS.sql["label_shop_user_item_rate"]}) WHERE split = 'test'""")
 def masked_link_table(spark, sf_dir):
     """The test split of a link task hides its destinations."""
-    return get_task("shop", "user-item-rate").table(shop(spark, sf_dir), "test").df
+    return get_task("shop", "user-item-rate").table(DATASETS["shop"](spark, sf_dir), "test").df
 
 

@@ -11,7 +11,7 @@ from chronograin.model import Table, TaskKind, ntz
 from chronograin.operators import baselines, joins, links, metrics, stats, windows
 from chronograin.plans.catalog import get_task
 from chronograin.queries import Book, read
-from chronograin.queries.databases import fashion, shop
+from chronograin.queries.databases import DATASETS
 from chronograin.queries.labels import BOOK as LABELS
 
 BOOK = Book()
@@ -403,7 +403,7 @@ def _as_rows(spark, scores):
 )
 def evaluate_entity(spark, sf_dir):
     """Entity mean of past spending, scored on the validation labels of a task."""
-    task, dataset = get_task("shop", "user-ltv"), shop(spark, sf_dir)
+    task, dataset = get_task("shop", "user-ltv"), DATASETS["shop"](spark, sf_dir)
     train, val = (task.table(dataset, s).df for s in ("train", "val"))
     rows = val.select("timestamp", "customer_id")
     pred = baselines.entity_prediction(train, rows, "customer_id", "ltv", "entity_mean")
@@ -424,7 +424,7 @@ def evaluate_entity(spark, sf_dir):
 )
 def evaluate_link(spark, sf_dir):
     """Past visits, scored on the validation pairs of a task."""
-    task, dataset = get_task("fashion", "user-item-purchase"), fashion(spark, sf_dir)
+    task, dataset = get_task("fashion", "user-item-purchase"), DATASETS["fashion"](spark, sf_dir)
     train, val = (task.labels(dataset, [s]) for s in ("train", "val"))
     rows = val.select("timestamp", "customer_id").distinct()
     pred = links.predict_past_visits(rows, train, "customer_id", "article_id", task.k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronograin.model import Database, Table
 from chronograin.operators import columns, documents
 from chronograin.queries import Book, read
-from chronograin.queries.databases import meetups, shop
+from chronograin.queries.databases import DATASETS
 from chronograin.sources import files, tables
 from chronograin.session import work_path
 
@@ -37,7 +37,7 @@ def parquet_table_roundtrip(spark, sf_dir):
 )
 def database_roundtrip(spark, sf_dir):
     path = work_path(spark, "database")
-    tables.write_database(shop(spark, sf_dir).full_db, path)
+    tables.write_database(DATASETS["shop"](spark, sf_dir).full_db, path)
     db = tables.read_database(spark, path)
     rows = [
         t.df.agg(F.count(F.lit(1)).alias("n")).select(
@@ -91,9 +91,7 @@ def read_parquet_dir(spark, sf_dir):
 
 
 def _purchase_lines(spark, sf_dir):
-    from chronograin.queries.databases import fashion
-
-    return documents.purchase_documents(fashion(spark, sf_dir).full_db)
+    return documents.purchase_documents(DATASETS["fashion"](spark, sf_dir).full_db)
 
 
 @BOOK.query(
@@ -138,7 +136,7 @@ def row_count_file(spark, sf_dir):
 def write_flat_csv(spark, sf_dir):
     """Flattened attendance as CSV, read back."""
     path = work_path(spark, "flat")
-    flat = meetups(spark, sf_dir).full_db.df("event_attendees").where(F.col("status").isin("yes", "maybe"))
+    flat = DATASETS["meetups"](spark, sf_dir).full_db.df("event_attendees").where(F.col("status").isin("yes", "maybe"))
     files.write_csv(flat.select("event", "user_id", "status"), path)
     back = files.read_csv(spark, path, "event bigint, user_id bigint, status string")
     return back.groupBy("event", "user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -94,8 +94,8 @@ def test_uniform_sampling_reaches_every_neighbor_about_equally(spark):
 def test_subgraphs_expand_each_node_once_per_seed(spark):
     _, db = tiny(spark, 120)
     db = graph.with_row_ids(db)
-    seeds = spark.createDataFrame([(i, 1577836800 + 3600 * 200, "customer", i) for i in range(10)], "seed_id bigint, seed_time bigint, node_table string, node_id bigint")
-    out = graph.sample_subgraphs(graph.fk_edges(db), graph.edge_types(db), seeds, graph.halving(6, 3), "uniform", 3).collect()
+    seeds = spark.createDataFrame([(i, 1577836800 + 3600 * 200, i) for i in range(10)], "seed_id bigint, seed_time bigint, node_id bigint")
+    out = graph.sample_subgraphs(db, "customer", seeds, graph.halving(6, 3), "uniform", 3).collect()
     assert {r.hop for r in out} == {1, 2, 3}
     assert all(r.src_time is None or r.src_time <= r.seed_time for r in out)
     asked = defaultdict(set)
@@ -109,9 +109,9 @@ def test_subgraphs_expand_each_node_once_per_seed(spark):
 
 def test_empty_edges_give_an_empty_sample(spark):
     _, db = tiny(spark, 5)
-    edges = graph.fk_edges(graph.with_row_ids(db)).where("false")
-    seeds = spark.createDataFrame([(1, 10**10, "customer", 1)], "seed_id bigint, seed_time bigint, node_table string, node_id bigint")
-    assert graph.sample_subgraphs(edges, graph.edge_types(db), seeds, [4, 2]).count() == 0
+    db = graph.with_row_ids(db.map(lambda t: t.with_df(t.df.where("false"))))
+    seeds = spark.createDataFrame([(1, 10**10, 1)], "seed_id bigint, seed_time bigint, node_id bigint")
+    assert graph.sample_subgraphs(db, "customer", seeds, [4, 2]).count() == 0
 
 
 def test_batches_are_full_and_share_their_time(spark):
