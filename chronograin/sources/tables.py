@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chronograin.model import Database, Table
+from chronograin.operators.integrity import reindex
+
+DONE = "_finished"
 
 # Footer entries of Parquet files written by pandas-based tools
 FOOTER_PKEY = b"pkey_col"
@@ -58,7 +61,7 @@ def write_database(db: Database, path: str) -> None:
         write_table(table, f"{path.rstrip('/')}/{name}.parquet")
 
 
-def _entries(spark: SparkSession, path: str) -> list[str]:
+def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names below a folder on whatever file system holds it."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,9 +71,22 @@ def _entries(spark: SparkSession, path: str) -> list[str]:
 
 def read_database(spark: SparkSession, path: str) -> Database:
     """Every ``name.parquet`` below ``path``."""
-    names = [e.removesuffix(".parquet") for e in _entries(spark, path) if e.endswith(".parquet")]
+    names = [e.removesuffix(".parquet") for e in list_names(spark, path) if e.endswith(".parquet")]
     return Database({n: read_table(spark, f"{path.rstrip('/')}/{n}.parquet") for n in names})
 
 
+def reindexed_or_loaded(spark: SparkSession, build: Callable[[], Database], store: str | None) -> Database:
+    """Build a database and number its keys in time order, or load it where that was stored before."""
+    if store is None:
+        return reindex(build())
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{store.rstrip('/')}/{DONE}")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        write_database(reindex(build()), store)
+        # written last: a store without it is unfinished
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{store.rstrip('/')}/{DONE}")
+    return read_database(spark, store)
+
+
 def describe(db: Database) -> Mapping[str, tuple[str | None, str | None, Mapping[str, str]]]:
     return {n: (t.pkey, t.time_col, dict(t.fkeys)) for n, t in db.tables.items()}
