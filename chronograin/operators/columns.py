@@ -28,30 +28,30 @@ def inference_sample(df: DataFrame, rows: int = INFERENCE_ROWS) -> DataFrame:
 
 def infer_kinds(table: Table, rows: int = INFERENCE_ROWS) -> dict[str, str]:
     """Kind of each column from its type and a bounded sample. Arrays of numbers count as
-    multicategorical, as do arrays of strings. Columns of unsupported types are left out."""
-    sample = inference_sample(table.df, rows)
-    probes, fields = [F.count(F.lit(1)).alias("_rows")], table.df.schema.fields
-    for f in fields:
-        if isinstance(f.dataType, (T.StringType, T.IntegralType, T.FractionalType)):
-            # sets of a bounded sample; many distinct counts would copy every row once per column
-            probes.append(F.size(F.collect_set(f.name)).alias(f"d_{f.name}"))
-            probes.append(F.count(f.name).alias(f"n_{f.name}"))
-    seen = sample.agg(*probes).first().asDict()
+    multicategorical, as do arrays of strings. Columns of unsupported types are left out.
+
+    The sample is taken from as few partitions as hold ``rows`` rows, not from all of them.
+    """
+    fields = table.df.schema.fields
+    counted = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.IntegralType))]
+    sample = inference_sample(table.df.select(*counted), rows).collect() if counted else []
+    filled = {c: [r[c] for r in sample if r[c] is not None] for c in counted}
     kinds = {}
     for f in fields:
-        distinct, filled = seen.get(f"d_{f.name}", 0), seen.get(f"n_{f.name}", 0)
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             kinds[f.name] = TIME
         elif isinstance(f.dataType, T.BooleanType):
             kinds[f.name] = CATEGORICAL
         elif isinstance(f.dataType, T.ArrayType):
             kinds[f.name] = MULTI
-        elif isinstance(f.dataType, T.StringType):
-            kinds[f.name] = CATEGORICAL if distinct <= max(1, filled) * MAX_CATEGORY_SHARE else TEXT
-        elif isinstance(f.dataType, T.IntegralType):
-            kinds[f.name] = CATEGORICAL if 0 < distinct <= MAX_NUMERIC_CATEGORIES else NUMERICAL
         elif isinstance(f.dataType, T.FractionalType):
             kinds[f.name] = NUMERICAL
+        elif f.name in filled:
+            n, distinct = len(filled[f.name]), len(set(filled[f.name]))
+            if isinstance(f.dataType, T.StringType):
+                kinds[f.name] = CATEGORICAL if distinct <= max(1, n) * MAX_CATEGORY_SHARE else TEXT
+            else:
+                kinds[f.name] = CATEGORICAL if 0 < distinct <= MAX_NUMERIC_CATEGORIES else NUMERICAL
     return kinds
 
 

@@ -157,8 +157,9 @@ def same_time_batches(inputs: DataFrame, batch_size: int, seed: int) -> DataFram
     sizes = inputs.groupBy("unix_time").agg(F.count(F.lit(1)).alias("_n"))
     batch = F.floor((F.col("_nr") - 1) / F.lit(batch_size))
     full = F.floor(F.col("_n") / F.lit(batch_size))
+    # one size per anchor
     return (
-        rows.join(sizes, "unix_time")
+        rows.join(F.broadcast(sizes), "unix_time")
         .withColumn("batch", batch)
         .where(F.col("batch") < full)
         .select(*inputs.columns, "batch")

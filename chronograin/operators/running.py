@@ -17,6 +17,7 @@ from chronograin.session import cut_lineage
 # monotonically_increasing_id() keeps the partition number above this bit, the row number below
 _ROW_BITS = 33
 _AT = "_at"
+_SALT = "_salt"
 
 
 def _order_columns(order: Sequence[Column | str]) -> list[Column]:
@@ -25,8 +26,10 @@ def _order_columns(order: Sequence[Column | str]) -> list[Column]:
 
 def _ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     by = [*[F.col(k) for k in keys], *_order_columns(order)]
-    placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    return cut_lineage(placed.withColumn(_AT, F.monotonically_increasing_id()))
+    # the salt splits rows that tie on everything, so that copies need not share a partition
+    salted = df.withColumn(_SALT, F.monotonically_increasing_id())
+    placed = salted.repartitionByRange(*by, F.col(_SALT)).sortWithinPartitions(*by, _SALT)
+    return cut_lineage(placed.drop(_SALT).withColumn(_AT, F.monotonically_increasing_id()))
 
 
 def _partition() -> Column:

@@ -53,23 +53,20 @@ def shop_item_churn(db: Database, grids: Sequence[Grid]) -> DataFrame:
     return windows.churn(db.df("review"), "product_id", "review_time", grids, "churn")
 
 
-def _priced_reviews(db: Database, how: str) -> DataFrame:
-    review = db.df("review").select("customer_id", "product_id", "review_time")
-    return review.join(db.df("product").select("product_id", "price"), "product_id", how)
-
-
 def shop_user_ltv(db: Database, grids: Sequence[Grid]) -> DataFrame:
     # a review of an unknown product still shows that its customer was active
-    return windows.value_of_active(
-        _priced_reviews(db, "left"), "customer_id", "review_time", "price", grids, "ltv"
-    )
+    review = db.df("review").select("customer_id", "product_id", "review_time")
+    priced = review.join(db.df("product").select("product_id", "price"), "product_id", "left")
+    return windows.value_of_active(priced, "customer_id", "review_time", "price", grids, "ltv")
 
 
 def shop_item_ltv(db: Database, grids: Sequence[Grid]) -> DataFrame:
-    sold = _priced_reviews(db, "inner").select("product_id", "review_time", "price")
-    return windows.aggregate(
-        sold, "product_id", "review_time", grids, ltv=F.coalesce(F.sum("price"), F.lit(0.0))
-    )
+    # reviews are counted before prices are looked up: a best seller is one row per anchor by then
+    review = db.df("review").select("product_id", "review_time")
+    sold = windows.aggregate(review, "product_id", "review_time", grids, _n=F.count(F.lit(1)))
+    priced = sold.join(db.df("product").select("product_id", "price"), "product_id")
+    value = F.coalesce(F.col("_n") * F.col("price"), F.lit(0.0))
+    return priced.select(*ANCHOR, "product_id", value.alias("ltv"))
 
 
 def shop_user_item_purchase(db: Database, grids: Sequence[Grid]) -> DataFrame:

@@ -12,7 +12,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 def local_session(app: str = "chronograin", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,6 +24,18 @@ def local_session(app: str = "chronograin", cpus: str = "*", shuffle_partitions:
     )
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the operators count on; all can be changed at run time.
+
+    Skewed joins are split even where that costs another shuffle, as when a join and the
+    following aggregation share their key.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share. Only a local master may fall back to a temporary folder."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)

@@ -98,6 +98,21 @@ def test_percentiles_equal_numpy(spark):
         assert np.allclose([r.a, r.b, r.c], np.quantile(by_key[r.k], [0.02, 0.5, 0.98]))
 
 
+def test_copies_of_one_row_are_spread_over_partitions(spark):
+    copies = spark.range(4000).select(F.lit(1).cast("bigint").alias("k"), F.lit(5).cast("bigint").alias("t"))
+    out = running_totals(copies, ["k"], ["t"], {"n": F.lit(1)})
+    assert sorted(r.n for r in out.select("n").collect()) == list(range(1, 4001))
+    from chronograin.operators.running import _ordered
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = _ordered(copies, ["k"], ["t"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r[1] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 3000
+
+
 @pytest.mark.parametrize("part_rows", [50, 10_000])
 def test_list_parts_hold_every_row_in_order(spark, part_rows):
     rows, df = hot_rows(spark)
