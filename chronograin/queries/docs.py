@@ -23,7 +23,7 @@ def _t(col: str) -> str:
     return f"strftime({col}, '%Y-%m-%d %H:%M:%S')"
 
 
-_MAIN = "'' AS section, 0 AS part"
+_MAIN = "'' AS section, 0::BIGINT AS part"
 _REVIEW = f"""review_text: r.review_text, summary: r.summary, review_time: {_t("r.review_time")}, rating: r.rating, verified: r.verified"""
 _PRODUCT = "{product_id: r.product_id, title: p.title, brand: p.brand, price: p.price, category: p.category}"
 
@@ -214,7 +214,7 @@ def sample_task_and_objects(spark, sf_dir):
 @BOOK.query(
     "nested_collect",
     """WITH t AS (SELECT conv_id, list({turn: turn, role: role, text: text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id)
-    SELECT conv_id::VARCHAR AS key, '' AS section, 0 AS part, to_json({conv_id: conv_id, turns: turns})::VARCHAR AS doc FROM t""",
+    SELECT conv_id::VARCHAR AS key, '' AS section, 0::BIGINT AS part, to_json({conv_id: conv_id, turns: turns})::VARCHAR AS doc FROM t""",
 )
 def nested_collect(spark, sf_dir):
     """Conversations with their turns."""

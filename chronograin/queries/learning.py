@@ -182,14 +182,14 @@ numbered AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY o) -
 cand AS (SELECT * FROM numbered WHERE place < {2 * K})"""
 
 
-@BOOK.query("interleave_candidates", f"WITH {_VISITS}, {_CANDIDATES} SELECT src, dst, place FROM cand")
+@BOOK.query("interleave_candidates", f"WITH {_VISITS}, {_CANDIDATES} SELECT src, dst, place::INTEGER AS place FROM cand")
 def interleave_candidates(spark, sf_dir):
     return links.candidates(_sources(spark, sf_dir), _visits(spark, sf_dir), "src", "dst", K)
 
 
 @BOOK.query(
     "candidate_features",
-    f"""WITH {_VISITS}, {_CANDIDATES} SELECT c.src, c.dst, c.place, coalesce(num_past_visit, 0) AS num_past_visit,
+    f"""WITH {_VISITS}, {_CANDIDATES} SELECT c.src, c.dst, c.place::INTEGER AS place, coalesce(num_past_visit, 0) AS num_past_visit,
     round(coalesce(share, 0), 6) AS global_popularity_fraction FROM cand c
     LEFT JOIN pair ON pair.src = c.src AND pair.dst = c.dst LEFT JOIN popular ON popular.dst = c.dst""",
 )
@@ -223,7 +223,7 @@ def rank_predictions(spark, sf_dir):
     i AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS w FROM embeddings),
     s AS (SELECT query_id, item_id, list_inner_product(v, w) AS score FROM q, i),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)
-    SELECT query_id, item_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
+    SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
 )
 def score_topk(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
