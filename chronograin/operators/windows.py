@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronograin.grid import Grid, floor_div, micros
+from chronograin.grid import Grid, floor_div, from_micros, micros
 from chronograin.model import ntz
 from chronograin.session import require_utc
 
@@ -23,16 +23,19 @@ _US = "_us"
 _ONE_US = timedelta(microseconds=1)
 
 
-def _slot(time_us: Column, grid: Grid) -> Column:
-    """Number of the anchor t with t < time <= t + step; may lie outside the grid."""
-    return floor_div(time_us - F.lit(grid.start_us + 1), grid.step_us)
+def _holds(moment: Column, grid: Grid, shift: int) -> Column:
+    """Whether a time lies in the windows of a grid, or (shift 1) in its lookbacks."""
+    return (moment > ntz(grid.start - shift * grid.step)) & (moment <= ntz(grid.last + (1 - shift) * grid.step))
 
 
-def _anchor_or_null(k: Column, grid: Grid, extra: Sequence[Column] = ()) -> Column:
-    anchor = F.struct(
-        F.lit(grid.split).alias("split"), grid.moment(k).alias("timestamp"), *extra
-    )
-    return F.when(k.between(0, grid.count - 1), anchor)
+def _anchor_time(grid: Grid, shift: int) -> Column:
+    """The anchor t with t < time <= t + step, or (shift 1) with t - step < time <= t.
+
+    Counted back from the time in microseconds: no division, no rounding.
+    """
+    before = F.col(_US) - 1
+    offset = F.pmod(before - F.lit(grid.start_us), F.lit(grid.step_us))
+    return from_micros(before - offset + F.lit(shift * grid.step_us))
 
 
 def _disjoint(grids: Sequence[Grid]) -> bool:
@@ -41,26 +44,29 @@ def _disjoint(grids: Sequence[Grid]) -> bool:
     return all(a.last + a.step <= b.start for a, b in zip(ordered, ordered[1:], strict=False))
 
 
-def _anchors(
-    at: str, grids: Sequence[Grid], shift: int = 0, extra: Sequence[Column] = ()
-) -> list[Column]:
-    """Anchor structs (or null) of a time in microseconds: one per grid, or a single one in all
-    where the grids are disjoint."""
-    found = [_anchor_or_null(_slot(F.col(at), g) + shift, g, extra) for g in grids]
-    return [F.coalesce(*found)] if _disjoint(grids) else found
+def _anchors(time_col: str, grids: Sequence[Grid], shift: int = 0) -> list[tuple[Column, Column]]:
+    """(split, timestamp) of a time: one pair per grid, or a single pair where the grids are disjoint."""
+    moment = F.col(time_col)
+    found = [
+        (F.when(_holds(moment, g, shift), F.lit(g.split)), F.when(_holds(moment, g, shift), _anchor_time(g, shift)))
+        for g in grids
+    ]
+    if not _disjoint(grids):
+        return found
+    return [(F.coalesce(*[split for split, _ in found]), F.coalesce(*[at for _, at in found]))]
 
 
-def _spread(df: DataFrame, anchors: list[Column], outer: bool = False) -> DataFrame:
-    """One row per non-null anchor struct; ``outer`` keeps one bare row of those without any."""
-    if len(anchors) == 1:
-        tagged = df.withColumn("_a", anchors[0])
-        tagged = tagged if outer else tagged.where(F.col("_a").isNotNull())
-        return tagged.select("*", "_a.*").drop("_a")
-    if outer:
-        return df.select("*", F.inline_outer(F.filter(F.array(*anchors), lambda a: a.isNotNull())))
-    # null structs are dropped after the generator: that stays in generated code
-    spread = df.select("*", F.explode(F.array(*anchors)).alias("_a")).where(F.col("_a").isNotNull())
-    return spread.select("*", "_a.*").drop("_a")
+def _spread(df: DataFrame, time_col: str, pairs: list[tuple[Column, Column, list[Column]]]) -> DataFrame:
+    """One row per anchor found, with ``split``, ``timestamp`` and extra columns."""
+    timed = df.withColumn(_US, micros(F.col(time_col)))
+    if len(pairs) == 1:
+        split, at, extra = pairs[0]
+        tagged = timed.select("*", split.alias("split"), at.alias("timestamp"), *extra)
+        return tagged.where(F.col("split").isNotNull()).drop(_US)
+    found = [F.struct(split.alias("split"), at.alias("timestamp"), *extra) for split, at, extra in pairs]
+    # empty ones are dropped after the generator: that stays in generated code
+    spread = timed.select("*", F.inline(F.array(*found)))
+    return spread.where(F.col("split").isNotNull()).drop(_US)
 
 
 def _covered(df: DataFrame, time_col: str, grids: Sequence[Grid], before: timedelta, after: timedelta) -> DataFrame:
@@ -75,8 +81,7 @@ def tag_windows(df: DataFrame, time_col: str, grids: Sequence[Grid]) -> DataFram
     """Add ``split`` and ``timestamp`` of every anchor t with time in (t, t + step]."""
     require_utc(df.sparkSession)
     df = _covered(df, time_col, grids, timedelta(0), max(g.step for g in grids))
-    timed = df.withColumn(_US, micros(F.col(time_col)))
-    return _spread(timed, _anchors(_US, grids)).drop(_US)
+    return _spread(df, time_col, [(*pair, []) for pair in _anchors(time_col, grids)])
 
 
 def tag_windows_and_lookback(df: DataFrame, time_col: str, grids: Sequence[Grid]) -> DataFrame:
@@ -88,12 +93,10 @@ def tag_windows_and_lookback(df: DataFrame, time_col: str, grids: Sequence[Grid]
     require_utc(df.sparkSession)
     step = max(g.step for g in grids)
     df = _covered(df, time_col, grids, step, step)
-    timed = df.withColumn(_US, micros(F.col(time_col)))
-    anchors = [
-        *_anchors(_US, grids, 0, [F.lit(True).alias("in_window")]),
-        *_anchors(_US, grids, 1, [F.lit(False).alias("in_window")]),
+    pairs = [
+        (*pair, [F.lit(shift == 0).alias("in_window")]) for shift in (0, 1) for pair in _anchors(time_col, grids, shift)
     ]
-    return _spread(timed, anchors).drop(_US)
+    return _spread(df, time_col, pairs)
 
 
 def tag_range(
@@ -116,25 +119,48 @@ def tag_range(
     return df.select("*", F.inline(F.concat(*pieces)))
 
 
-def anchors_since(moment: Column, grids: Sequence[Grid]) -> Column:
-    """Array of the anchors t with moment <= t."""
-    pieces = []
-    for g in grids:
-        first = F.greatest(-floor_div(F.lit(g.start_us) - micros(moment), g.step_us), F.lit(0))
-        ks = F.when(first < g.count, F.sequence(first, F.lit(g.count - 1).cast("bigint")))
-        pieces.append(F.transform(F.coalesce(ks, F.array().cast("array<bigint>")), g.anchor))
-    return F.concat(*pieces)
+def _bases(grids: Sequence[Grid]) -> list[int]:
+    return [sum(g.count for g in grids[:i]) for i in range(len(grids))]
 
 
-def all_anchors(grids: Sequence[Grid]) -> Column:
-    """Constant array of all anchors."""
+def anchor_number(grids: Sequence[Grid]) -> Column:
+    """Number of the anchor in columns ``split`` and ``timestamp``, 0 .. n-1 over all grids."""
     pieces = [
-        F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(g.count - 1).cast("bigint")), g.anchor)
-        for g in grids
+        F.when(F.col("split") == g.split, floor_div(micros(F.col("timestamp")) - F.lit(g.start_us), g.step_us) + base)
+        for g, base in zip(grids, _bases(grids), strict=True)
     ]
+    return F.coalesce(*pieces)
+
+
+def anchor_of(nr: str, grids: Sequence[Grid]) -> list[Column]:
+    """Columns ``split`` and ``timestamp`` of an anchor number."""
+    k, split, moment = F.col(nr), F.when(F.lit(False), F.lit("")), F.when(F.lit(False), ntz(grids[0].start))
+    for g, base in zip(grids, _bases(grids), strict=True):
+        inside = k < base + g.count
+        split, moment = split.when(inside, F.lit(g.split)), moment.when(inside, g.moment(k - base))
+    return [split.alias("split"), moment.alias("timestamp")]
+
+
+def numbers_since(moment: Column | None, grids: Sequence[Grid]) -> Column:
+    """Numbers of the anchors t with moment <= t, or of all anchors."""
+    if moment is None:
+        return F.sequence(F.lit(0).cast("bigint"), F.lit(sum(g.count for g in grids) - 1).cast("bigint"))
+    pieces = []
+    for g, base in zip(grids, _bases(grids), strict=True):
+        first = F.greatest(-floor_div(F.lit(g.start_us) - micros(moment), g.step_us), F.lit(0))
+        last = F.lit(base + g.count - 1).cast("bigint")
+        found = F.when(first < g.count, F.sequence(first + base, last))
+        pieces.append(F.coalesce(found, F.array().cast("array<bigint>")))
     return F.concat(*pieces)
 
 
+def spread_since(df: DataFrame, grids: Sequence[Grid], created_col: str | None = None) -> DataFrame:
+    """Every row at every anchor from its creation on (or at all anchors)."""
+    created = None if created_col is None else F.col(created_col)
+    spread = df.select("*", F.explode(numbers_since(created, grids)).alias("_nr"))
+    return spread.select(*anchor_of("_nr", grids), *df.columns)
+
+
 def churn(facts: DataFrame, key: str, time_col: str, grids: Sequence[Grid], target: str) -> DataFrame:
     """1 if an entity that was active in (t - step, t] has no fact in (t, t + step]."""
     tagged = tag_windows_and_lookback(facts.select(key, time_col).dropna(subset=[key]), time_col, grids)
@@ -186,19 +212,22 @@ def for_each_existing(
     ``hits`` has (split, timestamp, key, value). An entity has at most one hit per anchor, so
     its hits fit a small map; the join runs on entities, before they are spread over anchors.
     """
-    by_key = hits.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.struct(*ANCHOR), value))).alias("_hits")
-    )
-    anchors = all_anchors(grids) if created_col is None else anchors_since(F.col(created_col), grids)
+    given = hits.select(key, anchor_number(grids).alias("nr"), F.col(value).alias("v"))
+    by_key = given.groupBy(key).agg(F.collect_list(F.struct("nr", "v")).alias("_hits"))
+    created = None if created_col is None else F.col(created_col)
     kept = [key] if created_col is None else [key, created_col]
-    return (
-        entities.select(*kept)
-        .join(by_key, key, "left")
-        .select(key, "_hits", F.explode(anchors).alias("_a"))
-        .select(
-            "_a.*", key, F.coalesce(F.try_element_at("_hits", F.struct("_a.split", "_a.timestamp")), default).alias(value)
-        )
+    joined = entities.select(*kept).join(by_key, key, "left")
+    joined = joined.withColumn("_nrs", numbers_since(created, grids))
+    v_type = hits.schema[value].dataType
+    rest = F.when(F.col("_hits").isNull(), F.col("_nrs")).otherwise(
+        F.array_except("_nrs", F.transform("_hits", lambda h: h["nr"]))
     )
+    filled = F.transform(rest, lambda n: F.struct(n.alias("nr"), default.cast(v_type).alias("v")))
+    seen = F.coalesce("_hits", F.array().cast(by_key.schema["_hits"].dataType))
+    if created_col is not None:
+        seen = F.filter(seen, lambda h: F.array_contains("_nrs", h["nr"]))
+    spread = joined.select(key, F.inline(F.concat(seen, filled)))
+    return spread.select(*anchor_of("nr", grids), key, F.col("v").alias(value))
 
 
 def for_each_since_first(
@@ -212,16 +241,27 @@ def for_each_since_first(
     require_utc(facts.sparkSession)
     end = max(g.last + g.step for g in grids)
     used = facts.select(key, time_col).dropna().where(F.col(time_col) <= ntz(end))
-    timed = used.withColumn(_US, micros(F.col(time_col)))
-    tagged = _spread(timed, _anchors(_US, grids), outer=True)
+    if _disjoint(grids):
+        # a fact outside all windows still counts for the first time, so it keeps a bare row
+        ((split, at),) = _anchors(time_col, grids)
+        timed = used.withColumn(_US, micros(F.col(time_col)))
+        tagged = timed.select("*", split.alias("split"), at.alias("timestamp")).drop(_US)
+    else:
+        bare = used.select("*", F.lit(None).cast("string").alias("split"), F.lit(None).cast("timestamp_ntz").alias("timestamp"))
+        tagged = tag_windows(used, time_col, grids).unionByName(bare)
     per_anchor = tagged.groupBy(key, *ANCHOR).agg(F.min(time_col).alias("_first"))
     per_key = per_anchor.groupBy(key).agg(
         F.min("_first").alias("_first"),
-        F.collect_list(F.when(F.col("split").isNotNull(), F.struct(*ANCHOR))).alias("_hits"),
+        F.collect_list(F.when(F.col("split").isNotNull(), anchor_number(grids))).alias("_hits"),
     )
-    return per_key.select(key, "_hits", F.explode(anchors_since(F.col("_first"), grids)).alias("_a")).select(
-        "_a.*", key, F.array_contains("_hits", F.struct("_a.split", "_a.timestamp")).cast("int").alias(name)
+    wanted = numbers_since(F.col("_first"), grids)
+    hit, quiet = F.array_intersect("_hits", "_nrs"), F.array_except("_nrs", "_hits")
+    flagged = F.concat(
+        F.transform(hit, lambda n: F.struct(n.alias("nr"), F.lit(1).alias("v"))),
+        F.transform(quiet, lambda n: F.struct(n.alias("nr"), F.lit(0).alias("v"))),
     )
+    spread = per_key.withColumn("_nrs", wanted).select(key, F.inline(flagged))
+    return spread.select(*anchor_of("nr", grids), key, F.col("v").alias(name))
 
 
 def distinct_pairs(

@@ -188,10 +188,10 @@ _SEEDS = """seeds AS (SELECT c_custkey * 100 + k AS seed_id, c_custkey, CAST(epo
 
 def _seeds(spark, sf_dir):
     """Every customer at every anchor."""
-    spread = read(spark, sf_dir, "customer").select("c_custkey", F.posexplode(windows.all_anchors([GRID])).alias("k", "a"))
+    spread = windows.spread_since(read(spark, sf_dir, "customer").select("c_custkey"), [GRID])
     return spread.select(
-        (F.col("c_custkey") * 100 + F.col("k")).alias("seed_id"),
-        F.unix_seconds(F.col("a.timestamp").cast("timestamp")).alias("seed_time"),
+        (F.col("c_custkey") * 100 + windows.anchor_number([GRID])).alias("seed_id"),
+        F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("seed_time"),
         F.col("c_custkey").alias("node_id"),
     )
 

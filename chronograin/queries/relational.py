@@ -84,9 +84,8 @@ def not_exists_window(spark, sf_dir):
 
 @BOOK.query("cross_anchor_entity", f"WITH {_A} SELECT timestamp, s_suppkey FROM anchors CROSS JOIN supplier")
 def cross_anchor_entity(spark, sf_dir):
-    """Every entity at every anchor: anchors are a constant array, so nothing is joined."""
-    spread = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(windows.all_anchors([GRID])).alias("a"))
-    return spread.select("a.timestamp", "s_suppkey")
+    """Every entity at every anchor: anchors are numbers in a row, so nothing is joined."""
+    return windows.spread_since(read(spark, sf_dir, "supplier").select("s_suppkey"), [GRID]).drop("split")
 
 
 @BOOK.query(
@@ -124,8 +123,8 @@ def in_subquery_lookback(spark, sf_dir):
 )
 def existed_before_join(spark, sf_dir):
     pending = _orders(spark, sf_dir).where(F.col("o_orderstatus") == "P")
-    spread = pending.select("o_orderkey", F.explode(windows.anchors_since(F.col("o_orderdate"), [GRID])).alias("a"))
-    return spread.select("a.timestamp", "o_orderkey")
+    spread = windows.spread_since(pending.select("o_orderkey", "o_orderdate"), [GRID], "o_orderdate")
+    return spread.select("timestamp", "o_orderkey")
 
 
 @BOOK.query(

@@ -5,7 +5,6 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from chronograin.grid import Grid, split_grid
 from chronograin.operators import windows
@@ -53,8 +52,7 @@ def test_bucketing_equals_comparison(spark, data):
     assert got(both.where("not in_window")) == expect(lambda m, t: t - step < m <= t)
     lead, lag = timedelta(hours=37), timedelta(hours=11)
     assert got(windows.tag_range(df, "at", grids, lead, lag)) == expect(lambda m, t: t - lead < m <= t + lag)
-    since = df.select("who", F.explode(windows.anchors_since(F.col("at"), grids)).alias("a")).select("who", "a.*")
-    assert got(since) == expect(lambda m, t: m <= t)
+    assert got(windows.spread_since(df, grids, "at")) == expect(lambda m, t: m <= t)
 
 
 def test_grids_step_from_the_cutoffs():
@@ -83,6 +81,21 @@ def test_previous_rows_not_calendar_anchors(spark):
     assert [out[t] for _, t, _ in rows] == [None, 1, 1, 0]
 
 
+def test_hits_before_creation_do_not_count(spark):
+    grids = [Grid("train", T0, 10 * DAY, 3), Grid("val", T0 + 30 * DAY, 10 * DAY, 1)]
+    entities = facts(spark, [(1, T0 + 5 * DAY), (2, T0 + 90 * DAY), (3, T0)])
+    hits = spark.createDataFrame([("train", T0, 1, 4), ("train", T0 + 20 * DAY, 1, 6), ("val", T0 + 30 * DAY, 3, 9)],
+                                 "split string, timestamp timestamp_ntz, who bigint, n bigint")
+    from pyspark.sql import functions as F
+
+    out = windows.for_each_existing(entities, "who", hits, "n", grids, "at", F.lit(0))
+    got = {(r.who, r.split, (r.timestamp - T0).days): r.n for r in out.collect()}
+    assert got == {
+        (1, "train", 10): 0, (1, "train", 20): 6, (1, "val", 30): 0,
+        (3, "train", 0): 0, (3, "train", 10): 0, (3, "train", 20): 0, (3, "val", 30): 9,
+    }
+
+
 def test_since_first_starts_at_the_first_fact(spark):
     grid = Grid("train", T0, 10 * DAY, 4)
     df = facts(spark, [(1, T0 + 5 * DAY), (1, T0 + 25 * DAY), (2, T0 - 90 * DAY), (3, T0 + 39 * DAY)])
