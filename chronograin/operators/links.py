@@ -114,7 +114,7 @@ def rank_predictions(scored: DataFrame, keys: Sequence[str], dst: str, score: st
 
 
 def negative_pairs(
-    pairs: DataFrame, ids: DataFrame, src: str, dst: str, n_ids: int, seed: int, avoid_known: bool = False
+    pairs: DataFrame, dst: str, n_ids: int, seed: int, avoid_known: bool = False
 ) -> DataFrame:
     """One random dst per pair, by hash; ids must be numbered 0 .. n_ids-1 (see ``reindex``).
 

@@ -166,7 +166,7 @@ def link_triples(spark, sf_dir):
 def negative_pairs(spark, sf_dir):
     pairs = _rates(spark, sf_dir)
     n = read(spark, sf_dir, "part").count()
-    return links.labelled_pairs(pairs, links.negative_pairs(pairs, None, "customer_id", "product_id", n, 42))
+    return links.labelled_pairs(pairs, links.negative_pairs(pairs, "product_id", n, 42))
 
 
 @BOOK.query(
@@ -244,9 +244,9 @@ def same_time_batches(spark, sf_dir):
 @BOOK.query(
     "neighbor_aggregate",
     """WITH o AS (SELECT o_custkey AS dst_id, avg(o_totalprice) AS v FROM orders GROUP BY 1)
-    SELECT 'customer' AS dst_table, dst_id, round(v, 6) AS value FROM o UNION ALL
-    SELECT 'orders', l_orderkey, round(avg(l_extendedprice), 6) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 2
-    UNION ALL SELECT 'part', l_partkey, round(avg(l_extendedprice), 6) FROM lineitem GROUP BY 2""",
+    SELECT 'customer' AS dst_table, dst_id, round(v, 8) AS value FROM o UNION ALL
+    SELECT 'orders', l_orderkey, round(avg(l_extendedprice), 8) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 2
+    UNION ALL SELECT 'part', l_partkey, round(avg(l_extendedprice), 8) FROM lineitem GROUP BY 2""",
 )
 def neighbor_aggregate(spark, sf_dir):
     """Mean value of the facts around customers, orders and parts."""
@@ -256,7 +256,7 @@ def neighbor_aggregate(spark, sf_dir):
         "lineitem": db.df("lineitem").select("row_id", F.col("l_extendedprice").alias("value")),
     }
     facts = graph.fk_edges(db).where(F.col("edge_type").startswith("f2p_"))
-    return graph.neighbor_aggregate(facts, values, ["value"]).withColumn("value", F.round("value", 6))
+    return graph.neighbor_aggregate(facts, values, ["value"]).withColumn("value", F.round("value", 8))
 
 
 @BOOK.query("text_hash_embedding")

@@ -26,9 +26,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    """Values as they compare: floats to nine digits, nested values as tuples."""
+    """Values as they compare: floats exactly, nested values as tuples."""
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.9g}")
+        return "nan" if math.isnan(value) else value
     if isinstance(value, dict):
         return tuple((k, plain(v)) for k, v in sorted(value.items()))
     if hasattr(value, "asDict"):

@@ -110,7 +110,7 @@ def test_ties_in_top_k_go_to_the_smaller_id(spark):
 
 def test_negative_pairs_can_avoid_known_links(spark):
     pairs = spark.createDataFrame([(s, d) for s in range(20) for d in range(5)], "src bigint, dst bigint")
-    plain = links.negative_pairs(pairs, None, "src", "dst", 6, 1)
-    strict = links.negative_pairs(pairs, None, "src", "dst", 6, 1, avoid_known=True)
+    plain = links.negative_pairs(pairs, "dst", 6, 1)
+    strict = links.negative_pairs(pairs, "dst", 6, 1, avoid_known=True)
     assert plain.count() == 100
     assert {r.dst for r in strict.collect()} == {5}
