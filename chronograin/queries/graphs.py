@@ -235,6 +235,78 @@ def temporal_neighbor_sample(spark, sf_dir):
     )
 
 
+@BOOK.query(
+    "neighbor_sample_sizes",
+    f"""WITH {_LINE}, {_SEEDS}, one AS (SELECT seed_id, least(8, count(*)) AS n, max(t) <= max(seed_time) AS in_time
+      FROM seeds JOIN ord ON o_custkey = c_custkey AND t <= seed_time GROUP BY seed_id)
+    SELECT seed_id, 'f2p_o_custkey' AS edge_type, n, in_time, n AS n_distinct FROM one""",
+)
+def neighbor_sample_sizes(spark, sf_dir):
+    """First hop of the uniform sample: exactly min(8, visible) different neighbours, none from the future."""
+    db = _db(spark, sf_dir, "customer", "orders")
+    sampled = graph.sample_subgraphs(db, "customer", _seeds(spark, sf_dir), [8], "uniform", 42)
+    return sampled.groupBy("seed_id", "edge_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.col("src_time") <= F.col("seed_time")).alias("in_time"),
+        F.count_distinct("src_id").alias("n_distinct"),
+    )
+
+
+@BOOK.query(
+    "batch_sizes",
+    f"""WITH {_CHURN}, n AS (SELECT CAST(epoch(timestamp) AS BIGINT) AS unix_time, count(*) // 64 AS b FROM inp GROUP BY 1)
+    SELECT unix_time, b AS n_batches, b * 64 AS n_rows, 64::BIGINT AS smallest FROM n WHERE b > 0""",
+)
+def batch_sizes(spark, sf_dir):
+    """Batches of one time are full, and as many as fit."""
+    inputs = graph.node_train_input(_churn(spark, sf_dir), "customer_id", "churn", TaskKind.BINARY)
+    sizes = graph.same_time_batches(inputs, 64, 42).groupBy("unix_time", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("unix_time").agg(
+        F.count(F.lit(1)).alias("n_batches"), F.sum("n").alias("n_rows"), F.min("n").alias("smallest")
+    )
+
+
+@BOOK.query(
+    "triples_are_true",
+    f"WITH {_RATES} SELECT DISTINCT input_id, src, unix_time, TRUE AS pos_is_linked, TRUE AS neg_is_known FROM link",
+)
+def triples_are_true(spark, sf_dir):
+    """Every positive is a true link of its row, every negative an existing item."""
+    inputs, parts = _link_input(spark, sf_dir), read(spark, sf_dir, "part")
+    triples = graph.link_triples(inputs, parts.count(), 42).withColumnRenamed("pos_dst", "dst")
+    checked = links.is_linked(triples, inputs, ["input_id", "dst"])
+    known = parts.select(F.col("p_partkey").alias("neg_dst"), F.lit(True).alias("known"))
+    return checked.join(known, "neg_dst", "left").select(
+        "input_id", "src", "unix_time", F.col("is_linked").alias("pos_is_linked"),
+        F.coalesce("known", F.lit(False)).alias("neg_is_known"),
+    )
+
+
+@BOOK.query(
+    "negative_pair_counts",
+    f"WITH {_RATES} SELECT customer_id, count(*) AS n_true, count(*) AS n_drawn FROM rate GROUP BY customer_id",
+)
+def negative_pair_counts(spark, sf_dir):
+    """As many drawn pairs as true ones, source by source."""
+    pairs = _rates(spark, sf_dir)
+    drawn = links.negative_pairs(pairs, "product_id", read(spark, sf_dir, "part").count(), 42)
+    labelled = links.labelled_pairs(pairs, drawn)
+    return labelled.groupBy("customer_id").agg(
+        F.count_if(F.col("label") == 1).alias("n_true"), F.count_if(F.col("label") == 0).alias("n_drawn")
+    )
+
+
+@BOOK.query(
+    "text_vector_length",
+    "SELECT doc_id, 32 AS width, CASE WHEN regexp_matches(text, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
+)
+def text_vector_length(spark, sf_dir):
+    """Text vectors have their width and length 1."""
+    vectors = hash_embedding(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "v", 32)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.select("doc_id", F.size("v").alias("width"), F.round(norm, 9).alias("norm"))
+
+
 @BOOK.query("same_time_batches")
 def same_time_batches(spark, sf_dir):
     inputs = graph.node_train_input(_churn(spark, sf_dir), "customer_id", "churn", TaskKind.BINARY)

@@ -28,8 +28,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators count on; all can be changed at run time.
 
     Skewed joins are split even where that costs another shuffle, as when a join and the
-    following aggregation share their key.
+    following aggregation share their key. Zone-free times need a zone without gaps.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
