@@ -114,6 +114,20 @@ class Dataset:
 
         return null_dangling_fkeys(self.full_db.upto(self.test_timestamp))
 
+    @cached_property
+    def time_bounds(self) -> tuple[datetime, datetime, datetime]:
+        """Earliest time, latest time by the test cut-off, latest time; read once in a single job."""
+        parts = []
+        for table in self.full_db.tables.values():
+            if table.time_col is not None:
+                moment = F.col(table.time_col).cast("timestamp_ntz")
+                early = F.when(moment <= ntz(self.test_timestamp), moment)
+                parts.append(
+                    table.df.agg(F.min(moment).alias("a"), F.max(early).alias("b"), F.max(moment).alias("c"))
+                )
+        row = reduce(DataFrame.unionByName, parts).agg(F.min("a"), F.max("b"), F.max("c")).first()
+        return row[0], row[1], row[2]
+
     def entity_ids(self, table: str) -> DataFrame:
         """Keys of an entity table as of the test cut-off."""
         entity = self.full_db[table].upto(self.test_timestamp)

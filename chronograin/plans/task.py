@@ -36,12 +36,12 @@ class Task:
         raise NotImplementedError
 
     def grids(self, dataset: Dataset, splits: Sequence[str] = SPLITS) -> list[Grid]:
-        """Anchor grids. Training and validation see the database up to the test cut-off only."""
+        """Anchor grids. Training and validation see no rows after the test cut-off."""
         check_cutoffs(self.delta, dataset.val_timestamp, dataset.test_timestamp)
-        first, last = dataset.full_db.time_bounds
+        first, last_input, last = dataset.time_bounds
         out = []
         for split in splits:
-            end = last if split == "test" else min(last, dataset.test_timestamp)
+            end = last if split == "test" else last_input
             out.append(
                 split_grid(
                     split, self.delta, dataset.val_timestamp, dataset.test_timestamp, first, end, self.evals

@@ -191,3 +191,19 @@ def test_masked_tables_hide_the_answer(spark, small_dir):
     assert task.table(dataset, "test").df.columns == ["timestamp", "customer_id"]
     assert "product_id" in task.table(dataset, "test", keep_dst=True).df.columns
     assert "product_id" in task.table(dataset, "val").df.columns
+
+
+def test_validation_needs_rows_up_to_the_end_of_its_window(spark):
+    from chronograin.model import Dataset
+
+    rows = [(1, 1, T0 + timedelta(days=d)) for d in (*range(0, 600, 7), 700)]
+    review = spark.createDataFrame(rows, "customer_id bigint, product_id bigint, review_time timestamp_ntz")
+    one = spark.createDataFrame([(1,)], "customer_id bigint")
+    db = Database({"customer": Table(one, "customer_id"), "review": Table(review, None, "review_time", {"customer_id": "customer"})})
+    task = get_task("shop", "user-churn")
+    late = Dataset(db, T0 + timedelta(days=510), T0 + timedelta(days=601))
+    with pytest.raises(RuntimeError, match="val window ends after"):
+        task.grids(late)
+    fine = Dataset(db, T0 + timedelta(days=497), T0 + timedelta(days=595))
+    assert [g.count for g in task.grids(fine)] == [5, 1, 1]
+    assert {r.churn for r in task.table(fine, "val").df.collect()} == {0}
