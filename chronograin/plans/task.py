@@ -12,7 +12,8 @@ from pyspark.sql.utils import AnalysisException
 
 from chronograin.grid import SPLITS, Grid, check_cutoffs, split_grid
 from chronograin.model import Database, Dataset, Table, TaskKind
-from chronograin.operators import integrity, lists
+from chronograin.operators import integrity, lists, stats
+from chronograin.operators.metrics import Metric, evaluate_entity, evaluate_link
 from chronograin.operators.windows import ANCHOR
 
 # (database, grids) -> (split, timestamp, keys.., target)
@@ -112,6 +113,24 @@ class EntityTask(Task):
     def fkeys(self) -> dict[str, str]:
         return {self.entity_col: self.entity_table}
 
+    def evaluate(
+        self, dataset: Dataset, pred: DataFrame, split: str = "test", metrics: Sequence[Metric] | None = None
+    ) -> dict[str, float]:
+        """Score predictions (time, entity, pred) of a split with the task's or other metrics."""
+        keys = [self.time_name, self.entity_col]
+        return evaluate_entity(self.finished(dataset, split), pred, keys, self.target_col, metrics or self.metrics)
+
+    def stats(self, dataset: Dataset) -> DataFrame:
+        """Statistics per anchor, per split and in total."""
+        labels = self.labels(dataset)
+        if self.kind is TaskKind.MULTILABEL:
+            return stats.multilabel_stats(labels, self.target_col)
+        return stats.entity_stats(labels, self.entity_col, self.target_col, self.kind)
+
+    def overlap(self, dataset: Dataset) -> DataFrame:
+        """Share of the test entities that also occur in training."""
+        return stats.train_test_overlap(self.labels(dataset), self.entity_col)
+
 
 @dataclass(frozen=True)
 class LinkTask(Task):
@@ -145,6 +164,22 @@ class LinkTask(Task):
     def fkeys(self) -> dict[str, str]:
         return {self.src_col: self.src_table, self.dst_col: self.dst_table}
 
+    def evaluate(
+        self, dataset: Dataset, pred: DataFrame, split: str = "test", metrics: Sequence[str] | None = None
+    ) -> dict[str, float]:
+        """Score lists of k predictions (time, source, pred) of a split."""
+        truth = self.labels(dataset, [split]).withColumnRenamed("timestamp", self.time_name)
+        keys = [self.time_name, self.src_col]
+        return evaluate_link(truth, pred, keys, self.dst_col, self.k, metrics or self.metrics)
+
+    def stats(self, dataset: Dataset) -> DataFrame:
+        """Statistics per anchor, per split and in total."""
+        return stats.link_stats(self.labels(dataset), self.src_col, self.dst_col)
+
+    def overlap(self, dataset: Dataset) -> DataFrame:
+        """Share of the test sources that also occur in training."""
+        return stats.train_test_overlap(self.labels(dataset), self.src_col)
+
 
 def all_splits(task: Task, dataset: Dataset) -> DataFrame:
     out = task.labels(dataset)

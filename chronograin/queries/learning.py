@@ -407,7 +407,7 @@ def evaluate_entity(spark, sf_dir):
     train, val = (task.table(dataset, s).df for s in ("train", "val"))
     rows = val.select("timestamp", "customer_id")
     pred = baselines.entity_prediction(train, rows, "customer_id", "ltv", "entity_mean")
-    return _as_rows(spark, metrics.evaluate_entity(val, pred, ["timestamp", "customer_id"], "ltv", task.metrics))
+    return _as_rows(spark, task.evaluate(dataset, pred, "val"))
 
 
 @BOOK.query(
@@ -428,9 +428,7 @@ def evaluate_link(spark, sf_dir):
     train, val = (task.labels(dataset, [s]) for s in ("train", "val"))
     rows = val.select("timestamp", "customer_id").distinct()
     pred = links.predict_past_visits(rows, train, "customer_id", "article_id", task.k)
-    return _as_rows(
-        spark, metrics.evaluate_link(val, pred, ["timestamp", "customer_id"], "article_id", task.k, task.metrics)
-    )
+    return _as_rows(spark, task.evaluate(dataset, pred, "val"))
 
 
 # --- statistics ------------------------------------------------------------------------------------------

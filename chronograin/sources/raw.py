@@ -169,8 +169,17 @@ ACTUAL, ROOT_TERM, FIRST_START = "Actual", "mesh-list", "2000-01-01"
 ATTENDANCE = ("yes", "maybe", "invited", "no")
 
 
+# Files with free text, whose quoted values may hold line breaks. Spark reads such a file in one task,
+# so large ones should come as a folder of parts; all other files are split.
+FREE_TEXT = {
+    "articles.csv", "Users.csv", "Posts.csv", "Comments.csv", "PostHistory.csv", "studies.txt", "outcomes.txt",
+    "outcome_analyses.txt", "designs.txt", "eligibilities.txt", "drop_withdrawals.txt", "detailed_descriptions.txt",
+    "brief_summaries.txt",
+}
+
+
 class Raw:
-    """CSV files of one folder; a file may be compressed."""
+    """CSV files of one folder; a file may be compressed, or be a folder of parts."""
 
     def __init__(self, spark: SparkSession, folder: str, sep: str = ",") -> None:
         self.spark, self.folder, self.sep = spark, folder.rstrip("/"), sep
@@ -179,7 +188,7 @@ class Raw:
     def csv(self, name: str) -> DataFrame:
         file = name if name in self.names else f"{name}.gz"
         reader = self.spark.read.options(
-            header=True, sep=self.sep, quote='"', escape='"', multiLine=True, inferSchema=True,
+            header=True, sep=self.sep, quote='"', escape='"', multiLine=name in FREE_TEXT, inferSchema=True,
             # formats no value has: times stay text
             dateFormat="'no date'", timestampFormat="'no time'", timestampNTZFormat="'no time'",
         )
@@ -192,7 +201,9 @@ def _text(df: DataFrame, *cols: str) -> DataFrame:
 
 def _assembled(schema: str, frames: Mapping[str, DataFrame]) -> Database:
     dropped = DROPPED.get(schema, {})
-    out = {name: Table(df.drop(*dropped.get(name, ())), *KEYS[schema][name]) for name, df in frames.items()}
+    out = {
+        name: Table(clean.nan_to_null(df.drop(*dropped.get(name, ()))), *KEYS[schema][name]) for name, df in frames.items()
+    }
     db, first = Database(out), CUTOFFS[schema][2]
     return db if first is None else db.from_(first)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronograin.functions.clean import nan_to_null
 from chronograin.model import Database, Table
 from chronograin.operators.integrity import reindex
 
@@ -52,7 +53,7 @@ def read_foreign_table(spark: SparkSession, path: str) -> Table:
     footer = pq.read_schema(path).metadata or {}
     role = {key: json.loads(footer[key]) for key in (FOOTER_PKEY, FOOTER_TIME, FOOTER_FKEYS) if key in footer}
     return Table(
-        spark.read.parquet(path), role.get(FOOTER_PKEY), role.get(FOOTER_TIME), role.get(FOOTER_FKEYS, {})
+        nan_to_null(spark.read.parquet(path)), role.get(FOOTER_PKEY), role.get(FOOTER_TIME), role.get(FOOTER_FKEYS, {})
     )
 
 

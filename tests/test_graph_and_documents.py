@@ -207,3 +207,30 @@ def test_validation_needs_rows_up_to_the_end_of_its_window(spark):
     fine = Dataset(db, T0 + timedelta(days=497), T0 + timedelta(days=595))
     assert [g.count for g in task.grids(fine)] == [5, 1, 1]
     assert {r.churn for r in task.table(fine, "val").df.collect()} == {0}
+
+
+def test_own_task_end_to_end(spark, small_dir):
+    from chronograin.operators import windows
+    from chronograin.operators.baselines import entity_prediction, majority_of
+    from chronograin.plans.catalog import REGISTRY
+    from chronograin.plans.task import EntityTask
+
+    def reviews(db, grids):
+        return windows.aggregate(db.df("review"), "product_id", "review_time", grids, n=F.count(F.lit(1)))
+
+    task = EntityTask("item-reviews", TaskKind.REGRESSION, timedelta(days=60), reviews, ("mae", "r2"),
+                      entity_col="product_id", entity_table="product", target_col="n")
+    REGISTRY.register("shop", task)
+    try:
+        assert REGISTRY.get("shop", "item-reviews") is task
+    finally:
+        REGISTRY.tasks["shop"].pop("item-reviews")
+    dataset = shop(spark, small_dir)
+    train, test = task.table(dataset, "train").df, task.table(dataset, "test").df
+    assert test.columns == ["timestamp", "product_id"]
+    scores = task.evaluate(dataset, entity_prediction(train, test, "product_id", "n", "entity_mean"))
+    assert scores["mae"] > 0 and set(scores) == {"mae", "r2"}
+    rows = task.stats(dataset).where("timestamp is null").collect()
+    assert {r.split for r in rows} == {"train", "val", "test", "total"}
+    assert 0 < task.overlap(dataset).first()[0] <= 1
+    assert majority_of(train, "n").first()[0] >= 1

@@ -154,12 +154,13 @@ def test_footer_roles_of_foreign_files(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    table = pa.table({"id": [1, 2], "owner": [5, 6]}).replace_schema_metadata(
+    table = pa.table({"id": [1, 2], "owner": [5, 6], "x": [float("nan"), 1.5]}).replace_schema_metadata(
         {"pkey_col": json.dumps("id"), "time_col": json.dumps(None), "fkey_col_to_pkey_table": json.dumps({"owner": "users"})}
     )
     pq.write_table(table, tmp_path / "t.parquet")
     back = tables.read_foreign_table(spark, str(tmp_path / "t.parquet"))
     assert (back.pkey, back.time_col, dict(back.fkeys), back.count()) == ("id", None, {"owner": "users"}, 2)
+    assert sorted(r.x for r in back.df.where("x is not null").collect()) == [1.5]
 
 
 def test_tolerant_json_skips_only_bad_lines(spark, tmp_path):
