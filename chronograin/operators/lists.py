@@ -49,8 +49,9 @@ def split_parts(
     )
 
     def grouped(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        # lists do not shrink under partial aggregation, so rows are shuffled as they are
         ordered = F.array_sort(F.collect_list(F.struct("_by", "_item")))
-        return df.groupBy(*by).agg(F.transform(ordered, lambda e: e["_item"]).alias(name))
+        return df.repartition(*by).groupBy(*by).agg(F.transform(ordered, lambda e: e["_item"]).alias(name))
 
     hot = hot_keys(rows, keys, part_rows, weight)
     if continued is False or (continued is None and hot.isEmpty()):
