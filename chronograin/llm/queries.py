@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronograin.llm import decontaminate, mixing, quality, simhash_dedup, token_files
+from chronograin.llm import (
+    decontaminate,
+    fingerprints,
+    html_text,
+    language_model,
+    licenses,
+    mixing,
+    quality,
+    simhash_dedup,
+    token_files,
+    toxicity,
+)
 from chronograin.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +28,35 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sizes(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    digits = {new: F.lower(F.lpad(F.hex(old), 16, "0")) for old, new in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))}
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", *[c.alias(n) for n, c in digits.items()], "near_edited", "near_next"
+    )
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -37,6 +72,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op4_mix_sources, op8_token_files, op9_simhash_dedup, op10_quality)
+    for f in (
+        op1_decontaminate,
+        op2_html_text,
+        op3_toxicity,
+        op4_mix_sources,
+        op5_language_model,
+        op6_fingerprints,
+        op7_licenses,
+        op8_token_files,
+        op9_simhash_dedup,
+        op10_quality,
+    )
 }
 SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL}
