@@ -239,7 +239,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         m: Model = shared.value
         codes = _Codes(m.words, m.frequent)
         plus_one, plus_alpha = np.log10(m.counts + 1.0), np.log10(m.counts + ALPHA)
-        unit = np.array([i if i < m.frequent else m.frequent + shape(w) for i, w in enumerate(m.words)], dtype=np.int64)
+        # one more, so that looking up the place of an unknown word is harmless
+        unit = np.array([i if i < m.frequent else m.frequent + shape(w) for i, w in enumerate(m.words)] + [0], dtype=np.int64)
         end_class = m.of[-1]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -248,7 +249,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 words = space_words(text)
                 ids = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
                 known = ids[ids >= 0]
-                units = np.where(ids < 0, -1 - ids, unit[ids] if len(unit) else 0)
+                units = np.where(ids < 0, -1 - ids, unit[np.maximum(ids, 0)])
                 line = np.r_[end_class, m.of[units], end_class]
                 classes = m.transitions[line[:-1], line[1:]].sum() - m.divisors[line[1:]].sum()
                 out["row"].append(row)

@@ -37,18 +37,18 @@ BASE = {
 
 # label, pattern of the name, pattern of the short name; most specific first
 LICENSES = [
-    ("agpl-3.0", "gnu affero general public license (?:version |v )?3(?: 0)?", "agpl ?v?3(?: 0)?"),
-    ("lgpl-2.1", "gnu (?:lesser|library) general public license (?:version |v )?2 1", "lgpl ?v?2 1"),
-    ("lgpl-3.0", "gnu lesser general public license (?:version |v )?3(?: 0)?", "lgpl ?v?3(?: 0)?"),
-    ("gpl-2.0", "gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )2(?: 0)?", "gpl ?v?2(?: 0)?"),
-    ("gpl-3.0", "gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v )3(?: 0)?", "gpl ?v?3(?: 0)?"),
+    ("agpl-3.0", "gnu affero general public license (?:version |v ?)?3(?: 0)?", "agpl ?v?3(?: 0)?"),
+    ("lgpl-2.1", "gnu (?:lesser|library) general public license (?:version |v ?)?2 1", "lgpl ?v?2 1"),
+    ("lgpl-3.0", "gnu lesser general public license (?:version |v ?)?3(?: 0)?", "lgpl ?v?3(?: 0)?"),
+    ("gpl-2.0", "gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v ?)2(?: 0)?", "gpl ?v?2(?: 0)?"),
+    ("gpl-3.0", "gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version |v ?)3(?: 0)?", "gpl ?v?3(?: 0)?"),
     ("agpl", "(?:gnu )?affero general public license", "gnu agpl"),
     ("lgpl", "gnu (?:lesser|library) general public license", "gnu lgpl"),
     ("gfdl", "gnu free documentation license(?: version 1 [123])?", "gnu fdl licen[cs]ed?"),
     ("gpl", "(?:gnu )?general public license", "gnu gpl"),
-    ("apache-2.0", "apache (?:software )?license (?:version |v )?2(?: 0)?", "apache 2(?: 0)?"),
-    ("apache-1.1", "apache (?:software )?license (?:version |v )?1 1", "apache 1 1"),
-    ("apache-1.0", "apache (?:software )?license (?:version |v )?1 0", "apache 1 0"),
+    ("apache-2.0", "apache (?:software )?license (?:version |v ?)?2(?: 0)?", "apache 2(?: 0)?"),
+    ("apache-1.1", "apache (?:software )?license (?:version |v ?)?1 1", "apache 1 1"),
+    ("apache-1.0", "apache (?:software )?license (?:version |v ?)?1 0", "apache 1 0"),
     ("mit-0", "mit no attribution license", "mit 0 licen[cs]ed?"),
     ("mit", "mit license", "mit licen[cs]ed"),
     ("x11", "x11 license", "mit x11 licen[cs]ed"),
@@ -76,11 +76,11 @@ LICENSES = [
     ("cc0-1.0", "creative commons (?:zero|cc0)(?: 1 0)?(?: universal)?", "cc0(?: 1 0)?"),
     ("cc-by", "creative commons attribution", "cc by"),
     ("cc", "creative commons license", "creative commons licen[cs]ed"),
-    ("mpl-2.0", "mozilla public license (?:version |v )?2 0", "mpl 2 0 licen[cs]ed?"),
-    ("mpl-1.1", "mozilla public license (?:version |v )?1 1", "mpl 1 1 licen[cs]ed?"),
+    ("mpl-2.0", "mozilla public license (?:version |v ?)?2 0", "mpl 2 0 licen[cs]ed?"),
+    ("mpl-1.1", "mozilla public license (?:version |v ?)?1 1", "mpl 1 1 licen[cs]ed?"),
     ("mpl", "mozilla public license", "mpl licen[cs]ed?"),
-    ("epl-2.0", "eclipse public license (?:version |v )?2 0", "epl 2 0 licen[cs]ed?"),
-    ("epl-1.0", "eclipse public license (?:version |v )?1 0", "epl 1 0 licen[cs]ed?"),
+    ("epl-2.0", "eclipse public license (?:version |v ?)?2 0", "epl 2 0 licen[cs]ed?"),
+    ("epl-1.0", "eclipse public license (?:version |v ?)?1 0", "epl 1 0 licen[cs]ed?"),
     ("epl", "eclipse public license", "epl licen[cs]ed?"),
     ("edl-1.0", "eclipse distribution license(?: 1 0)?", "edl licen[cs]ed?"),
     ("cddl-1.0", "common development and distribution license(?: 1 [01])?", "cddl licen[cs]ed?"),
@@ -142,7 +142,7 @@ _KEPT = "struct<upto:int,labels:array<string>,score:double>"
 # words that say too little to be the keyword of a rule
 GENERIC = {"license", "public license", "4 0", "3 0", "1 0", "2 0"}
 # every keyword holds one of these, which a text must hold to be looked at closely
-ROOTS = ("licen", "gpl", "cc0", "commons", "cc by", "apache", "bsd", "public domain", "reserved")
+ROOTS = ("licen", "gpl", "cc0", "commons", "cc by", "apache", "bsd", "public domain", "reserved", "zlib", "illinois")
 
 
 def keyword(pattern: str) -> str:

@@ -36,13 +36,15 @@ from chronograin.llm.quality import training_labels
 
 FOLDS = 5
 # labelled documents of one class that the fit may read
-CLASS_ROWS = 2500
-WINDOW = 8
-TRAIN_WINDOWS = 100
+CLASS_ROWS = 1500
+WINDOW = 5
+TRAIN_WINDOWS = 160
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
-EPOCHS = (2, 2)
+EPOCHS = (3, 3)
+# minibatches that either round of epochs has at least, however few the windows
+STEPS = 500
 RATE = 0.3
 BATCH = 512
 # a window of a toxic document below this probability is set aside after the first epochs
@@ -190,7 +192,7 @@ def train(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
         share = max(1e-9, float(of[rows].mean()))
         weights[of == 1] = min(20.0, 0.5 / share)
         weights[of == 0] = 0.5 / max(1e-9, 1 - share)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * BATCH // len(rows)))):
             trainer.epoch(rows, of, weights)
         found = trainer.probabilities()
         worst = np.zeros(len(texts))
