@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from chronograin.session import prepare, work_path
 
-# rows that reach a Python worker at once; whole texts, so far fewer than Spark's default
+# rows, and bytes, that reach a Python worker at once; a longer text comes alone
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 # ASCII letters and digits and all bytes above 0x7f stay (upper case as lower), the rest becomes a space
 ALNUM_WORDS = bytes(
@@ -23,6 +24,7 @@ ALNUM_WORDS = bytes(
 def settle(spark: SparkSession) -> SparkSession:
     """Session settings that the operators count on."""
     prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
