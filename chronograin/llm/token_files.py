@@ -26,7 +26,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,8 @@ BLOCK = 256
 PERCENTILE = 90
 # ids after which a segment ends with the document at hand
 SEGMENT = 1 << 16
-# pieces that a worker remembers
-MEMO = 400_000
+# pieces after which a worker's memo starts anew, with what it held before still at hand once more
+MEMO = 200_000
 
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIQI")
@@ -61,10 +61,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the
+    others for the code points from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
+class _Memo(dict):
+    """Ids of pieces, encoded when first met, or taken over from the memo before."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], before: dict[bytes, bytes]) -> None:
+        self.encode, self.before = encode, before
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.before.get(piece)
+        self[piece] = ids = self.encode(piece) if ids is None else ids
+        return ids
+
+
 class Encoder:
     """Encodes whole texts as little-endian u32 ids, piece by piece with a bounded memo."""
 
-    _plain = bytes(range(97, 123))
     _tails = b".,;:!?%$&*#|()"
 
     def __init__(self, name: str) -> None:
@@ -72,36 +94,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = _Memo(self.piece, {})
 
     def text(self, text: bytes | None) -> bytes:
         if not text:
             return b""
+        if len(self.memo) > MEMO:
+            # only the memo before is kept, not the one before that
+            self.memo = _Memo(self.piece, dict(self.memo))
         # names of special tokens are matched before upper case is lowered
         pieces = (text if b"<|" in text else text.lower()).split()
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            out = b"".join([memo[p] if p in memo else self.piece(p) for p in pieces])
-            if len(memo) > MEMO:
-                memo.clear()
-            return out
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def piece(self, piece: bytes) -> bytes:
-        """Ids of one piece. Punctuation behind an ASCII letter is always a pre-token of its own."""
+        """Ids of one piece. ASCII punctuation behind a letter is always a pre-token of its own."""
         word = piece.rstrip(self._tails)
-        if word != piece and word and word[-1] in self._plain:
-            ids = self.piece(word) if word not in self.memo else self.memo[word]
-            tail = piece[len(word) :]
-            ids += self.memo[tail] if tail in self.memo else self.piece(tail)
-        elif not piece.translate(None, self._plain):
-            # lower-case ASCII letters pass the normalizer and the byte alphabet unchanged
-            ids = self._pack([t.id for t in self.tokenizer.model.tokenize(piece.decode())])
-        else:
-            ids = self._pack(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
-        self.memo[piece] = ids
-        return ids
+        text = word.decode()
+        # lower-case Latin letters up to U+024F pass the normalizer unchanged and make one pre-token
+        if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+            if word != piece:
+                return self.memo[word] + self.memo[piece[len(word) :]]
+            return self._pack([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_ALPHABET))])
+        return self._pack(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
