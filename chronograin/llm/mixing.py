@@ -36,7 +36,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 100
-SHARD_ROWS = 4000
+SHARD_ROWS = 1000
 SEED = 20
 
 
