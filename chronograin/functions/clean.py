@@ -56,9 +56,9 @@ def to_unix_seconds(col: Column) -> Column:
 
 
 def join_date_time(date: Column, time: Column) -> Column:
-    """``date`` and ``time`` text as one timestamp; a missing time means midnight."""
+    """``date`` and ``time`` text as one timestamp; a missing time means midnight, a bad one gives NULL."""
     filled = F.when(time == MISSING_MARK, MISSING_TIME).otherwise(time)
-    return F.to_timestamp_ntz(F.concat_ws(" ", date, filled), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.try_to_timestamp(F.concat_ws(" ", date, filled), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
 
 
 def marks_to_null(df: DataFrame, mark: str = MISSING_MARK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronograin.functions.draws import DRAW_BITS, draw
 from chronograin.operators.joins import with_constants
 from chronograin.operators.quantiles import percentiles
 
@@ -50,7 +51,7 @@ def entity_prediction(train: DataFrame, rows: DataFrame, entity: str, target: st
 
 def uniform(seed: int, *keys: str) -> Column:
     """A number in [0, 1) that only depends on the keys and the seed."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return draw(seed, *keys) / F.lit(float(1 << DRAW_BITS))
 
 
 def random_prediction(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:

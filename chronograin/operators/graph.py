@@ -7,6 +7,7 @@ from collections.abc import Collection, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronograin.functions.draws import draw
 from chronograin.model import Database, Table, TaskKind
 from chronograin.operators.columns import column_stats, infer_kinds, without_keys
 from chronograin.operators.integrity import check_dense
@@ -139,9 +140,9 @@ def truth_of(links: DataFrame, inputs: DataFrame) -> DataFrame:
 
 def link_triples(links: DataFrame, n_dst: int, seed: int) -> DataFrame:
     """Per input row one random true destination and one uniform random one, both by hash."""
-    pick = F.struct(F.xxhash64("input_id", "dst", F.lit(seed)), "dst")
+    pick = F.struct(draw(seed, "input_id", "dst"), "dst")
     return links.groupBy("input_id", "src", "unix_time").agg(F.min_by("dst", pick).alias("pos_dst")).withColumn(
-        "neg_dst", F.pmod(F.xxhash64("input_id", "src", F.lit(seed + 1)), F.lit(n_dst))
+        "neg_dst", F.pmod(draw(seed + 1, "input_id", "src"), F.lit(n_dst))
     )
 
 
@@ -152,14 +153,13 @@ def same_time_batches(inputs: DataFrame, batch_size: int, seed: int) -> DataFram
     any share of the rows.
     """
     rows = running_totals(
-        inputs, ["unix_time"], [F.xxhash64("input_id", F.lit(seed)), "input_id"], {"_nr": F.lit(1).cast("bigint")}
+        inputs, ["unix_time"], [draw(seed, "input_id"), "input_id"], {"_nr": F.lit(1).cast("bigint")}
     )
     sizes = inputs.groupBy("unix_time").agg(F.count(F.lit(1)).alias("_n"))
     batch = F.floor((F.col("_nr") - 1) / F.lit(batch_size))
     full = F.floor(F.col("_n") / F.lit(batch_size))
-    # one size per anchor
     return (
-        rows.join(F.broadcast(sizes), "unix_time")
+        rows.join(sizes, "unix_time")
         .withColumn("batch", batch)
         .where(F.col("batch") < full)
         .select(*inputs.columns, "batch")
@@ -212,7 +212,7 @@ def _positions(n: Column, k: int, strategy: str, seed: int) -> Column:
     ask = ["edge_type", "src_table", "dst_id", "seed_id", "seed_time"]
 
     def below(limit: Column, *salt: Column) -> Column:
-        return F.pmod(F.xxhash64(*ask, *salt, F.lit(seed)), limit)
+        return F.pmod(draw(seed, *ask, *salt), limit)
 
     def drawn(i: Column) -> Column:
         lo, hi = F.floor(i * n / F.lit(k)), F.floor((i + 1) * n / F.lit(k))

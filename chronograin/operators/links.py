@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronograin.functions.draws import draw
 from chronograin.operators.joins import with_constants
 
 PAD = -1
@@ -120,7 +121,7 @@ def negative_pairs(
 
     As a uniform draw may hit a known pair, ``avoid_known`` drops such draws.
     """
-    drawn = F.pmod(F.xxhash64(*[F.col(c) for c in pairs.columns], F.lit(seed)), F.lit(n_ids))
+    drawn = F.pmod(draw(seed, *pairs.columns), F.lit(n_ids))
     out = pairs.withColumn(dst, drawn.cast(pairs.schema[dst].dataType))
     return out.join(pairs, pairs.columns, "left_anti") if avoid_known else out
 

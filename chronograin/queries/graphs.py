@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronograin.functions.draws import draw_sql
 from chronograin.functions.text import hash_embedding
 from chronograin.grid import Grid
 from chronograin.model import Database, Table, TaskKind
@@ -157,12 +159,21 @@ def csr_lookup(spark, sf_dir):
     return graph.truth_of(inputs, wanted)
 
 
-@BOOK.query("link_triples")
+@BOOK.query(
+    "link_triples",
+    f"""WITH {_RATES}, pick AS (SELECT *, row_number() OVER (PARTITION BY input_id, src, unix_time ORDER BY {draw_sql(42, "input_id", "dst")}, dst) AS n
+      FROM link) SELECT input_id, src, unix_time, dst AS pos_dst, {draw_sql(43, "input_id", "src")} % (SELECT count(*) FROM part) AS neg_dst
+    FROM pick WHERE n = 1""",
+)
 def link_triples(spark, sf_dir):
     return graph.link_triples(_link_input(spark, sf_dir), read(spark, sf_dir, "part").count(), 42)
 
 
-@BOOK.query("negative_pairs")
+@BOOK.query(
+    "negative_pairs",
+    f"""WITH {_RATES} SELECT timestamp, customer_id, product_id, 1 AS label FROM rate UNION ALL
+    SELECT timestamp, customer_id, {draw_sql(42, "timestamp", "customer_id", "product_id")} % (SELECT count(*) FROM part), 0 FROM rate""",
+)
 def negative_pairs(spark, sf_dir):
     pairs = _rates(spark, sf_dir)
     n = read(spark, sf_dir, "part").count()
@@ -307,7 +318,13 @@ def text_vector_length(spark, sf_dir):
     return vectors.select("doc_id", F.size("v").alias("width"), F.round(norm, 9).alias("norm"))
 
 
-@BOOK.query("same_time_batches")
+@BOOK.query(
+    "same_time_batches",
+    f"""WITH {_CHURN}, rows_ AS (SELECT input_id, customer_id AS node, CAST(epoch(timestamp) AS BIGINT) AS unix_time, churn::DOUBLE AS target FROM inp),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY unix_time ORDER BY {draw_sql(42, "input_id")}, input_id) - 1) // 64 AS batch,
+      count(*) OVER (PARTITION BY unix_time) AS size FROM rows_)
+    SELECT input_id, node, unix_time, target, batch FROM n WHERE batch < size // 64""",
+)
 def same_time_batches(spark, sf_dir):
     inputs = graph.node_train_input(_churn(spark, sf_dir), "customer_id", "churn", TaskKind.BINARY)
     return graph.same_time_batches(inputs, 64, 42)
@@ -337,6 +354,33 @@ def text_hash_embedding(spark, sf_dir):
     return hash_embedding(docs, "text", "vector", 32).select("doc_id", "vector")
 
 
+def past_labels(labels, entity, target):
+    """Mean and number of an entity's training labels at earlier anchors: never the row's own, nor later ones."""
+    known = F.when(F.col("split") == "train", F.col(target).cast("double"))
+    # an entity has one label per anchor, so its rows are few
+    before = Window.partitionBy(entity).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, -1)
+    return labels.withColumns(
+        {f"past_{target}": F.avg(known).over(before), "past_rows": F.count(known).over(before)}
+    )
+
+
+@BOOK.query(
+    "boosted_features",
+    f"""WITH lab AS ({LABELS.sql["label_shop_user_churn"]}) SELECT split, timestamp, customer_id, churn, c_acctbal, c_mktsegment,
+    round(avg(CASE WHEN split = 'train' THEN churn END) OVER w, 9) AS past_churn, count(CASE WHEN split = 'train' THEN churn END) OVER w AS past_rows
+    FROM lab LEFT JOIN customer ON c_custkey = customer_id
+    WINDOW w AS (PARTITION BY customer_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def boosted_features(spark, sf_dir):
+    """What the boosted trees see of each label row, none of it later than the row."""
+    labels = get_task("shop", "user-churn").labels(DATASETS["shop"](spark, sf_dir))
+    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), "c_acctbal", "c_mktsegment")
+    wide = past_labels(labels.join(customer, "customer_id", "left"), "customer_id", "churn")
+    return wide.select(
+        "split", "timestamp", "customer_id", "churn", "c_acctbal", "c_mktsegment", F.round("past_churn", 9).alias("past_churn"), "past_rows"
+    )
+
+
 @BOOK.query("boosted_tree_baseline")
 def boosted_tree_baseline(spark, sf_dir):
     """Churn of customers from their features and past labels, by gradient boosted trees."""
@@ -347,9 +391,7 @@ def boosted_tree_baseline(spark, sf_dir):
     customer = Table(
         read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "customer_id"), "customer_id", None, {"c_nationkey": "nation"}
     )
-    train = labels.where(F.col("split") == "train")
-    past = train.groupBy("customer_id").agg(F.avg("churn").alias("past_churn"), F.count(F.lit(1)).alias("past_rows"))
-    wide = feature_join(labels, "customer_id", customer).join(past, "customer_id", "left")
+    wide = past_labels(feature_join(labels, "customer_id", customer), "customer_id", "churn")
     kinds = {"c_acctbal": "numerical", "c_mktsegment": "categorical", "past_churn": "numerical", "past_rows": "numerical"}
     fit_on, tune_on, test = (wide.where(F.col("split") == s) for s in ("train", "val", "test"))
     model, _ = boosted.fit_boosted(fit_on, tune_on, "churn", kinds, TaskKind.BINARY, depths=(2, 3), rounds=3)

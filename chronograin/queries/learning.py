@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from chronograin.functions.draws import draw_sql
 from chronograin.grid import Grid
 from chronograin.model import Table, TaskKind, ntz
 from chronograin.operators import baselines, joins, links, metrics, stats, windows
@@ -70,7 +71,10 @@ for _how, _fn in {"entity_mean": "avg", "entity_median": "median"}.items():
     )
 
 
-@BOOK.query("baseline_random")
+@BOOK.query(
+    "baseline_random",
+    f"WITH {_LAB} SELECT val.*, {draw_sql(42, 'timestamp', 'o_custkey')} / {float(1 << 52)!r}::DOUBLE AS pred FROM val",
+)
 def baseline_random(spark, sf_dir):
     return baselines.random_prediction(_sales(spark, sf_dir)[1], ["timestamp", "o_custkey"], 42)
 
@@ -112,7 +116,14 @@ def majority_multilabel(spark, sf_dir):
     return _flat(baselines.majority_multilabel(ml.where(F.col("split") == "train"), rows, "y"), "pred")
 
 
-@BOOK.query("random_multilabel")
+@BOOK.query(
+    "random_multilabel",
+    "SELECT l_orderkey, l_linenumber, l_partkey, "
+    + ", ".join(
+        f"{draw_sql(42 + i, 'l_orderkey', 'l_linenumber', 'l_partkey')} / {float(1 << 52)!r}::DOUBLE AS pred_{i}" for i in range(3)
+    )
+    + " FROM lineitem",
+)
 def random_multilabel(spark, sf_dir):
     rows = _multilabel(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey")
     return _flat(baselines.random_multilabel(rows, rows.columns, 3, 42), "pred")

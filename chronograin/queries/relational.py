@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from chronograin.functions.draws import draw, draw_sql
 from chronograin.grid import Grid, anchor_table
 from chronograin.model import Table
 from chronograin.operators import integrity, joins, windows
@@ -374,19 +375,24 @@ def head_n(spark, sf_dir):
 
 def subsample(df, key_cols, n, seed):
     """``n`` rows picked by a hash of their key: the same rows on every run."""
-    return df.orderBy(F.xxhash64(*key_cols, F.lit(seed)), *key_cols).limit(n)
+    return df.orderBy(draw(seed, *key_cols), *key_cols).limit(n)
 
 
-@BOOK.query("subsample_n")
+@BOOK.query(
+    "subsample_n",
+    f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {draw_sql(42, 'o_orderkey')}, o_orderkey LIMIT 500",
+)
 def subsample_n(spark, sf_dir):
     return subsample(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), ["o_orderkey"], 500, 42)
 
 
-@BOOK.query("sample_rows_for_inference")
+@BOOK.query(
+    "sample_rows_for_inference",
+    f"SELECT doc_id, lang, source FROM documents ORDER BY {draw_sql(42, 'doc_id')}, doc_id LIMIT 1000",
+)
 def sample_rows_for_inference(spark, sf_dir):
-    from chronograin.operators.columns import inference_sample
-
-    return inference_sample(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
+    """Rows to look at, whatever the layout of the files: the limit is the feature."""
+    return subsample(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["doc_id"], 1000, 42)
 
 
 # --- sets and reshaping -----------------------------------------------------------------------------
