@@ -2,74 +2,87 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronograin.model import Database, Table
+from chronograin.operators.windows import union_all
 
 NUMERICAL, CATEGORICAL, MULTI, TEXT, TIME = (
     "numerical", "categorical", "multicategorical", "text_embedded", "timestamp",
 )
 
-# Fixed value: rows looked at to infer column kinds
-INFERENCE_ROWS = 1000
 # few distinct values make a category, longer strings with many distinct values a text
 MAX_CATEGORY_SHARE = 0.2
 MAX_NUMERIC_CATEGORIES = 10
 
 
-def inference_sample(df: DataFrame, rows: int = INFERENCE_ROWS) -> DataFrame:
-    """Rows for type inference; which ones does not matter, so no shuffle and no full scan."""
-    return df.limit(rows)
-
+def column_kinds(df: DataFrame) -> DataFrame:
+    """(column_name, kind), from the types and from the values of the whole table.
 
-def infer_kinds(table: Table, rows: int = INFERENCE_ROWS) -> dict[str, str]:
-    """Kind of each column from its type and a bounded sample. Arrays of numbers count as
-    multicategorical, as do arrays of strings. Columns of unsupported types are left out.
-
-    The sample is taken from as few partitions as hold ``rows`` rows, not from all of them.
+    Values are counted in one pass: each row gives a hash of its value for each column of texts or whole numbers, which are
+    aggregated by (column, value) and then by column. Arrays count as multicategorical; columns of other types
+    are left out.
     """
-    fields = table.df.schema.fields
-    counted = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.IntegralType))]
-    sample = inference_sample(table.df.select(*counted), rows).collect() if counted else []
-    filled = {c: [r[c] for r in sample if r[c] is not None] for c in counted}
-    kinds = {}
-    for f in fields:
+    by_type: dict[str, str] = {}
+    counted: dict[str, bool] = {}
+    for f in df.schema.fields:
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            kinds[f.name] = TIME
+            by_type[f.name] = TIME
         elif isinstance(f.dataType, T.BooleanType):
-            kinds[f.name] = CATEGORICAL
+            by_type[f.name] = CATEGORICAL
         elif isinstance(f.dataType, T.ArrayType):
-            kinds[f.name] = MULTI
+            by_type[f.name] = MULTI
         elif isinstance(f.dataType, T.FractionalType):
-            kinds[f.name] = NUMERICAL
-        elif f.name in filled:
-            n, distinct = len(filled[f.name]), len(set(filled[f.name]))
-            if isinstance(f.dataType, T.StringType):
-                kinds[f.name] = CATEGORICAL if distinct <= max(1, n) * MAX_CATEGORY_SHARE else TEXT
-            else:
-                kinds[f.name] = CATEGORICAL if 0 < distinct <= MAX_NUMERIC_CATEGORIES else NUMERICAL
-    return kinds
+            by_type[f.name] = NUMERICAL
+        elif isinstance(f.dataType, (T.StringType, T.IntegralType)):
+            counted[f.name] = isinstance(f.dataType, T.StringType)
+    spark, schema = df.sparkSession, "column_name string, kind string"
+    typed = spark.createDataFrame(list(by_type.items()), schema)
+    if not counted:
+        return typed
+    one = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(text).alias("text"),
+            F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c))).alias("value"),
+        )
+        for c, text in counted.items()
+    ]
+    values = df.select(F.inline(F.array(*one))).where(F.col("value").isNotNull())
+    per_value = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    seen = per_value.groupBy("column_name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"))
+    every = spark.createDataFrame(list(counted.items()), "column_name string, text boolean")
+    sized = every.join(F.broadcast(seen), "column_name", "left").fillna(0, ["n", "distinct"])
+    of_text = F.when(F.col("distinct") <= F.greatest("n", F.lit(1)) * MAX_CATEGORY_SHARE, CATEGORICAL).otherwise(TEXT)
+    few = (F.col("distinct") > 0) & (F.col("distinct") <= MAX_NUMERIC_CATEGORIES)
+    kind = F.when(F.col("text"), of_text).otherwise(F.when(few, CATEGORICAL).otherwise(NUMERICAL))
+    return typed.unionByName(sized.select("column_name", kind.alias("kind")))
+
+
+def infer_kinds(table: Table) -> dict[str, str]:
+    """Kind of each column, in the order of the table: one small row per column reaches the driver."""
+    found = {r["column_name"]: r["kind"] for r in column_kinds(table.df).collect()}
+    return {c: found[c] for c in table.df.columns if c in found}
 
 
 def without_keys(kinds: dict[str, str], table: Table) -> dict[str, str]:
     return {c: k for c, k in kinds.items() if c != table.pkey and c not in table.fkeys}
 
 
-def database_kinds(db: Database) -> dict[str, dict[str, str]]:
-    return {name: infer_kinds(t) for name, t in db.tables.items()}
+def database_kinds(db: Database) -> DataFrame:
+    """(table_name, column_name, kind) of all tables."""
+    parts = [column_kinds(t.df).select(F.lit(name).alias("table_name"), "column_name", "kind") for name, t in db.tables.items()]
+    return union_all(parts)
 
 
-def save_kinds(spark: SparkSession, kinds: dict[str, dict[str, str]], path: str) -> None:
-    """A small JSON document beside the data."""
-    spark.createDataFrame([(json.dumps(kinds),)], "value string").coalesce(1).write.text(path)
+def save_kinds(kinds: DataFrame, path: str) -> None:
+    """JSON lines beside the data, one for each column."""
+    kinds.coalesce(1).write.json(path)
 
 
-def load_kinds(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
-    return json.loads(spark.read.text(path).first()[0])
+def load_kinds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("table_name string, column_name string, kind string").json(path)
 
 
 def column_stats(df: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -11,9 +11,11 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronograin.operators.joins import with_constants
 from chronograin.operators.running import running_totals
+from chronograin.session import cut_lineage
 
 # Thresholds for a positive label
 ACCURACY_ABOVE = 0.5
@@ -26,16 +28,25 @@ LOSS_EPS = 1e-15
 def attach(labels: DataFrame, pred: DataFrame, keys: Sequence[str], pred_col: str = "pred") -> DataFrame:
     """Labels with their predictions by key, as ``_p``; ``_wrong`` marks rows that do not match up.
 
-    Every label row needs exactly one prediction. The mark is checked in the same pass that
-    computes the metrics, so labels and predictions are not counted beforehand.
+    Every label row needs exactly one prediction, which is neither NULL nor NaN. The mark is checked in
+    the same pass that computes the metrics, so labels and predictions are not counted beforehand.
     """
     keys = list(keys)
     given = pred.groupBy(*keys).agg(F.any_value(pred_col).alias("_p"), F.count(F.lit(1)).alias("_n"))
     both = labels.withColumn("_known", F.lit(True)).join(given, keys, "full")
-    wrong = F.col("_known").isNull() | F.col("_n").isNull() | (F.col("_n") != 1)
+    wrong = F.col("_known").isNull() | F.col("_n").isNull() | (F.col("_n") != 1) | _void(F.col("_p"), both.schema["_p"].dataType)
     return both.withColumn("_wrong", wrong).drop("_known", "_n")
 
 
+def _void(p: Column, kind: T.DataType) -> Column:
+    """Whether a prediction, or an entry of one, is no number."""
+    if isinstance(kind, T.ArrayType):
+        return p.isNull() | F.coalesce(F.exists(p, lambda x: _void(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return p.isNull() | F.isnan(p)
+    return p.isNull()
+
+
 # --- additive metrics: Column aggregates -----------------------------------------------------------
 
 
@@ -231,9 +242,9 @@ def link_hits(truth: DataFrame, pred: DataFrame, keys: Sequence[str], dst: str,
     return rows.join(hits, keys, "left").withColumn("hits", F.coalesce("hits", none))
 
 
-def link_metrics(hits: DataFrame, k: int) -> DataFrame:
-    """One row: precision, recall, MAP and NDCG at k, averaged over rows with any true link."""
-    n_hits, n_true = F.size("hits"), F.col("dst_count")
+def _link_aggregates(k: int) -> dict[str, Column]:
+    """Aggregates over (hits, dst_count); rows without any true link have no part in them."""
+    n_hits, n_true = F.size("hits"), F.nullif(F.col("dst_count"), F.lit(0))
     reached = F.least(n_true, F.lit(k))
     # the i-th hit at place h adds i / h
     gains = F.aggregate(
@@ -242,12 +253,18 @@ def link_metrics(hits: DataFrame, k: int) -> DataFrame:
     )
     dcg = F.aggregate("hits", F.lit(0.0), lambda a, h: a + 1 / F.log2(h + 1))
     ideal = F.aggregate(F.sequence(F.lit(1), reached.cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    return hits.where(n_true > 0).agg(
-        F.avg(n_hits / F.lit(k)).alias("link_precision"),
-        F.avg(n_hits / n_true).alias("link_recall"),
-        F.avg(gains / reached).alias("link_map"),
-        F.avg(dcg / ideal).alias("link_ndcg"),
-    )
+    counted = n_true.isNotNull()
+    return {
+        "link_precision": F.avg(F.when(counted, n_hits / F.lit(k))),
+        "link_recall": F.avg(n_hits / n_true),
+        "link_map": F.avg(gains / reached),
+        "link_ndcg": F.avg(dcg / ideal),
+    }
+
+
+def link_metrics(hits: DataFrame, k: int) -> DataFrame:
+    """One row: precision, recall, MAP and NDCG at k, averaged over rows with any true link."""
+    return hits.agg(*[c.alias(n) for n, c in _link_aggregates(k).items()])
 
 
 # --- evaluation -----------------------------------------------------------------------------------------
@@ -255,6 +272,21 @@ def link_metrics(hits: DataFrame, k: int) -> DataFrame:
 Metric = str | Callable[[Column, Column], Column]
 
 
+# metrics that need more than one aggregate over the rows, by the frame that holds them
+FRAMES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    **dict.fromkeys(CURVE, lambda rows: curve_metrics(rows, "_y", "_p")),
+    **dict.fromkeys(("macro_f1", "micro_f1"), lambda rows: class_f1(rows, "_y", "_p")),
+    **dict.fromkeys(
+        [f"multilabel_{m}_{h}" for m in ("auprc", "auroc") for h in ("micro", "macro")],
+        lambda rows: multilabel_ranking(rows, "_y", "_p"),
+    ),
+    **dict.fromkeys(
+        [f"multilabel_{m}_{h}" for m in ("f1", "recall", "precision") for h in ("micro", "macro")],
+        lambda rows: multilabel_decisions(rows, "_y", "_p"),
+    ),
+}
+
+
 def evaluate_entity(
     labels: DataFrame,
     pred: DataFrame,
@@ -263,30 +295,60 @@ def evaluate_entity(
     metrics: Sequence[Metric],
     pred_col: str = "pred",
 ) -> dict[str, float]:
-    """Metrics by name; a metric may also be any function (truth, prediction) -> aggregate column."""
-    rows = attach(labels, pred, keys, pred_col).select(F.col(target).cast("double").alias("_y"), "_p", "_wrong")
+    """Metrics by name; a metric may also be any function (truth, prediction) -> aggregate column.
+
+    Numbers are scored as doubles, arrays (one flag and one score per label) as they are. Labels and predictions
+    meet once; what several jobs read is kept in the shared folder.
+    """
+    plural = isinstance(labels.schema[target].dataType, T.ArrayType)
+    truth = F.col(target) if plural else F.col(target).cast("double")
+    rows = attach(labels, pred, keys, pred_col).select(truth.alias("_y"), "_p", "_wrong")
+    chosen = {m if isinstance(m, str) else m.__name__: m for m in metrics}
+    if unknown := {n for n, m in chosen.items() if isinstance(m, str) and n not in ADDITIVE and n not in FRAMES}:
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    frames = {FRAMES[n] for n, m in chosen.items() if isinstance(m, str) and n in FRAMES}
+    if frames:
+        rows = cut_lineage(rows)
     y, p = F.col("_y"), F.col("_p")
-    chosen: Mapping[str, Callable | None] = {
-        m if isinstance(m, str) else m.__name__: ADDITIVE.get(m) if isinstance(m, str) else m for m in metrics
-    }
-    additive = [fn(y, p).alias(n) for n, fn in chosen.items() if fn is not None]
-    out = rows.agg(*additive, F.count_if("_wrong").alias("_wrong")).first().asDict()
+    additive = {n: ADDITIVE[m] if isinstance(m, str) else m for n, m in chosen.items() if not isinstance(m, str) or n in ADDITIVE}
+    wrong = F.count_if("_wrong").alias("_wrong")
+    out = rows.agg(*[fn(y, p).alias(n) for n, fn in additive.items()], wrong).first().asDict()
     if out.pop("_wrong"):
         raise ValueError("every label row needs exactly one prediction with its key, and none may be left over")
-    curves = [n for n in chosen if n in CURVE]
-    if curves:
-        out |= {n: v for n, v in curve_metrics(rows, "_y", "_p").first().asDict().items() if n in curves}
-    if unknown := set(chosen) - set(out):
-        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    for frame in frames:
+        out |= {n: v for n, v in frame(rows).first().asDict().items() if n in chosen and n not in additive}
     return {n: out[n] for n in chosen}
 
 
 def evaluate_link(
-    truth: DataFrame, pred: DataFrame, keys: Sequence[str], dst: str, k: int, metrics: Sequence[str], pred_col: str = "pred"
+    truth: DataFrame,
+    pred: DataFrame,
+    keys: Sequence[str],
+    dst: str,
+    k: int,
+    metrics: Sequence[str | Callable[[Column, Column, int], Column]],
+    pred_col: str = "pred",
 ) -> dict[str, float]:
-    """Link metrics of lists of k predictions, one list per label row."""
-    n_rows, n_pred = truth.select(*keys).distinct().count(), pred.count()
-    if n_rows != n_pred or not pred.where(F.size(pred_col) != k).isEmpty():
-        raise ValueError(f"expected {n_rows} lists of {k} predictions, got {n_pred}")
-    row = link_metrics(link_hits(truth, pred, keys, dst, pred_col), k).first().asDict()
-    return {m: row[m] for m in metrics}
+    """Link metrics of lists of k predictions, one list per label row.
+
+    A metric may also be any function (hits, dst_count, k) -> aggregate column, where hits are the 1-based places of
+    the right predictions. The lists are checked in the pass that averages.
+    """
+    keys = list(keys)
+    hits = link_hits(truth, pred, keys, dst, pred_col)
+    # rows of either side that the other lacks, and lists of the wrong length or number
+    asked = truth.select(*keys).distinct().withColumn("_asked", F.lit(True))
+    bad = F.sum(F.when((F.size(pred_col) == k) & F.col(pred_col).isNotNull(), 0).otherwise(1))
+    given = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), bad.alias("_bad"))
+    met = asked.join(given, keys, "full").join(hits, keys, "left")
+    wrong = F.col("_asked").isNull() | F.col("_n").isNull() | (F.col("_n") != 1) | (F.col("_bad") != 0)
+    own = {m.__name__: m for m in metrics if not isinstance(m, str)}
+    named = _link_aggregates(k)
+    row = met.agg(
+        F.count_if(wrong).alias("_wrong"),
+        *[named[m].alias(m) for m in metrics if isinstance(m, str)],
+        *[fn(F.col("hits"), F.col("dst_count"), k).alias(n) for n, fn in own.items()],
+    ).first().asDict()
+    if row.pop("_wrong"):
+        raise ValueError(f"expected lists of {k} predictions, one for each label row")
+    return {m if isinstance(m, str) else m.__name__: row[m if isinstance(m, str) else m.__name__] for m in metrics}

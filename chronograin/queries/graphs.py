@@ -92,12 +92,43 @@ def category_counts(spark, sf_dir):
     return columns.category_counts(read(spark, sf_dir, "part"), "p_brand")
 
 
-@BOOK.query("infer_column_kinds")
+# columns of the given tables: t text, i whole number, other kinds by type
+GIVEN = {
+    "region": {"r_regionkey": "i", "r_name": "t"},
+    "nation": {"n_nationkey": "i", "n_name": "t", "n_regionkey": "i"},
+    "customer": {"c_custkey": "i", "c_name": "t", "c_nationkey": "i", "c_acctbal": "numerical", "c_mktsegment": "t"},
+    "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "t", "o_totalprice": "numerical", "o_orderdate": "timestamp",
+               "o_orderpriority": "t"},
+    "documents": {"doc_id": "i", "text": "t", "lang": "t", "source": "t", "n_chars": "i"},
+    "labels": {"doc_id": "i", "quality": "i", "toxic": "i"},
+    "pages": {"page_id": "i", "url": "t", "html": "t"},
+    "benchmark": {"item_id": "i", "text": "t"},
+    "conversations": {"conv_id": "i", "turn": "i", "role": "t", "text": "t"},
+}
+
+
+def _kind_sql(table: str, column: str, kind: str) -> str:
+    if kind not in ("t", "i"):
+        return f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS kind"
+    n, distinct = f"count({column})", f"count(DISTINCT {column})"
+    rule = {
+        "t": f"CASE WHEN {distinct} <= greatest({n}, 1) * 0.2 THEN 'categorical' ELSE 'text_embedded' END",
+        "i": f"CASE WHEN {distinct} BETWEEN 1 AND 10 THEN 'categorical' ELSE 'numerical' END",
+    }[kind]
+    return f"SELECT '{table}' AS table_name, '{column}' AS column_name, {rule} AS kind FROM {table}"
+
+
+KINDS_SQL = " UNION ALL ".join(_kind_sql(t, c, k) for t, cols in GIVEN.items() for c, k in cols.items())
+
+
+def given_kinds(spark, sf_dir):
+    db = Database({t: Table(read(spark, sf_dir, t).select(*cols)) for t, cols in GIVEN.items()})
+    return columns.database_kinds(db)
+
+
+@BOOK.query("infer_column_kinds", KINDS_SQL)
 def infer_column_kinds(spark, sf_dir):
-    tables = ("customer", "part", "orders", "lineitem", "events", "documents", "embeddings")
-    db = Database({t: Table(read(spark, sf_dir, t)) for t in tables})
-    rows = [(t, c, k) for t, kinds in columns.database_kinds(db).items() for c, k in kinds.items()]
-    return spark.createDataFrame(rows, "table_name string, column_name string, kind string")
+    return given_kinds(spark, sf_dir)
 
 
 def _churn(spark, sf_dir):

@@ -85,7 +85,7 @@ _ML = """ml AS (SELECT l_orderkey, l_linenumber, l_partkey, [CAST(l_linestatus =
   FROM lineitem)"""
 
 
-def _multilabel(spark, sf_dir):
+def _multilabel(spark, sf_dir, more=()):
     """Three flags per line, scores for them, and a split by time."""
     return read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
@@ -95,6 +95,7 @@ def _multilabel(spark, sf_dir):
         F.array(F.col("l_discount") * 10, F.col("l_tax") * 12, F.col("l_quantity") / 50).alias("p"),
         F.when(F.col("l_shipdate") <= ntz("2000-07-01 00:00:00"), "train").otherwise("test").alias("split"),
         F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("timestamp"),
+        *more,
     )
 
 
@@ -442,6 +443,45 @@ def evaluate_link(spark, sf_dir):
     return _as_rows(spark, task.evaluate(dataset, pred, "val"))
 
 
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+def _long(query: str, names: list[str]) -> str:
+    """The columns of a one-row query as (metric, value)."""
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS metric, {n}::DOUBLE AS value FROM one" for n in names)
+    return f"WITH one AS ({query}) {rows}"
+
+
+MULTICLASS = ["multiclass_accuracy", "multiclass_log_loss", "macro_f1", "micro_f1"]
+MULTILABEL = [f"multilabel_{m}_{h}" for m in ("f1", "recall", "precision") for h in ("macro", "micro")]
+MULTILABEL_RANKING = [f"multilabel_{m}_{h}" for m in ("auprc", "auroc") for h in ("micro", "macro")]
+
+
+@BOOK.query("evaluate_multiclass", _long(BOOK.sql["metric_multiclass"], MULTICLASS))
+def evaluate_multiclass(spark, sf_dir):
+    """Three classes of lines against three scores each, met by key."""
+    flag = F.col("l_returnflag")
+    lines = read(spark, sf_dir, "lineitem")
+    labels = lines.select(*_LINE_KEY, F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("y"))
+    pred = lines.select(*_LINE_KEY, F.array("l_discount", "l_tax", F.col("l_quantity") / 500).alias("pred"))
+    return _as_rows(spark, metrics.evaluate_entity(labels, pred, _LINE_KEY, "y", MULTICLASS))
+
+
+def _evaluated_flags(names):
+    def run(spark, sf_dir):
+        scored = _multilabel(spark, sf_dir, ["l_suppkey", "l_shipdate"])
+        labels, pred = scored.select(*_LINE_KEY, "y"), scored.select(*_LINE_KEY, F.col("p").alias("pred"))
+        return _as_rows(spark, metrics.evaluate_entity(labels, pred, _LINE_KEY, "y", names))
+
+    return run
+
+
+BOOK.add("evaluate_multilabel", _evaluated_flags(MULTILABEL), _long(BOOK.sql["metric_multilabel_decisions"], MULTILABEL))
+BOOK.add(
+    "evaluate_multilabel_ranking", _evaluated_flags(MULTILABEL_RANKING), _long(BOOK.sql["metric_multilabel_ranking"], MULTILABEL_RANKING)
+)
+
+
 # --- statistics ------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from chronograin.model import Database, Table
 from chronograin.operators import columns, documents
 from chronograin.queries import Book, read
 from chronograin.queries.databases import DATASETS
+from chronograin.queries.graphs import KINDS_SQL, given_kinds
 from chronograin.sources import files, tables
 from chronograin.session import work_path
 
@@ -131,22 +132,20 @@ def row_count_file(spark, sf_dir):
 
 @BOOK.query(
     "write_flat_csv",
-    """SELECT l_orderkey AS event, l_suppkey AS user_id, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL""",
+    """SELECT l_orderkey AS event, l_suppkey AS user_id, count(*) AS n FROM lineitem GROUP BY ALL""",
 )
 def write_flat_csv(spark, sf_dir):
     """Flattened attendance as CSV, read back."""
     path = work_path(spark, "flat")
-    flat = DATASETS["meetups"](spark, sf_dir).full_db.df("event_attendees").where(F.col("status").isin("yes", "maybe"))
+    flat = DATASETS["meetups"](spark, sf_dir).full_db.df("event_attendees")
     files.write_csv(flat.select("event", "user_id", "status"), path)
     back = files.read_csv(spark, path, "event bigint, user_id bigint, status string")
     return back.groupBy("event", "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.query("column_kind_cache")
+@BOOK.query("column_kind_cache", KINDS_SQL)
 def column_kind_cache(spark, sf_dir):
     """Kinds inferred, stored as JSON, and loaded again."""
-    db = Database({t: Table(read(spark, sf_dir, t)) for t in ("orders", "lineitem", "pages")})
     path = work_path(spark, "kinds")
-    columns.save_kinds(spark, columns.database_kinds(db), path)
-    rows = [(t, c, k) for t, kinds in columns.load_kinds(spark, path).items() for c, k in kinds.items()]
-    return spark.createDataFrame(rows, "table_name string, column_name string, kind string")
+    columns.save_kinds(given_kinds(spark, sf_dir), path)
+    return columns.load_kinds(spark, path)

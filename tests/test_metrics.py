@@ -114,3 +114,29 @@ def test_negative_pairs_can_avoid_known_links(spark):
     strict = links.negative_pairs(pairs, "dst", 6, 1, avoid_known=True)
     assert plain.count() == 100
     assert {r.dst for r in strict.collect()} == {5}
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_a_prediction_without_a_number_is_refused(spark, bad):
+    truth = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 0.0)], "id int, y double")
+    pred = spark.createDataFrame([(1, 0.0), (2, bad), (3, 0.0)], "id int, pred double")
+    with pytest.raises(ValueError, match="exactly one prediction"):
+        metrics.evaluate_entity(truth, pred, ["id"], "y", ["mae"])
+    lists = spark.createDataFrame([(1, [0, 1]), (2, [1, 1])], "id int, y array<int>")
+    scores = spark.createDataFrame([(1, [0.1, bad]), (2, [0.2, 0.3])], "id int, pred array<double>")
+    with pytest.raises(ValueError, match="exactly one prediction"):
+        metrics.evaluate_entity(lists, scores, ["id"], "y", ["multilabel_f1_macro"])
+
+
+def test_own_link_metric_and_checks_in_one_pass(spark):
+    truth = spark.createDataFrame([(1, 7), (1, 8), (2, 9)], "src int, dst int")
+    pred = spark.createDataFrame([(1, [7, 5]), (2, [4, 3])], "src int, pred array<int>")
+
+    def share_hit(hits, n_true, k):
+        return F.avg((F.size(hits) > 0).cast("double"))
+
+    got = metrics.evaluate_link(truth, pred, ["src"], "dst", 2, ["link_recall", share_hit])
+    assert got == {"link_recall": 0.25, "share_hit": 0.5}
+    for wrong in ([(1, [7, 5])], [(1, [7, 5]), (2, [4])], [(1, [7, 5]), (2, None)], [(1, [7, 5]), (2, [4, 3]), (3, [1, 2])]):
+        with pytest.raises(ValueError, match="lists of 2"):
+            metrics.evaluate_link(truth, spark.createDataFrame(wrong, pred.schema), ["src"], "dst", 2, ["link_map"])
