@@ -21,6 +21,8 @@ from chronograin.operators.lists import PART_ROWS, hot_keys, split_parts
 from chronograin.operators.windows import union_all
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
+# field of a continuation that names its list; whole documents have none
+CONTINUES = "continues"
 
 
 def text_time(col: str) -> Column:
@@ -65,9 +67,12 @@ class Nest:
         """(keys.., name) with the first part of each list."""
         first, rest = split_parts(rows, keys, item, order, name, self.part_rows, weight, continued)
         if rest is not None:
+            # a line of its own says whom it belongs to, which list it goes on with, and where
+            owner = [c.alias(k.lstrip("_")) for c, k in zip(_owners(rest, keys), keys, strict=True)]
+            line = F.struct(*owner, F.lit(section or name).alias(CONTINUES), "part", name)
             self.rest.append(
                 rest.select(
-                    _key(keys), F.lit(section or name).alias("section"), "part", F.to_json(F.struct(name), _KEEP_NULLS).alias("doc")
+                    _key(keys), F.lit(section or name).alias("section"), "part", F.to_json(line, _KEEP_NULLS).alias("doc")
                 )
             )
         return first
@@ -105,6 +110,12 @@ class Nest:
         return union_all([main, *self.rest])
 
 
+def _owners(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Key columns as document fields."""
+    timed = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))}
+    return [text_time(k) if k in timed else F.col(k) for k in keys]
+
+
 def _key(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
 
@@ -119,6 +130,7 @@ def _sizes(*names: str) -> Column:
 
 # --- shop ---------------------------------------------------------------------------------------------
 
+# Field names of the documents, here and in the sections below
 _REVIEW = ("review_text", "summary", "review_time", "rating", "verified")
 _PRODUCT = ("product_id", "title", "brand", "price", "category", "description")
 
@@ -387,10 +399,11 @@ def sampled_ids(tables: Sequence[tuple[DataFrame, int]], entity: str, order: Seq
 
 
 def documents_of(documents: DataFrame, ids: DataFrame, key: str, order: str) -> DataFrame:
-    """Documents of the given ids, the first along ``order`` where an id has several."""
+    """Documents of the given ids with all their parts, the first along ``order`` where an id has several."""
     wanted = documents.join(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), F.col(key) == F.col("_id"), "left_semi")
-    rest = [c for c in documents.columns if c != key]
-    return wanted.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_d")).select(key, "_d.*")
+    by = [key, *[c for c in ("section", "part") if c in documents.columns]]
+    rest = [c for c in documents.columns if c not in by]
+    return wanted.groupBy(*by).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_d")).select(*by, "_d.*")
 
 
 DOCUMENTS = {

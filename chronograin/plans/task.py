@@ -8,13 +8,13 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from chronograin.grid import SPLITS, Grid, check_cutoffs, split_grid
 from chronograin.model import Database, Dataset, Table, TaskKind
 from chronograin.operators import integrity, lists, stats
 from chronograin.operators.metrics import Metric, evaluate_entity, evaluate_link
 from chronograin.operators.windows import ANCHOR
+from chronograin.session import path_exists
 
 # (database, grids) -> (split, timestamp, keys.., target)
 Builder = Callable[[Database, Sequence[Grid]], DataFrame]
@@ -71,23 +71,25 @@ class Task:
         """Label table of one split; the test split is masked unless asked otherwise."""
         df = self._computed_or_loaded(dataset, split, cache_dir)
         if mask if mask is not None else split == "test":
-            df = df.select(*self.input_columns(keep_dst))
+            df = self.masked(df, keep_dst)
         return Table(df, None, self.time_name, self.fkeys())
 
     def _computed_or_loaded(self, dataset: Dataset, split: str, cache_dir: str | None) -> DataFrame:
         spark = next(iter(dataset.full_db.tables.values())).df.sparkSession
         if cache_dir is None:
             return self.finished(dataset, split)
-        path = f"{cache_dir.rstrip('/')}/{split}.parquet"
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            self.finished(dataset, split).write.mode("errorifexists").parquet(path)
-            return spark.read.parquet(path)
+        path = f"{cache_dir.rstrip('/')}/{self.name}-{split}.parquet"
+        # Spark leaves the mark last, so a table without it is unfinished, and is written anew
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            self.finished(dataset, split).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
     def finished(self, dataset: Dataset, split: str) -> DataFrame:
         return self.labels(dataset, [split]).drop("split").withColumnRenamed("timestamp", self.time_name)
 
+    def masked(self, df: DataFrame, keep_dst: bool = False) -> DataFrame:
+        return df.select(*self.input_columns(keep_dst))
+
     def input_columns(self, keep_dst: bool = False) -> list[str]:
         raise NotImplementedError
 
@@ -141,6 +143,8 @@ class LinkTask(Task):
     dst_col: str = ""
     dst_table: str = ""
     k: int = 10
+    # destinations in one part of a list
+    part_rows: int = lists.PART_ROWS
 
     def __post_init__(self) -> None:
         if self.evals != 1:
@@ -155,7 +159,13 @@ class LinkTask(Task):
 
     def finished(self, dataset: Dataset, split: str) -> DataFrame:
         pairs = self.labels(dataset, [split])
-        return lists.pairs_to_lists(pairs, ["timestamp", self.src_col], self.dst_col)
+        found = lists.pairs_to_lists(pairs, ["timestamp", self.src_col], self.dst_col, self.part_rows)
+        return found.withColumnRenamed("timestamp", self.time_name)
+
+    def masked(self, df: DataFrame, keep_dst: bool = False) -> DataFrame:
+        # a list in several parts is still one row of inputs
+        whole = df if keep_dst else df.where(F.col("part") == 0)
+        return whole.select(*self.input_columns(keep_dst), *(["part"] if keep_dst else []))
 
     def input_columns(self, keep_dst: bool = False) -> list[str]:
         # destination lists of the test split are the answer, so they are hidden by default

@@ -52,16 +52,15 @@ BOOK.add(
     "document_labelled_cutoff",
     f"""WITH lab AS ({LABELS.sql["label_shop_user_churn"]}), {VIEWS["shop"].strip()},
     i AS (SELECT lab.customer_id, lab.timestamp, {{{_REVIEW}, product: {_PRODUCT}}} AS item, r.review_time AS t, r.product_id AS p FROM lab
-      JOIN review r ON r.customer_id = lab.customer_id AND r.review_time <= lab.timestamp LEFT JOIN product p ON p.product_id = r.product_id
-      WHERE lab.split <> 'train'),
+      JOIN review r ON r.customer_id = lab.customer_id AND r.review_time <= lab.timestamp LEFT JOIN product p ON p.product_id = r.product_id),
     l AS (SELECT customer_id, timestamp, list(item ORDER BY t, p, item) AS reviews FROM i GROUP BY ALL)
     SELECT l.customer_id || '|' || strftime(l.timestamp, '%Y-%m-%d %H:%M:%S') AS key, {_MAIN}, to_json({{customer_id: l.customer_id,
       customer_name: c.customer_name, timestamp: {_t("l.timestamp")}, label: churn, reviews: reviews}})::VARCHAR AS doc
     FROM l JOIN lab ON lab.customer_id = l.customer_id AND lab.timestamp = l.timestamp JOIN shop_customer c ON c.customer_id = l.customer_id""",
 )
 def document_labelled_cutoff(spark, sf_dir):
-    """Validation and test labels, each with the customer's history up to its time."""
-    labels = LABELS.queries["label_shop_user_churn"](spark, sf_dir).where(F.col("split") != "train")
+    """Labels of all splits, each with the customer's history up to its time."""
+    labels = LABELS.queries["label_shop_user_churn"](spark, sf_dir)
     return documents.labelled_documents(DATASETS["shop"](spark, sf_dir).full_db, labels, "churn")
 
 

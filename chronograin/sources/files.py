@@ -51,6 +51,12 @@ def count_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def count_documents(spark: SparkSession, path: str, continues: str) -> DataFrame:
+    """One row: the number of documents; lines that go on with another document's list do not count."""
+    whole = F.get_json_object("value", f"$.{continues}").isNull()
+    return spark.read.text(path).agg(F.count_if(whole).alias("n_lines"))
+
+
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", compression: str | None = None) -> None:
     writer = df.write.mode("errorifexists").options(header=True, sep=sep, **_QUOTING)
     writer.csv(path, compression=compression)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronograin.functions.clean import nan_to_null
 from chronograin.model import Database, Table
 from chronograin.operators.integrity import reindex
+from chronograin.session import path_exists
 
 DONE = "_finished"
 
@@ -80,9 +81,7 @@ def reindexed_or_loaded(spark: SparkSession, build: Callable[[], Database], stor
     """Build a database and number its keys in time order, or load it where that was stored before."""
     if store is None:
         return reindex(build())
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{store.rstrip('/')}/{DONE}")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not path_exists(spark, f"{store.rstrip('/')}/{DONE}"):
         write_database(reindex(build()), store)
         # written last: a store without it is unfinished
         spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{store.rstrip('/')}/{DONE}")

@@ -234,3 +234,51 @@ def test_own_task_end_to_end(spark, small_dir):
     assert {r.split for r in rows} == {"train", "val", "test", "total"}
     assert 0 < task.overlap(dataset).first()[0] <= 1
     assert majority_of(train, "n").first()[0] >= 1
+
+
+@pytest.mark.parametrize("name", ["write_jsonl_documents", "row_count_file"])
+def test_files_of_documents_do_not_depend_on_the_size_of_parts(spark, small_dir, name):
+    from chronograin.queries import storage
+
+    run = storage.BOOK.queries[name]
+    whole, parted = (sorted(map(tuple, run(spark, small_dir, n).collect()), key=str) for n in (100_000, 2))
+    assert whole == parted
+
+
+def test_all_parts_of_sampled_documents_are_kept(spark, small_dir):
+    from chronograin.queries.databases import DATASETS
+
+    docs = documents.purchase_documents(DATASETS["fashion"](spark, small_dir).full_db, 2)
+    ids = docs.where("section <> ''").select("key").distinct().limit(5)
+    kept = documents.documents_of(docs, ids, "key", "doc").collect()
+    wanted = docs.join(ids, "key", "left_semi").collect()
+    assert len(kept) == len(wanted) > 10
+    lines = [json.loads(r["doc"]) for r in kept if r["section"]]
+    assert all(line["customer_id"] and line[documents.CONTINUES] == "purchase_history" and line["part"] for line in lines)
+
+
+def test_masked_lists_give_one_row_per_source(spark, small_dir):
+    from dataclasses import replace
+
+    from chronograin.plans.catalog import get_task
+    from chronograin.queries.databases import DATASETS
+
+    task, dataset = get_task("shop", "user-item-rate"), DATASETS["shop"](spark, small_dir)
+    small = replace(task, part_rows=1, time_name="seen_at")
+    plain = task.table(dataset, "test").df
+    masked = small.table(dataset, "test").df
+    assert masked.columns == ["seen_at", "customer_id"]
+    assert sorted(map(tuple, masked.collect())) == sorted(map(tuple, plain.collect()))
+    parts = small.table(dataset, "test", keep_dst=True).df
+    assert parts.count() > masked.count()
+
+
+def test_unfinished_cache_is_written_anew(spark, small_dir, tmp_path):
+    from chronograin.plans.catalog import get_task
+    from chronograin.queries.databases import DATASETS
+
+    task, dataset = get_task("shop", "user-churn"), DATASETS["shop"](spark, small_dir)
+    (tmp_path / f"{task.name}-val.parquet").mkdir()
+    spark.range(3).write.mode("overwrite").parquet(f"file://{tmp_path}/{task.name}-val.parquet")
+    (tmp_path / f"{task.name}-val.parquet" / "_SUCCESS").unlink()
+    assert task.table(dataset, "val", cache_dir=f"file://{tmp_path}").df.columns == ["timestamp", "customer_id", "churn"]
