@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronograin.model import Table
@@ -44,6 +44,38 @@ def pair_feature_join(
     return joined.join(right, F.col(dst_col) == F.col("_d"), "left").drop("_d")
 
 
+def totals_upto(
+    labels: DataFrame, entity_col: str, cutoff: str, facts: DataFrame, fact_entity: str, fact_time: str,
+    sums: Mapping[str, Column] = {}, highest: Mapping[str, Column] = {},
+) -> DataFrame:
+    """(entity, cutoff, n, sums.., highest..) over an entity's facts with time <= cutoff, for each of its cut-offs.
+
+    A fact counts towards the first cut-off of its entity that it precedes, by partial aggregation; running totals over the
+    few cut-offs give the rest. So facts are never multiplied by the cut-offs that follow them. Cut-offs without
+    a fact are left out.
+    """
+    keys = labels.select(F.col(entity_col).alias("_e"), F.col(cutoff).alias("_t")).distinct()
+    # an entity has as many cut-offs as it has labels
+    own = keys.groupBy("_e").agg(F.array_sort(F.collect_list("_t")).alias("_cuts"))
+    met = facts.join(own, F.col(fact_entity) == F.col("_e"))
+    first = F.get(F.filter("_cuts", lambda c: c >= F.col(fact_time)), F.lit(0))
+    added = {"n": F.count(F.lit(1)), **{k: F.sum(c) for k, c in sums.items()}}
+    tops = {k: F.max(c) for k, c in highest.items()}
+    steps = (
+        met.withColumn("_t", first)
+        .where(F.col("_t").isNotNull())
+        .groupBy("_e", "_t")
+        .agg(*[c.alias(k) for k, c in (added | tops).items()])
+    )
+    upto = Window.partitionBy("_e").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    every = keys.join(steps, ["_e", "_t"], "left")
+    out = every.select(
+        F.col("_e").alias(entity_col), F.col("_t").alias(cutoff),
+        *[F.sum(k).over(upto).alias(k) for k in added], *[F.max(k).over(upto).alias(k) for k in tops],
+    )
+    return out.where(F.col("n") > 0)
+
+
 def facts_upto(
     labels: DataFrame, entity_col: str, cutoff: str, facts: DataFrame, fact_entity: str, fact_time: str
 ) -> DataFrame:

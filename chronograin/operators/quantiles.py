@@ -16,13 +16,15 @@ from chronograin.operators.running import running_totals
 
 
 def percentiles(
-    df: DataFrame, col: str, fractions: Mapping[str, float], keys: Sequence[str] = ()
+    df: DataFrame, col: str, fractions: Mapping[str, float], keys: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """(keys.., name..): one column per named fraction; NULL values are ignored."""
+    """(keys.., name..): one column per named fraction; NULL values are ignored.
+
+    Where ``weight`` names a column, a row stands for so many equal ones.
+    """
     keys = list(keys)
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(rows.alias("_n"))
     ranked = running_totals(counts, keys, ["_v"], {"_upto": F.col("_n")})
     totals = ranked.groupBy(*keys).agg(F.max("_upto").alias("_all"))
     both = ranked.join(totals, keys) if keys else with_constants(ranked, totals)

@@ -42,12 +42,12 @@ def entity_stats(labels: DataFrame, entity: str, target: str, kind: TaskKind) ->
         return _rolled(labels, base | {"num_positives": F.count_if(one == 1), "num_negatives": F.count_if(one == 0)})
     if kind is TaskKind.REGRESSION:
         simple = base | {"min_target": F.min(y), "max_target": F.max(y), "mean_target": F.avg(y)}
-        levels = _levels(labels.select(*LEVELS, target)).withColumn(
-            "_key", F.coalesce(F.col("timestamp").cast("string"), F.lit(""))
-        )
+        # values are counted once per anchor; splits and the whole add up these counts, not the rows
+        counted = labels.groupBy(*LEVELS, target).agg(F.count(F.lit(1)).alias("_rows"))
+        levels = _levels(counted).withColumn("_key", F.coalesce(F.col("timestamp").cast("string"), F.lit("")))
         quartiles = percentiles(
             levels, target,
-            {"quantile_25_target": 0.25, "median_target": 0.5, "quantile_75_target": 0.75}, ["split", "_key"],
+            {"quantile_25_target": 0.25, "median_target": 0.5, "quantile_75_target": 0.75}, ["split", "_key"], "_rows",
         )
         keyed = _rolled(labels, simple).withColumn("_key", F.coalesce(F.col("timestamp").cast("string"), F.lit("")))
         return keyed.join(quartiles, ["split", "_key"]).drop("_key")

@@ -241,10 +241,11 @@ def asof_history(spark, sf_dir):
     """The whole history of an entity up to each of its cut-offs."""
     orders = _orders(spark, sf_dir).select("o_custkey", "o_orderdate", "o_totalprice")
     active = windows.tag_range(orders, "o_orderdate", [GRID], timedelta(days=DAYS), timedelta(0))
-    facts = joins.facts_upto(active, "o_custkey", "timestamp", orders, "o_custkey", "o_orderdate")
-    return facts.groupBy("timestamp", "o_custkey").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderdate").alias("last_order")
-    )
+    found = joins.totals_upto(
+        active, "o_custkey", "timestamp", orders, "o_custkey", "o_orderdate",
+        {"total": F.col("o_totalprice")}, {"last_order": F.col("o_orderdate")},
+    )
+    return found.select("timestamp", "o_custkey", F.col("n").alias("n_orders"), F.round("total", 2).alias("total"), "last_order")
 
 
 # --- aggregations -------------------------------------------------------------------------------
