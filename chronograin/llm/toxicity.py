@@ -203,16 +203,27 @@ def train(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 def logistic(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a weighted logistic curve, lightly regularized, by Newton's method."""
-    beta = np.array([0.5, 0.0])
-    x = np.c_[raw, np.ones(len(raw))]
-    for _ in range(50):
+    """Slope and shift of a weighted logistic curve, lightly regularized, by damped Newton steps on standardized scores."""
+    middle, width = float(raw.mean()), float(raw.std()) or 1.0
+    x = np.c_[(raw - middle) / width, np.ones(len(raw))]
+    beta = np.array([1.0, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((weights * (np.logaddexp(0, z) - labels * z)).sum() + 5e-3 * b @ b)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weights * (p - labels)) + 1e-2 * beta
+        down = x.T @ (weights * (p - labels)) + 1e-2 * beta
         curve = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        beta -= np.clip(step, -2, 2)
-    return float(max(beta[0], 1e-3)), float(beta[1])
+        step, now = np.linalg.solve(curve, down), loss(beta)
+        while loss(beta - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta - step
+        if np.abs(step).max() < 1e-7:
+            break
+    slope = max(float(beta[0]), 1e-3) / width
+    return slope, float(beta[1]) - slope * middle
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", class_rows: int = CLASS_ROWS) -> Model:

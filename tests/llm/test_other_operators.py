@@ -102,6 +102,18 @@ def test_toxicity_finds_unseen_misspellings():
     assert toxicity.raw_score(None, words, bias) == toxicity.LOWEST
 
 
+def test_logistic_curve_meets_shares():
+    rng = np.random.default_rng(11)
+    raw = rng.normal(40, 15, 4000)
+    labels = (rng.random(4000) < 1 / (1 + np.exp(-(0.3 * raw - 15)))).astype(int)
+    slope, shift = toxicity.logistic(raw, labels, np.ones(4000))
+    assert slope == pytest.approx(0.3, abs=0.04) and shift == pytest.approx(-15, abs=2)
+    # apart from one another: the curve steps between the two sides
+    raw, labels = np.r_[np.full(90, 5.0), np.full(10, 60.0)], np.r_[np.zeros(90), np.ones(10)]
+    slope, shift = toxicity.logistic(raw, labels, np.ones(100))
+    assert slope * 60 + shift > 2 and slope * 5 + shift < -2
+
+
 def test_toxicity_windows_are_brute_force():
     values = np.random.default_rng(8).normal(size=toxicity.BUCKETS)
     words = toxicity._Words(values)
