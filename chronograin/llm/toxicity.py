@@ -10,8 +10,8 @@ aside, but for the worst of each document, and training goes on. The raw score o
 highest logit of its windows, all of them; a logistic curve, fitted on sampled documents that did not train the
 embeddings and weighted to the true shares of the classes, turns it into a probability.
 
-The fit takes about ``CLASS_ROWS`` labelled documents a class at most, chosen by a hash of the id, and
-``TRAIN_WINDOWS`` evenly spread windows of each at most. Scoring covers every window of every document;
+The fit takes about ``TOXIC_ROWS`` toxic documents at most and ``CLEAN_SHARE`` times as many clean ones, chosen by a
+hash of the id, and ``TRAIN_WINDOWS`` evenly spread windows of each at most. Scoring covers every window of every document;
 there, a word is a single number, as everything behind the embeddings is linear.
 
 Defined results: NULL and empty texts have no window and score as the lowest raw score does (0 where no model
@@ -35,8 +35,9 @@ from chronograin.llm.common import held_out, per_batch, raw_texts, settle, space
 from chronograin.llm.quality import training_labels
 
 FOLDS = 5
-# labelled documents of one class that the fit may read
-CLASS_ROWS = 1500
+# toxic documents that the fit may read, and clean ones for each of them
+TOXIC_ROWS = 1200
+CLEAN_SHARE = 3
 WINDOW = 5
 TRAIN_WINDOWS = 160
 BUCKETS = 1 << 18
@@ -48,7 +49,7 @@ STEPS = 500
 RATE = 0.3
 BATCH = 512
 # a window of a toxic document below this probability is set aside after the first epochs
-HARMLESS = 0.7
+HARMLESS = 0.9
 SEED = 3
 # words that a worker remembers
 MEMO = 400_000
@@ -226,16 +227,17 @@ def logistic(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return slope, float(beta[1]) - slope * middle
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", class_rows: int = CLASS_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", toxic_rows: int = TOXIC_ROWS) -> Model:
     """Train on the labelled documents outside the held-out fold."""
     known = stored(training_labels(labels, column, FOLDS, 1 << 62), "toxicity-labels")
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         # no model without both classes, but a constant
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 60.0 if 1 in n else -60.0 if 0 in n else 0.0)
-    share = F.when(F.col("label") == 1, F.lit(0.97 * class_rows / n[1])).otherwise(F.lit(0.97 * class_rows / n[0]))
+    clean_rows = CLEAN_SHARE * min(toxic_rows, n[1])
+    share = F.when(F.col("label") == 1, F.lit(0.97 * toxic_rows / n[1])).otherwise(F.lit(0.97 * clean_rows / n[0]))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    # at most ``class_rows`` ids of each class
+    # at most ``toxic_rows`` ids of one class and ``CLEAN_SHARE`` times as many of the other
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
