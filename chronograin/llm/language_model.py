@@ -1,18 +1,20 @@
 """Brown class-based bigrams: P(word | word before) = P(class | class before) P(word | class).
 
 1. Words of all training documents are counted, without bound.
-2. The unit of a frequent word is the word; every other word, unseen ones too, belongs to one of ``SHAPES``
-   units by its last three bytes, so each word has a unit. The bigrams of units are counted over all
-   training documents; each task adds up what it reads first.
-3. Exchange clustering moves one unit at a time to the class that gains most likelihood, until none
-   moves. The end of a document is a class of its own, which also stands before the first word.
-4. A document's score is the sum of log10 of class transitions and word emissions. Emissions add ``ALPHA``
-   to every count and keep one slot in each class for all unseen words, so they sum to 1; transitions
-   are interpolated with the share of the class.
-
-Scoring needs the count of every word. A bounded number of the most frequent words is broadcast; all
-other words of all documents are joined with the whole table of counts. No word's rows meet in
-one place, as words beyond the broadcast ones are rare.
+2. A first clustering in the driver: the ``FREQUENT`` first words are units, every other word belongs to one of
+   ``SHAPES`` units by its last three bytes. Exchange clustering moves one unit at a time to the class that gains most
+   likelihood, until none moves.
+3. Every other word then moves on its own: the classes of the words before and after it are counted over all training
+   documents, and it goes to the class that gains most, against the table of class bigrams, in ``REFINED`` rounds at
+   most. Words of a round move at once, so the table is counted anew, and a round that lost likelihood is dropped.
+4. The end of a document is a class of its own, which also stands before the first word. A document's score is the sum
+   of log10 of class transitions and word emissions. Emissions add ``ALPHA`` to every count and keep one slot in each
+   class for all unseen words, so they sum to 1; transitions are interpolated with the share of the class. A word that
+   no training document holds has no bigrams; it takes the class of its unit of step 2.
+
+A bounded number of the most frequent words is broadcast with counts and classes; the classes and counts of all others
+stay in a table, one row a word with its neighbours, and are joined. No word's rows meet in one place, as words beyond
+the broadcast ones are rare.
 
 Defined results: NULL and empty texts hold the end token alone; a document without id is not held
 out; repeated rows are scored, and trained on, each; with no training document every count and N are 0;
@@ -28,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +39,15 @@ from chronograin.llm.common import held_out, raw_texts, settle, space_words, sto
 
 FOLDS = 7
 HELD_FOLD = 2
-# words that are a unit of their own, and units that the other words share
+# words that are a unit of their own in the first clustering, and units that the other words share there
 FREQUENT = 600
 SHAPES = 400
 CLASSES = 64
 ROUNDS = 12
+# rounds in which all words move
+REFINED = 2
+# broadcast words whose neighbours are added up together
+BLOCK = 64
 ALPHA = 0.5
 # weight of a class's share among the transitions
 PRIOR = 5.0
@@ -185,12 +192,262 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Of class bigrams, up to what no clustering changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def moves(table: np.ndarray, of: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word, against a table that counts it in its class ``of``.
+
+    ``n`` is how often ``word`` has the neighbour class ``key``; keys from ``CLASSES`` on are classes before it.
+    """
+    words = len(of)
+    if not len(word):
+        return of
+    order = np.argsort(word, kind="stable")
+    word, key, n = word[order], key[order], n[order].astype(float)
+    # what the class of a row, of a column, has beside each class
+    sides = np.vstack([table.T, table])
+    base, own = sides[key], of[word]
+    at = np.arange(len(word))
+    change = _xlogx(base + n[:, None]) - _xlogx(sides)[key]
+    here = base[at, own]
+    change[at, own] = _xlogx(here) - _xlogx(np.maximum(here - n, 0))
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    gain = np.zeros((words, CLASSES))
+    gain[word[starts]] = np.add.reduceat(change, starts)
+    every = np.arange(words)
+    for total, ahead in ((table.sum(1), key < CLASSES), (table.sum(0), key >= CLASSES)):
+        mine = np.bincount(word, n * ahead, words)
+        change = _xlogx(total + mine[:, None]) - _xlogx(total)
+        change[every, of] = _xlogx(total[of]) - _xlogx(np.maximum(total[of] - mine, 0))
+        gain -= change
+    best = np.argmax(gain[:, : CLASSES - 1], axis=1)
+    empty = np.flatnonzero(table[:-1].sum(1) + table[:, :-1].sum(0) == 0)
+    if len(empty):
+        # empty classes tie: words go to one of them by their most frequent neighbours, not all to the first
+        main = np.lexsort((key, -n, word))[starts]
+        strongest = np.zeros(words, dtype=np.int64)
+        strongest[word[main]] = key[main]
+        best = np.where(np.isin(best, empty), empty[strongest % len(empty)], best)
+    return np.where(gain[every, best] > gain[every, of] + 1e-9, best, of)
+
+
+class _Neighbours:
+    """How often each broadcast word, and the end, has each class after and before it."""
+
+    def __init__(self, words: int) -> None:
+        self.counts = np.zeros((words + 1) * 2 * CLASSES, dtype=np.int32)
+
+    def add(self, words: np.ndarray, classes: np.ndarray, before: bool) -> None:
+        keys, n = np.unique(words * (2 * CLASSES) + before * CLASSES + classes, return_counts=True)
+        self.counts[keys] += n.astype(np.int32)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        width = BLOCK * 2 * CLASSES
+        for first in range(0, len(self.counts), 64 * width):
+            found = np.flatnonzero(self.counts[first : first + 64 * width]) + first
+            if not len(found):
+                continue
+            blocks, starts = np.unique(found // width, return_index=True)
+            offsets = pa.array(np.r_[starts, len(found)].astype(np.int32))
+            lists = [pa.array((found % width).astype(np.int32)), pa.array(self.counts[found].astype(np.int64))]
+            arrays = [pa.array(blocks.astype(np.int32)), *[pa.ListArray.from_arrays(offsets, x) for x in lists]]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "keys", "ns"])
+
+
+_BLOCKS = "block int, keys array<int>, ns array<bigint>"
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each item of a column of lists."""
+    return pc.list_parent_indices(column).to_numpy().astype(np.int64), column.flatten().to_numpy().astype(np.int64)
+
+
+def _add_blocks(batch: pa.Table) -> pa.Table:
+    keys, ns = (batch.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "ns"))
+    sums = np.bincount(keys, ns, BLOCK * 2 * CLASSES)
+    found = np.flatnonzero(sums)
+    block = batch.column("block")[0].as_py()
+    return pa.table({
+        "block": pa.array([block], pa.int32()), "keys": pa.array([found.astype(np.int32)], pa.list_(pa.int32())),
+        "ns": pa.array([sums[found].astype(np.int64)], pa.list_(pa.int64())),
+    })
+
+
+def rare_words(train: DataFrame, words: list[bytes], shapes: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(word, class, lefts, rights), numbers of broadcast neighbours, of all other words, and (word, next, n) of these."""
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(words)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = len(shared.value)
+        codes = _Codes(shared.value, known)
+        for batch in batches:
+            found: tuple[list, ...] = ([], [], [], [], [])
+            for text in raw_texts(batch):
+                tokens = space_words(text)
+                ids = np.fromiter(map(codes.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                at = np.flatnonzero(ids < 0)
+                line = np.r_[known, np.maximum(ids, -1), known]
+                found[0].extend(tokens[i] for i in at)
+                found[1].extend(-1 - ids[at] - known)
+                found[2].extend(line[at])
+                found[3].extend(line[at + 2])
+                found[4].extend(tokens[i + 1] if line[i + 2] < 0 else None for i in at)
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], ["word", "shape", "l", "r", "next"])
+
+    schema = "word binary, shape int, l int, r int, next binary"
+    seen = stored(train.select("text").mapInArrow(read, schema), "lm-rare")
+
+    def known_only(c: str):
+        return F.collect_list(F.when(F.col(c) >= 0, F.col(c)))
+
+    first = F.element_at(F.lit(shapes.tolist()), F.first("shape") + 1).cast("int")
+    rare = seen.groupBy("word").agg(first.alias("class"), known_only("l").alias("lefts"), known_only("r").alias("rights"))
+    pairs = seen.where(F.col("next").isNotNull()).groupBy("word", "next").agg(F.count(F.lit(1)).alias("n"))
+    return stored(rare, "lm-classes"), stored(pairs, "lm-rare-pairs")
+
+
+@dataclass(frozen=True)
+class Clusters:
+    # classes of the broadcast words and of the end
+    of: np.ndarray
+    rare: DataFrame
+    table: np.ndarray
+    blocks: DataFrame
+    pairs: DataFrame
+
+
+def tally(train: DataFrame, words: list[bytes], of: np.ndarray, rare: DataFrame, pairs: DataFrame) -> Clusters:
+    """Class bigrams of all training documents, and the neighbours of every word."""
+    spark = train.sparkSession
+    known, shared = len(words), spark.sparkContext.broadcast((words, of))
+
+    def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, of = shared.value
+        codes, found = _Codes(tokens, known), _Neighbours(known)
+        for batch in batches:
+            lines = [np.array([known])]
+            for text in raw_texts(batch):
+                line = space_words(text)
+                lines += [np.fromiter(map(codes.__getitem__, line), dtype=np.int64, count=len(line)), np.array([known])]
+            # one end serves as the last of a document and the first of the next
+            line = np.concatenate(lines)
+            a, b = line[:-1], line[1:]
+            both = (a >= 0) & (b >= 0)
+            found.add(a[both], of[b[both]], False)
+            found.add(b[both], of[a[both]], True)
+        yield from found.out()
+
+    def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Neighbours(known)
+        for batch in batches:
+            classes = batch.column(1).to_numpy().astype(np.int64)
+            rows, lefts = _flat(batch.column(2))
+            found.add(lefts, classes[rows], False)
+            rows, rights = _flat(batch.column(3))
+            found.add(rights, classes[rows], True)
+        yield from found.out()
+
+    parts = train.select("text").mapInArrow(of_known, _BLOCKS).unionAll(rare.mapInArrow(of_rare, _BLOCKS))
+    blocks = stored(parts.groupBy("block").applyInArrow(_add_blocks, _BLOCKS), "lm-blocks")
+    classes = rare.select("word", "class")
+    near = stored(
+        pairs.join(classes.withColumnRenamed("class", "a"), "word")
+        .join(classes.select(F.col("word").alias("next"), F.col("class").alias("b")), "next"), "lm-near",
+    )
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What stands before broadcast words."""
+        _, of = shared.value
+        table = np.zeros((CLASSES, CLASSES), dtype=np.int64)
+        for batch in batches:
+            rows, keys = _flat(batch.column(1))
+            ns, (at, key) = _flat(batch.column(2))[1], np.divmod(keys, 2 * CLASSES)
+            into = key >= CLASSES
+            at = batch.column(0).to_numpy()[rows] * BLOCK + at
+            np.add.at(table, (key[into] - CLASSES, of[at[into]]), ns[into])
+        yield from _cells(table)
+
+    def before_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, of = shared.value
+        table = np.zeros((CLASSES, CLASSES), dtype=np.int64)
+        for batch in batches:
+            rows, lefts = _flat(batch.column(2))
+            np.add.at(table, (of[lefts], batch.column(1).to_numpy()[rows]), 1)
+        yield from _cells(table)
+
+    cells = blocks.mapInArrow(bigrams, _CELLS).unionAll(rare.mapInArrow(before_rare, _CELLS))
+    cells = cells.unionAll(near.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    table = np.zeros((CLASSES, CLASSES))
+    # a row for each pair of classes at most
+    for a, b, n in cells.collect():
+        table[a, b] = n
+    return Clusters(of, rare, table, blocks, near)
+
+
+_CELLS = "a int, b int, n bigint"
+
+
+def _cells(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    a, b = np.nonzero(table)
+    arrays = [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(table[a, b])]
+    yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "n"])
+
+
+def moved(clusters: Clusters) -> tuple[np.ndarray, DataFrame]:
+    """All words in their best class."""
+    shared = clusters.rare.sparkSession.sparkContext.broadcast((clusters.table, clusters.of))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, of = shared.value
+        for batch in batches:
+            for block, keys, ns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                word, key = np.divmod(np.array(keys), 2 * CLASSES)
+                at = slice(block * BLOCK, (block + 1) * BLOCK)
+                found = moves(table, of[at], word, key, np.array(ns)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["block", "found"])
+
+    of = clusters.of.copy()
+    # a byte for each broadcast word
+    for block, found in clusters.blocks.mapInArrow(known, "block int, found binary").collect():
+        of[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(found), dtype=np.int8)
+    # so heavy that they cannot move at once: they keep the class that they found one at a time
+    of[:FREQUENT], of[-1] = clusters.of[:FREQUENT], CLASSES - 1
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, of = shared.value
+        for batch in batches:
+            mine = batch.column(1).to_numpy().astype(np.int64)
+            (a, lefts), (b, rights), (c, near) = (_flat(batch.column(i)) for i in (2, 3, 4))
+            word = np.r_[a, b, c]
+            key = np.r_[of[lefts] + CLASSES, of[rights], near >> 40]
+            n = np.r_[np.ones(len(a) + len(b), dtype=np.int64), near & ((1 << 40) - 1)]
+            cells, at = np.unique(word * (2 * CLASSES) + key, return_inverse=True)
+            best = moves(table, mine, cells // (2 * CLASSES), cells % (2 * CLASSES), np.bincount(at, n, len(cells)))
+            arrays = [batch.column(0), pa.array(best.astype(np.int32)), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "class", "lefts", "rights"])
+
+    sides = clusters.pairs.select(F.inline(F.array(
+        F.struct(F.col("word"), F.col("b").alias("key"), "n"), F.struct(F.col("next").alias("word"), (F.col("a") + CLASSES).alias("key"), "n")
+    )))
+    sums = sides.groupBy("word", "key").agg(F.sum("n").alias("n"))
+    near = sums.groupBy("word").agg(F.collect_list(F.shiftleft(F.col("key").cast("bigint"), 40) + F.col("n")).alias("near"))
+    joined = clusters.rare.join(near, "word", "left").select("word", "class", "lefts", "rights", F.coalesce("near", F.lit([]).cast("array<bigint>")))
+    return of, stored(joined.mapInArrow(rare, "word binary, class int, lefts array<int>, rights array<int>"), "lm-classes")
+
+
 @dataclass(frozen=True)
 class Model:
+    # broadcast words; each is a unit
     words: list[bytes]
     counts: np.ndarray
     frequent: int
-    # class of each unit; log10 of transitions; log10 of what a class's emissions are divided by
+    # class of each unit, of unseen words by their last bytes, of the end; log10 of transitions; log10 of what a
+    # class's emissions are divided by
     of: np.ndarray
     transitions: np.ndarray
     divisors: np.ndarray
@@ -199,88 +456,119 @@ class Model:
     ends: int
 
 
-def fit(train: DataFrame, counts: DataFrame) -> Model:
-    """The model of the training documents, whose word counts are given."""
+def cluster(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the training documents, whose word counts are given, and (word, class) of words not broadcast."""
     known = frequent_words(counts)
     words, ns = [w for w, _ in known], np.array([n for _, n in known], dtype=np.int64)
-    frequent = words[:FREQUENT]
-    pairs = count_bigrams(train, frequent)
-    of = exchange(pairs)
-    member = np.zeros((len(pairs), CLASSES))
-    member[np.arange(len(pairs)), of] = 1
-    table = member.T @ pairs @ member
+    first = words[:FREQUENT]
+    seed = exchange(count_bigrams(train, first))
+    shapes = seed[len(first) : -1]
+    of = np.array([*seed[: len(first)], *[shapes[shape(w)] for w in words[FREQUENT:]], seed[-1]], dtype=np.int64)
+    rare, pairs = rare_words(train, words, shapes)
+    best = tally(train, words, of, rare, pairs)
+    for _ in range(REFINED):
+        found = tally(train, words, *moved(best), pairs)
+        if likelihood(found.table) <= likelihood(best.table):
+            break
+        best = found
+    table = best.table
     share = (table.sum(0) + 1) / (table.sum() + CLASSES)
     transitions = np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ends = int(pairs[-1].sum())
-    # distinct words of each shared unit
-    rest = counts.groupBy((F.crc32(F.expr("substring(word, -3)")) % SHAPES).alias("s")).agg(F.count(F.lit(1)).alias("v"))
-    distinct = np.r_[np.ones(len(frequent)), np.zeros(SHAPES), [1.0 if ends else 0.0]]
-    for row in rest.collect():
-        distinct[len(frequent) + row["s"]] += row["v"]
-    for w in frequent:
-        distinct[len(frequent) + shape(w)] -= 1
-    divisors = np.log10(table.sum(0) + ALPHA * (distinct @ member + 1))
+    ends = int(table[-1].sum())
+    distinct = np.bincount(best.of[:-1], minlength=CLASSES).astype(float)
+    distinct[-1] = 1.0 if ends else 0.0
+    for c, v in best.rare.groupBy("class").count().collect():
+        distinct[c] += v
+    divisors = np.log10(table.sum(0) + ALPHA * (distinct + 1))
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    return Model(words, ns, len(frequent), of, transitions, divisors, n, v, ends)
+    units = np.r_[best.of[:-1], shapes, best.of[-1]]
+    return Model(words, ns, len(words), units, transitions, divisors, n, v, ends), best.rare.select("word", "class")
+
+
+def fit(train: DataFrame, counts: DataFrame) -> Model:
+    return cluster(train, counts)[0]
 
 
 _PARTS = (
     "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, plus_one double, plus_alpha double, classes double, "
-    "rare array<binary>"
+    "rare array<binary>, at array<bigint>"
 )
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, plus_one, logp): of every row, with the sum of log10(c + 1) and the model's log10."""
+def score(docs: DataFrame, counts: DataFrame, model: Model, classes: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, plus_one, logp): of every row, with the sum of log10(c + 1) and the model's log10.
+
+    A word that is not broadcast is a number: its place, the class it has if unseen, and the classes before and after it
+    (0 for a word that is not broadcast either), until the join adds its class.
+    """
     shared = settle(docs.sparkSession).sparkContext.broadcast(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         codes = _Codes(m.words, m.frequent)
         plus_one, plus_alpha = np.log10(m.counts + 1.0), np.log10(m.counts + ALPHA)
-        # one more, so that looking up the place of an unknown word is harmless
-        unit = np.array([i if i < m.frequent else m.frequent + shape(w) for i, w in enumerate(m.words)] + [0], dtype=np.int64)
         end_class = m.of[-1]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "n", "known", "one", "alpha", "classes", "rare")}
+            out: dict[str, list] = {c: [] for c in ("row", "n", "known", "one", "alpha", "classes", "rare", "at")}
             for text in raw_texts(batch):
                 words = space_words(text)
                 ids = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
                 known = ids[ids >= 0]
-                units = np.where(ids < 0, -1 - ids, unit[np.maximum(ids, 0)])
-                line = np.r_[end_class, m.of[units], end_class]
-                classes = m.transitions[line[:-1], line[1:]].sum() - m.divisors[line[1:]].sum()
+                line = np.r_[end_class, np.where(ids < 0, -1, m.of[np.maximum(ids, 0)]), end_class]
+                both = (line[:-1] >= 0) & (line[1:] >= 0)
+                inner = m.transitions[line[:-1][both], line[1:][both]].sum() - m.divisors[line[1:][line[1:] >= 0]].sum()
+                rare = np.flatnonzero(ids < 0)
+                at = rare << 26 | m.of[-1 - ids[rare]] << 20 | (line[rare] + 1) << 13 | (line[rare + 2] + 1) << 6
                 out["row"].append(row)
                 out["n"].append(len(words) + 1)
                 out["known"].append(len(known) + (m.ends > 0))
                 out["one"].append(plus_one[known].sum() + np.log10(m.ends + 1))
                 out["alpha"].append(plus_alpha[known].sum() + np.log10(m.ends + ALPHA))
-                out["classes"].append(classes)
-                out["rare"].append([words[i] for i in np.flatnonzero(ids < 0)])
+                out["classes"].append(inner)
+                out["rare"].append([words[i] for i in rare])
+                out["at"].append(at)
                 row += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out["row"], pa.int64()), batch.column(0), pa.array(out["n"], pa.int64()),
                     pa.array(out["known"], pa.int64()), pa.array(out["one"], pa.float64()),
                     pa.array(out["alpha"], pa.float64()), pa.array(out["classes"], pa.float64()),
-                    pa.array(out["rare"], pa.list_(pa.binary())),
+                    pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["at"], pa.list_(pa.int64())),
                 ],
                 [c.split()[0] for c in _PARTS.split(", ")],
             )
 
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Transitions around the joined words, and what their emissions are divided by."""
+        m: Model = shared.value
+        for batch in batches:
+            sums = []
+            for ats in batch.column(1):
+                at = np.sort(ats.values.to_numpy())
+                mine, right, left = at & 63, (at >> 6 & 127) - 1, (at >> 13 & 127) - 1
+                before = np.where(left < 0, np.r_[0, mine[:-1]], left)
+                ended = right >= 0
+                sums.append(m.transitions[before, mine].sum() + m.transitions[mine[ended], right[ended]].sum() - m.divisors[mine].sum())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4)], pa.array(sums, pa.float64())], names)
+
     parts = stored(docs.select("doc_id", "text").mapInArrow(read, _PARTS), "lm-parts")
-    rare = parts.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    each = parts.select("row", F.inline(F.arrays_zip("rare", "at"))).withColumnRenamed("rare", "word")
+    rare = each.join(counts.join(classes, "word"), "word", "left")
     n = F.coalesce("n", F.lit(0))
+    unseen = F.shiftright("at", 20).bitwiseAND(63)
     sums = rare.groupBy("row").agg(
-        F.count("n").alias("r_known"), F.sum(F.log10(n + 1)).alias("r_one"), F.sum(F.log10(n + ALPHA)).alias("r_alpha")
-    )
+        F.collect_list(F.col("at") + F.coalesce(F.col("class").cast("bigint"), unseen)).alias("at"),
+        F.count("n").alias("r_known"), F.sum(F.log10(n + 1)).alias("r_one"), F.sum(F.log10(n + ALPHA)).alias("r_alpha"),
+    )
+    names = ["row", "r_known", "r_one", "r_alpha", "r_classes"]
+    sums = sums.mapInArrow(link, "row bigint, r_known bigint, r_one double, r_alpha double, r_classes double")
     zero = F.lit(0.0)
-    return parts.drop("rare").join(sums, "row", "left").select(
+    return parts.drop("rare", "at").join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
         (F.col("plus_one") + F.coalesce("r_one", zero)).alias("plus_one"),
-        (F.col("plus_alpha") + F.coalesce("r_alpha", zero) + F.col("classes")).alias("logp"),
+        (F.col("plus_alpha") + F.coalesce("r_alpha", zero) + F.col("classes") + F.coalesce("r_classes", zero)).alias("logp"),
     )
 
 
@@ -290,9 +578,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     held = held_out("doc_id", FOLDS, HELD_FOLD)
     train = docs.where(~held)
     counts = stored(count_words(train), "lm-counts")
-    model = fit(train, counts)
+    model, classes = cluster(train, counts)
     base = F.col("plus_one") - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.distinct + 1)))
-    return score(docs, counts, model).select(
+    return score(docs, counts, model, classes).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"), F.col("logp").alias("score"),
     )

@@ -227,6 +227,44 @@ def test_language_model_beats_the_base(spark):
     assert sum(r["score"] for r in rows) > 0.99 * sum(r["base_score"] for r in rows)
 
 
+def test_classes_of_rare_words_come_from_their_neighbours(spark, monkeypatch):
+    """Words with the same ending, none of them broadcast, part by what stands around them; the table is exact."""
+    rng = random.Random(3)
+    sides = [[f"{a}{i}" for i in range(4)] for a in "pq"]
+    rare = [[f"{a}{i:02d}xyz" for i in range(30)] for a in "uv"]
+    texts = []
+    for i in range(600):
+        side, own = sides[i % 2], rare[i % 2]
+        texts.append(" ".join(w for _ in range(6) for w in (rng.choice(side), rng.choice(own), *([rng.choice(own)] if rng.random() < 0.2 else []), rng.choice(side))))
+    for name, size in (("KNOWN_WORDS", 20), ("FREQUENT", 8)):
+        monkeypatch.setattr(language_model, name, size)
+    monkeypatch.setattr(language_model.frequent_words, "__defaults__", (20,))
+    docs = docs_of(spark, texts)
+    counts = language_model.count_words(docs).cache()
+    model, classes = language_model.cluster(docs, counts)
+    of = {bytes(r["word"]).decode(): r["class"] for r in classes.collect()}
+    assert len(model.words) + len(of) == counts.count()
+    of |= {w.decode(): c for w, c in zip(model.words, model.of, strict=False)}
+    assert not {of[w] for w in rare[0]} & {of[w] for w in rare[1]}
+    table = np.zeros((language_model.CLASSES, language_model.CLASSES))
+    for t in texts:
+        line = [model.of[-1], *[of[w] for w in t.split()], model.of[-1]]
+        np.add.at(table, (line[:-1], line[1:]), 1)
+    share = (table.sum(0) + 1) / (table.sum() + language_model.CLASSES)
+    prior = language_model.PRIOR
+    want = np.log10((table + prior * share) / (table.sum(1, keepdims=True) + prior))
+    assert model.transitions == pytest.approx(want)
+    # scores are those of the classes, also where words that are not broadcast follow one another, or are unseen
+    n = {bytes(r["word"]).decode(): r["n"] for r in counts.collect()}
+    asked = [*texts[:5], "u01xyz u02xyz nowhere v03xyz", "nowhere", ""]
+    got = language_model.score(docs_of(spark, asked), counts, model, classes).collect()
+    for r in got:
+        words = asked[r["doc_id"]].split()
+        line = [model.of[-1], *[of.get(w, model.of[model.frequent + language_model.shape(w.encode())]) for w in words], model.of[-1]]
+        alpha = [math.log10(n.get(w, 0) + language_model.ALPHA) for w in words] + [math.log10(model.ends + language_model.ALPHA)]
+        assert r["logp"] == pytest.approx(sum(alpha) + model.transitions[line[:-1], line[1:]].sum() - model.divisors[line[1:]].sum())
+
+
 def test_language_model_of_odd_tables(spark):
     got = language_model.score_documents(odd_docs(spark)).collect()
     assert len(got) == 9 and min(r["n_tokens"] for r in got) == 1
