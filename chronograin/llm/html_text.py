@@ -31,13 +31,16 @@ from chronograin.llm.common import per_batch, settle
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
+      | <(?:svg|math)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>
       | <(?P<raw>script|style|noscript|template|iframe|object|svg|math|textarea|select|title|xmp)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
       | <(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>
       | <[!?/][^>]*>""",
     re.S | re.I | re.X,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
+# attributes without any of these need no parsing
+_MAYBE_HIDDEN = re.compile("hidden|display|&", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 # tags that do not end a block
@@ -85,6 +88,27 @@ class Block:
     text: str = ""
 
 
+def _hides(attributes: str) -> bool:
+    """Whether ``hidden``, ``aria-hidden="true"`` or a style of ``display: none`` is among the attributes."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        # the first of repeated attributes counts
+        found.setdefault(name.lower(), html.unescape("".join(values)).strip().lower())
+    if found.get("hidden", "until-found") != "until-found" or found.get("aria-hidden") == "true":
+        return True
+    shown = ("", False)
+    for declaration in re.sub(r"/\*.*?(?:\*/|\Z)", "", found.get("style", ""), flags=re.S).split(";"):
+        name, _, value = declaration.partition(":")
+        if name.strip() == "display":
+            value, mark, _ = value.partition("!")
+            # the last declaration counts, unless an important one stands before
+            if mark or not shown[1]:
+                shown = (value.strip(), bool(mark))
+    return shown[0] == "none"
+
+
 def _element(tag: str, attributes: str, parent: Element | None) -> Element:
     words: set[str] = set()
     if "=" in attributes:
@@ -92,7 +116,7 @@ def _element(tag: str, attributes: str, parent: Element | None) -> Element:
             words.update(_WORD.findall("".join(found).lower()))
     out = Element(tag, parent, parent.depth + 1 if parent else 0)
     inside = parent is not None and parent.main
-    out.hidden = (parent is not None and parent.hidden) or bool(attributes and _HIDDEN.search(attributes))
+    out.hidden = (parent is not None and parent.hidden) or bool(attributes and _hides(attributes))
     out.main = inside or tag in MAIN_TAGS
     out.boiler = parent is not None and parent.boiler
     if tag in ("html", "body"):

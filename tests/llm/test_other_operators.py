@@ -38,6 +38,28 @@ def test_main_text_of_plain_markup():
     assert html_text.main_text('<p title="a' + "<" * 5000) is not None
 
 
+
+def test_only_what_is_hidden_is_left_out():
+    words = "Some plain words that make up a paragraph of a page, long enough to be kept."
+    shown = (
+        'class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'data-hidden="0"', 'title="hidden"',
+        'hidden="until-found"', 'style="display:none;display:block"', 'data-style="display:none"', "class=is-hidden-mobile",
+        'title="a hidden',
+    )
+    for attributes in shown:
+        assert html_text.main_text(f"<body {attributes}><p>{words}</p></body>") == words, attributes
+        assert html_text.main_text(f"<article {attributes}><p>{words}</p></article>") == words, attributes
+    for attributes in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', "aria-hidden=TRUE", "style='color:red; Display : none !important'"):
+        assert html_text.main_text(f"<div {attributes}><p>{words}</p></div><p>{words}</p>") == words, attributes
+
+
+def test_foreign_elements_close_at_once():
+    words = "Some plain words that make up a paragraph of a page, long enough to be kept."
+    for tag in ('<svg class="a" width="1"/>', "<svg/>", "<math />", "<SVG a='>'/>"):
+        assert html_text.main_text(f"<p>{words}</p>{tag}<p>{words}</p><svg><text>no</text></svg>") == f"{words}\n{words}", tag
+    assert html_text.main_text(f"<svg><path d='x'/><text>no</text></svg><p>{words}</p>") == words
+
+
 def test_articles_of_given_pages(spark):
     import html
 
