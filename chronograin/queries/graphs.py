@@ -118,12 +118,29 @@ def _kind_sql(table: str, column: str, kind: str) -> str:
     return f"SELECT '{table}' AS table_name, '{column}' AS column_name, {rule} AS kind FROM {table}"
 
 
-KINDS_SQL = " UNION ALL ".join(_kind_sql(t, c, k) for t, cols in GIVEN.items() for c, k in cols.items())
+# the other given tables, in queries of their own beside the nine
+REST = {
+    "supplier": {"s_suppkey": "i", "s_name": "t", "s_nationkey": "i", "s_acctbal": "numerical"},
+    "part": {"p_partkey": "i", "p_name": "t", "p_brand": "t", "p_type": "t", "p_size": "i", "p_retailprice": "numerical"},
+    "lineitem": {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "numerical",
+                 "l_extendedprice": "numerical", "l_discount": "numerical", "l_tax": "numerical", "l_returnflag": "t",
+                 "l_linestatus": "t", "l_shipdate": "timestamp"},
+    "events": {"event_id": "i", "ts": "timestamp", "user_id": "i", "event_type": "t", "value": "numerical", "props": "t"},
+    "embeddings": {"vec_id": "i", "embedding": "multicategorical", "label": "i"},
+}
+
+
+def _kinds_sql(tables: dict[str, dict[str, str]]) -> str:
+    return " UNION ALL ".join(_kind_sql(t, c, k) for t, cols in tables.items() for c, k in cols.items())
+
 
+KINDS_SQL = _kinds_sql(GIVEN)
+REST_KINDS_SQL = _kinds_sql(REST)
 
-def given_kinds(spark, sf_dir):
-    db = Database({t: Table(read(spark, sf_dir, t).select(*cols)) for t, cols in GIVEN.items()})
-    return columns.database_kinds(db)
+
+def given_kinds(spark, sf_dir, tables=tuple(GIVEN)):
+    """Kinds of all columns that the tables have."""
+    return columns.database_kinds(Database({t: Table(read(spark, sf_dir, t)) for t in tables}))
 
 
 @BOOK.query("infer_column_kinds", KINDS_SQL)
@@ -131,6 +148,11 @@ def infer_column_kinds(spark, sf_dir):
     return given_kinds(spark, sf_dir)
 
 
+@BOOK.query("infer_column_kinds_rest", REST_KINDS_SQL)
+def infer_column_kinds_rest(spark, sf_dir):
+    return given_kinds(spark, sf_dir, REST)
+
+
 def _churn(spark, sf_dir):
     return LABELS.queries["label_shop_user_churn"](spark, sf_dir).where(F.col("split") == "train").drop("split")
 

@@ -8,7 +8,7 @@ from chronograin.model import Table
 from chronograin.operators import columns, documents
 from chronograin.queries import Book, read
 from chronograin.queries.databases import DATASETS
-from chronograin.queries.graphs import KINDS_SQL, given_kinds
+from chronograin.queries.graphs import GIVEN, KINDS_SQL, REST, REST_KINDS_SQL, given_kinds
 from chronograin.sources import files, tables
 from chronograin.session import work_path
 
@@ -145,9 +145,18 @@ def write_flat_csv(spark, sf_dir):
     return back.groupBy("event", "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.query("column_kind_cache", KINDS_SQL)
-def column_kind_cache(spark, sf_dir):
+def _cached_kinds(spark, sf_dir, tables):
     """Kinds inferred, stored as JSON, and loaded again."""
     path = work_path(spark, "kinds")
-    columns.save_kinds(given_kinds(spark, sf_dir), path)
+    columns.save_kinds(given_kinds(spark, sf_dir, tables), path)
     return columns.load_kinds(spark, path)
+
+
+@BOOK.query("column_kind_cache", KINDS_SQL)
+def column_kind_cache(spark, sf_dir):
+    return _cached_kinds(spark, sf_dir, GIVEN)
+
+
+@BOOK.query("column_kind_cache_rest", REST_KINDS_SQL)
+def column_kind_cache_rest(spark, sf_dir):
+    return _cached_kinds(spark, sf_dir, REST)
