@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from chronograin.llm import (
     decontaminate,
+    filter_audit,
     fingerprints,
     html_text,
     language_model,
     licenses,
     mixing,
+    periodic_runs,
     quality,
     simhash_dedup,
+    token_counts,
     token_files,
     toxicity,
 )
@@ -70,6 +73,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -83,6 +98,9 @@ QUERIES: dict[str, Query] = {
         op8_token_files,
         op9_simhash_dedup,
         op10_quality,
+        op11_token_counts,
+        op12_periodic_runs,
+        op13_filter_audit,
     )
 }
-SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op13_filter_audit": filter_audit.SQL}
