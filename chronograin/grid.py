@@ -61,7 +61,80 @@ class Grid:
         return F.struct(F.lit(self.split).alias("split"), self.moment(k).alias("timestamp"))
 
 
-def anchor_table(spark: SparkSession, grids: Sequence[Grid]) -> DataFrame:
+# buckets of time in which irregular anchors are looked up
+_BUCKETS = 1024
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Anchors at any times, each followed by a window of length ``step``; windows may overlap or leave gaps.
+
+    The times are part of the plan, as those of a grid are: a task has tens or hundreds of them.
+    """
+
+    split: str
+    times: tuple[datetime, ...]
+    step: timedelta
+
+    def __post_init__(self) -> None:
+        if not self.times or list(self.times) != sorted(set(self.times)):
+            raise ValueError("anchors must be distinct, ascending, and at least one")
+
+    @property
+    def count(self) -> int:
+        return len(self.times)
+
+    @property
+    def start(self) -> datetime:
+        return self.times[0]
+
+    @property
+    def last(self) -> datetime:
+        return self.times[-1]
+
+    def moments(self) -> list[datetime]:
+        return list(self.times)
+
+    @property
+    def all_us(self) -> Column:
+        return F.array(*[F.lit(to_micros(t)).cast("bigint") for t in self.times])
+
+    def moment(self, k: Column) -> Column:
+        return from_micros(F.get(self.all_us, k.cast("int")))
+
+    def anchor(self, k: Column) -> Column:
+        return F.struct(F.lit(self.split).alias("split"), self.moment(k).alias("timestamp"))
+
+    def around(self, at: Column, before: int, after: int) -> Column:
+        """Numbers of the anchors t with ``at`` in (t - before, t + after], all in microseconds.
+
+        Time is cut into buckets as long as that range, or longer, so each anchor concerns two of them and a
+        look-up by bucket leaves few anchors to compare.
+        """
+        times = [to_micros(t) for t in self.times]
+        base = times[0] - before + 1
+        width = max(before + after, -(-(times[-1] + after - base + 1) // _BUCKETS), 1)
+        concerned: list[list[int]] = [[] for _ in range((times[-1] + after - base) // width + 1)]
+        for k, t in enumerate(times):
+            for b in range((t - before + 1 - base) // width, (t + after - base) // width + 1):
+                concerned[b].append(k)
+        empty = F.array().cast("array<bigint>")
+        known = F.array(*[F.array(*[F.lit(k).cast("bigint") for k in ks]) if ks else empty for ks in concerned])
+        bucket = floor_div(at - F.lit(base), width)
+        found = F.when(bucket.between(0, len(concerned) - 1), F.get(known, bucket.cast("int")))
+        us = self.all_us
+
+        def holds(k: Column) -> Column:
+            t = F.get(us, k.cast("int"))
+            return (t < at + before) & (t >= at - after)
+
+        return F.coalesce(F.filter(found, holds), empty)
+
+
+Anchors = Grid | Moments
+
+
+def anchor_table(spark: SparkSession, grids: Sequence[Anchors]) -> DataFrame:
     """One row per anchor."""
     rows = [
         spark.range(g.count).select(F.lit(g.split).alias("split"), g.moment(F.col("id")).alias("timestamp"))

@@ -136,15 +136,12 @@ def is_linked(pairs: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFr
     return pairs.join(known, list(keys), "left").withColumn("is_linked", F.col("_hit").isNotNull()).drop("_hit")
 
 
-def score_top_k(
-    queries: DataFrame, items: DataFrame, k: int, query_blocks: int = 0
-) -> DataFrame:
+def score_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The k items with the largest dot product for each query: (query_id, item_id, score, rank).
 
-    Both inputs are (id, vector). Queries are cut into blocks and every block meets every block
-    of items once, as a matrix product inside a task; each task keeps k per query before the
-    shuffle. Memory per task is one block of each side.
+    Both inputs are (id, vector). Vectors are clustered into blocks, and bounds on what a block can score
+    decide which pairs of blocks meet, as a matrix product inside a task. Memory per task is one block of each side.
     """
     from chronograin.operators.scoring import blockwise_top_k
 
-    return blockwise_top_k(queries, items, k, query_blocks)
+    return blockwise_top_k(queries, items, k)

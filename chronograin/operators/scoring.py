@@ -1,53 +1,289 @@
-"""Top-k by dot product over blocks of vectors."""
+"""Exact top-k by dot product over clustered blocks of vectors, most of which are never looked at.
+
+Items are dealt to centres, the means of a bounded sample's clusters, and packed per centre, longest first, into blocks
+that know their radius around the centre and their largest norm. By Cauchy-Schwarz no item of a block scores above
+``min(q.c + |q| * radius, |q| * largest)``, so a block matters to a query only while that reaches the query's k-th best
+score so far. Queries are packed the same way. For a block of queries and a centre two numbers settle it: the least
+radius, and the least norm, that a block needs to matter to one of the queries. So pairs of blocks are found by an
+equality join on the centre over rows of a few numbers, and vectors are shuffled for the surviving pairs only.
+
+The search runs in rounds that carry the k-th best scores on: first the nearest block of each query, then the few
+most promising ones, at last all that still matter. No round needs the size of its inputs.
+
+Rows without an id or a vector are left out; vectors of unequal length are an error; equal scores go by the item's id.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronograin.functions.draws import draw
 from chronograin.operators.links import top_k
+from chronograin.session import cut_lineage
 
-BLOCK_ROWS = 2048
+# rows of a block of items and of queries
+ITEM_ROWS = 2048
+QUERY_ROWS = 512
+# vectors that the driver clusters, the largest number of centres, and vectors to a centre in a table that fits the sample
+SAMPLE_ROWS = 4096
+CENTRES = 256
+SAMPLE_PER_CENTRE = 128
+# pairs that a block of queries visits in the rounds between the first and the last
+WAVES = (8,)
 
+_PACKED = "cluster int, block bigint, n bigint, radius double, largest double, ids array<bigint>, payload binary"
+_FOUND = "q_block bigint, query_id bigint, item_id bigint, score double"
 
-def _blocks(df: DataFrame, n: int, tag: str) -> DataFrame:
-    """Rows packed into blocks of about ``BLOCK_ROWS``, block by hash of the id."""
-    id_col, vec = df.columns
-    block = F.pmod(F.xxhash64(id_col), F.lit(n)).alias(f"{tag}_block")
-    packed = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))))
-    return df.groupBy(block).agg(
-        F.transform(packed, lambda r: r["id"]).alias(f"{tag}_ids"),
-        F.flatten(F.transform(packed, lambda r: r["v"])).alias(f"{tag}_values"),
-    )
 
+def _slack(marks: np.ndarray) -> np.ndarray:
+    """Scores slightly below the marks, so that rounding never prunes an equal score."""
+    return marks - 1e-9 * (1 + np.abs(np.where(np.isfinite(marks), marks, 0)))
 
-def _best(batches, k: int):
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            q, i = np.asarray(row.q_ids), np.asarray(row.i_ids)
-            scores = np.asarray(row.q_values).reshape(len(q), -1) @ np.asarray(row.i_values).reshape(len(i), -1).T
-            order = np.lexsort((np.broadcast_to(i, scores.shape), -scores), axis=1)[:, :k]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(q, order.shape[1]),
-                    "item_id": i[order].ravel(),
-                    "score": np.take_along_axis(scores, order, axis=1).ravel(),
-                }
-            )
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    lengths = np.asarray(column.value_lengths())
+    if (lengths != width).any():
+        raise ValueError(f"vectors of {width} numbers expected, found {sorted(set(lengths.tolist()))}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
-def blockwise_top_k(queries: DataFrame, items: DataFrame, k: int, query_blocks: int = 0) -> DataFrame:
-    """Every query block is copied to each item block's key, so the meeting is an equi-join."""
-    n_items, n_queries = items.count(), queries.count()
-    item_blocks = max(1, -(-n_items // BLOCK_ROWS))
-    query_blocks = query_blocks or max(1, -(-n_queries // BLOCK_ROWS))
-    left = _blocks(queries, query_blocks, "q").withColumn(
-        "i_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(item_blocks - 1).cast("bigint")))
-    )
-    met = left.join(_blocks(items, item_blocks, "i"), "i_block")
-    partial = met.select("q_ids", "q_values", "i_ids", "i_values").mapInPandas(
-        lambda batches: _best(batches, k), "query_id bigint, item_id bigint, score double"
+
+def _named(df: DataFrame) -> DataFrame:
+    id_col, vector = df.columns
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropna()
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the first of equals."""
+    return ((centres**2).sum(1) - 2 * rows @ centres.T).argmin(1)
+
+
+def find_centres(items: DataFrame, n: int | None = None, steps: int = 8, seed: int = 0) -> np.ndarray:
+    """At most ``n`` centres of a bounded sample, drawn by id; by default fewer for a table that fits the sample."""
+    id_col, vector = items.columns
+    drawn = _named(items).select("v", "id", draw(seed, "id").alias("_d")).orderBy("_d", "id").limit(SAMPLE_ROWS)
+    sample = [r["v"] for r in drawn.select("v").collect()]
+    if not sample:
+        return np.empty((0, 0))
+    rows = np.array(sample, dtype=np.float64)
+    if n is None:
+        n = CENTRES if len(rows) == SAMPLE_ROWS else -(-len(rows) // SAMPLE_PER_CENTRE)
+    centres = rows[:n]
+    for _ in range(steps):
+        own = _nearest(rows, centres)
+        sizes = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        # a centre without rows stays where it is
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+    return centres
+
+
+def pack(vectors: DataFrame, centres: np.ndarray, block_rows: int) -> DataFrame:
+    """Blocks of the vectors of one centre each, longest vectors first, with radius and largest norm.
+
+    One shuffle by range: a centre that draws very many vectors is spread over tasks.
+    """
+    width = centres.shape[1]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(list(rows.tobytes()[i : i + 8 * width] for i in range(0, rows.nbytes, 8 * width)), pa.binary()),
+                    pa.array(_nearest(rows, centres).astype(np.int32)), pa.array(np.sqrt((rows**2).sum(1))),
+                ],
+                ["id", "v", "cluster", "norm"],
+            )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        cluster, ids, parts = -1, [], []
+
+        def block() -> pa.RecordBatch:
+            rows = np.frombuffer(b"".join(parts)).reshape(len(ids), width)
+            radius = np.sqrt(((rows - centres[cluster]) ** 2).sum(1).max())
+            largest = np.sqrt((rows**2).sum(1).max())
+            values = [cluster, number, len(ids), float(radius), float(largest), ids, b"".join(parts)]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
+            names = ["cluster", "block", "n", "radius", "largest", "ids", "payload"]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+
+        for batch in batches:
+            for key, vector, c in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if ids and (c != cluster or len(ids) == block_rows):
+                    yield block()
+                    number, ids, parts = number + 1, [], []
+                cluster = c
+                ids.append(key)
+                parts.append(vector)
+        if ids:
+            yield block()
+
+    by = [F.col("cluster"), F.desc("norm"), F.col("id")]
+    dealt = _named(vectors).mapInArrow(assign, "id bigint, v binary, cluster int, norm double")
+    placed = dealt.repartitionByRange(*by).sortWithinPartitions(*by).select("id", "v", "cluster")
+    # blocks are numbered by place, so they are written once
+    return cut_lineage(placed.mapInArrow(cut, _PACKED))
+
+
+@dataclass(frozen=True)
+class Index:
+    centres: np.ndarray
+    blocks: DataFrame
+
+    @property
+    def limits(self) -> DataFrame:
+        """(cluster, block, n, radius, largest): what the pruning knows of a block."""
+        return self.blocks.select("cluster", "block", "n", "radius", "largest")
+
+    @cached_property
+    def cluster_limits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Radius and largest norm of each centre's items, -1 where it has none, and their number."""
+        found = np.full((3, len(self.centres)), -1.0)
+        found[2] = 0
+        # one row a centre
+        for r in self.limits.groupBy("cluster").agg(F.max("radius"), F.max("largest"), F.sum("n")).collect():
+            found[:, r[0]] = r[1:]
+        return found[0], found[1], found[2].astype(np.int64)
+
+
+def build_index(items: DataFrame, centres: np.ndarray | None = None, block_rows: int = ITEM_ROWS) -> Index:
+    """Index of (id, vector)."""
+    centres = find_centres(items) if centres is None else centres
+    return Index(centres, pack(items, centres, block_rows))
+
+
+def _marks(ids: list[int], marks: list[dict] | None) -> np.ndarray:
+    """The k-th best score so far of each query, minus infinity before it has k."""
+    known = {m["query_id"]: m["score"] for m in marks or []}
+    return np.array([known.get(i, -np.inf) for i in ids])
+
+
+def _needs(asks: DataFrame, index: Index) -> DataFrame:
+    """(q_block, cluster, radius_needed, norm_needed) for the centres whose items may matter to a block of queries."""
+    centres = index.centres
+    radius, largest, _ = index.cluster_limits
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = np.frombuffer(row["q_payload"]).reshape(len(row["q_ids"]), -1)
+                norms = np.maximum(np.sqrt((rows**2).sum(1)), 1e-300)
+                marks = _slack(_marks(row["q_ids"], row["marks"]))
+                by_radius = ((marks[:, None] - rows @ centres.T) / norms[:, None]).min(0)
+                by_norm = np.full(len(centres), (marks / norms).min())
+                kept = np.flatnonzero((radius >= by_radius) & (largest >= by_norm))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(kept), row["q_block"])), pa.array(kept.astype(np.int32)),
+                        pa.array(by_radius[kept]), pa.array(by_norm[kept]),
+                    ],
+                    ["q_block", "cluster", "radius_needed", "norm_needed"],
+                )
+
+    schema = "q_block bigint, cluster int, radius_needed double, norm_needed double"
+    return asks.select("q_block", "q_ids", "q_payload", "marks").mapInArrow(find, schema)
+
+
+def _visit(pairs: DataFrame, asks: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """The k best items of each pair of blocks for each of its queries, none below the query's mark."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, i = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
+                scores = np.frombuffer(row["q_payload"]).reshape(len(q), -1) @ np.frombuffer(row["payload"]).reshape(len(i), -1).T
+                least = _slack(_marks(row["q_ids"], row["marks"]))
+                if len(i) > k:
+                    least = np.maximum(least, np.partition(scores, len(i) - k, axis=1)[:, len(i) - k])
+                at, of = np.nonzero(scores >= least[:, None])
+                value, item = scores[at, of], i[of]
+                order = np.lexsort((item, -value, at))
+                at, value, item = at[order], value[order], item[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, value, item = at[first], value[first], item[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), row["q_block"])), pa.array(q[at]), pa.array(item), pa.array(value)],
+                    ["q_block", "query_id", "item_id", "score"],
+                )
+
+    met = pairs.select("q_block", "block").join(asks, "q_block").join(blocks.select("block", "ids", "payload"), "block")
+    return met.select("q_block", "q_ids", "q_payload", "marks", "ids", "payload").mapInArrow(score, _FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return top_k(found, ["q_block", "query_id"], [F.desc("score"), F.asc("item_id")], k)
+
+
+def search(
+    queries: DataFrame, index: Index, k: int, query_rows: int = QUERY_ROWS, waves: Sequence[int] = WAVES
+) -> tuple[DataFrame, DataFrame]:
+    """The k best items of every query, (query_id, item_id, score, rank), and the pairs of blocks visited."""
+    packed = pack(queries, index.centres, query_rows)
+    asks = packed.select(
+        F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("payload").alias("q_payload"), F.col("cluster").alias("home")
     )
-    return top_k(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+    none = F.lit(None).cast("array<struct<query_id:bigint,score:double>>")
+    # the longest items around the centre that is nearest to the queries
+    first = top_k(index.limits, ["cluster"], [F.desc("largest"), F.asc("block")], 1).select(F.col("cluster").alias("home"), "block")
+    pairs = asks.select("q_block", "home").join(first, "home").select("q_block", "block")
+    best = cut_lineage(_best(_visit(pairs, asks.withColumn("marks", none), index.blocks, k), k))
+    visited = pairs
+    for wave in [*waves, None]:
+        marks = best.where(F.col("rank") == k).groupBy("q_block").agg(F.collect_list(F.struct("query_id", "score")).alias("marks"))
+        asked = asks.join(marks, "q_block", "left")
+        needs = _needs(asked, index).join(index.limits, "cluster")
+        kept = needs.where((F.col("radius") >= F.col("radius_needed")) & (F.col("largest") >= F.col("norm_needed")))
+        kept = kept.join(visited, ["q_block", "block"], "left_anti")
+        if wave is not None:
+            kept = top_k(kept, ["q_block"], [F.desc(F.col("radius") - F.col("radius_needed")), F.asc("block")], wave, "_nr")
+        pairs = kept.select("q_block", "block")
+        # the rounds to come leave out these pairs
+        pairs = pairs if wave is None else cut_lineage(pairs)
+        found = best.drop("rank").unionByName(_visit(pairs, asked, index.blocks, k))
+        visited = visited.unionByName(pairs)
+        best = _best(found, k)
+        if wave is not None:
+            best = cut_lineage(best)
+    return best.select("query_id", "item_id", "score", "rank"), visited
+
+
+def blockwise_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score, rank): the k items with the largest dot product for each query."""
+    if k < 1:
+        raise ValueError(f"k must be positive, found {k}")
+    index = build_index(items)
+    if not len(index.centres):
+        return queries.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, score double, rank int")
+    return search(queries, index, k)[0]
+
+
+def reachable(queries: DataFrame, index: Index, marks: DataFrame) -> DataFrame:
+    """Per query: how many centres, and items around them, its bounds do not rule out at its mark.
+
+    ``marks`` has (query_id, mark), a score that the query has reached already.
+    """
+    centres = index.centres
+    radius, largest, sizes = index.cluster_limits
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch.column(1), centres.shape[1])
+            norms = np.sqrt((rows**2).sum(1))[:, None]
+            bound = np.minimum(rows @ centres.T + norms * radius, norms * largest)
+            kept = (bound >= _slack(np.asarray(batch.column(2)))[:, None]) & (sizes > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(kept.sum(1)), pa.array(kept @ sizes)], ["query_id", "n_centres", "n_items"]
+            )
+
+    asked = _named(queries).join(marks, F.col("id") == F.col("query_id")).select("id", "v", F.col("mark").cast("double"))
+    return asked.mapInArrow(find, "query_id bigint, n_centres bigint, n_items bigint")

@@ -2,7 +2,8 @@
 
 Anchors form grids, so the anchors whose window holds a fact follow from its time by integer
 arithmetic. Facts are tagged in a projection and then grouped by (split, timestamp, entity):
-one scan and one shuffle, where a range join would have to compare facts with anchors.
+one scan and one shuffle, where a range join would have to compare facts with anchors. Anchors that form
+no grid (``Moments``) are looked up by buckets of time instead, also within the projection.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronograin.grid import Grid, floor_div, from_micros, micros
+from chronograin.grid import Anchors, Grid, Moments, floor_div, from_micros, micros
 from chronograin.model import ntz
 from chronograin.session import require_utc
 
@@ -38,13 +39,19 @@ def _anchor_time(grid: Grid, shift: int) -> Column:
     return from_micros(before - offset + F.lit(shift * grid.step_us))
 
 
-def _disjoint(grids: Sequence[Grid]) -> bool:
-    """Whether no moment lies in windows of two grids. The three splits of a task are disjoint."""
+def _irregular(grids: Sequence[Anchors]) -> bool:
+    return any(isinstance(g, Moments) for g in grids)
+
+
+def _disjoint(grids: Sequence[Anchors]) -> bool:
+    """Whether no moment lies in windows of two anchors. The three splits of a task are disjoint."""
+    if _irregular(grids):
+        return False
     ordered = sorted(grids, key=lambda g: g.start)
     return all(a.last + a.step <= b.start for a, b in zip(ordered, ordered[1:], strict=False))
 
 
-def _anchors(time_col: str, grids: Sequence[Grid], shift: int = 0) -> list[tuple[Column, Column]]:
+def _anchors(time_col: str, grids: Sequence[Anchors], shift: int = 0) -> list[tuple[Column, Column]]:
     """(split, timestamp) of a time: one pair per grid, or a single pair where the grids are disjoint."""
     moment = F.col(time_col)
     found = [
@@ -69,7 +76,7 @@ def _spread(df: DataFrame, time_col: str, pairs: list[tuple[Column, Column, list
     return spread.where(F.col("split").isNotNull()).drop(_US)
 
 
-def _covered(df: DataFrame, time_col: str, grids: Sequence[Grid], before: timedelta, after: timedelta) -> DataFrame:
+def _covered(df: DataFrame, time_col: str, grids: Sequence[Anchors], before: timedelta, after: timedelta) -> DataFrame:
     """Plain time bounds, which reach the scan as pushed filters."""
     lo = min(g.start for g in grids) - before
     hi = max(g.last for g in grids) + after
@@ -77,14 +84,17 @@ def _covered(df: DataFrame, time_col: str, grids: Sequence[Grid], before: timede
     return df.where((moment > ntz(lo)) & (moment <= ntz(hi)))
 
 
-def tag_windows(df: DataFrame, time_col: str, grids: Sequence[Grid]) -> DataFrame:
+def tag_windows(df: DataFrame, time_col: str, grids: Sequence[Anchors]) -> DataFrame:
     """Add ``split`` and ``timestamp`` of every anchor t with time in (t, t + step]."""
     require_utc(df.sparkSession)
     df = _covered(df, time_col, grids, timedelta(0), max(g.step for g in grids))
+    if _irregular(grids):
+        at = micros(F.col(time_col))
+        return df.select("*", F.inline(F.concat(*[F.transform(_hits(g, at, 0, g.step // _ONE_US), g.anchor) for g in grids])))
     return _spread(df, time_col, [(*pair, []) for pair in _anchors(time_col, grids)])
 
 
-def tag_windows_and_lookback(df: DataFrame, time_col: str, grids: Sequence[Grid]) -> DataFrame:
+def tag_windows_and_lookback(df: DataFrame, time_col: str, grids: Sequence[Anchors]) -> DataFrame:
     """As ``tag_windows``, plus the anchors with time in (t - step, t].
 
     ``in_window`` tells the two apart, so that "active before, and what came after" needs one
@@ -93,14 +103,34 @@ def tag_windows_and_lookback(df: DataFrame, time_col: str, grids: Sequence[Grid]
     require_utc(df.sparkSession)
     step = max(g.step for g in grids)
     df = _covered(df, time_col, grids, step, step)
+    if _irregular(grids):
+        at, found = micros(F.col(time_col)), []
+        for g in grids:
+            for window in (True, False):
+                ks = _hits(g, at, *((0, g.step // _ONE_US) if window else (g.step // _ONE_US, 0)))
+                found.append(F.transform(ks, _flagged(g, window)))
+        return df.select("*", F.inline(F.concat(*found)))
     pairs = [
         (*pair, [F.lit(shift == 0).alias("in_window")]) for shift in (0, 1) for pair in _anchors(time_col, grids, shift)
     ]
     return _spread(df, time_col, pairs)
 
 
+def _flagged(g: Anchors, window: bool):
+    return lambda k: F.struct(F.lit(g.split).alias("split"), g.moment(k).alias("timestamp"), F.lit(window).alias("in_window"))
+
+
+def _hits(g: Anchors, at: Column, lead: int, lag: int) -> Column:
+    """Numbers of the anchors t of a grid with ``at`` in (t - lead, t + lag], in microseconds."""
+    if isinstance(g, Moments):
+        return g.around(at, lead, lag)
+    lo = F.greatest(-floor_div(F.lit(g.start_us + lag) - at, g.step_us), F.lit(0))
+    hi = F.least(-floor_div(F.lit(g.start_us - lead) - at, g.step_us) - 1, F.lit(g.count - 1))
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+
 def tag_range(
-    df: DataFrame, time_col: str, grids: Sequence[Grid], before: timedelta, after: timedelta
+    df: DataFrame, time_col: str, grids: Sequence[Anchors], before: timedelta, after: timedelta
 ) -> DataFrame:
     """Anchors t with time in (t - before, t + after], for windows that do not tile the axis.
 
@@ -109,30 +139,29 @@ def tag_range(
     require_utc(df.sparkSession)
     df = _covered(df, time_col, grids, before, after)
     at = micros(F.col(time_col))
-    pieces = []
-    for g in grids:
-        lead, lag = before // _ONE_US, after // _ONE_US
-        lo = F.greatest(-floor_div(F.lit(g.start_us + lag) - at, g.step_us), F.lit(0))
-        hi = F.least(-floor_div(F.lit(g.start_us - lead) - at, g.step_us) - 1, F.lit(g.count - 1))
-        ks = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-        pieces.append(F.transform(ks, g.anchor))
+    pieces = [F.transform(_hits(g, at, before // _ONE_US, after // _ONE_US), g.anchor) for g in grids]
     return df.select("*", F.inline(F.concat(*pieces)))
 
 
-def _bases(grids: Sequence[Grid]) -> list[int]:
+def _bases(grids: Sequence[Anchors]) -> list[int]:
     return [sum(g.count for g in grids[:i]) for i in range(len(grids))]
 
 
-def anchor_number(grids: Sequence[Grid]) -> Column:
+def _number(g: Anchors) -> Column:
+    """Number, within its grid, of the anchor in column ``timestamp``."""
+    at = micros(F.col("timestamp"))
+    if isinstance(g, Moments):
+        return F.nullif(F.array_position(g.all_us, at), F.lit(0)) - 1
+    return floor_div(at - F.lit(g.start_us), g.step_us)
+
+
+def anchor_number(grids: Sequence[Anchors]) -> Column:
     """Number of the anchor in columns ``split`` and ``timestamp``, 0 .. n-1 over all grids."""
-    pieces = [
-        F.when(F.col("split") == g.split, floor_div(micros(F.col("timestamp")) - F.lit(g.start_us), g.step_us) + base)
-        for g, base in zip(grids, _bases(grids), strict=True)
-    ]
+    pieces = [F.when(F.col("split") == g.split, _number(g) + base) for g, base in zip(grids, _bases(grids), strict=True)]
     return F.coalesce(*pieces)
 
 
-def anchor_of(nr: str, grids: Sequence[Grid]) -> list[Column]:
+def anchor_of(nr: str, grids: Sequence[Anchors]) -> list[Column]:
     """Columns ``split`` and ``timestamp`` of an anchor number."""
     k, split, moment = F.col(nr), F.when(F.lit(False), F.lit("")), F.when(F.lit(False), ntz(grids[0].start))
     for g, base in zip(grids, _bases(grids), strict=True):
@@ -141,27 +170,30 @@ def anchor_of(nr: str, grids: Sequence[Grid]) -> list[Column]:
     return [split.alias("split"), moment.alias("timestamp")]
 
 
-def numbers_since(moment: Column | None, grids: Sequence[Grid]) -> Column:
+def numbers_since(moment: Column | None, grids: Sequence[Anchors]) -> Column:
     """Numbers of the anchors t with moment <= t, or of all anchors."""
     if moment is None:
         return F.sequence(F.lit(0).cast("bigint"), F.lit(sum(g.count for g in grids) - 1).cast("bigint"))
     pieces = []
     for g, base in zip(grids, _bases(grids), strict=True):
-        first = F.greatest(-floor_div(F.lit(g.start_us) - micros(moment), g.step_us), F.lit(0))
+        if isinstance(g, Moments):
+            first = F.size(F.filter(g.all_us, lambda t: t < micros(moment))).cast("bigint")
+        else:
+            first = F.greatest(-floor_div(F.lit(g.start_us) - micros(moment), g.step_us), F.lit(0))
         last = F.lit(base + g.count - 1).cast("bigint")
         found = F.when(first < g.count, F.sequence(first + base, last))
         pieces.append(F.coalesce(found, F.array().cast("array<bigint>")))
     return F.concat(*pieces)
 
 
-def spread_since(df: DataFrame, grids: Sequence[Grid], created_col: str | None = None) -> DataFrame:
+def spread_since(df: DataFrame, grids: Sequence[Anchors], created_col: str | None = None) -> DataFrame:
     """Every row at every anchor from its creation on (or at all anchors)."""
     created = None if created_col is None else F.col(created_col)
     spread = df.select("*", F.explode(numbers_since(created, grids)).alias("_nr"))
     return spread.select(*anchor_of("_nr", grids), *df.columns)
 
 
-def churn(facts: DataFrame, key: str, time_col: str, grids: Sequence[Grid], target: str) -> DataFrame:
+def churn(facts: DataFrame, key: str, time_col: str, grids: Sequence[Anchors], target: str) -> DataFrame:
     """1 if an entity that was active in (t - step, t] has no fact in (t, t + step]."""
     tagged = tag_windows_and_lookback(facts.select(key, time_col).dropna(subset=[key]), time_col, grids)
     return (
@@ -173,7 +205,7 @@ def churn(facts: DataFrame, key: str, time_col: str, grids: Sequence[Grid], targ
 
 
 def value_of_active(
-    facts: DataFrame, key: str, time_col: str, value: str, grids: Sequence[Grid], target: str
+    facts: DataFrame, key: str, time_col: str, value: str, grids: Sequence[Anchors], target: str
 ) -> DataFrame:
     """Sum of ``value`` in (t, t + step] (0 if none) for entities active in (t - step, t]."""
     tagged = tag_windows_and_lookback(
@@ -191,7 +223,7 @@ def value_of_active(
 
 
 def aggregate(
-    facts: DataFrame, key: str, time_col: str, grids: Sequence[Grid], **aggs: Column
+    facts: DataFrame, key: str, time_col: str, grids: Sequence[Anchors], **aggs: Column
 ) -> DataFrame:
     """Any aggregates over the facts of (t, t + step], per entity with at least one fact."""
     tagged = tag_windows(facts.dropna(subset=[key]), time_col, grids)
@@ -203,7 +235,7 @@ def for_each_existing(
     key: str,
     hits: DataFrame,
     value: str,
-    grids: Sequence[Grid],
+    grids: Sequence[Anchors],
     created_col: str | None,
     default: Column,
 ) -> DataFrame:
@@ -231,7 +263,7 @@ def for_each_existing(
 
 
 def for_each_since_first(
-    facts: DataFrame, key: str, time_col: str, grids: Sequence[Grid], name: str
+    facts: DataFrame, key: str, time_col: str, grids: Sequence[Anchors], name: str
 ) -> DataFrame:
     """From a key's first fact on: a row per anchor t, 1 if (t, t + step] holds a fact, else 0.
 
@@ -265,7 +297,7 @@ def for_each_since_first(
 
 
 def distinct_pairs(
-    facts: DataFrame, src: str, dst: str, time_col: str, grids: Sequence[Grid], *carry: str
+    facts: DataFrame, src: str, dst: str, time_col: str, grids: Sequence[Anchors], *carry: str
 ) -> DataFrame:
     """Distinct (split, timestamp, src, dst) over the facts of each window."""
     known = facts.select(src, dst, time_col, *carry).dropna(subset=[src, dst])

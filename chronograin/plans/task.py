@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronograin.grid import SPLITS, Grid, check_cutoffs, split_grid
+from chronograin.grid import SPLITS, Anchors, Grid, Moments, check_cutoffs, split_grid
 from chronograin.model import Database, Dataset, Table, TaskKind
 from chronograin.operators import integrity, lists, stats
 from chronograin.operators.metrics import Metric, evaluate_entity, evaluate_link
@@ -17,7 +17,7 @@ from chronograin.operators.windows import ANCHOR
 from chronograin.session import path_exists
 
 # (database, grids) -> (split, timestamp, keys.., target)
-Builder = Callable[[Database, Sequence[Grid]], DataFrame]
+Builder = Callable[[Database, Sequence[Anchors]], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,25 @@ class Task:
         built = self.build(dataset.full_db, self.grids(dataset, splits))
         return self.known_only(dataset, built)
 
+    def labels_at(self, dataset: Dataset, times: Sequence[datetime], split: str = "train") -> DataFrame:
+        """Labels at anchors of the caller's choice, which need not form a grid; windows may overlap.
+
+        Only the test split may look behind the test cut-off.
+        """
+        anchors = Moments(split, tuple(sorted(set(times))), self.delta)
+        if split != "test" and anchors.last + self.delta > dataset.test_timestamp:
+            raise ValueError(f"the window after {anchors.last} ends after the test cut-off {dataset.test_timestamp}")
+        return self.known_only(dataset, self.build(dataset.full_db, [anchors]))
+
+    def table_at(
+        self, dataset: Dataset, times: Sequence[datetime], split: str = "train", *, mask: bool | None = None, keep_dst: bool = False
+    ) -> Table:
+        """Label table at anchors of the caller's choice, masked like that of its split."""
+        df = self.arranged(self.labels_at(dataset, times, split))
+        if mask if mask is not None else split == "test":
+            df = self.masked(df, keep_dst)
+        return Table(df, None, self.time_name, self.fkeys())
+
     def table(
         self,
         dataset: Dataset,
@@ -85,7 +104,11 @@ class Task:
         return spark.read.parquet(path)
 
     def finished(self, dataset: Dataset, split: str) -> DataFrame:
-        return self.labels(dataset, [split]).drop("split").withColumnRenamed("timestamp", self.time_name)
+        return self.arranged(self.labels(dataset, [split]))
+
+    def arranged(self, labels: DataFrame) -> DataFrame:
+        """Labels of one split as the rows of a table."""
+        return labels.drop("split").withColumnRenamed("timestamp", self.time_name)
 
     def masked(self, df: DataFrame, keep_dst: bool = False) -> DataFrame:
         return df.select(*self.input_columns(keep_dst))
@@ -157,9 +180,8 @@ class LinkTask(Task):
         known = integrity.keep_known(labels, self.dst_col, dataset.entity_ids(self.dst_table))
         return integrity.keep_known(known, self.src_col, dataset.entity_ids(self.src_table))
 
-    def finished(self, dataset: Dataset, split: str) -> DataFrame:
-        pairs = self.labels(dataset, [split])
-        found = lists.pairs_to_lists(pairs, ["timestamp", self.src_col], self.dst_col, self.part_rows)
+    def arranged(self, labels: DataFrame) -> DataFrame:
+        found = lists.pairs_to_lists(labels, ["timestamp", self.src_col], self.dst_col, self.part_rows)
         return found.withColumnRenamed("timestamp", self.time_name)
 
     def masked(self, df: DataFrame, keep_dst: bool = False) -> DataFrame:

@@ -38,6 +38,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def books() -> list[Book]:
-    from chronograin.queries import cleaning, docs, graphs, keys, labels, learning, relational, storage
+    from chronograin.queries import cleaning, docs, graphs, irregular, keys, labels, learning, relational, storage
 
-    return [m.BOOK for m in (labels, cleaning, relational, keys, learning, graphs, docs, storage)]
+    return [m.BOOK for m in (labels, irregular, cleaning, relational, keys, learning, graphs, docs, storage)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronograin.functions.draws import draw_sql
 from chronograin.grid import Grid
 from chronograin.model import Table, TaskKind, ntz
-from chronograin.operators import baselines, joins, links, metrics, stats, windows
+from chronograin.operators import baselines, joins, links, metrics, scoring, stats, windows
 from chronograin.plans.catalog import get_task
 from chronograin.queries import Book, read
 from chronograin.queries.databases import DATASETS
@@ -243,6 +243,30 @@ def score_topk(spark, sf_dir):
     return best.withColumn("score", F.round("score", 6))
 
 
+@BOOK.query(
+    "score_topk_pruned_blocks",
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    c AS (SELECT row_number() OVER (ORDER BY d, vec_id) - 1 AS centre, v AS w FROM (
+      SELECT vec_id, v, {draw_sql(3, "vec_id")} AS d FROM e ORDER BY d, vec_id LIMIT 12)),
+    near AS (SELECT vec_id, v, centre, list_distance(v, w) AS far FROM e, c),
+    own AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, centre) = 1),
+    limits AS (SELECT centre, max(far) AS radius, max(sqrt(list_inner_product(v, v))) AS largest, count(*) AS n FROM own GROUP BY centre),
+    s AS (SELECT q.vec_id AS query_id, list_inner_product(q.v, i.v) AS score FROM e q, e i),
+    r AS (SELECT query_id, score AS mark FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC) = 10),
+    b AS (SELECT query_id, mark, n, sqrt(list_inner_product(v, v)) AS norm, list_inner_product(v, w) AS dot, radius, largest
+      FROM r JOIN e ON vec_id = query_id, c JOIN limits USING (centre))
+    SELECT query_id, count(*) AS n_centres, sum(n)::BIGINT AS n_items FROM b
+    WHERE least(dot + norm * radius, norm * largest) >= mark - 1e-9 * (1 + abs(mark)) GROUP BY query_id""",
+)
+def score_topk_pruned_blocks(spark, sf_dir):
+    """What the bounds leave of the items, at each query's tenth best score."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = scoring.build_index(vectors, scoring.find_centres(vectors, 12, steps=0, seed=3))
+    best, _ = scoring.search(vectors, index, 10)
+    marks = best.where(F.col("rank") == 10).select("query_id", F.col("score").alias("mark"))
+    return scoring.reachable(vectors, index, marks)
+
+
 @BOOK.query(
     "feature_join",
     f"""WITH {_LAB} SELECT timestamp, o_custkey, total, c_name, c_acctbal, c_mktsegment FROM lab LEFT JOIN customer ON o_custkey = c_custkey""",
