@@ -24,7 +24,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,36 +227,60 @@ def conditions() -> dict[str, Column]:
     }
 
 
-def failures(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, mask) of every row: bit i of the mask is set if filter i of ``FILTERS`` fails it."""
+def own_failures(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, digest, own) of every row: bit i of ``own`` is set if filter i fails the text by itself."""
     narrow = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce("lang", F.lit("")).alias("part"),
         F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
         "text",
     )
-    own = measured(narrow, ["doc_id", "part", "digest"])
+    found = measured(narrow, ["doc_id", "part", "digest"])
     bits = sum((F.when(failed, 1 << FILTERS.index(name)).otherwise(0) for name, failed in conditions().items()), F.lit(0))
-    # texts are read once; what follows reads some sixty bytes a document
-    rows = stored(own.select("doc_id", "part", "digest", bits.alias("own")), "filters")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copied = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    return rows.join(firsts.where("first < last").drop("last"), "digest", "left").select(
-        "doc_id", "part", (F.col("own") + F.when(copied, 1 << FILTERS.index("E")).otherwise(0)).alias("mask")
-    )
+    return found.select("doc_id", "part", "digest", bits.alias("own"))
 
 
 def labelled(failed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Number of documents, and of good and toxic ones, by (part, mask)."""
+    """``failed`` with columns good and toxic."""
     known = (
         labels.where("quality = 1 OR toxic = 1")
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     )
+    found = [F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")]
+    return failed.join(known, "doc_id", "left").select(*failed.columns, *found)
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """Number of documents, and of good and toxic ones, by (part, mask), copies of smaller ids found on the way.
+
+    All copies of a text fail the same filters of their own, so they are counted, not joined: of a text only the
+    rows of its smallest id pass. Rows are combined before each shuffle, so very many copies are a few rows.
+    """
+    alike = ["digest", "part", "own", "good", "toxic"]
+    by_id = rows.groupBy(*alike, "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # of a NULL id no smaller one is known, so its rows stand apart
+    groups = by_id.groupBy(*alike, F.col("doc_id").isNull().alias("free")).agg(
+        F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("first")
+    )
+    # a text has at most eight of these rows for each part
+    smallest = F.min("first.doc_id").over(Window.partitionBy("digest"))
+    passing = F.when(F.col("free"), F.col("n")).when(F.col("first.doc_id") == F.col("smallest"), F.col("first.n")).otherwise(0)
+    told = groups.withColumn("smallest", smallest).withColumn("passing", passing)
+    copied = F.col("own") + (1 << FILTERS.index("E"))
+    masks = F.array(
+        F.struct(F.col("own").alias("mask"), F.col("passing").alias("m")),
+        F.struct(copied.alias("mask"), (F.col("n") - F.col("passing")).alias("m")),
+    )
     return (
-        failed.join(known, "doc_id", "left")
+        told.select("part", "good", "toxic", F.inline(masks))
+        .where("m > 0")
         .groupBy("part", "mask")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("n_good"), F.count_if("toxic").alias("n_toxic"))
+        .agg(
+            F.sum("m").alias("n"),
+            F.sum(F.when(F.col("good"), F.col("m")).otherwise(0)).alias("n_good"),
+            F.sum(F.when(F.col("toxic"), F.col("m")).otherwise(0)).alias("n_toxic"),
+        )
     )
 
 
@@ -265,12 +289,12 @@ def _bit(order: Column, i: Column) -> Column:
     return F.pow(F.lit(2), F.ascii(order.substr(i, F.lit(1))) - ord("A")).cast("int")
 
 
-def audit(counts: DataFrame) -> DataFrame:
+def audit(masks: DataFrame) -> DataFrame:
     """One row for each part, order of the filters and step, from counts by (part, mask)."""
     orders = F.array(*[F.lit("".join(p)) for p in permutations(FILTERS)])
     steps = F.array(*[F.lit(i) for i in range(1, len(FILTERS) + 1)])
     rows = (
-        counts.select("*", F.explode(orders).alias("filter_order"))
+        masks.select("*", F.explode(orders).alias("filter_order"))
         .select("*", F.explode(steps).alias("step"))
         .withColumn("bit", _bit(F.col("filter_order"), F.col("step")))
         .withColumn(
@@ -301,7 +325,8 @@ def audit(counts: DataFrame) -> DataFrame:
 
 def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The audit of all documents, by their lang."""
-    return audit(labelled(failures(docs), labels))
+    # texts are read once; what follows reads some sixty bytes a document
+    return audit(counts(labelled(stored(own_failures(docs), "filters"), labels)))
 
 
 SQL = r"""
