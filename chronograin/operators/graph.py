@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronograin.functions.draws import draw
+from chronograin.functions.permute import positions_drawn, round_keys
 from chronograin.model import Database, Table, TaskKind
 from chronograin.operators.columns import column_stats, infer_kinds, without_keys
 from chronograin.operators.integrity import check_dense
@@ -198,28 +199,19 @@ def _visible(edges: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return numbered, counted.where(F.col("_n") > 0)
 
 
-def _positions(n: Column, k: int, strategy: str, seed: int) -> Column:
-    """At most k of the positions 1 .. n: the last ones, or a uniform sample.
+# what a draw of neighbours depends on, apart from the seed
+ASK = ("edge_type", "src_table", "dst_id", "seed_id", "seed_time")
+
 
-    The sample takes one position from each of k strata and turns the circle of positions by a
-    random amount, so that every position is as likely as any other, whatever n / k is.
+def _positions(n: Column, k: int, strategy: str, seed: int) -> Column:
+    """At most k of the positions 1 .. n: the last ones, or a uniform sample, in which every set of k is as likely
+    as any other.
     """
     if strategy == "last":
         return F.sequence(F.greatest(n - (k - 1), F.lit(1).cast("bigint")), n)
     if strategy != "uniform":
         raise ValueError(f"unknown strategy {strategy}")
-    strata = F.sequence(F.lit(0), F.lit(k - 1))
-    ask = ["edge_type", "src_table", "dst_id", "seed_id", "seed_time"]
-
-    def below(limit: Column, *salt: Column) -> Column:
-        return F.pmod(draw(seed, *ask, *salt), limit)
-
-    def drawn(i: Column) -> Column:
-        lo, hi = F.floor(i * n / F.lit(k)), F.floor((i + 1) * n / F.lit(k))
-        return F.pmod(lo + below(hi - lo, i) + below(n, F.lit(-1)), n) + 1
-
-    everything = F.sequence(F.lit(1).cast("bigint"), n)
-    return F.when(n <= k, everything).otherwise(F.transform(strata, drawn))
+    return positions_drawn(n, k, round_keys(seed, *ASK))
 
 
 def temporal_neighbors(

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronograin.functions.draws import draw_sql
+from chronograin.functions.permute import half_bits_sql, permuted_sql, round_keys_sql
 from chronograin.functions.text import hash_embedding
 from chronograin.grid import Grid
 from chronograin.model import Database, Table, TaskKind
@@ -291,12 +292,37 @@ def temporal_neighbors_all(spark, sf_dir):
     return found.select("seed_id", "seed_time", "dst_id", "src_id", "src_time")
 
 
-@BOOK.query("temporal_neighbor_sample")
+_SAMPLE_SEED, _FAN_OUT = 42, graph.halving(8, 2)
+_EDGE_OUT = "seed_id, seed_time, edge_type, src_table, dst_table, dst_id, src_id, src_time"
+
+
+def _hop_sql(hop: int, asks: str) -> str:
+    """CTEs ``hop<n>``: the edges that a hop keeps, by the same permutation."""
+    k = _FAN_OUT[hop - 1]
+    return f"""
+seen{hop} AS (SELECT a.*, e.edge_type, e.src_table, e.src_id, e.src_time,
+  row_number() OVER (PARTITION BY seed_id, e.edge_type, e.src_table, dst_id ORDER BY coalesce(src_time, {graph.NEVER_BEFORE}), src_id) AS pos,
+  count(*) OVER (PARTITION BY seed_id, e.edge_type, e.src_table, dst_id) AS n
+  FROM ({asks}) a JOIN edges e USING (dst_table, dst_id) WHERE e.src_time IS NULL OR e.src_time <= seed_time),
+many{hop} AS (SELECT DISTINCT {", ".join(graph.ASK)}, n FROM seen{hop} WHERE n > {k}),
+keyed{hop} AS (SELECT *, {half_bits_sql("n")} AS b, {round_keys_sql(_SAMPLE_SEED + hop, *graph.ASK)} AS keys FROM many{hop}),
+walk{hop} AS (SELECT *, i::BIGINT AS x, 0 AS step FROM keyed{hop}, generate_series(0, {k - 1}) g(i)
+  UNION ALL SELECT * REPLACE ({permuted_sql("x", "b", "keys")} AS x, step + 1 AS step) FROM walk{hop} WHERE step = 0 OR x >= n),
+hop{hop} AS (SELECT {_EDGE_OUT}, {hop} AS hop FROM seen{hop} WHERE n <= {k}
+  UNION ALL SELECT {", ".join(f"s.{c}" for c in _EDGE_OUT.split(", "))}, {hop} FROM seen{hop} s JOIN walk{hop} w
+    ON {" AND ".join(f"s.{c} = w.{c}" for c in graph.ASK)} AND s.pos = w.x + 1 WHERE step > 0 AND x < w.n)"""
+
+
+@BOOK.query(
+    "temporal_neighbor_sample",
+    f"""WITH RECURSIVE {_LINE}, {_EDGES}, {_SEEDS},
+    {_hop_sql(1, "SELECT seed_id, seed_time, 'customer' AS dst_table, c_custkey AS dst_id FROM seeds")},
+    {_hop_sql(2, "SELECT DISTINCT seed_id, seed_time, src_table AS dst_table, src_id AS dst_id FROM hop1")}
+    SELECT * FROM hop1 UNION ALL SELECT * FROM hop2""",
+)
 def temporal_neighbor_sample(spark, sf_dir):
-    """Two hops from every customer at every anchor, fan-out 8 and 4, uniform in time-respecting strata."""
-    return graph.sample_subgraphs(
-        _db(spark, sf_dir), "customer", _seeds(spark, sf_dir), graph.halving(8, 2), "uniform", 42
-    )
+    """Two hops from every customer at every anchor, fan-out 8 and 4: uniform subsets of what each may see."""
+    return graph.sample_subgraphs(_db(spark, sf_dir), "customer", _seeds(spark, sf_dir), _FAN_OUT, "uniform", _SAMPLE_SEED)
 
 
 @BOOK.query(
