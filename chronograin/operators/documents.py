@@ -18,6 +18,7 @@ from chronograin.functions.clean import DOCUMENT_TIME, columns_to_array, json_sa
 from chronograin.model import Database
 from chronograin.operators.joins import facts_upto, lookup
 from chronograin.operators.lists import PART_ROWS, hot_keys, split_parts
+from chronograin.operators.selection import first_rows
 from chronograin.operators.windows import union_all
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -287,7 +288,10 @@ def _engagements(events: DataFrame, attendees: DataFrame, interest: DataFrame) -
 
 
 def driver_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
-    """Drivers with seasons, races and their performance (result, qualifying, standing)."""
+    """Drivers with seasons, races and their performance (team, qualifying, result with its status, standing).
+
+    Databases without a table of teams or of statuses leave that field out.
+    """
     nest = Nest(part_rows)
     circuits, races = db.df("circuits"), db.df("races")
     about = [c for c in circuits.columns if c != "circuitId"]
@@ -301,11 +305,19 @@ def driver_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
         return rows.groupBy("raceId", "driverId").agg(F.min(alias).alias(alias))
 
     results = db.df("results")
-    starts = results.select("raceId", "driverId", F.struct(*fields(results, drop=["raceId", "driverId"])).alias("result"))
+    own, team, said = fields(results, drop=["raceId", "driverId"]), [], []
+    if "status" in db.tables:
+        about = _dimension(db.df("status"), "statusId", "status_text")
+        results = _with(results, about, "statusId", "status_text")
+        said = [F.struct("statusId", "status_text.*").alias("status")]
+    if "constructors" in db.tables:
+        results = _with(results, _dimension(db.df("constructors"), "constructorId", "constructor"), "constructorId", "constructor")
+        team = ["constructor"]
+    starts = results.select("raceId", "driverId", *team, F.struct(*own, *said).alias("result"))
     starts = starts.join(race, F.col("raceId") == F.col("_race")).where(F.col("_year").isNotNull())
     starts = starts.join(first("qualifying", ["date"], "qualifying"), ["raceId", "driverId"], "left")
     starts = starts.join(first("standings", ["date"], "championship_standing"), ["raceId", "driverId"], "left")
-    item = F.struct("race", F.struct("qualifying", "result", "championship_standing").alias("driver_performance"))
+    item = F.struct("race", F.struct(*team, "qualifying", "result", "championship_standing").alias("driver_performance"))
     seasons = nest.lists(starts, ["driverId", "_year"], item, ["raceId"], "races", "seasons.races")
     season = F.struct(F.col("_year").alias("year"), "races")
     # a driver has as many seasons as there are years
@@ -394,7 +406,9 @@ def study_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
 
 def sampled_ids(tables: Sequence[tuple[DataFrame, int]], entity: str, order: Sequence[str]) -> DataFrame:
     """Distinct entity ids of the first n rows of each label table, along an explicit order."""
-    heads = [df.orderBy(*order).limit(n).select(entity) for df, n in tables]
+    # only what decides is sorted, not the whole rows
+    narrow = [(df.select(*dict.fromkeys([entity, *order])), n) for df, n in tables]
+    heads = [first_rows(df, order, n).select(entity) for df, n in narrow]
     return union_all(heads).distinct()
 
 

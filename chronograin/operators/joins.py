@@ -11,8 +11,14 @@ from chronograin.model import Table
 
 
 def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a frame that holds a single row, such as a global aggregate."""
-    return df.join(F.broadcast(one_row))
+    """Add the columns of a frame that holds a single row, such as a global aggregate.
+
+    A second row is an error, not a second copy of every row of ``df``; without any row there is nothing to add to.
+    """
+    whole = one_row.agg(F.count(F.lit(1)).alias("_rows"), F.first(F.struct(*one_row.columns)).alias("_row"))
+    too_many = F.raise_error(F.lit("more than one row of constants")).cast("boolean")
+    single = F.when(F.col("_rows") <= 1, F.col("_rows") == 1).otherwise(too_many)
+    return df.join(F.broadcast(whole.where(single).select("_row.*")))
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, dim_key: str, cols: Sequence[str]) -> DataFrame:

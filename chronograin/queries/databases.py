@@ -212,7 +212,15 @@ def racing(spark: SparkSession, sf_dir: str) -> Dataset:
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     supplier, nation = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
     of_race = {"raceId": "races", "driverId": "drivers"}
+    status = _choose("l_returnflag", {"A": 1, "N": 2}, 3).alias("statusId")
     tables = {
+        "constructors": Table(
+            read(spark, sf_dir, "part").select(
+                F.col("p_partkey").alias("constructorId"), F.col("p_name").alias("name"), F.col("p_brand").alias("nationality")
+            ),
+            "constructorId",
+        ),
+        "status": Table(lines.select(status, F.col("l_returnflag").alias("status")).distinct(), "statusId"),
         "circuits": Table(
             nation.select(F.col("n_nationkey").alias("circuitId"), F.col("n_name").alias("name")), "circuitId"
         ),
@@ -237,12 +245,13 @@ def racing(spark: SparkSession, sf_dir: str) -> Dataset:
                 F.col("l_suppkey").alias("driverId"),
                 F.col("l_shipdate").alias("date"),
                 F.col("l_linenumber").alias("positionOrder"),
-                _choose("l_returnflag", {"A": 1, "N": 2}, 3).alias("statusId"),
+                status,
                 F.col("l_quantity").alias("points"),
+                F.col("l_partkey").alias("constructorId"),
             ),
             None,
             "date",
-            of_race,
+            {**of_race, "constructorId": "constructors"},
         ),
         "qualifying": Table(
             lines.select(
@@ -493,7 +502,9 @@ circuits AS (SELECT n_nationkey AS circuitId, n_name AS name FROM nation),
 races AS (SELECT o_orderkey AS raceId, CAST(year(o_orderdate) AS INTEGER) AS year,
   CAST(length(o_orderpriority) AS INTEGER) AS circuitId, o_orderdate AS date FROM orders),
 results AS (SELECT l_orderkey AS raceId, l_suppkey AS driverId, l_shipdate AS date, l_linenumber AS positionOrder,
-  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS statusId, l_quantity AS points FROM lineitem),
+  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS statusId, l_quantity AS points, l_partkey AS constructorId FROM lineitem),
+constructors AS (SELECT p_partkey AS constructorId, p_name AS name, p_brand AS nationality FROM part),
+status AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS statusId, l_returnflag AS status FROM lineitem),
 qualifying AS (SELECT l_orderkey AS raceId, l_suppkey AS driverId, l_shipdate - INTERVAL 1 DAY AS date,
   CAST(l_quantity AS INTEGER) AS position FROM lineitem),
 standings AS (SELECT l_orderkey AS raceId, l_suppkey AS driverId, l_shipdate AS date, l_extendedprice AS points

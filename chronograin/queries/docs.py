@@ -123,8 +123,11 @@ BOOK.add(
     q AS (SELECT raceId, driverId, {{date: {_t("date")}, position: position}} AS v FROM qualifying QUALIFY row_number() OVER (PARTITION BY raceId, driverId ORDER BY date, position) = 1),
     s AS (SELECT raceId, driverId, {{date: {_t("date")}, points: points}} AS v FROM standings QUALIFY row_number() OVER (PARTITION BY raceId, driverId ORDER BY date, points) = 1),
     st AS (SELECT r.driverId, r.raceId, ra.year, {{race: {{year: ra.year, circuitId: ra.circuitId, date: {_t("ra.date")}, name: c.name}},
-      driver_performance: {{qualifying: q.v, result: {{date: {_t("r.date")}, positionOrder: positionOrder, statusId: statusId, points: points}},
+      driver_performance: {{constructor: CASE WHEN co.constructorId IS NULL THEN NULL ELSE {{name: co.name, nationality: co.nationality}} END,
+      qualifying: q.v, result: {{date: {_t("r.date")}, positionOrder: positionOrder, statusId: r.statusId, points: points, constructorId: r.constructorId,
+        status: {{statusId: r.statusId, status: stat.status}}}},
       championship_standing: s.v}}}} AS item FROM results r JOIN races ra ON ra.raceId = r.raceId LEFT JOIN circuits c ON c.circuitId = ra.circuitId
+      LEFT JOIN constructors co ON co.constructorId = r.constructorId LEFT JOIN status stat ON stat.statusId = r.statusId
       LEFT JOIN q ON q.raceId = r.raceId AND q.driverId = r.driverId LEFT JOIN s ON s.raceId = r.raceId AND s.driverId = r.driverId),
     se AS (SELECT driverId, year, list(item ORDER BY raceId, item) AS races FROM st GROUP BY driverId, year),
     l AS (SELECT driverId, list({{year: year, races: races}} ORDER BY year) AS seasons FROM se GROUP BY driverId)

@@ -11,6 +11,7 @@ from chronograin.grid import Grid, anchor_table
 from chronograin.model import Table
 from chronograin.operators import integrity, joins, windows
 from chronograin.operators.running import positions
+from chronograin.operators.selection import subsample
 from chronograin.queries import Book, read
 
 BOOK = Book()
@@ -374,11 +375,6 @@ def head_n(spark, sf_dir):
     return rows.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25)
 
 
-def subsample(df, key_cols, n, seed):
-    """``n`` rows picked by a hash of their key: the same rows on every run."""
-    return df.orderBy(draw(seed, *key_cols), *key_cols).limit(n)
-
-
 @BOOK.query(
     "subsample_n",
     f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {draw_sql(42, 'o_orderkey')}, o_orderkey LIMIT 500",
