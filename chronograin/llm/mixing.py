@@ -4,8 +4,8 @@ Sizes are word counts. Sources in the order of their code points (NULL last) wei
 share ``SHARE`` times all words; a target stops at ``MOST`` times the size of its source, and the excess is
 reshared by weight until no target is above. Then
 
-1. the words of the mix, in blocks of ``BLOCK_WORDS``, are apportioned among the sources by highest quotients
-   target / (2 k + 1);
+1. the words of the mix are apportioned among the sources by highest quotients target / (2 k + 1), and a source's words
+   are dealt in equal blocks of its own: ``BLOCK_WORDS``, or a ``LEAST_BLOCKS``-th of its size where it is small;
 2. a source's blocks are apportioned likewise among its shards, which hold its rows by a seeded hash, a
    bounded number each, so a source with a third of all rows is spread over many tasks;
 3. a shard lays its documents end to end in seeded order and cuts them into blocks of equal length;
@@ -36,6 +36,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 100
+# blocks that even a small source has, so that it can come near its target
+LEAST_BLOCKS = 50
 SHARD_ROWS = 1000
 SEED = 20
 
@@ -95,6 +97,11 @@ def cut(words: int, block: int = BLOCK_WORDS) -> int:
     return max(1, round(words / block)) if words else 0
 
 
+def block_words(size: int, block: int = BLOCK_WORDS) -> int:
+    """Words of a block of a source with ``size`` words."""
+    return max(1, min(block, size // LEAST_BLOCKS))
+
+
 def choose(words: int, quota: int, seed: Sequence[int], block: int = BLOCK_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
     """Times that every block is taken; edges of the blocks; which are taken once more."""
     n = cut(words, block)
@@ -119,8 +126,9 @@ def _plan(sized: DataFrame, narrow: DataFrame, block: int, shard_rows: int) -> D
     sizes = [r["n"] for r in per_source]
     wanted = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
     shards = [-(-r["rows"] // shard_rows) for r in per_source]
-    figures = "source string, source_no int, shards int, source_size bigint, target double"
-    rows = [(r["source"], i, shards[i], sizes[i], wanted[i]) for i, r in enumerate(per_source)]
+    blocks = [block_words(n, block) for n in sizes]
+    figures = "source string, source_no int, shards int, source_size bigint, target double, block int"
+    rows = [(r["source"], i, shards[i], sizes[i], wanted[i], blocks[i]) for i, r in enumerate(per_source)]
     named = spark.createDataFrame(rows, figures)
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -136,23 +144,23 @@ def _plan(sized: DataFrame, narrow: DataFrame, block: int, shard_rows: int) -> D
     by_source: list[list[tuple[int, int]]] = [[] for _ in rows]
     for r in sorted(held, key=lambda r: (r["source_no"], r["shard"])):
         by_source[r["source_no"]].append((r["shard"], r["n"]))
-    most = [[MOST * cut(n, block) for _, n in part] for part in by_source]
-    seats = apportion(wanted, round(sum(wanted) / block), [sum(m) for m in most])
-    quotas = [
-        (i, shard, quota)
-        for i, part in enumerate(by_source)
-        for (shard, _), quota in zip(part, apportion([n for _, n in part], seats[i], most[i]), strict=True)
-    ]
+    words = apportion(wanted, round(sum(wanted)), [MOST * n for n in sizes])
+    quotas = []
+    for i, part in enumerate(by_source):
+        most = [MOST * cut(n, blocks[i]) for _, n in part]
+        dealt_to = apportion([n for _, n in part], round(words[i] / blocks[i]), most)
+        quotas += [(i, shard, quota) for (shard, _), quota in zip(part, dealt_to, strict=True)]
     return dealt(sized).join(spark.createDataFrame(quotas, "source_no int, shard int, quota bigint"), ["source_no", "shard"])
 
 
-def _laid_out(table: pa.Table, block: int) -> tuple[pa.Table, int, np.ndarray, np.ndarray, np.ndarray]:
+def _laid_out(table: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray, np.ndarray]:
     """A shard's rows in seeded order, passes over all blocks, block edges, extra blocks, documents' edges."""
     table = table.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("_size", "ascending")])
     sizes = table.column("_size").to_numpy()
     ends = np.r_[0, np.cumsum(sizes)]
     key = [SEED, table.column("source_no")[0].as_py(), table.column("shard")[0].as_py()]
-    passes, edges, extra = choose(int(ends[-1]), table.column("quota")[0].as_py(), key, block)
+    quota, block = table.column("quota")[0].as_py(), table.column("block")[0].as_py()
+    passes, edges, extra = choose(int(ends[-1]), quota, key, block)
     return table, passes, edges, extra, ends
 
 
@@ -173,7 +181,7 @@ def mix_sizes(docs: DataFrame, block: int = BLOCK_WORDS, shard_rows: int = SHARD
     planned = _plan(narrow, narrow, block, shard_rows).drop("shards")
 
     def take(table: pa.Table) -> pa.Table:
-        table, passes, edges, extra, ends = _laid_out(table, block)
+        table, passes, edges, extra, ends = _laid_out(table)
         upto = _taken_upto(ends, edges, extra)
         taken = passes * table.column("_size").to_numpy() + np.diff(upto)
         names = ["doc_id", "source", "_size", "source_size", "target"]
@@ -193,12 +201,12 @@ def mix_texts(docs: DataFrame, block: int = BLOCK_WORDS, shard_rows: int = SHARD
     sized = _sized(docs.select("doc_id", "text", "source", F.struct(*columns).alias("_row"))).drop("text")
     narrow = stored(sized.drop("_row"), "sizes")
     planned = _plan(sized, narrow, block, shard_rows).select(
-        "doc_id", "_row", "_size", "_order", "source_no", "shard", "quota"
+        "doc_id", "_row", "_size", "_order", "source_no", "shard", "quota", "block"
     )
     out = T.StructType([T.StructField("_row", docs.schema), T.StructField("_part", T.StringType())])
 
     def take(table: pa.Table) -> pa.Table:
-        table, passes, edges, extra, ends = _laid_out(table, block)
+        table, passes, edges, extra, ends = _laid_out(table)
         upto = _taken_upto(ends, edges, extra)
         some = np.diff(upto)
         full = passes + (some == np.diff(ends)) * (some > 0)

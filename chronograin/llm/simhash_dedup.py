@@ -265,14 +265,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: list[str] | Non
     return narrow.join(named, "fp").select(*keep, "fp", "root", "component_id")
 
 
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group, whole: the one with the smallest doc_id (NULL last)."""
-    # rows are found again by id and a hash of the whole row; rows alike in both are copies
-    tagged = docs.withColumns(
-        {"_id": F.coalesce("doc_id", F.lit(0).cast("bigint")), "_row": F.xxhash64(*docs.columns)}
-    )
+    """One row of each group, whole: the one with the smallest doc_id (NULL last; of several the one whose columns
+    hash lowest). Columns of any name and type are kept as they are.
+    """
+    # rows are found again by id and a hash of the whole row; rows alike in both are copies. Maps have no hash
+    hashed = [F.to_json(F.struct(f.name)) if _has_map(f.dataType) else F.col(f.name) for f in docs.schema.fields]
+    tagged = docs.select(
+        "doc_id", "text", F.struct(*docs.columns).alias("_doc"),
+        F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("_id"), F.xxhash64(*hashed).alias("_row"),
+    )
     found = near_duplicates(tagged.select("doc_id", "text", "_id", "_row"), radius, ["doc_id", "_id", "_row"])
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_id", "_row"))
     winners = found.groupBy("root").agg(first.alias("w")).select("w._id", "w._row")
-    kept = tagged.join(winners, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
-    return kept.select(*docs.columns)
+    kept = tagged.select("_doc", "_id", "_row").join(winners, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
+    return kept.select("_doc.*")
