@@ -66,23 +66,87 @@ def node_table(spark, sf_dir):
     return graph.node_table(_db(spark, sf_dir)["lineitem"])
 
 
+_CUTS = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def _stats_sql(table: str, col: str, kind: str, number: str) -> str:
+    cuts = ", ".join(f"round(quantile_cont(({number})::DOUBLE, {f}), 6) AS {q}" for q, f in _CUTS.items())
+    return f"""SELECT '{col}' AS "column", '{kind}' AS kind, count({col}) AS n, count(*) FILTER ({col} IS NULL) AS n_missing,
+      round(avg({number}), 6) AS mean, round(stddev_pop({number}), 6) AS std, min({number})::DOUBLE AS low, max({number})::DOUBLE AS high, {cuts} FROM {table}"""
+
+
+def _rounded_stats(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("mean", "std", *_CUTS)})
+
+
 @BOOK.query(
     "column_stats",
-    """SELECT 'l_linenumber' AS "column", 'categorical' AS kind, count(l_linenumber) AS n, count(*) FILTER (l_linenumber IS NULL) AS n_missing,
-      round(avg(l_linenumber), 6) AS mean, round(stddev_pop(l_linenumber), 6) AS std, min(l_linenumber)::DOUBLE AS low, max(l_linenumber)::DOUBLE AS high FROM lineitem
-    UNION ALL SELECT 'l_quantity', 'numerical', count(l_quantity), count(*) FILTER (l_quantity IS NULL), round(avg(l_quantity), 6),
-      round(stddev_pop(l_quantity), 6), min(l_quantity), max(l_quantity) FROM lineitem
-    UNION ALL SELECT 'l_shipdate', 'timestamp', count(l_shipdate), count(*) FILTER (l_shipdate IS NULL), round(avg(epoch(l_shipdate)), 6),
-      round(stddev_pop(epoch(l_shipdate)), 6), min(epoch(l_shipdate)), max(epoch(l_shipdate)) FROM lineitem
-    UNION ALL SELECT 'l_returnflag', 'categorical', count(l_returnflag), count(*) FILTER (l_returnflag IS NULL), round(avg(length(l_returnflag)), 6),
-      round(stddev_pop(length(l_returnflag)), 6), min(length(l_returnflag))::DOUBLE, max(length(l_returnflag))::DOUBLE FROM lineitem""",
-)
+    " UNION ALL ".join(
+        _stats_sql("lineitem", *x)
+        for x in (
+            ("l_linenumber", "categorical", "l_linenumber"), ("l_quantity", "numerical", "l_quantity"),
+            ("l_shipdate", "timestamp", "epoch(l_shipdate)"), ("l_returnflag", "categorical", "length(l_returnflag)"),
+        )
+    ),
+)
 def column_stats(spark, sf_dir):
     lines = Table(
         read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag"),
         None, "l_shipdate", {"l_orderkey": "orders"},
     )
-    return graph.node_stats(lines).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return _rounded_stats(graph.node_stats(lines))
+
+
+# numbers of the given tables, and columns with few values
+_NUMBERS = {
+    "lineitem": ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+    "orders": ("o_custkey", "o_totalprice"),
+    "customer": ("c_nationkey", "c_acctbal"),
+    "supplier": ("s_nationkey", "s_acctbal"),
+    "part": ("p_size", "p_retailprice"),
+    "documents": ("n_chars",),
+    "conversations": ("turn",),
+    "labels": ("quality", "toxic"),
+    "embeddings": ("label",),
+}
+_VALUES = {
+    "lineitem": ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"),
+    "orders": ("o_orderstatus", "o_orderpriority"),
+    "customer": ("c_mktsegment", "c_nationkey"),
+    "part": ("p_brand", "p_size"),
+    "documents": ("lang", "source"),
+    "conversations": ("role",),
+}
+
+
+@BOOK.query(
+    "column_quantiles",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, * FROM ({_stats_sql(t, c, "numerical", c)})""" for t, cols in _NUMBERS.items() for c in cols
+    ),
+)
+def column_quantiles(spark, sf_dir):
+    """Statistics with exact quartiles of the numbers of all given tables."""
+    parts = [
+        columns.column_stats(read(spark, sf_dir, t), dict.fromkeys(cols, columns.NUMERICAL)).select(F.lit(t).alias("table_name"), "*")
+        for t, cols in _NUMBERS.items()
+    ]
+    return _rounded_stats(windows.union_all(parts))
+
+
+@BOOK.query(
+    "column_categories",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{c}' AS "column", {c}::VARCHAR AS category, count(*) AS n,
+          (row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR))::INTEGER AS rank FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY rank <= 8"""
+        for t, cols in _VALUES.items()
+        for c in cols
+    ),
+)
+def column_categories(spark, sf_dir):
+    """The eight most frequent values of columns with few: the limit is the feature."""
+    parts = [columns.top_categories(read(spark, sf_dir, t), cols, 8).select(F.lit(t).alias("table_name"), "*") for t, cols in _VALUES.items()]
+    return windows.union_all(parts)
 
 
 @BOOK.query(
