@@ -12,12 +12,13 @@ from chronograin.functions.permute import half_bits_sql, permuted_sql, round_key
 from chronograin.functions.text import hash_embedding
 from chronograin.grid import Grid
 from chronograin.model import Database, Table, TaskKind
-from chronograin.operators import columns, graph, links, windows
+from chronograin.operators import adjacency, columns, graph, links, windows
 from chronograin.plans import boosted
 from chronograin.plans.catalog import get_task
 from chronograin.queries import Book, read
 from chronograin.queries.databases import DATASETS
 from chronograin.queries.labels import BOOK as LABELS
+from chronograin.session import cut_lineage, work_path
 
 BOOK = Book()
 
@@ -270,11 +271,13 @@ def link_train_input(spark, sf_dir):
     f"WITH {_RATES} SELECT input_id, dst FROM link WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
 )
 def csr_lookup(spark, sf_dir):
-    """True destinations of the rows of some sources."""
-    inputs = _link_input(spark, sf_dir)
+    """True destinations of the rows of some sources, read from the stored adjacency of rows and destinations."""
+    inputs = cut_lineage(_link_input(spark, sf_dir))
+    path = work_path(spark, "adjacency")
+    adjacency.write_adjacency(inputs.select("input_id", "dst"), path)
     poor = read(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0)
     wanted = inputs.join(poor, F.col("src") == F.col("c_custkey"), "left_semi").select("input_id")
-    return graph.truth_of(inputs, wanted)
+    return adjacency.neighbors(spark, path, wanted).withColumnRenamed("src", "input_id")
 
 
 @BOOK.query(
