@@ -1,11 +1,21 @@
-"""Fixed-width text vectors by hashed term counts; built-in, no vocabulary, whole text."""
+"""Fixed-width text vectors: hashed term counts, weighted signed hashing, and its leading directions. No vocabulary, whole texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chronograin.operators.joins import with_constants
+
+# words, of which upper case counts as lower
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def hash_embedding(df: DataFrame, text: str, name: str, width: int = 64) -> DataFrame:
@@ -18,3 +28,91 @@ def hash_embedding(df: DataFrame, text: str, name: str, width: int = 64) -> Data
     return (
         hashed.withColumn("_v", counts).withColumn("_norm", norm).withColumn(name, scaled).drop("_tokens", "_tf", "_v", "_norm")
     )
+
+
+def _digits(term: Column, first: int, n: int) -> Column:
+    """Some hex digits of the term's md5, as a number."""
+    return F.conv(F.md5(term.cast("binary")).substr(first, n), 16, 10).cast("bigint")
+
+
+def weighted_embedding(docs: DataFrame, key: str, text: str, name: str, width: int = 64) -> DataFrame:
+    """(key, name): arrays of ``width`` numbers of length 1, by signed hashing of weighted terms.
+
+    A term counts as often as it occurs times ln((1 + texts) / (1 + texts with it)) + 1, so words of all texts say little;
+    its md5 names a place and a sign, so terms that share a place cancel out on average. Texts without words,
+    NULL included, are zero. Keys are unique; rows without a key are left out. Counts are partial aggregates.
+    """
+    known = docs.select(key, text).dropna(subset=[key])
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
+    counts = known.select(key, F.explode(words).alias("_term")).groupBy(key, "_term").agg(F.count(F.lit(1)).alias("_n"))
+    spread = counts.groupBy("_term").agg(F.count(F.lit(1)).alias("_df"))
+    rows = known.agg(F.count(F.lit(1)).alias("_rows"))
+    rarity = with_constants(spread, rows).select("_term", (F.log((1 + F.col("_rows")) / (1 + F.col("_df"))) + 1).alias("_idf"))
+    sign = 1 - 2 * (_digits(F.col("_term"), 9, 1) % 2)
+    placed = counts.join(rarity, "_term").select(
+        key, (_digits(F.col("_term"), 1, 8) % width).cast("int").alias("_at"), (sign * F.col("_n") * F.col("_idf")).alias("_v")
+    )
+    sums = placed.groupBy(key, "_at").agg(F.sum("_v").alias("_v"))
+    entries = F.map_from_entries(F.collect_list(F.struct("_at", "_v")))
+    norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")))
+    # a text has at most ``width`` places
+    found = sums.groupBy(key).agg(entries.alias("_map"), norm.alias("_norm"))
+    at = F.sequence(F.lit(0), F.lit(width - 1))
+    whole = F.transform(at, lambda i: F.coalesce(F.try_element_at("_map", i) / F.nullif(F.col("_norm"), F.lit(0.0)), F.lit(0.0)))
+    return known.select(key).join(found, key, "left").select(key, whole.alias(name))
+
+
+def weighted_embedding_sql(table: str, key: str, text: str, name: str, width: int, digits: int) -> str:
+    """The same vectors in SQL, rounded."""
+    return f"""WITH w AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '{WORDS}')) AS term FROM {table} WHERE {key} IS NOT NULL),
+    c AS (SELECT {key}, term, count(*) AS n FROM w GROUP BY ALL),
+    d AS (SELECT term, ln((1 + (SELECT count(*) FROM {table} WHERE {key} IS NOT NULL)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term),
+    s AS (SELECT {key}, ('0x' || substr(md5(term), 1, 8))::BIGINT % {width} AS place,
+      sum((1 - 2 * (('0x' || substr(md5(term), 9, 1))::BIGINT % 2)) * n * idf) AS v FROM c JOIN d USING (term) GROUP BY ALL),
+    g AS (SELECT {key}, map_from_entries(list({{k: place, v: v}})) AS m, sqrt(sum(v * v)) AS norm FROM s GROUP BY {key})
+    SELECT {key}, list_transform(range({width}), lambda i: round(coalesce(m[i] / nullif(norm, 0), 0), {digits}) + 0.0) AS {name}
+    FROM {table} LEFT JOIN g USING ({key}) WHERE {key} IS NOT NULL"""
+
+
+def leading_directions(vectors: DataFrame, name: str, rank: int) -> np.ndarray:
+    """The ``rank`` leading right singular vectors of the rows, as columns; each one's largest entry is positive.
+
+    Tasks send the sums of the products of their rows, width x width numbers, which are added up before the
+    driver takes them apart: the number of rows does not matter.
+    """
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                total = rows.T @ rows + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+    sums = vectors.select(F.col(name).cast("array<double>")).mapInArrow(products, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v"))
+    found = sums.orderBy("at").collect()
+    if not found:
+        return np.empty((0, 0))
+    width = round(len(found) ** 0.5)
+    _, directions = np.linalg.eigh(np.array([r["v"] for r in found]).reshape(width, width))
+    leading = directions[:, ::-1][:, :rank]
+    return leading * np.sign(leading[np.abs(leading).argmax(0), np.arange(leading.shape[1])])
+
+
+def reduced_embedding(vectors: DataFrame, name: str, rank: int) -> DataFrame:
+    """``vectors`` with the array ``name`` in terms of its leading directions over all rows: ``rank`` numbers that keep
+    as much of the scalar products between texts as any ``rank`` numbers can.
+    """
+    leading = leading_directions(vectors, name, rank)
+    place = vectors.columns.index(name)
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == name else f for f in vectors.schema.fields])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(place).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(leading))
+            out = list(batch.columns)
+            out[place] = pa.array((rows @ leading).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names)
+
+    return vectors.mapInArrow(project, schema)

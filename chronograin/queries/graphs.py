@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronograin.functions.draws import draw_sql
 from chronograin.functions.permute import half_bits_sql, permuted_sql, round_keys_sql
-from chronograin.functions.text import hash_embedding
+from chronograin.functions.text import hash_embedding, reduced_embedding, weighted_embedding, weighted_embedding_sql
 from chronograin.grid import Grid
 from chronograin.model import Database, Table, TaskKind
 from chronograin.operators import adjacency, columns, graph, links, windows
@@ -494,10 +494,18 @@ def neighbor_aggregate(spark, sf_dir):
     return graph.neighbor_aggregate(facts, values, ["value"]).withColumn("value", F.round("value", 8))
 
 
-@BOOK.query("text_hash_embedding")
+@BOOK.query("text_hash_embedding", weighted_embedding_sql("documents", "doc_id", "text", "vector", 32, 6))
 def text_hash_embedding(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return hash_embedding(docs, "text", "vector", 32).select("doc_id", "vector")
+    """Texts as vectors by signed hashing, rare words weighing more."""
+    vectors = weighted_embedding(read(spark, sf_dir, "documents"), "doc_id", "text", "vector", 32)
+    return vectors.select("doc_id", F.transform("vector", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
+
+
+@BOOK.query("text_reduced_embedding")
+def text_reduced_embedding(spark, sf_dir):
+    """The eight numbers that keep most of what the vectors of all texts say."""
+    vectors = weighted_embedding(read(spark, sf_dir, "documents"), "doc_id", "text", "vector", 64)
+    return reduced_embedding(cut_lineage(vectors), "vector", 8)
 
 
 def past_labels(labels, entity, target):
