@@ -26,8 +26,12 @@ def unix_time(table: Table) -> Column:
     return F.unix_seconds(F.col(table.time_col).cast("timestamp"))
 
 
-def with_row_ids(db: Database) -> Database:
-    """Give every table without primary key dense row numbers; others keep their key as row id."""
+def with_row_ids(db: Database, keys_only: bool = False) -> Database:
+    """Give every table without primary key dense row numbers; others keep their key as row id.
+
+    ``keys_only`` leaves numbered tables with their foreign keys and time, which is all that edges need: only
+    these are written, though all columns decide the order.
+    """
 
     def numbered(table: Table) -> Table:
         if table.pkey is not None:
@@ -35,7 +39,8 @@ def with_row_ids(db: Database) -> Database:
         order = [*([F.col(table.time_col).asc_nulls_last()] if table.time_col else []), *table.fkeys]
         rest = [c for c in table.df.columns if c != table.time_col and c not in table.fkeys]
         plain = [c for c in rest if not table.df.schema[c].dataType.typeName().startswith(("map", "variant"))]
-        return table.with_df(dense_row_ids(table.df, [*order, *plain], ROW_ID))
+        kept = list(dict.fromkeys([*([table.time_col] if table.time_col else []), *table.fkeys])) if keys_only else None
+        return table.with_df(dense_row_ids(table.df, [*order, *plain], ROW_ID, kept))
 
     return db.map(numbered)
 

@@ -24,21 +24,29 @@ def _order_columns(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+def _ordered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], kept: Sequence[str] | None = None
+) -> DataFrame:
     by = [*[F.col(k) for k in keys], *_order_columns(order)]
     # the salt splits rows that tie on everything, so that copies need not share a partition
     salted = df.withColumn(_SALT, F.monotonically_increasing_id())
     placed = salted.repartitionByRange(*by, F.col(_SALT)).sortWithinPartitions(*by, _SALT)
-    return cut_lineage(placed.drop(_SALT).withColumn(_AT, F.monotonically_increasing_id()))
+    slim = placed.drop(_SALT) if kept is None else placed.select(*kept)
+    return cut_lineage(slim.withColumn(_AT, F.monotonically_increasing_id()))
 
 
 def _partition() -> Column:
     return F.shiftright(_AT, _ROW_BITS)
 
 
-def dense_row_ids(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
-    """Number rows 0 .. n-1 along ``order`` (which should be total, for stable numbers)."""
-    rows = _ordered(df, [], order)
+def dense_row_ids(
+    df: DataFrame, order: Sequence[Column | str], name: str, kept: Sequence[str] | None = None
+) -> DataFrame:
+    """Number rows 0 .. n-1 along ``order`` (which should be total, for stable numbers).
+
+    Only the columns ``kept`` (by default all) are written and returned; the order may use others.
+    """
+    rows = _ordered(df, [], order, kept)
     sizes = rows.groupBy(_partition().alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

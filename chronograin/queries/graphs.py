@@ -25,7 +25,7 @@ BOOK = Book()
 GRID = Grid("train", datetime(1997, 1, 1), timedelta(days=91), 12)
 
 
-def _db(spark, sf_dir, *names: str) -> Database:
+def _db(spark, sf_dir, *names: str, keys_only: bool = False) -> Database:
     """Customers, parts and orders with their lines (or some of these tables, whole): three links."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     lines = read(spark, sf_dir, "lineitem").select(
@@ -37,7 +37,7 @@ def _db(spark, sf_dir, *names: str) -> Database:
         "orders": Table(orders, "o_orderkey", "o_orderdate", {"o_custkey": "customer"}),
         "lineitem": Table(lines, None, "l_shipdate", {"l_orderkey": "orders", "l_partkey": "part"}),
     }
-    return graph.with_row_ids(Database({n: t for n, t in tables.items() if not names or n in names}))
+    return graph.with_row_ids(Database({n: t for n, t in tables.items() if not names or n in names}), keys_only)
 
 
 _LINE = """line AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS id,
@@ -56,7 +56,7 @@ _EDGES = """edges AS (
 
 @BOOK.query("fk_edges", f"WITH {_LINE}, {_EDGES} SELECT * FROM edges")
 def fk_edges(spark, sf_dir):
-    return graph.sorted_edges(graph.fk_edges(_db(spark, sf_dir)))
+    return graph.sorted_edges(graph.fk_edges(_db(spark, sf_dir, keys_only=True)))
 
 
 @BOOK.query(
@@ -389,7 +389,8 @@ hop{hop} AS (SELECT {_EDGE_OUT}, {hop} AS hop FROM seen{hop} WHERE n <= {k}
 )
 def temporal_neighbor_sample(spark, sf_dir):
     """Two hops from every customer at every anchor, fan-out 8 and 4: uniform subsets of what each may see."""
-    return graph.sample_subgraphs(_db(spark, sf_dir), "customer", _seeds(spark, sf_dir), _FAN_OUT, "uniform", _SAMPLE_SEED)
+    db = _db(spark, sf_dir, keys_only=True)
+    return graph.sample_subgraphs(db, "customer", _seeds(spark, sf_dir), _FAN_OUT, "uniform", _SAMPLE_SEED)
 
 
 @BOOK.query(
