@@ -146,14 +146,14 @@ class Index:
         return self.blocks.select("cluster", "block", "n", "radius", "largest")
 
     @cached_property
-    def cluster_limits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Radius and largest norm of each centre's items, -1 where it has none, and their number."""
-        found = np.full((3, len(self.centres)), -1.0)
-        found[2] = 0
+    def cluster_limits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Radius and largest norm of each centre's items, -1 where it has none, and the numbers of items and of blocks."""
+        found = np.full((4, len(self.centres)), -1.0)
+        found[2:] = 0
         # one row a centre
-        for r in self.limits.groupBy("cluster").agg(F.max("radius"), F.max("largest"), F.sum("n")).collect():
+        for r in self.limits.groupBy("cluster").agg(F.max("radius"), F.max("largest"), F.sum("n"), F.count("n")).collect():
             found[:, r[0]] = r[1:]
-        return found[0], found[1], found[2].astype(np.int64)
+        return found[0], found[1], found[2].astype(np.int64), found[3].astype(np.int64)
 
 
 def build_index(items: DataFrame, centres: np.ndarray | None = None, block_rows: int = ITEM_ROWS) -> Index:
@@ -171,7 +171,7 @@ def _marks(ids: list[int], marks: list[dict] | None) -> np.ndarray:
 def _needs(asks: DataFrame, index: Index) -> DataFrame:
     """(q_block, cluster, radius_needed, norm_needed) for the centres whose items may matter to a block of queries."""
     centres = index.centres
-    radius, largest, _ = index.cluster_limits
+    radius, largest, _, _ = index.cluster_limits
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +238,9 @@ def search(
     pairs = asks.select("q_block", "home").join(first, "home").select("q_block", "block")
     best = cut_lineage(_best(_visit(pairs, asks.withColumn("marks", none), index.blocks, k), k))
     visited = pairs
-    for wave in [*waves, None]:
+    # a round that could visit a good part of all blocks anyway would only put off the last one
+    blocks = int(index.cluster_limits[3].sum())
+    for wave in [*[w for w in waves if 4 * w < blocks], None]:
         marks = best.where(F.col("rank") == k).groupBy("q_block").agg(F.collect_list(F.struct("query_id", "score")).alias("marks"))
         asked = asks.join(marks, "q_block", "left")
         needs = _needs(asked, index).join(index.limits, "cluster")
@@ -273,7 +275,7 @@ def reachable(queries: DataFrame, index: Index, marks: DataFrame) -> DataFrame:
     ``marks`` has (query_id, mark), a score that the query has reached already.
     """
     centres = index.centres
-    radius, largest, sizes = index.cluster_limits
+    radius, largest, sizes, _ = index.cluster_limits
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
