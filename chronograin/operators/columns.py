@@ -129,7 +129,7 @@ def column_stats(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # relative error in rank of the mergeable summaries that bracket a quantile
-SUMMARY_ERROR = 1e-4
+SUMMARY_ERROR = 1e-3
 
 
 def exact_quantiles(
@@ -139,7 +139,7 @@ def exact_quantiles(
 
     One scan builds a mergeable summary of each column, whose error in rank is bounded; so two of its values bracket each
     quantile. A second scan counts what lies below and within the brackets. Only the values within a bracket, a
-    ten-thousandth of the column or so, are counted one by one, by partial aggregation, and ranked over range partitions.
+    hundredth of the column or less, are counted one by one, by partial aggregation, and ranked over range partitions.
     A bracket that missed, which the counts would show, is widened to the whole column.
     """
     if not numbers:
