@@ -113,28 +113,55 @@ class _Codes(dict):
         return code
 
 
-def count_bigrams(train: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """Bigrams of units over all documents, each between two ends."""
-    units = len(frequent) + SHAPES + 1
-    shared = train.sparkSession.sparkContext.broadcast(frequent)
+_LINES = "row bigint, doc_id bigint, held boolean, codes binary, rare array<binary>"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """Documents (doc_id, held, text) as numbers, parsed once: int32 ``codes`` in a string of bytes, and the words that
+    ``words`` lacks, in order, each standing in the codes as -1 - its unit."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(shared.value, len(shared.value))
-        found = np.zeros(units * units, dtype=np.int64)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
+            lines, rare = [], []
             for text in raw_texts(batch):
-                words = space_words(text)
-                ids = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
-                ids = np.where(ids < 0, -1 - ids, ids)
-                line = np.r_[units - 1, ids, units - 1]
-                pairs, n = np.unique(line[:-1] * units + line[1:], return_counts=True)
-                found[pairs] += n
+                tokens = space_words(text)
+                ids = np.fromiter(map(codes.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+                lines.append(ids.tobytes())
+                rare.append([tokens[i] for i in np.flatnonzero(ids < 0).tolist()])
+            rows = pa.array(np.arange(row, row + len(lines)), pa.int64())
+            row += len(lines)
+            arrays = [rows, batch.column(0), batch.column(1), pa.array(lines, pa.binary()), pa.array(rare, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _LINES.split(", ")])
+
+    return stored(docs.select("doc_id", "held", "text").mapInArrow(read, _LINES), "lm-lines")
+
+
+def _line(codes: pa.Array, end: int) -> np.ndarray:
+    """Codes of all documents of a batch; one end stands before the first, between two, and after the last."""
+    mark = np.int32(end).tobytes()
+    return np.frombuffer(mark + mark.join(codes.to_pylist()) + mark, dtype=np.int32)
+
+
+def count_bigrams(lines: DataFrame, words: list[bytes], frequent: int) -> np.ndarray:
+    """Bigrams of units over all documents, each between two ends; the first ``frequent`` words are units of their own."""
+    known, units = len(words), frequent + SHAPES + 1
+    of = np.array([*range(frequent), *[frequent + shape(w) for w in words[frequent:]], units - 1], dtype=np.int64)
+    shared = lines.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, found = shared.value, np.zeros(units * units, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                line = _line(batch.column(0), known)
+                ids = np.where(line < 0, frequent - 1 - known - line, of[np.maximum(line, 0)])
+                np.add.at(found, ids[:-1] * units + ids[1:], np.int64(1))
         pairs = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(found[pairs])], ["pair", "n"])
 
-    rows = (
-        train.select("text").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    )
+    rows = lines.select("codes").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(units * units)
     # at most units * units rows
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
@@ -241,8 +268,7 @@ class _Neighbours:
         self.counts = np.zeros((words + 1) * 2 * CLASSES, dtype=np.int32)
 
     def add(self, words: np.ndarray, classes: np.ndarray, before: bool) -> None:
-        keys, n = np.unique(words * (2 * CLASSES) + before * CLASSES + classes, return_counts=True)
-        self.counts[keys] += n.astype(np.int32)
+        np.add.at(self.counts, words.astype(np.int64) * (2 * CLASSES) + (before * CLASSES + classes), np.int32(1))
 
     def out(self) -> Iterator[pa.RecordBatch]:
         width = BLOCK * 2 * CLASSES
@@ -276,39 +302,40 @@ def _add_blocks(batch: pa.Table) -> pa.Table:
     })
 
 
-def rare_words(train: DataFrame, words: list[bytes], shapes: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(word, class, lefts, rights), numbers of broadcast neighbours, of all other words, and (word, next, n) of these."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(words)
+_RARE = "word binary, class int, n bigint, lefts array<int>, rights array<int>, nexts array<binary>"
+
+
+def rare_words(lines: DataFrame, known: int, shapes: np.ndarray) -> DataFrame:
+    """All words that are not broadcast: how often they occur, and the neighbours of all their places.
+
+    ``lefts`` and ``rights`` number the broadcast ones, ``nexts`` are the others after it.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = len(shared.value)
-        codes = _Codes(shared.value, known)
         for batch in batches:
-            found: tuple[list, ...] = ([], [], [], [], [])
-            for text in raw_texts(batch):
-                tokens = space_words(text)
-                ids = np.fromiter(map(codes.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                at = np.flatnonzero(ids < 0)
-                line = np.r_[known, np.maximum(ids, -1), known]
-                found[0].extend(tokens[i] for i in at)
-                found[1].extend(-1 - ids[at] - known)
-                found[2].extend(line[at])
-                found[3].extend(line[at + 2])
-                found[4].extend(tokens[i + 1] if line[i + 2] < 0 else None for i in at)
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], ["word", "shape", "l", "r", "next"])
-
-    schema = "word binary, shape int, l int, r int, next binary"
-    seen = stored(train.select("text").mapInArrow(read, schema), "lm-rare")
+            if not batch.num_rows:
+                continue
+            line, words = _line(batch.column(0), known), batch.column(1).flatten()
+            at = np.flatnonzero(line < 0)
+            right = np.maximum(line[at + 1], -1)
+            follower = pa.array(np.arange(1, len(at) + 1), pa.int64(), mask=right >= 0)
+            arrays = [
+                words, pa.array(-1 - line[at] - known, pa.int32()), pa.array(np.maximum(line[at - 1], -1), pa.int32()),
+                pa.array(right, pa.int32()), words.take(follower),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "shape", "l", "r", "next"])
 
     def known_only(c: str):
         return F.collect_list(F.when(F.col(c) >= 0, F.col(c)))
 
+    seen = lines.select("codes", "rare").mapInArrow(read, "word binary, shape int, l int, r int, next binary")
     first = F.element_at(F.lit(shapes.tolist()), F.first("shape") + 1).cast("int")
-    rare = seen.groupBy("word").agg(first.alias("class"), known_only("l").alias("lefts"), known_only("r").alias("rights"))
-    pairs = seen.where(F.col("next").isNotNull()).groupBy("word", "next").agg(F.count(F.lit(1)).alias("n"))
-    return stored(rare, "lm-classes"), stored(pairs, "lm-rare-pairs")
+    return stored(
+        seen.groupBy("word").agg(
+            first.alias("class"), F.count(F.lit(1)).alias("n"), known_only("l").alias("lefts"), known_only("r").alias("rights"),
+            F.collect_list("next").alias("nexts"),
+        ), "lm-classes",
+    )
 
 
 @dataclass(frozen=True)
@@ -318,51 +345,44 @@ class Clusters:
     rare: DataFrame
     table: np.ndarray
     blocks: DataFrame
-    pairs: DataFrame
+    near: DataFrame
 
 
-def tally(train: DataFrame, words: list[bytes], of: np.ndarray, rare: DataFrame, pairs: DataFrame) -> Clusters:
+def tally(lines: DataFrame, of: np.ndarray, rare: DataFrame) -> Clusters:
     """Class bigrams of all training documents, and the neighbours of every word."""
-    spark = train.sparkSession
-    known, shared = len(words), spark.sparkContext.broadcast((words, of))
+    known, shared = len(of) - 1, lines.sparkSession.sparkContext.broadcast(of)
 
     def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, of = shared.value
-        codes, found = _Codes(tokens, known), _Neighbours(known)
+        of, found = shared.value, _Neighbours(known)
         for batch in batches:
-            lines = [np.array([known])]
-            for text in raw_texts(batch):
-                line = space_words(text)
-                lines += [np.fromiter(map(codes.__getitem__, line), dtype=np.int64, count=len(line)), np.array([known])]
-            # one end serves as the last of a document and the first of the next
-            line = np.concatenate(lines)
-            a, b = line[:-1], line[1:]
-            both = (a >= 0) & (b >= 0)
-            found.add(a[both], of[b[both]], False)
-            found.add(b[both], of[a[both]], True)
+            if batch.num_rows:
+                line = _line(batch.column(0), known)
+                a, b = line[:-1], line[1:]
+                both = (a >= 0) & (b >= 0)
+                a, b = a[both], b[both]
+                found.add(a, of[b], False)
+                found.add(b, of[a], True)
         yield from found.out()
 
     def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Neighbours(known)
         for batch in batches:
-            classes = batch.column(1).to_numpy().astype(np.int64)
-            rows, lefts = _flat(batch.column(2))
+            classes = batch.column(0).to_numpy().astype(np.int64)
+            rows, lefts = _flat(batch.column(1))
             found.add(lefts, classes[rows], False)
-            rows, rights = _flat(batch.column(3))
+            rows, rights = _flat(batch.column(2))
             found.add(rights, classes[rows], True)
         yield from found.out()
 
-    parts = train.select("text").mapInArrow(of_known, _BLOCKS).unionAll(rare.mapInArrow(of_rare, _BLOCKS))
+    sides = rare.select("class", "lefts", "rights")
+    parts = lines.select("codes").mapInArrow(of_known, _BLOCKS).unionAll(sides.mapInArrow(of_rare, _BLOCKS))
     blocks = stored(parts.groupBy("block").applyInArrow(_add_blocks, _BLOCKS), "lm-blocks")
-    classes = rare.select("word", "class")
-    near = stored(
-        pairs.join(classes.withColumnRenamed("class", "a"), "word")
-        .join(classes.select(F.col("word").alias("next"), F.col("class").alias("b")), "next"), "lm-near",
-    )
+    pairs = rare.select("word", F.col("class").alias("a"), F.explode("nexts").alias("next"))
+    near = stored(pairs.join(rare.select(F.col("word").alias("next"), F.col("class").alias("b")), "next"), "lm-near")
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What stands before broadcast words."""
-        _, of = shared.value
+        of = shared.value
         table = np.zeros((CLASSES, CLASSES), dtype=np.int64)
         for batch in batches:
             rows, keys = _flat(batch.column(1))
@@ -373,15 +393,15 @@ def tally(train: DataFrame, words: list[bytes], of: np.ndarray, rare: DataFrame,
         yield from _cells(table)
 
     def before_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, of = shared.value
+        of = shared.value
         table = np.zeros((CLASSES, CLASSES), dtype=np.int64)
         for batch in batches:
-            rows, lefts = _flat(batch.column(2))
-            np.add.at(table, (of[lefts], batch.column(1).to_numpy()[rows]), 1)
+            rows, lefts = _flat(batch.column(1))
+            np.add.at(table, (of[lefts], batch.column(0).to_numpy()[rows]), 1)
         yield from _cells(table)
 
-    cells = blocks.mapInArrow(bigrams, _CELLS).unionAll(rare.mapInArrow(before_rare, _CELLS))
-    cells = cells.unionAll(near.select("a", "b", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    cells = blocks.mapInArrow(bigrams, _CELLS).unionAll(sides.mapInArrow(before_rare, _CELLS))
+    cells = cells.unionAll(near.select("a", "b", F.lit(1).cast("bigint"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
     table = np.zeros((CLASSES, CLASSES))
     # a row for each pair of classes at most
     for a, b, n in cells.collect():
@@ -422,22 +442,20 @@ def moved(clusters: Clusters) -> tuple[np.ndarray, DataFrame]:
         table, of = shared.value
         for batch in batches:
             mine = batch.column(1).to_numpy().astype(np.int64)
-            (a, lefts), (b, rights), (c, near) = (_flat(batch.column(i)) for i in (2, 3, 4))
-            word = np.r_[a, b, c]
-            key = np.r_[of[lefts] + CLASSES, of[rights], near >> 40]
-            n = np.r_[np.ones(len(a) + len(b), dtype=np.int64), near & ((1 << 40) - 1)]
-            cells, at = np.unique(word * (2 * CLASSES) + key, return_inverse=True)
-            best = moves(table, mine, cells // (2 * CLASSES), cells % (2 * CLASSES), np.bincount(at, n, len(cells)))
-            arrays = [batch.column(0), pa.array(best.astype(np.int32)), batch.column(2), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(arrays, ["word", "class", "lefts", "rights"])
-
-    sides = clusters.pairs.select(F.inline(F.array(
-        F.struct(F.col("word"), F.col("b").alias("key"), "n"), F.struct(F.col("next").alias("word"), (F.col("a") + CLASSES).alias("key"), "n")
+            (a, lefts), (b, rights), (c, near) = (_flat(batch.column(i)) for i in (3, 4, 6))
+            word, key = np.r_[a, b, c], np.r_[of[lefts] + CLASSES, of[rights], near]
+            cells, n = np.unique(word * (2 * CLASSES) + key, return_counts=True)
+            best = moves(table, mine, cells // (2 * CLASSES), cells % (2 * CLASSES), n)
+            arrays = [batch.column(0), pa.array(best.astype(np.int32)), *[batch.column(i) for i in (2, 3, 4, 5)]]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    names = [c.split()[0] for c in _RARE.split(", ")]
+    sides = clusters.near.select(F.inline(F.array(
+        F.struct(F.col("word"), F.col("b").alias("key")), F.struct(F.col("next").alias("word"), (F.col("a") + CLASSES).alias("key"))
     )))
-    sums = sides.groupBy("word", "key").agg(F.sum("n").alias("n"))
-    near = sums.groupBy("word").agg(F.collect_list(F.shiftleft(F.col("key").cast("bigint"), 40) + F.col("n")).alias("near"))
-    joined = clusters.rare.join(near, "word", "left").select("word", "class", "lefts", "rights", F.coalesce("near", F.lit([]).cast("array<bigint>")))
-    return of, stored(joined.mapInArrow(rare, "word binary, class int, lefts array<int>, rights array<int>"), "lm-classes")
+    near = sides.groupBy("word").agg(F.collect_list("key").alias("near"))
+    joined = clusters.rare.join(near, "word", "left").select(*names, F.coalesce("near", F.lit([]).cast("array<int>")).alias("near"))
+    return of, stored(joined.mapInArrow(rare, _RARE), "lm-classes")
 
 
 @dataclass(frozen=True)
@@ -457,17 +475,22 @@ class Model:
 
 
 def cluster(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the training documents, whose word counts are given, and (word, class) of words not broadcast."""
+    """The model of the training documents, whose word counts are given, and (word, class, n) of words not broadcast."""
     known = frequent_words(counts)
+    lines = encode(train.select("doc_id", F.lit(False).alias("held"), "text"), [w for w, _ in known])
+    return cluster_lines(lines, counts, known)
+
+
+def cluster_lines(lines: DataFrame, counts: DataFrame, known: list[tuple[bytes, int]]) -> tuple[Model, DataFrame]:
+    """As ``cluster``, of documents that are numbers already."""
     words, ns = [w for w, _ in known], np.array([n for _, n in known], dtype=np.int64)
-    first = words[:FREQUENT]
-    seed = exchange(count_bigrams(train, first))
-    shapes = seed[len(first) : -1]
-    of = np.array([*seed[: len(first)], *[shapes[shape(w)] for w in words[FREQUENT:]], seed[-1]], dtype=np.int64)
-    rare, pairs = rare_words(train, words, shapes)
-    best = tally(train, words, of, rare, pairs)
+    first = min(FREQUENT, len(words))
+    seed = exchange(count_bigrams(lines, words, first))
+    shapes = seed[first:-1]
+    of = np.array([*seed[:first], *[shapes[shape(w)] for w in words[first:]], seed[-1]], dtype=np.int64)
+    best = tally(lines, of, rare_words(lines, len(words), shapes))
     for _ in range(REFINED):
-        found = tally(train, words, *moved(best), pairs)
+        found = tally(lines, *moved(best))
         if likelihood(found.table) <= likelihood(best.table):
             break
         best = found
@@ -483,7 +506,7 @@ def cluster(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     divisors = np.log10(table.sum(0) + ALPHA * (distinct + 1))
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     units = np.r_[best.of[:-1], shapes, best.of[-1]]
-    return Model(words, ns, len(words), units, transitions, divisors, n, v, ends), best.rare.select("word", "class")
+    return Model(words, ns, len(words), units, transitions, divisors, n, v, ends), best.rare.select("word", "class", "n")
 
 
 def fit(train: DataFrame, counts: DataFrame) -> Model:
@@ -491,54 +514,55 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
 
 
 _PARTS = (
-    "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, plus_one double, plus_alpha double, classes double, "
+    "row bigint, doc_id bigint, held boolean, n_tokens bigint, n_known bigint, plus_one double, plus_alpha double, classes double, "
     "rare array<binary>, at array<bigint>"
 )
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model, classes: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, plus_one, logp): of every row, with the sum of log10(c + 1) and the model's log10.
+    """As ``score_lines``, of documents and the tables of word counts and of classes."""
+    lines = encode(docs.select("doc_id", F.lit(False).alias("held"), "text"), model.words)
+    return score_lines(lines, model, classes.select("word", "class").join(counts, "word"))
+
+
+def score_lines(lines: DataFrame, model: Model, classes: DataFrame) -> DataFrame:
+    """(doc_id, held, n_tokens, n_known, plus_one, logp): of every row, with the sum of log10(c + 1) and the model's log10.
 
     A word that is not broadcast is a number: its place, the class it has if unseen, and the classes before and after it
     (0 for a word that is not broadcast either), until the join adds its class.
     """
-    shared = settle(docs.sparkSession).sparkContext.broadcast(model)
+    shared = settle(lines.sparkSession).sparkContext.broadcast(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        codes = _Codes(m.words, m.frequent)
-        plus_one, plus_alpha = np.log10(m.counts + 1.0), np.log10(m.counts + ALPHA)
-        end_class = m.of[-1]
-        row = TaskContext.get().partitionId() << 33
+        end = len(m.words)
+        of = np.r_[m.of[:end], m.of[-1]].astype(np.int64)
+        counts = np.r_[m.counts, m.ends]
+        plus_one, plus_alpha = np.log10(counts + 1.0), np.log10(counts + ALPHA)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "n", "known", "one", "alpha", "classes", "rare", "at")}
-            for text in raw_texts(batch):
-                words = space_words(text)
-                ids = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
-                known = ids[ids >= 0]
-                line = np.r_[end_class, np.where(ids < 0, -1, m.of[np.maximum(ids, 0)]), end_class]
-                both = (line[:-1] >= 0) & (line[1:] >= 0)
-                inner = m.transitions[line[:-1][both], line[1:][both]].sum() - m.divisors[line[1:][line[1:] >= 0]].sum()
-                rare = np.flatnonzero(ids < 0)
-                at = rare << 26 | m.of[-1 - ids[rare]] << 20 | (line[rare] + 1) << 13 | (line[rare + 2] + 1) << 6
-                out["row"].append(row)
-                out["n"].append(len(words) + 1)
-                out["known"].append(len(known) + (m.ends > 0))
-                out["one"].append(plus_one[known].sum() + np.log10(m.ends + 1))
-                out["alpha"].append(plus_alpha[known].sum() + np.log10(m.ends + ALPHA))
-                out["classes"].append(inner)
-                out["rare"].append([words[i] for i in rare])
-                out["at"].append(at)
-                row += 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["row"], pa.int64()), batch.column(0), pa.array(out["n"], pa.int64()),
-                    pa.array(out["known"], pa.int64()), pa.array(out["one"], pa.float64()),
-                    pa.array(out["alpha"], pa.float64()), pa.array(out["classes"], pa.float64()),
-                    pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["at"], pa.list_(pa.int64())),
-                ],
-                [c.split()[0] for c in _PARTS.split(", ")],
-            )
+            if not batch.num_rows:
+                continue
+            line = _line(batch.column(3), end)
+            lengths = pc.binary_length(batch.column(3)).to_numpy().astype(np.int64) // 4 + 1
+            # places of the first word of each document, or its end, in line[1:]
+            starts = np.r_[0, np.cumsum(lengths)[:-1]]
+            ids = line[1:]
+            seen, place = ids >= 0, np.maximum(ids, 0)
+            cls = np.where(line < 0, -1, of[np.maximum(line, 0)])
+            both = (cls[:-1] >= 0) & (cls[1:] >= 0)
+            inner = np.where(both, m.transitions[cls[:-1], cls[1:]], 0.0) - np.where(seen, m.divisors[cls[1:]], 0.0)
+            rare = np.flatnonzero(~seen)
+            within = rare - starts[np.searchsorted(starts, rare, side="right") - 1]
+            at = within << 26 | m.of[-1 - ids[rare]] << 20 | (cls[rare] + 1) << 13 | (cls[rare + 2] + 1) << 6
+            offsets = np.r_[0, np.cumsum(pc.list_value_length(batch.column(4)).to_numpy())].astype(np.int32)
+            sums = [np.add.reduceat(np.where(seen, x[place], 0.0), starts) for x in (plus_one, plus_alpha)]
+            arrays = [
+                *[batch.column(i) for i in range(3)], pa.array(lengths),
+                pa.array(np.add.reduceat((seen & ((ids < end) | (m.ends > 0))).astype(np.int64), starts)),
+                *[pa.array(x) for x in sums], pa.array(np.add.reduceat(inner, starts)), batch.column(4),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _PARTS.split(", ")])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Transitions around the joined words, and what their emissions are divided by."""
@@ -553,9 +577,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, classes: DataFrame)
                 sums.append(m.transitions[before, mine].sum() + m.transitions[mine[ended], right[ended]].sum() - m.divisors[mine].sum())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3, 4)], pa.array(sums, pa.float64())], names)
 
-    parts = stored(docs.select("doc_id", "text").mapInArrow(read, _PARTS), "lm-parts")
+    parts = stored(lines.mapInArrow(read, _PARTS), "lm-parts")
     each = parts.select("row", F.inline(F.arrays_zip("rare", "at"))).withColumnRenamed("rare", "word")
-    rare = each.join(counts.join(classes, "word"), "word", "left")
+    rare = each.join(classes, "word", "left")
     n = F.coalesce("n", F.lit(0))
     unseen = F.shiftright("at", 20).bitwiseAND(63)
     sums = rare.groupBy("row").agg(
@@ -566,7 +590,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, classes: DataFrame)
     sums = sums.mapInArrow(link, "row bigint, r_known bigint, r_one double, r_alpha double, r_classes double")
     zero = F.lit(0.0)
     return parts.drop("rare", "at").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
+        "doc_id", "held", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
         (F.col("plus_one") + F.coalesce("r_one", zero)).alias("plus_one"),
         (F.col("plus_alpha") + F.coalesce("r_alpha", zero) + F.col("classes") + F.coalesce("r_classes", zero)).alias("logp"),
     )
@@ -576,11 +600,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Every document under the model of those outside the held-out fold, beside add-one unigrams."""
     settle(docs.sparkSession)
     held = held_out("doc_id", FOLDS, HELD_FOLD)
-    train = docs.where(~held)
-    counts = stored(count_words(train), "lm-counts")
-    model, classes = cluster(train, counts)
+    counts = stored(count_words(docs.where(~held)), "lm-counts")
+    known = frequent_words(counts)
+    lines = encode(docs.select("doc_id", held.alias("held"), "text"), [w for w, _ in known])
+    model, classes = cluster_lines(lines.where(~F.col("held")), counts, known)
     base = F.col("plus_one") - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.distinct + 1)))
-    return score(docs, counts, model, classes).select(
-        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+    return score_lines(lines, model, classes).select(
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"), F.col("logp").alias("score"),
     )
