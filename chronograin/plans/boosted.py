@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
@@ -49,10 +50,59 @@ def assemble(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     return assembled.drop(*names, *[c for c in df.columns if c.startswith("_e_")])
 
 
-def _predict(model: Model, df: DataFrame, binary: bool) -> DataFrame:
-    scored = model.transform(df)
-    pred = vector_to_array("probability")[1] if binary else F.col("prediction")
-    return scored.withColumn("pred", pred).drop("rawPrediction", "probability", "prediction")
+@dataclass(frozen=True)
+class Boosted:
+    """Trees of a task: one model, or one for each class (each against the rest) or label."""
+
+    kind: TaskKind
+    models: Sequence[Model]
+
+
+def _targets(train: DataFrame, target: str, kind: TaskKind) -> list[Column]:
+    """What each model learns: the target itself, or whether a row is of each class, or has each label."""
+    y = F.col(target)
+    if kind in (TaskKind.BINARY, TaskKind.REGRESSION):
+        return [y.cast("double")]
+    if kind is TaskKind.MULTICLASS:
+        most = train.agg(F.max(target)).first()[0]
+        return [(y == c).cast("double") for c in range(0 if most is None else int(most) + 1)]
+    if kind is TaskKind.MULTILABEL:
+        width = train.agg(F.max(F.size(target))).first()[0] or 0
+        return [F.get(y, F.lit(i)).cast("double") for i in range(width)]
+    raise ValueError(f"no boosted trees for {kind.value}: rank scores of pairs instead")
+
+
+def _predict(model: Boosted, df: DataFrame) -> DataFrame:
+    """``pred``: a number, or an array of probabilities, those of classes adding up to 1."""
+    if model.kind is TaskKind.REGRESSION:
+        return model.models[0].transform(df).withColumnRenamed("prediction", "pred")
+    names = [f"_p{i}" for i in range(len(model.models))]
+    for name, one in zip(names, model.models, strict=True):
+        scored = one.transform(df).withColumn(name, vector_to_array("probability")[1])
+        df = scored.drop("rawPrediction", "probability", "prediction")
+    if model.kind is TaskKind.BINARY:
+        return df.withColumnRenamed(names[0], "pred")
+    share = sum((F.col(n) for n in names), F.lit(0.0)) if model.kind is TaskKind.MULTICLASS else F.lit(1.0)
+    return df.withColumn("pred", F.array(*[F.col(n) / share for n in names])).drop(*names)
+
+
+def _goodness(scored: DataFrame, target: str, kind: TaskKind) -> float:
+    """ROC AUC (binary), or how small the error or the logarithmic loss is."""
+    y, p = F.col(target), F.col("pred")
+
+    def surprise(chance: Column) -> Column:
+        return -F.log(F.greatest(F.coalesce(chance, F.lit(0.0)), F.lit(1e-15)))
+
+    if kind is TaskKind.BINARY:
+        return metrics.curve_metrics(scored, target, "pred").first()["roc_auc"]
+    if kind is TaskKind.REGRESSION:
+        loss = metrics.mae(y.cast("double"), p)
+    elif kind is TaskKind.MULTICLASS:
+        loss = F.avg(surprise(F.get(p, y.cast("int"))))
+    else:
+        each = F.zip_with(y, p, lambda hit, chance: surprise(F.when(hit.cast("double") > 0, chance).otherwise(1 - chance)))
+        loss = F.avg(F.aggregate(each, F.lit(0.0), lambda total, one: total + one))
+    return -(scored.agg(loss).first()[0] or 0.0)
 
 
 def fit_boosted(
@@ -64,25 +114,30 @@ def fit_boosted(
     depths: Sequence[int] = (3, 5),
     rounds: int = 10,
     seed: int = 42,
-) -> tuple[Model, dict[int, float]]:
-    """Best model by ROC AUC (binary) or MAE (regression) on ``val``, and all scores by depth."""
-    binary = kind is TaskKind.BINARY
-    fit_on, tune_on = (
-        assemble(df, kinds).withColumn("label", F.col(target).cast("double")).select("label", "features") for df in (train, val)
-    )
+) -> tuple[Boosted, dict[int, float]]:
+    """The best model on ``val`` and the scores of all depths: ROC AUC (binary), else losses with a minus.
+
+    Classes are numbers from 0, labels arrays of 0 and 1. Tasks over pairs are an error.
+    """
+    targets = _targets(train, target, kind)
+    if not targets:
+        raise ValueError(f"no value of {target} to learn from")
+    labels = [f"_y{i}" for i in range(len(targets))]
+    fit_on = assemble(train, kinds).select("features", *[t.alias(n) for t, n in zip(targets, labels, strict=True)])
+    tune_on = assemble(val, kinds).select(F.col(target), "features")
+    trainer = GBTRegressor if kind is TaskKind.REGRESSION else GBTClassifier
     best, scores = None, {}
     for depth in depths:
-        trainer = (GBTClassifier if binary else GBTRegressor)(maxDepth=depth, maxIter=rounds, seed=seed)
-        model = trainer.fit(fit_on)
-        scored = _predict(model, tune_on, binary)
-        if binary:
-            scores[depth] = metrics.curve_metrics(scored, "label", "pred").first()["roc_auc"]
-        else:
-            scores[depth] = -scored.agg(metrics.mae(F.col("label"), F.col("pred"))).first()[0]
+        models = [
+            trainer(labelCol=n, maxDepth=depth, maxIter=rounds, seed=seed).fit(fit_on.where(F.col(n).isNotNull()))
+            for n in labels
+        ]
+        model = Boosted(kind, models)
+        scores[depth] = _goodness(_predict(model, tune_on), target, kind)
         if best is None or scores[depth] > max(v for d, v in scores.items() if d != depth):
             best = model
     return best, scores
 
 
-def predict(model: Model, df: DataFrame, kinds: Mapping[str, str], kind: TaskKind) -> DataFrame:
-    return _predict(model, assemble(df, kinds), kind is TaskKind.BINARY).drop("features")
+def predict(model: Boosted, df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    return _predict(model, assemble(df, kinds)).drop("features")

@@ -550,6 +550,6 @@ def boosted_tree_baseline(spark, sf_dir):
     kinds = {"c_acctbal": "numerical", "c_mktsegment": "categorical", "past_churn": "numerical", "past_rows": "numerical"}
     fit_on, tune_on, test = (wide.where(F.col("split") == s) for s in ("train", "val", "test"))
     model, _ = boosted.fit_boosted(fit_on, tune_on, "churn", kinds, TaskKind.BINARY, depths=(2, 3), rounds=3)
-    return boosted.predict(model, test, kinds, TaskKind.BINARY).select("timestamp", "customer_id", "churn", "pred")
+    return boosted.predict(model, test, kinds).select("timestamp", "customer_id", "churn", "pred")
 
 
