@@ -5,7 +5,7 @@ level, and the one or two leaves that it covers in part; a fact belongs to one n
 equality on (keys, node), and only in the leaves at a window's ends are times compared. The nodes of a busy key lie
 apart, so one key does not end up in one task.
 
-* ``window_pairs`` gives every (window, fact) pair.
+* ``window_pairs`` gives every (window, fact) pair. Keys of few facts need no tree: each window looks at all of them.
 * ``window_aggregate`` adds up, per window, the aggregates of its nodes: no pair of a window and an inner fact is formed.
 * ``window_totals`` takes counts and exact sums as differences of running totals at both ends, with no tree at all.
 
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from chronograin.grid import micros
 from chronograin.operators.running import running_totals
-from chronograin.session import require_utc
+from chronograin.session import cut_lineage, require_utc
 
 _LEVEL_BITS = 6
 _ONE_US = timedelta(microseconds=1)
 # levels above the leaves: a window of the longest kind covers about 2 ** LEVELS leaves
 LEVELS = 8
+# facts of a key that a window of pairs looks at one by one
+FEW = 64
 
 _LO, _HI, _AT, _NODE, _PART = "_lo", "_hi", "_at", "_node", "_part"
 
@@ -117,10 +119,35 @@ def _inside() -> Column:
 def window_pairs(
     windows: DataFrame, facts: DataFrame, keys: Sequence[str], lo: str, hi: str, time_col: str, tree: Tree | None = None
 ) -> DataFrame:
-    """Columns of ``windows`` and of ``facts`` (but for its keys) for every fact in (lo, hi] of a window of its keys."""
+    """Columns of ``windows`` and of ``facts`` (but for its keys) for every fact in (lo, hi] of a window of its keys.
+
+    Without a ``tree``, only the keys of more than ``FEW`` facts take one, so that rows of the others are not copied.
+    """
     both = sorted(set(windows.columns) & set(facts.columns) - set(keys))
     if both:
         raise ValueError(f"columns of both sides that are no keys: {both}")
+    if tree is None and keys:
+        require_utc(facts.sparkSession)
+        sizes = facts.dropna(subset=[*keys, time_col]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        busy = cut_lineage(sizes.where(F.col("_n") > FEW).select(*keys))
+        if busy.isEmpty():
+            return _pairs_by_key(windows, facts, keys, lo, hi, time_col)
+        apart = [df.join(busy, list(keys), "left_anti") for df in (windows, facts)]
+        crowded = [df.join(busy, list(keys), "left_semi") for df in (windows, facts)]
+        return _pairs_by_key(*apart, keys, lo, hi, time_col).unionByName(_pairs_by_node(*crowded, keys, lo, hi, time_col, tree))
+    return _pairs_by_node(windows, facts, keys, lo, hi, time_col, tree)
+
+
+def _pairs_by_key(windows: DataFrame, facts: DataFrame, keys: Sequence[str], lo: str, hi: str, time_col: str) -> DataFrame:
+    at, since, until = (micros(F.col(c)) for c in (time_col, lo, hi))
+    asked, known = windows.dropna(subset=[*keys, lo, hi]).where(since < until), facts.dropna(subset=[*keys, time_col])
+    met = asked.join(known, list(keys)).where((at > since) & (at <= until))
+    return met.select(*windows.columns, *[c for c in facts.columns if c not in keys])
+
+
+def _pairs_by_node(
+    windows: DataFrame, facts: DataFrame, keys: Sequence[str], lo: str, hi: str, time_col: str, tree: Tree | None
+) -> DataFrame:
     # every pair is written anyway, so leaves much shorter than the windows would only copy facts
     tree = Tree.of_windows(windows, lo, hi, below=2) if tree is None else tree
     asked = _spread(_bounded(windows, keys, lo, hi), tree)

@@ -159,3 +159,15 @@ def test_task_tables_at_any_times(spark, small_dir):
         task.table_at(dataset, [dataset.test_timestamp])
     lists = get_task("shop", "user-item-purchase").table_at(dataset, grid.moments()[:3]).df
     assert lists.columns == get_task("shop", "user-item-purchase").table(dataset, "train").df.columns
+
+
+def test_only_busy_keys_take_the_tree(spark, monkeypatch):
+    facts, asked, f, w = frames(spark, 6)
+    args = (["k", "j"], "since", "until", "at")
+    want = sorted((i, str(at), str(v)) for i, at, v in brute(facts, asked))
+    for few in (0, 5, 1000):
+        monkeypatch.setattr(intervals, "FEW", few)
+        met = intervals.window_pairs(w, f, *args)
+        assert sorted((r.w, str(r["at"]), str(r.v)) for r in met.collect()) == want
+        # no row is copied where no key is busy
+        assert ("Generate" in met._jdf.queryExecution().executedPlan().toString()) == (few < 1000)
