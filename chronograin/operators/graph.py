@@ -175,6 +175,9 @@ def same_time_batches(inputs: DataFrame, batch_size: int, seed: int) -> DataFram
 # --- sampling -----------------------------------------------------------------------------------------
 
 NEVER_BEFORE = -(1 << 62)
+# Asks are spread over anchors, types and positions by explode, which Spark's size estimates leave out: without this hint
+# it would take very many of them for few and send them all through the driver.
+SHUFFLED = "merge"
 # an edge type and the node its edges lead to
 INTO = ("edge_type", "src_table", "dst_table", "dst_id")
 
@@ -187,7 +190,7 @@ def _visible(edges: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
     ask is ever joined with all edges of its node.
     """
     keys = [*INTO]
-    wanted = edges.join(asks.select(*keys).distinct(), keys, "left_semi")
+    wanted = edges.join(asks.select(*keys).distinct().hint(SHUFFLED), keys, "left_semi")
     edge_rows = wanted.select(
         *keys, F.coalesce("src_time", F.lit(NEVER_BEFORE)).alias("_when"), F.lit(0).alias("_ask"),
         "src_id", "src_time", F.lit(None).cast("bigint").alias("seed_id"), F.lit(None).cast("bigint").alias("seed_time"),
@@ -230,13 +233,13 @@ def temporal_neighbors(
     """
     keys = [*INTO]
     if k < 0:
-        met = edges.join(asks, keys)
+        met = edges.join(asks.hint(SHUFFLED), keys)
         return met.where(F.col("src_time").isNull() | (F.col("src_time") <= F.col("seed_time"))).select(
             "seed_id", "seed_time", *keys, "src_id", "src_time"
         )
     numbered, counted = _visible(edges, asks)
     drawn = counted.select(*keys, "seed_id", "seed_time", F.explode(_positions(F.col("_n"), k, strategy, seed)).alias("_pos"))
-    return drawn.join(numbered, [*keys, "_pos"]).select("seed_id", "seed_time", *keys, "src_id", "src_time")
+    return drawn.join(numbered.hint(SHUFFLED), [*keys, "_pos"]).select("seed_id", "seed_time", *keys, "src_id", "src_time")
 
 
 def _asks(nodes: DataFrame, types: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -273,7 +276,7 @@ def sample_subgraphs(
         hops.append(found.withColumn("hop", F.lit(hop)))
         if hop < len(fanout):
             reached = found.select("seed_id", "seed_time", F.col("src_table").alias("dst_table"), F.col("src_id").alias("dst_id"))
-            frontier = reached.distinct().join(visited, ["seed_id", "dst_table", "dst_id"], "left_anti")
+            frontier = reached.distinct().join(visited.hint(SHUFFLED), ["seed_id", "dst_table", "dst_id"], "left_anti")
             visited = visited.unionByName(frontier)
             reached_tables = {s for _, s, d in types if d in reached_tables}
     return union_all(hops)

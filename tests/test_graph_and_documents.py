@@ -282,3 +282,16 @@ def test_unfinished_cache_is_written_anew(spark, small_dir, tmp_path):
     spark.range(3).write.mode("overwrite").parquet(f"file://{tmp_path}/{task.name}-val.parquet")
     (tmp_path / f"{task.name}-val.parquet" / "_SUCCESS").unlink()
     assert task.table(dataset, "val", cache_dir=f"file://{tmp_path}").df.columns == ["timestamp", "customer_id", "churn"]
+
+
+def test_spread_asks_are_not_broadcast(spark):
+    """Spark knows these frames to be small, as it takes spread asks to be."""
+    into = [F.lit("e").alias("edge_type"), F.lit("f").alias("src_table"), F.lit("c").alias("dst_table"), (F.col("id") % 3).alias("dst_id")]
+    none = F.lit(None).cast("bigint").alias("dst_time")
+    edges = spark.range(30).select(*into, F.col("id").alias("src_id"), F.col("id").alias("src_time"), none)
+    asks = spark.range(6).select(*into, F.col("id").alias("seed_id"), F.lit(9).cast("bigint").alias("seed_time"))
+    for k, on in ((-1, "dst_id"), (2, "_pos")):
+        found = graph.temporal_neighbors(edges, asks, k)
+        joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and on in x]
+        assert joins and all("SortMergeJoin" in x for x in joins), joins
+        assert found.count() == (20 if k < 0 else 12)
