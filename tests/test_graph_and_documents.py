@@ -295,3 +295,27 @@ def test_spread_asks_are_not_broadcast(spark):
         joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and on in x]
         assert joins and all("SortMergeJoin" in x for x in joins), joins
         assert found.count() == (20 if k < 0 else 12)
+
+
+@pytest.mark.parametrize("part_rows", [10, 100_000])
+def test_labelled_documents_collect_a_customer_once(spark, part_rows):
+    rows, db = tiny(spark)
+    asked = [(c, T0 + timedelta(hours=h), h % 2) for c in [*range(12), None] for h in (-1, 100, 200, 400)]
+    asked += asked[:1]
+    labels = spark.createDataFrame(asked, "customer_id bigint, timestamp timestamp_ntz, churn int")
+    found = documents.labelled_documents(db, labels, "churn", part_rows)
+    if part_rows > len(rows):
+        # reviews are dealt by customer; no row for each label that follows them
+        assert "hashpartitioning(customer_id" in (plan := found._jdf.queryExecution().executedPlan().toString())
+        assert not [x for x in plan.splitlines() if "hashpartitioning(" in x and "timestamp" in x]
+    got = defaultdict(list)
+    mains = Counter()
+    for r in sorted(found.collect(), key=lambda r: (r.key, r.part)):
+        doc = json.loads(r.doc)
+        mains[r.key] += r.part == 0
+        got[r.key] += [x["review_time"] for x in doc["reviews"]]
+    for c, t, _ in set(asked):
+        key = f"{c}|{t}" if c is not None else str(t)
+        want = sorted(str(at) for own, _, at, _ in rows if own == c and at <= t)
+        assert got[key] == want * mains[key] if part_rows > len(rows) else got[key][: len(want)] == want, key
+    assert sum(mains.values()) == len(asked)
