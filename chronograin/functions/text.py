@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,8 @@ from chronograin.operators.joins import with_constants
 
 # words, of which upper case counts as lower
 WORDS = r"[^\x20\x09-\x0D]+"
+# rows whose words are counted before they are handed on
+COUNTED_ROWS = 256
 
 
 def hash_embedding(df: DataFrame, text: str, name: str, width: int = 64) -> DataFrame:
@@ -35,24 +39,45 @@ def _digits(term: Column, first: int, n: int) -> Column:
     return F.conv(F.md5(term.cast("binary")).substr(first, n), 16, 10).cast("bigint")
 
 
+def _word_counts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, _term, _n): how often each word occurs in each row of (key, lower-case text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(WORDS).findall
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNTED_ROWS):
+                part = batch.slice(start, COUNTED_ROWS)
+                found = [Counter(find(text)) for text in part.column(1).to_pylist()]
+                rows = np.repeat(np.arange(len(found)), [len(c) for c in found])
+                terms = pa.array([t for c in found for t in c], pa.string())
+                times = pa.array([n for c in found for n in c.values()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), terms, times], [key, "_term", "_n"])
+
+    schema = T.StructType([texts.schema[key], T.StructField("_term", T.StringType()), T.StructField("_n", T.LongType())])
+    return texts.mapInArrow(count, schema)
+
+
 def weighted_embedding(docs: DataFrame, key: str, text: str, name: str, width: int = 64) -> DataFrame:
     """(key, name): arrays of ``width`` numbers of length 1, by signed hashing of weighted terms.
 
     A term counts as often as it occurs times ln((1 + texts) / (1 + texts with it)) + 1, so words of all texts say little;
     its md5 names a place and a sign, so terms that share a place cancel out on average. Texts without words,
-    NULL included, are zero. Keys are unique; rows without a key are left out. Counts are partial aggregates.
+    NULL included, are zero. Keys are unique; rows without a key are left out. Words are counted within their row, and
+    the counts shuffled once, by term, where its rarity is found.
     """
     known = docs.select(key, text).dropna(subset=[key])
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
-    counts = known.select(key, F.explode(words).alias("_term")).groupBy(key, "_term").agg(F.count(F.lit(1)).alias("_n"))
-    spread = counts.groupBy("_term").agg(F.count(F.lit(1)).alias("_df"))
+    found = _word_counts(known.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_text")), key)
+    counts = found.repartition("_term").groupBy(key, "_term").agg(F.sum("_n").alias("_n"))
     rows = known.agg(F.count(F.lit(1)).alias("_rows"))
-    rarity = with_constants(spread, rows).select("_term", (F.log((1 + F.col("_rows")) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    sign = 1 - 2 * (_digits(F.col("_term"), 9, 1) % 2)
-    placed = counts.join(rarity, "_term").select(
-        key, (_digits(F.col("_term"), 1, 8) % width).cast("int").alias("_at"), (sign * F.col("_n") * F.col("_idf")).alias("_v")
-    )
-    sums = placed.groupBy(key, "_at").agg(F.sum("_v").alias("_v"))
+    # rows are dealt by term already; a frequent word's counts are buffered on disk
+    seen = counts.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("_term")))
+    # eight digits for the place, one for the sign
+    digits, idf = _digits(F.col("_term"), 1, 9), F.log((1 + F.col("_rows")) / (1 + F.col("_df"))) + 1
+    drawn = with_constants(seen, rows).select(key, digits.alias("_hex"), (F.col("_n") * idf).alias("_v"))
+    sign = 1 - 2 * (F.col("_hex") % 2)
+    placed = drawn.select(key, (F.shiftright("_hex", 4) % width).cast("int").alias("_at"), (sign * F.col("_v")).alias("_v"))
+    # a text's terms come from all over, so nothing could be added up before
+    sums = placed.repartition(key).groupBy(key, "_at").agg(F.sum("_v").alias("_v"))
     entries = F.map_from_entries(F.collect_list(F.struct("_at", "_v")))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")))
     # a text has at most ``width`` places

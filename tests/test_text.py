@@ -57,3 +57,16 @@ def test_texts_on_one_topic_lie_together(spark):
     topics = np.arange(7, len(TEXTS)) % 3
     alike = topics[:, None] == topics
     assert same[alike].mean() > same[~alike].mean() + 0.3
+
+
+def test_counts_of_words_are_shuffled_once_by_term_and_once_by_text(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (2, "c d"), (3, None)], "id bigint, text string")
+    found = text_functions.weighted_embedding(docs, "id", "text", "v", 16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the third is that of the keys alone
+    assert plan.count("Exchange hashpartitioning") <= 3
+    # rows of one key are one text, in which "c" occurs twice
+    whole = spark.createDataFrame([(1, "a b a"), (2, "b c c d"), (3, ""), (4, "")], "id bigint, text string")
+    once = {r.id: r.v for r in text_functions.weighted_embedding(whole, "id", "text", "v", 16).collect()}
+    for r in found.collect():
+        assert r.v == pytest.approx(once[r.id])
