@@ -8,13 +8,16 @@ radius, and the least norm, that a block needs to matter to one of the queries.
 equality join on the centre over rows of a few numbers, and vectors are shuffled for the surviving pairs only.
 
 The search runs in rounds that carry the k-th best scores on: first the nearest block of each query, then the few
-most promising ones, at last all that still matter. No round needs the size of its inputs.
+most promising ones, at last all that still matter. Pairs of blocks meet in cells of a sheet of queries and a sheet of
+items: a task holds the queries' side and lets the items' blocks pass, so that few copies of a vector are shuffled even
+where nothing can be pruned.
 
 Rows without an id or a vector are left out; vectors of unequal length are an error; equal scores go by the item's id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -22,7 +25,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronograin.functions.draws import draw
@@ -38,6 +41,8 @@ CENTRES = 256
 SAMPLE_PER_CENTRE = 128
 # pairs that a block of queries visits in the rounds between the first and the last
 WAVES = (8,)
+# vectors of one side that a task holds while those of the other side pass
+SHEET_BYTES = 32 << 20
 
 _PACKED = "cluster int, block bigint, n bigint, radius double, largest double, ids array<bigint>, payload binary"
 _FOUND = "q_block bigint, query_id bigint, item_id bigint, score double"
@@ -194,30 +199,96 @@ def _needs(asks: DataFrame, index: Index) -> DataFrame:
     return asks.select("q_block", "q_ids", "q_payload", "marks").mapInArrow(find, schema)
 
 
-def _visit(pairs: DataFrame, asks: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """The k best items of each pair of blocks for each of its queries, none below the query's mark."""
+def _sheet(col: str, n: int) -> Column:
+    """Number of the sheet, of ``n``, that a block is dealt to."""
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
+
+
+def _sheets(blocks: int, vectors: int, width: int, parallelism: int) -> int:
+    """How many sheets hold some blocks of vectors: as few as memory allows, and enough to give every core some cells."""
+    fit = -(-vectors * width * 8 // SHEET_BYTES)
+    return max(min(blocks, max(fit, math.isqrt(3 * parallelism - 1) + 1)), 1)
+
+
+class _Asked:
+    """A block of queries in a cell, with the k best items that its queries have met there."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, least: np.ndarray, k: int) -> None:
+        self.ids, self.rows, self.least, self.k = ids, rows, least, k
+        self.at, self.value, self.item = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def meet(self, items: np.ndarray, vectors: np.ndarray) -> None:
+        scores, k = self.rows @ vectors.T, self.k
+        least = self.least
+        if len(items) > k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(scores, len(items) - k, axis=1)[:, len(items) - k])
+        at, of = np.nonzero(scores >= least[:, None])
+        if not len(at):
+            return
+        at = np.concatenate([self.at, at])
+        value, item = np.concatenate([self.value, scores[at[len(self.at) :], of]]), np.concatenate([self.item, items[of]])
+        order = np.lexsort((item, -value, at))
+        at, value, item = at[order], value[order], item[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        # equal scores go by id, so later items must reach the k-th best, not beat it
+        kth = np.flatnonzero(rank == k - 1)
+        self.least = self.least.copy()
+        self.least[at[kth]] = np.maximum(self.least[at[kth]], value[kth])
+        self.at, self.value, self.item = at[rank < k], value[rank < k], item[rank < k]
+
+
+def _cells(pairs: DataFrame, asks: DataFrame, index: Index, sheets: tuple[int, int]) -> DataFrame:
+    """What is shuffled for pairs of blocks: (q_sheet, i_sheet, block, ids, payload, marks, wanted), of queries with ``wanted`` NULL.
+
+    Blocks are dealt to sheets. A block of queries is sent once to each sheet of items, and a block of items once to each
+    sheet of queries, that it has a pair with; so vectors move once for a sheet, not once for a pair.
+    """
+    n_q, n_i = sheets
+    dealt = pairs.select("q_block", "block", _sheet("q_block", n_q).alias("q_sheet"), _sheet("block", n_i).alias("i_sheet"))
+    cell = ["q_sheet", "i_sheet"]
+    q_side = dealt.select(*cell, "q_block").distinct().join(asks, "q_block").select(
+        *cell, F.col("q_block").alias("block"), F.col("q_ids").alias("ids"), F.col("q_payload").alias("payload"), "marks",
+        F.lit(None).cast("array<bigint>").alias("wanted"),
+    )
+    wanted = dealt.groupBy(*cell, "block").agg(F.collect_list("q_block").alias("wanted"))
+    i_side = wanted.join(index.blocks.select("block", "ids", "payload"), "block").select(
+        *cell, "block", "ids", "payload", F.lit(None).cast(asks.schema["marks"].dataType).alias("marks"), "wanted"
+    )
+    return q_side.unionByName(i_side)
+
+
+def _visit(pairs: DataFrame, asks: DataFrame, index: Index, k: int, sheets: tuple[int, int]) -> DataFrame:
+    """The k best items of each query among the pairs of blocks of a cell, none below the query's mark."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, i = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
-                scores = np.frombuffer(row["q_payload"]).reshape(len(q), -1) @ np.frombuffer(row["payload"]).reshape(len(i), -1).T
-                least = _slack(_marks(row["q_ids"], row["marks"]))
-                if len(i) > k:
-                    least = np.maximum(least, np.partition(scores, len(i) - k, axis=1)[:, len(i) - k])
-                at, of = np.nonzero(scores >= least[:, None])
-                value, item = scores[at, of], i[of]
-                order = np.lexsort((item, -value, at))
-                at, value, item = at[order], value[order], item[order]
-                first = np.arange(len(at)) - np.searchsorted(at, at) < k
-                at, value, item = at[first], value[first], item[first]
+        cell, asked = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for block, q in asked.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), row["q_block"])), pa.array(q[at]), pa.array(item), pa.array(value)],
+                    [pa.array(np.full(len(q.at), block)), pa.array(q.ids[q.at]), pa.array(q.item), pa.array(q.value)],
                     ["q_block", "query_id", "item_id", "score"],
                 )
 
-    met = pairs.select("q_block", "block").join(asks, "q_block").join(blocks.select("block", "ids", "payload"), "block")
-    return met.select("q_block", "q_ids", "q_payload", "marks", "ids", "payload").mapInArrow(score, _FOUND)
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                if cell != (row["q_sheet"], row["i_sheet"]):
+                    yield from done()
+                    cell, asked = (row["q_sheet"], row["i_sheet"]), {}
+                ids = np.array(row["ids"], np.int64)
+                rows = np.frombuffer(row["payload"]).reshape(len(ids), -1)
+                if row["wanted"] is None:
+                    asked[row["block"]] = _Asked(ids, rows, _slack(_marks(row["ids"], row["marks"])), k)
+                else:
+                    for q_block in row["wanted"]:
+                        asked[q_block].meet(ids, rows)
+        yield from done()
+
+    # the queries of a cell come before its items
+    met, cell = _cells(pairs, asks, index, sheets).withColumn("_side", F.col("wanted").isNotNull()), ["q_sheet", "i_sheet"]
+    placed = met.repartition(*cell).sortWithinPartitions(*cell, "_side", "block")
+    return placed.mapInArrow(score, _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -236,10 +307,13 @@ def search(
     # the longest items around the centre that is nearest to the queries
     first = top_k(index.limits, ["cluster"], [F.desc("largest"), F.asc("block")], 1).select(F.col("cluster").alias("home"), "block")
     pairs = asks.select("q_block", "home").join(first, "home").select("q_block", "block")
-    best = cut_lineage(_best(_visit(pairs, asks.withColumn("marks", none), index.blocks, k), k))
+    _, _, items, blocks = (int(found.sum()) for found in index.cluster_limits)
+    width, cores = index.centres.shape[1], queries.sparkSession.sparkContext.defaultParallelism
+    asked = packed.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sheets = _sheets(asked[0], asked[1], width, cores), _sheets(blocks, items, width, cores)
+    best = cut_lineage(_best(_visit(pairs, asks.withColumn("marks", none), index, k, sheets), k))
     visited = pairs
     # a round that could visit a good part of all blocks anyway would only put off the last one
-    blocks = int(index.cluster_limits[3].sum())
     for wave in [*[w for w in waves if 4 * w < blocks], None]:
         marks = best.where(F.col("rank") == k).groupBy("q_block").agg(F.collect_list(F.struct("query_id", "score")).alias("marks"))
         asked = asks.join(marks, "q_block", "left")
@@ -248,10 +322,9 @@ def search(
         kept = kept.join(visited, ["q_block", "block"], "left_anti")
         if wave is not None:
             kept = top_k(kept, ["q_block"], [F.desc(F.col("radius") - F.col("radius_needed")), F.asc("block")], wave, "_nr")
-        pairs = kept.select("q_block", "block")
-        # the rounds to come leave out these pairs
-        pairs = pairs if wave is None else cut_lineage(pairs)
-        found = best.drop("rank").unionByName(_visit(pairs, asked, index.blocks, k))
+        # both sides of the cells, and the rounds to come, read these pairs of numbers
+        pairs = cut_lineage(kept.select("q_block", "block"))
+        found = best.drop("rank").unionByName(_visit(pairs, asked, index, k, sheets))
         visited = visited.unionByName(pairs)
         best = _best(found, k)
         if wave is not None:

@@ -86,3 +86,25 @@ def test_bounds_hold_for_every_block(spark):
     nothing = scoring.reachable(queries, index, queries.select(F.col("id").alias("query_id"), F.lit(1e9).alias("mark")))
     everything = scoring.reachable(queries, index, queries.select(F.col("id").alias("query_id"), F.lit(-1e9).alias("mark")))
     assert {r.n_items for r in nothing.collect()} == {0} and {r.n_items for r in everything.collect()} == {200}
+
+
+def test_vectors_are_sent_once_for_a_sheet_not_once_for_a_pair(spark):
+    """Where nothing can be pruned every pair of blocks meets; copies of blocks grow with the sheets only."""
+    rows = [[(i * 7 + j * 3) % 11 for j in range(4)] for i in range(320)]
+    index = scoring.build_index(frame(spark, rows), block_rows=8)
+    packed = scoring.pack(frame(spark, rows), index.centres, 8)
+    asks = packed.select(
+        F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("payload").alias("q_payload"),
+        F.lit(None).cast("array<struct<query_id:bigint,score:double>>").alias("marks"),
+    )
+    pairs = asks.select("q_block").crossJoin(index.blocks.select("block"))
+    sent = scoring._cells(pairs, asks, index, (2, 3))
+    n_q, n_i = packed.count(), index.blocks.count()
+    assert sent.count() <= 3 * n_q + 2 * n_i < pairs.count()
+    assert sent.selectExpr("sum(size(wanted))").first()[0] == n_q * n_i == pairs.count()
+
+
+def test_sheets_fit_memory_and_do_not_grow_before():
+    assert scoring._sheets(100, 50_000, 64, 12) == scoring._sheets(700, 350_000, 64, 12) == 6
+    assert scoring._sheets(2000, 1_000_000, 64, 12) == scoring._sheets(9000, 1_000_000, 64, 12) == 16
+    assert scoring._sheets(3, 1500, 64, 12) == 3 and scoring._sheets(0, 0, 64, 12) == 1
