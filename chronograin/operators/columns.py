@@ -82,8 +82,11 @@ def database_kinds(db: Database) -> DataFrame:
 
 
 def save_kinds(kinds: DataFrame, path: str) -> None:
-    """JSON lines beside the data, one for each column."""
-    kinds.coalesce(1).write.json(path)
+    """JSON lines beside the data, one for each column.
+
+    Only the few rows found go to one task: without that shuffle it would also take the counting of all tables.
+    """
+    kinds.repartition(1).write.json(path)
 
 
 def load_kinds(spark: SparkSession, path: str) -> DataFrame:

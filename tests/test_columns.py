@@ -38,3 +38,13 @@ def test_top_categories_break_ties_by_text(spark):
     df = spark.createDataFrame([("x", 1), ("y", 1), ("y", 2), (None, 2), ("x", 3), ("z", None)], "s string, i int")
     got = {(r["column"], r["rank"]): (r.category, r.n) for r in columns.top_categories(df, ["s", "i"], 2).collect()}
     assert got == {("s", 1): ("x", 2), ("s", 2): ("y", 2), ("i", 1): ("1", 2), ("i", 2): ("2", 2)}
+
+
+def test_kinds_are_found_in_many_tasks_and_written_by_one(spark, tmp_path):
+    found = spark.range(0, 8, 1, 4).select(
+        F.lit("t").alias("table_name"), F.concat(F.lit("c"), "id").alias("column_name"), F.spark_partition_id().cast("string").alias("kind")
+    )
+    columns.save_kinds(found, str(tmp_path / "kinds"))
+    back = columns.load_kinds(spark, str(tmp_path / "kinds")).collect()
+    assert len(back) == 8 and {r.kind for r in back} == {"0", "1", "2", "3"}
+    assert len(list((tmp_path / "kinds").glob("part-*.json"))) == 1
