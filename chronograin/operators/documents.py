@@ -7,7 +7,7 @@ task ever holds an unbounded group, and nothing is left out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,29 +22,40 @@ from chronograin.operators.selection import first_rows
 from chronograin.operators.windows import union_all
 from chronograin.session import cut_lineage
 
-_KEEP_NULLS = {"ignoreNullFields": "false"}
+# NULLs are kept, and times become text as the document is written, not before they are shuffled and sorted
+_JSON = {"ignoreNullFields": "false", "timestampFormat": DOCUMENT_TIME, "timestampNTZFormat": DOCUMENT_TIME}
 # field of a continuation that names its list; whole documents have none
 CONTINUES = "continues"
 
 
-def text_time(col: str) -> Column:
-    return F.date_format(col, DOCUMENT_TIME).alias(col)
+def field(df: DataFrame, col: str) -> Column:
+    """A column as document field: times as far as their text goes, so that they sort as it does."""
+    kind = df.schema[col].dataType
+    timed = isinstance(kind, (T.TimestampNTZType, T.TimestampType))
+    return F.date_trunc("second", col).cast(kind).alias(col) if timed else F.col(col)
 
 
 def fields(df: DataFrame, *, drop: Sequence[str] = ()) -> list[Column]:
-    """All columns as document fields, timestamps as text."""
-    out = []
-    for f in df.schema.fields:
-        if f.name in drop or f.name.startswith("_"):
-            continue
-        timed = isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))
-        out.append(text_time(f.name) if timed else F.col(f.name))
-    return out
+    """All columns as document fields, timestamps to the second."""
+    return [field(df, c) for c in df.columns if c not in drop and not c.startswith("_")]
+
+
+def _longest(asked: Mapping[str, tuple[DataFrame, str]]) -> dict[str, int]:
+    """The largest number of rows of one key, for each of some (rows, key); one job for all of them."""
+    found = []
+    for name, (rows, key) in asked.items():
+        sizes = rows.dropna(subset=[key]).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        found.append(sizes.agg(F.lit(name).alias("name"), F.coalesce(F.max("_n"), F.lit(0)).alias("n")))
+    return {r["name"]: r["n"] for r in union_all(found).collect()} if found else {}
 
 
 @dataclass(frozen=True)
 class Child:
-    """A list below an owner: ``item`` of each of ``rows``, found by ``key``, sorted along ``order``."""
+    """A list below an owner: ``item`` of each of ``rows``, found by ``key``, sorted along ``order``.
+
+    ``holds`` names the lists within an item, whose lengths add to its weight. ``longest`` is a bound on the number of
+    items of a list, where one is known already.
+    """
 
     name: str
     rows: DataFrame
@@ -52,7 +63,12 @@ class Child:
     item: Column
     order: Sequence[str]
     section: str = ""
-    weight: Column | None = None
+    holds: Sequence[str] = ()
+    longest: int | None = None
+
+    @property
+    def weight(self) -> Column | None:
+        return _sizes(*self.holds) if self.holds else None
 
 
 class Nest:
@@ -61,30 +77,39 @@ class Nest:
     def __init__(self, part_rows: int = PART_ROWS) -> None:
         self.part_rows = part_rows
         self.rest: list[DataFrame] = []
+        # the number of items of the longest list of each name
+        self.longest: dict[str, int] = {}
 
     def lists(
         self, rows: DataFrame, keys: Sequence[str], item: Column, order: Sequence[str], name: str, section: str = "",
-        weight: Column | None = None, continued: bool | None = None,
+        weight: Column | None = None, continued: bool | None = None, near: Sequence[str] | None = None,
     ) -> DataFrame:
         """(keys.., name) with the first part of each list."""
-        first, rest = split_parts(rows, keys, item, order, name, self.part_rows, weight, continued)
+        first, rest = split_parts(rows, keys, item, order, name, self.part_rows, weight, continued, near)
         if rest is not None:
             # a line of its own says whom it belongs to, which list it goes on with, and where
             owner = [c.alias(k.lstrip("_")) for c, k in zip(_owners(rest, keys), keys, strict=True)]
             line = F.struct(*owner, F.lit(section or name).alias(CONTINUES), "part", name)
             self.rest.append(
                 rest.select(
-                    _key(keys), F.lit(section or name).alias("section"), "part", F.to_json(line, _KEEP_NULLS).alias("doc")
+                    _key(keys), F.lit(section or name).alias("section"), "part", F.to_json(line, _JSON).alias("doc")
                 )
             )
         return first
 
     def _continued(self, children: Sequence[Child]) -> set[str]:
-        """Names of the lists that outgrow a part for some owner; one job for all of them."""
-        found = [
-            hot_keys(c.rows, [c.key], self.part_rows, c.weight).limit(1).select(F.lit(c.name).alias("name")) for c in children
-        ]
-        return {r.name for r in union_all(found).collect()}
+        """Names of the lists that outgrow a part for some owner.
+
+        One job finds the longest list of each child. An item weighs at most as much as the longest lists that it may hold,
+        so lists are only weighed one by one where that bound allows one to outgrow a part.
+        """
+        self.longest |= {c.name: c.longest for c in children if c.longest is not None}
+        self.longest |= _longest({c.name: (c.rows, c.key) for c in children if c.longest is None})
+        most = {c.name: self.longest[c.name] * (1 + sum(self.longest[n] for n in c.holds)) for c in children}
+        long = [c for c in children if most[c.name] > self.part_rows]
+        unsure = [hot_keys(c.rows, [c.key], self.part_rows, c.weight).limit(1).select(F.lit(c.name).alias("name")) for c in long if c.holds]
+        heavy = {r.name for r in union_all(unsure).collect()} if unsure else set()
+        return heavy | {c.name for c in long if not c.holds}
 
     def under(self, owners: DataFrame, owner_key: str, *children: Child) -> DataFrame:
         """``owners`` with a list column per child, empty where there is none, and its length as ``_n_<name>``.
@@ -107,15 +132,14 @@ class Nest:
         """(key, section, part, doc): main documents have section '' and part 0."""
         main = rows.select(
             _key(keys), F.lit("").alias("section"), F.lit(0).cast("bigint").alias("part"),
-            F.to_json(F.struct(*doc), _KEEP_NULLS).alias("doc"),
+            F.to_json(F.struct(*doc), _JSON).alias("doc"),
         )
         return union_all([main, *self.rest])
 
 
 def _owners(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     """Key columns as document fields."""
-    timed = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))}
-    return [text_time(k) if k in timed else F.col(k) for k in keys]
+    return [field(df, k) for k in keys]
 
 
 def _key(keys: Sequence[str]) -> Column:
@@ -145,7 +169,7 @@ def _reviews_with_product(db: Database) -> tuple[DataFrame, Column]:
     product, review = db.df("product"), db.df("review")
     about = [c for c in _present(product, _PRODUCT) if c != "product_id"]
     rows = lookup(review, product, "product_id", "product_id", about)
-    whole = [text_time(c) if c == "review_time" else F.col(c) for c in _present(review, _REVIEW)]
+    whole = [field(review, c) for c in _present(review, _REVIEW)]
     item = F.struct(*whole, F.struct("product_id", *about).alias("product"))
     return rows, item
 
@@ -164,7 +188,7 @@ def item_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     nest = Nest(part_rows)
     product, review = db.df("product"), db.df("review")
     rows = lookup(review, db.df("customer"), "customer_id", "customer_id", ["customer_name"])
-    whole = [text_time(c) if c == "review_time" else F.col(c) for c in _present(review, _REVIEW)]
+    whole = [field(review, c) for c in _present(review, _REVIEW)]
     item = F.struct(*whole, F.struct("customer_id", "customer_name").alias("customer"))
     lists = nest.lists(rows, ["product_id"], item, ["review_time", "customer_id"], "reviews")
     about = [c for c in _present(product, _PRODUCT) if c != "product_id"]
@@ -196,7 +220,7 @@ def labelled_documents(db: Database, labels: DataFrame, target: str, part_rows:
         joined, found = joined.join(lists, ["customer_id", "timestamp"], "left"), ["reviews", *found]
     none = F.array().cast(T.ArrayType(whole.schema["_all"].dataType.elementType["_item"].dataType))
     told = joined.withColumn("reviews", F.coalesce(*found, none))
-    doc = [F.col("customer_id"), F.col("customer_name"), text_time("timestamp"), F.col("label"), F.col("reviews")]
+    doc = [F.col("customer_id"), F.col("customer_name"), field(labels, "timestamp"), F.col("label"), F.col("reviews")]
     return nest.documents(told, ["customer_id", "timestamp"], doc)
 
 
@@ -230,7 +254,7 @@ def classifieds_user_documents(db: Database, part_rows: int = PART_ROWS) -> Data
     children = [
         Child(
             "search_history", search, "UserID", F.struct(*fields(search)), ["SearchDate", "SearchID"],
-            weight=_sizes("search_results_shown"),
+            holds=("search_results_shown",),
         )
     ]
     for table, time, ad, name in (
@@ -261,40 +285,42 @@ def meetup_user_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame
         ),
     )
     friends = db.df("user_friends").where(F.col("friend").isNotNull())
-    engaged = _engagements(events, attendees, interest)
+    engaged = _engagements(events, attendees, interest, nest.longest["attendees"] + nest.longest["interest_shown"] <= part_rows)
     users = nest.under(
         db.df("users"), "user_id",
         Child("friends", friends, "user", F.col("friend"), ["friend"]),
         Child(
             "events_created", created, "user_id", F.struct(*fields(created)), ["start_time", "event_id"],
-            weight=_sizes("attendees", "interest_shown"),
+            holds=("attendees", "interest_shown"),
         ),
         Child("event_engagements", engaged, "engaged_user", F.struct("user_engagement_details", "event"), ["engaged_event"]),
     )
     return nest.documents(users, ["user_id"], fields(users))
 
 
-def _engagements(events: DataFrame, attendees: DataFrame, interest: DataFrame) -> DataFrame:
+def _engagements(events: DataFrame, attendees: DataFrame, interest: DataFrame, by_event: bool) -> DataFrame:
     """(engaged_user, engaged_event, user_engagement_details, event) for events the user did not create.
 
-    The first record of each kind counts. ``min`` of a struct is a partial aggregate, so a user
-    with very many records for an event is reduced before the shuffle.
+    The first record of each kind counts. ``by_event`` deals all that is told of an event to one task, for events of bounded
+    size: then records, owners and events meet in one shuffle. Otherwise ``min`` of a struct is a partial aggregate, so a
+    user with very many records for an event is reduced before the shuffle, and a large event is spread.
     """
+    keys = ["engaged_user", "engaged_event"]
 
-    def first(df: DataFrame, user: str, order: list[str], name: str) -> DataFrame:
-        keys = [F.col(user).alias("engaged_user"), F.col("event").alias("engaged_event")]
+    def told(df: DataFrame, user: str, order: list[str], name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in (user, "event", *order)]
-        rows = df.select(*keys, F.struct(*[text_time(c) if c in ("start_time", "timestamp") else F.col(c) for c in [*order, *rest]]).alias(name))
-        return rows.dropna(subset=["engaged_user", "engaged_event"]).groupBy("engaged_user", "engaged_event").agg(F.min(name).alias(name))
-
-    both = first(attendees, "user_id", ["start_time", "status"], "attended").join(
-        first(interest, "user", ["timestamp"], "interest"), ["engaged_user", "engaged_event"], "full"
-    )
-    own = events.select(F.col("user_id").alias("engaged_user"), F.col("event_id").alias("engaged_event"))
-    other = both.join(own, ["engaged_user", "engaged_event"], "left_anti")
+        record = F.struct(*[field(df, c) for c in [*order, *rest]]).alias(name)
+        return df.select(F.col(user).alias("engaged_user"), F.col("event").alias("engaged_event"), record)
+
+    met = events.select(F.col("user_id").alias("engaged_user"), F.col("event_id").alias("engaged_event"), F.lit(True).alias("_own"))
+    kinds = told(attendees, "user_id", ["start_time", "status"], "attended"), told(interest, "user", ["timestamp"], "interest")
+    for kind in kinds:
+        met = met.unionByName(kind, allowMissingColumns=True)
+    met = met.dropna(subset=keys)
+    found = (met.repartition("engaged_event") if by_event else met).groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("_own", "attended", "interest")])
     about = events.select(F.col("event_id").alias("engaged_event"), F.struct(*fields(events, drop=["event_id"])).alias("event"))
-    return other.join(about, "engaged_event", "left").select(
-        "engaged_user", "engaged_event", F.struct("attended", "interest").alias("user_engagement_details"), "event"
+    return found.where(F.col("_own").isNull()).join(about, "engaged_event", "left").select(
+        *keys, F.struct("attended", "interest").alias("user_engagement_details"), "event"
     )
 
 
@@ -315,7 +341,7 @@ def driver_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     def first(name: str, order: list[str], alias: str) -> DataFrame:
         df = db.df(name)
         rest = [c for c in df.columns if c not in ("raceId", "driverId", *order)]
-        rows = df.select("raceId", "driverId", F.struct(*[text_time(c) if c == "date" else F.col(c) for c in [*order, *rest]]).alias(alias))
+        rows = df.select("raceId", "driverId", F.struct(*[field(df, c) for c in [*order, *rest]]).alias(alias))
         return rows.groupBy("raceId", "driverId").agg(F.min(alias).alias(alias))
 
     results = db.df("results")
@@ -348,7 +374,7 @@ def purchase_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     article = _dimension(db.df("article"), "article_id", "article_purchased")
     bought = _with(db.df("transactions"), article, "article_id", "article_purchased")
     item = F.struct(
-        F.date_format("t_dat", DOCUMENT_TIME).alias("transaction_date"), "price", "sales_channel_id", "article_purchased"
+        field(bought, "t_dat").alias("transaction_date"), "price", "sales_channel_id", "article_purchased"
     )
     purchases = Child("purchase_history", bought, "customer_id", item, ["t_dat", "article_id"])
     customers = nest.under(db.df("customer"), "customer_id", purchases)
@@ -370,7 +396,7 @@ def forum_user_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     children = [
         Child(
             "posts", posts, "OwnerUserId", F.struct(*fields(posts, drop=["OwnerUserId"])), ["CreationDate", "Id"],
-            weight=_sizes(*names.values()),
+            holds=tuple(names.values()),
         )
     ]
     for table, time, name in (("badges", "Date", "badges"), ("comments", "CreationDate", "user_comments"), ("votes", "CreationDate", "user_votes")):
@@ -405,7 +431,7 @@ def study_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     )
     outcomes = nest.under(outcomes, "id", below)
     children.append(
-        Child("outcomes", outcomes, "nct_id", F.struct(*fields(outcomes, drop=["nct_id"])), ["id"], weight=_sizes("analyses"))
+        Child("outcomes", outcomes, "nct_id", F.struct(*fields(outcomes, drop=["nct_id"])), ["id"], holds=("analyses",))
     )
     for table in ("drop_withdrawals", "reported_event_totals"):
         if table in db.tables:

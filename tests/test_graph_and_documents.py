@@ -319,3 +319,62 @@ def test_labelled_documents_collect_a_customer_once(spark, part_rows):
         want = sorted(str(at) for own, _, at, _ in rows if own == c and at <= t)
         assert got[key] == want * mains[key] if part_rows > len(rows) else got[key][: len(want)] == want, key
     assert sum(mains.values()) == len(asked)
+
+
+def test_lists_are_dealt_as_plain_columns_and_weighed_only_where_they_may_outgrow_a_part(spark, small_dir, monkeypatch):
+    from chronograin.queries.databases import forum
+
+    db = forum(spark, small_dir).full_db
+    # parts that single lists stay below, but the lists of a post's lists would not
+    parted = documents.forum_user_documents(db, 100)
+    assert parted.where("section = 'posts'").count() > 0
+
+    def weigh(*_):
+        raise AssertionError("lists that cannot outgrow a part were weighed")
+
+    monkeypatch.setattr(documents, "hot_keys", weigh)
+    plan = documents.forum_user_documents(db)._jdf.queryExecution().optimizedPlan().toString()
+    # times become text in the document itself only
+    assert "date_format" not in plan
+
+
+def _text(at):
+    return at and at.strftime("%Y-%m-%d %H:%M:%S")
+
+
+@pytest.mark.parametrize("part_rows", [2, 100_000])
+def test_engagements_meet_their_event_in_one_shuffle(spark, part_rows):
+    """Own events, several records of a kind, unknown and NULL keys, and an event that comes twice."""
+    at = [T0 + timedelta(days=i) for i in range(9)]
+    events = [(i, i % 3, at[i]) for i in range(6)] + [(2, 1, at[8]), (7, None, at[7])]
+    attended = [(i % 9, (i * 5) % 4, at[i % 7], "yno"[i % 3]) for i in range(40)] + [(None, 1, at[0], "y"), (1, None, at[0], "y")]
+    shown = [(i % 8, (i * 3) % 4, at[i % 5], i % 2) for i in range(30)]
+    frame = spark.createDataFrame
+    numbers = [F.lit(float(i)).alias(f"c_{i}") for i in (1, 2)]
+    tables = {
+        "users": Table(frame([(i,) for i in range(4)], "user_id bigint"), "user_id"),
+        "events": Table(frame(events, "event_id bigint, user_id bigint, start_time timestamp_ntz").select("*", *numbers), "event_id"),
+        "event_attendees": Table(frame(attended, "event bigint, user_id bigint, start_time timestamp_ntz, status string"), None),
+        "event_interest": Table(frame(shown, "event bigint, user bigint, timestamp timestamp_ntz, interested int"), None),
+        "user_friends": Table(frame([(1, 2)], "user bigint, friend bigint"), None),
+    }
+    docs = documents.meetup_user_documents(Database(tables), part_rows)
+    if part_rows == 100_000:
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(engaged_event" in plan and "hashpartitioning(engaged_user#" in plan
+        assert not [x for x in plan.splitlines() if "hashpartitioning(engaged_" in x and x.count("engaged_") > 1]
+    got = defaultdict(list)
+    for d in docs.collect():
+        for x in json.loads(d.doc).get("event_engagements", []):
+            told, event = x["user_engagement_details"], x["event"]
+            got[int(d.key)].append(
+                [told["attended"] and list(told["attended"].values()), told["interest"] and list(told["interest"].values()), event and event["start_time"]]
+            )
+    own = {(u, e) for e, u, _ in events}
+    want = defaultdict(list)
+    for user, event in {(r[1], r[0]) for r in attended + shown if None not in r[:2]} - own:
+        first = [min(((_text(t), s) for e, u, t, s in rows if (e, u) == (event, user)), default=None) for rows in (attended, shown)]
+        for start in [_text(t) for e, _, t in events if e == event] or [None]:
+            want[user].append([f and list(f) for f in first] + [start])
+    for user in range(4):
+        assert sorted(map(str, got[user])) == sorted(map(str, want[user]))
