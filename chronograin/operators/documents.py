@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,8 @@ from chronograin.session import cut_lineage
 _JSON = {"ignoreNullFields": "false", "timestampFormat": DOCUMENT_TIME, "timestampNTZFormat": DOCUMENT_TIME}
 # field of a continuation that names its list; whole documents have none
 CONTINUES = "continues"
+# a table of that many rows is sent to every task, whatever its estimated size
+FEW_ROWS = 1000
 
 
 def field(df: DataFrame, col: str) -> Column:
@@ -338,30 +341,46 @@ def driver_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame:
     races = lookup(races, circuits, "circuitId", "circuitId", about)
     race = races.select(F.col("raceId").alias("_race"), F.col("year").alias("_year"), F.struct(*fields(races, drop=["raceId"])).alias("race"))
 
-    def first(name: str, order: list[str], alias: str) -> DataFrame:
+    def others(name: str, order: list[str], alias: str) -> DataFrame:
         df = db.df(name)
         rest = [c for c in df.columns if c not in ("raceId", "driverId", *order)]
-        rows = df.select("raceId", "driverId", F.struct(*[field(df, c) for c in [*order, *rest]]).alias(alias))
-        return rows.groupBy("raceId", "driverId").agg(F.min(alias).alias(alias))
+        return df.select("raceId", "driverId", F.struct(*[field(df, c) for c in [*order, *rest]]).alias(alias))
 
     results = db.df("results")
     own, team, said = fields(results, drop=["raceId", "driverId"]), [], []
-    if "status" in db.tables:
-        about = _dimension(db.df("status"), "statusId", "status_text")
-        results = _with(results, about, "statusId", "status_text")
-        said = [F.struct("statusId", "status_text.*").alias("status")]
+    # a driver has at most as many starts as results, times the rows that a result may meet
+    met = {"results": (results, "driverId"), "races": (races, "raceId")}
     if "constructors" in db.tables:
+        met["constructors"] = (db.df("constructors"), "constructorId")
         results = _with(results, _dimension(db.df("constructors"), "constructorId", "constructor"), "constructorId", "constructor")
         team = ["constructor"]
-    starts = results.select("raceId", "driverId", *team, F.struct(*own, *said).alias("result"))
-    starts = starts.join(race, F.col("raceId") == F.col("_race")).where(F.col("_year").isNotNull())
-    starts = starts.join(first("qualifying", ["date"], "qualifying"), ["raceId", "driverId"], "left")
-    starts = starts.join(first("standings", ["date"], "championship_standing"), ["raceId", "driverId"], "left")
-    item = F.struct("race", F.struct(*team, "qualifying", "result", "championship_standing").alias("driver_performance"))
-    seasons = nest.lists(starts, ["driverId", "_year"], item, ["raceId"], "races", "seasons.races")
+    starts = results.select("raceId", "driverId", *team, F.struct(*own).alias("result"))
+    # all that is told of a race meets in one shuffle, but for races of very many rows; the first record of each kind counts
+    for kind in (others("qualifying", ["date"], "qualifying"), others("standings", ["date"], "championship_standing")):
+        starts = starts.unionByName(kind, allowMissingColumns=True)
+    start = ["raceId", "driverId"]
+    spread = _longest({"race": (starts, "raceId")})["race"] > part_rows
+    starts = starts.repartition(*(start if spread else ["raceId"])).withColumns({c: F.min(c).over(Window.partitionBy(*start)) for c in ("qualifying", "championship_standing")})
+    starts = starts.where(F.col("result").isNotNull()).join(race, F.col("raceId") == F.col("_race")).where(F.col("_year").isNotNull())
+    if "status" in db.tables:
+        status = db.df("status")
+        met["status"] = (status, "statusId")
+        about = _dimension(status, "statusId", "status_text")
+        # by a key of few values, all results would meet in as few tasks
+        few = status.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+        starts = _with(starts.withColumn("statusId", F.col("result.statusId")), F.broadcast(about) if few else about, "statusId", "status_text")
+        said = [F.struct("statusId", "status_text.*").alias("status")]
+    most = _longest(met)
+    longest = most["results"] * prod(max(1, n) for name, n in most.items() if name != "results")
+    # where no driver outgrows a part, a driver's seasons are collected in one task, and not shuffled again
+    whole = {"continued": False, "near": ["driverId"]} if longest <= part_rows else {}
+    result = F.struct("result.*", *said).alias("result")
+    item = F.struct("race", F.struct(*team, "qualifying", result, "championship_standing").alias("driver_performance"))
+    seasons = nest.lists(starts, ["driverId", "_year"], item, ["raceId"], "races", "seasons.races", **whole)
     season = F.struct(F.col("_year").alias("year"), "races")
     # a driver has as many seasons as there are years
-    drivers = nest.under(db.df("drivers"), "driverId", Child("seasons", seasons, "driverId", season, ["_year"]))
+    listed = Child("seasons", seasons, "driverId", season, ["_year"], longest=longest if whole else None)
+    drivers = nest.under(db.df("drivers"), "driverId", listed)
     return nest.documents(drivers, ["driverId"], fields(drivers))
 
 
