@@ -41,8 +41,9 @@ CENTRES = 256
 SAMPLE_PER_CENTRE = 128
 # pairs that a block of queries visits in the rounds between the first and the last
 WAVES = (8,)
-# vectors of one side that a task holds while those of the other side pass
+# vectors of the queries' side that a task holds, and of the items' side that pass it
 SHEET_BYTES = 32 << 20
+PASSED_BYTES = 128 << 20
 
 _PACKED = "cluster int, block bigint, n bigint, radius double, largest double, ids array<bigint>, payload binary"
 _FOUND = "q_block bigint, query_id bigint, item_id bigint, score double"
@@ -210,6 +211,16 @@ def _sheets(blocks: int, vectors: int, width: int, parallelism: int) -> int:
     return max(min(blocks, max(fit, math.isqrt(3 * parallelism - 1) + 1)), 1)
 
 
+def _both_sheets(queries: tuple[int, int], items: tuple[int, int], width: int, parallelism: int) -> tuple[int, int]:
+    """Sheets of the queries and of the items, of (blocks, vectors) each.
+
+    Items pass and are not held, so theirs are as few as still give every core some cells: each is another copy of all queries.
+    """
+    held = _sheets(*queries, width, parallelism)
+    blocks, vectors = items
+    return held, max(min(blocks, max(-(-vectors * width * 8 // PASSED_BYTES), -(-3 * parallelism // held))), 1)
+
+
 class _Asked:
     """A block of queries in a cell, with the k best items that its queries have met there."""
 
@@ -310,7 +321,7 @@ def search(
     _, _, items, blocks = (int(found.sum()) for found in index.cluster_limits)
     width, cores = index.centres.shape[1], queries.sparkSession.sparkContext.defaultParallelism
     asked = packed.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    sheets = _sheets(asked[0], asked[1], width, cores), _sheets(blocks, items, width, cores)
+    sheets = _both_sheets((asked[0], asked[1]), (blocks, items), width, cores)
     best = cut_lineage(_best(_visit(pairs, asks.withColumn("marks", none), index, k, sheets), k))
     visited = pairs
     # a round that could visit a good part of all blocks anyway would only put off the last one

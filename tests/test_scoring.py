@@ -108,3 +108,18 @@ def test_sheets_fit_memory_and_do_not_grow_before():
     assert scoring._sheets(100, 50_000, 64, 12) == scoring._sheets(700, 350_000, 64, 12) == 6
     assert scoring._sheets(2000, 1_000_000, 64, 12) == scoring._sheets(9000, 1_000_000, 64, 12) == 16
     assert scoring._sheets(3, 1500, 64, 12) == 3 and scoring._sheets(0, 0, 64, 12) == 1
+
+
+def test_items_pass_so_their_sheets_do_not_grow_with_those_of_the_queries():
+    """Copies of vectors that a round may shuffle: every query once for a sheet of items, every item once for one of queries."""
+
+    def copies(n):
+        side = (-(-n // 512), n), (-(-n // 2048), n)
+        n_q, n_i = scoring._both_sheets(*side, 64, 12)
+        assert n_q * n_i >= 3 * 12 and n * 64 * 8 <= n_q * scoring.SHEET_BYTES and n * 64 * 8 <= n_i * scoring.PASSED_BYTES
+        return n * (n_q + n_i)
+
+    assert copies(615_000) <= 7.2 * copies(102_500)
+    # few queries: they are copied to many sheets, so that items move once
+    assert scoring._both_sheets((1, 100), (500, 1_000_000), 64, 12) == (1, 36)
+    assert scoring._both_sheets((0, 0), (0, 0), 64, 12) == (1, 1)
