@@ -18,6 +18,7 @@ from chronograin.functions.text import hash_embedding
 from chronograin.model import TaskKind
 from chronograin.operators import metrics
 from chronograin.operators.columns import CATEGORICAL, MULTI, TEXT, TIME
+from chronograin.session import cut_lineage
 
 CATEGORY_BUCKETS = 32
 TEXT_WIDTH = 8
@@ -123,8 +124,9 @@ def fit_boosted(
     if not targets:
         raise ValueError(f"no value of {target} to learn from")
     labels = [f"_y{i}" for i in range(len(targets))]
-    fit_on = assemble(train, kinds).select("features", *[t.alias(n) for t, n in zip(targets, labels, strict=True)])
-    tune_on = assemble(val, kinds).select(F.col(target), "features")
+    # every fit passes over its rows several times, so what leads to them runs once
+    fit_on = cut_lineage(assemble(train, kinds).select("features", *[t.alias(n) for t, n in zip(targets, labels, strict=True)]))
+    tune_on = cut_lineage(assemble(val, kinds).select(F.col(target), "features"))
     trainer = GBTRegressor if kind is TaskKind.REGRESSION else GBTClassifier
     best, scores = None, {}
     for depth in depths:

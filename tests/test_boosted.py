@@ -43,3 +43,20 @@ def test_pairs_and_empty_targets_are_errors(rows):
         fitted(rows, "y", TaskKind.LINK)
     with pytest.raises(ValueError, match="learn"):
         fitted(rows.where("id < 0"), "y", TaskKind.MULTICLASS)
+
+
+def test_rows_to_learn_from_are_computed_once(spark):
+    """Two fits of three rounds pass over their rows many times, but what leads to them runs once for each side."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def counted(n):
+        rows = spark.range(n).select(F.col("id").cast("double").alias("x"), F.lit("a").alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+        return rows.mapInArrow(count, rows.schema)
+
+    boosted.fit_boosted(counted(60), counted(30), "y", KINDS, TaskKind.BINARY, depths=(1, 2), rounds=2)
+    assert seen.value == 90
