@@ -22,6 +22,8 @@ from chronograin.session import cut_lineage
 
 CATEGORY_BUCKETS = 32
 TEXT_WIDTH = 8
+# rounds of boosting, as many as boosting libraries take unless told otherwise; the validation split says how many trees stay
+ROUNDS = 100
 
 
 def assemble(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
@@ -106,6 +108,19 @@ def _goodness(scored: DataFrame, target: str, kind: TaskKind) -> float:
     return -(scored.agg(loss).first()[0] or 0.0)
 
 
+def _fit(trainer: GBTClassifier | GBTRegressor, train: DataFrame, val: DataFrame) -> Model:
+    """All rounds on ``train``, then as many trees as do best on ``val``; all of them where it has no rows."""
+    label = F.col(trainer.getLabelCol())
+    train, val = train.where(label.isNotNull()), val.where(label.isNotNull())
+    model = trainer.fit(train)
+    if val.isEmpty():
+        return model
+    losses = model.evaluateEachIteration(val, *(["squared"] if isinstance(trainer, GBTRegressor) else []))
+    kept = 1 + min(range(len(losses)), key=losses.__getitem__)
+    # seeds go by round, so the first trees come out again
+    return model if kept == len(losses) else trainer.setMaxIter(kept).fit(train)
+
+
 def fit_boosted(
     train: DataFrame,
     val: DataFrame,
@@ -113,11 +128,12 @@ def fit_boosted(
     kinds: Mapping[str, str],
     kind: TaskKind,
     depths: Sequence[int] = (3, 5),
-    rounds: int = 10,
+    rounds: int = ROUNDS,
     seed: int = 42,
 ) -> tuple[Boosted, dict[int, float]]:
     """The best model on ``val`` and the scores of all depths: ROC AUC (binary), else losses with a minus.
 
+    Each model goes through all ``rounds`` and keeps as many of its first trees as do best on ``val``.
     Classes are numbers from 0, labels arrays of 0 and 1. Tasks over pairs are an error.
     """
     targets = _targets(train, target, kind)
@@ -125,17 +141,15 @@ def fit_boosted(
         raise ValueError(f"no value of {target} to learn from")
     labels = [f"_y{i}" for i in range(len(targets))]
     # every fit passes over its rows several times, so what leads to them runs once
-    fit_on = cut_lineage(assemble(train, kinds).select("features", *[t.alias(n) for t, n in zip(targets, labels, strict=True)]))
-    tune_on = cut_lineage(assemble(val, kinds).select(F.col(target), "features"))
+    learned = [t.alias(n) for t, n in zip(targets, labels, strict=True)]
+    fit_on = cut_lineage(assemble(train, kinds).select("features", *learned))
+    tune_on = cut_lineage(assemble(val, kinds).select(F.col(target), "features", *learned))
     trainer = GBTRegressor if kind is TaskKind.REGRESSION else GBTClassifier
     best, scores = None, {}
     for depth in depths:
-        models = [
-            trainer(labelCol=n, maxDepth=depth, maxIter=rounds, seed=seed).fit(fit_on.where(F.col(n).isNotNull()))
-            for n in labels
-        ]
+        models = [_fit(trainer(labelCol=n, maxDepth=depth, maxIter=rounds, seed=seed), fit_on, tune_on) for n in labels]
         model = Boosted(kind, models)
-        scores[depth] = _goodness(_predict(model, tune_on), target, kind)
+        scores[depth] = _goodness(_predict(model, tune_on.drop(*labels)), target, kind)
         if best is None or scores[depth] > max(v for d, v in scores.items() if d != depth):
             best = model
     return best, scores

@@ -551,7 +551,7 @@ def boosted_tree_baseline(spark, sf_dir):
     # all splits come from one pass over the facts
     wide = cut_lineage(wide.select("split", "timestamp", "customer_id", "churn", *kinds))
     fit_on, tune_on, test = (wide.where(F.col("split") == s) for s in ("train", "val", "test"))
-    model, _ = boosted.fit_boosted(fit_on, tune_on, "churn", kinds, TaskKind.BINARY, depths=(2, 3), rounds=3)
+    model, _ = boosted.fit_boosted(fit_on, tune_on, "churn", kinds, TaskKind.BINARY)
     return boosted.predict(model, test, kinds).select("timestamp", "customer_id", "churn", "pred")
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from chronograin.model import TaskKind
 from chronograin.plans import boosted
 
@@ -60,3 +61,29 @@ def test_rows_to_learn_from_are_computed_once(spark):
 
     boosted.fit_boosted(counted(60), counted(30), "y", KINDS, TaskKind.BINARY, depths=(1, 2), rounds=2)
     assert seen.value == 90
+
+
+def test_all_rounds_are_run_and_the_validation_split_says_how_many_trees_stay(spark):
+    """Trees that only learn the noise of the training rows are tried, but do not stay."""
+    noisy = spark.range(200).select(
+        (F.col("id") % 20).cast("double").alias("x"), F.lit("a").alias("s"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("y")
+    )
+    other = noisy.select("x", "s", (1 - F.col("y")).alias("y"))
+    model, _ = boosted.fit_boosted(noisy, other, "y", KINDS, TaskKind.BINARY, depths=(3,), rounds=8)
+    assert model.models[0].getNumTrees == 1
+    model, _ = boosted.fit_boosted(noisy, noisy, "y", KINDS, TaskKind.BINARY, depths=(3,), rounds=8)
+    assert model.models[0].getNumTrees == 8
+
+
+def test_baseline_is_boosted_in_full(spark, small_dir, monkeypatch):
+    """The query takes the depths and rounds of ``fit_boosted``, not fewer."""
+    given = {}
+
+    def noted(*rows, **rest):
+        given.update(rest)
+        raise InterruptedError
+
+    monkeypatch.setattr(boosted, "fit_boosted", noted)
+    with pytest.raises(InterruptedError):
+        queries()["boosted_tree_baseline"](spark, small_dir)
+    assert not given and boosted.ROUNDS >= 100
