@@ -13,6 +13,7 @@ from chronograin.model import Database, Dataset, Table
 from chronograin.operators import integrity, lists
 from chronograin.operators.quantiles import percentiles
 from chronograin.operators.running import dense_row_ids, running_totals
+from chronograin.queries import keys
 from chronograin.sources import files, tables
 
 T0 = datetime(2020, 1, 1)
@@ -167,3 +168,18 @@ def test_tolerant_json_skips_only_bad_lines(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"a": 1, "b": "x"}\n{"a": 2\nnot json\n{"a": 3}\n')
     rows = files.read_json_lines_tolerant(spark, str(tmp_path), "a bigint, b string").collect()
     assert sorted((r.a, r.b) for r in rows) == [(1, "x"), (3, None)]
+
+
+def test_tasks_of_the_registry_are_counted_one_after_the_other(spark, small_dir, monkeypatch):
+    """The result holds the counts of labels, not one plan of all tasks at once."""
+    running = []
+
+    def labels(task, dataset):
+        running.append(task.name)
+        return spark.range(len(running))
+
+    monkeypatch.setattr(keys, "all_splits", labels)
+    found = keys.task_registry(spark, small_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Union" not in plan and "Range" not in plan
+    assert sorted(r.n_labels for r in found.collect()) == list(range(1, 31)) and len(set(running)) > 20
