@@ -14,6 +14,7 @@ from chronograin.operators.columns import column_stats, infer_kinds, without_key
 from chronograin.operators.integrity import check_dense
 from chronograin.operators.running import dense_row_ids, running_totals
 from chronograin.operators.windows import union_all
+from chronograin.session import cut_lineage
 
 ROW_ID = "row_id"
 EDGE_COLUMNS = ("edge_type", "src_table", "dst_table", "src_id", "dst_id", "src_time", "dst_time")
@@ -251,6 +252,63 @@ def _asks(nodes: DataFrame, types: Sequence[tuple[str, str, str]]) -> DataFrame:
     return into.drop("to")
 
 
+# edges into one node that may lie in one row, which is read once for each ask of the node
+NEAR_EDGES = 256
+
+
+def _numbered(types: Sequence[tuple[str, str, str]]) -> Column:
+    """The place of an edge's type among ``types``."""
+    named = ("edge_type", "src_table", "dst_table")
+    places = [F.when(F.struct(*named) == F.struct(*map(F.lit, t)), F.lit(i)) for i, t in enumerate(types)]
+    return F.coalesce(*places).cast("smallint")
+
+
+def _near_neighbors(
+    edges: DataFrame, nodes: DataFrame, types: Sequence[tuple[str, str, str]], k: int, strategy: str, seed: int
+) -> DataFrame:
+    """Like ``temporal_neighbors`` for all ``types`` into ``nodes`` (seed_id, seed_time, dst_table, dst_id), of few edges each.
+
+    The edges into a node are one sorted row, so what an ask may see and what is drawn of it are parts of that row: an ask is
+    shuffled once, whatever the number of types, and nothing after it is. Rows are dealt anew before they meet the asks, so that
+    a node of very many asks can be split.
+    """
+    at = ["dst_table", "dst_id"]
+    slim = edges.select(*at, _numbered(types).alias("_type"), "src_id", "src_time")
+    entry = F.struct("_type", F.coalesce("src_time", F.lit(NEVER_BEFORE)).alias("_when"), "src_id", "src_time")
+    rows = slim.repartition(*reversed(at)).groupBy(*at).agg(F.sort_array(F.collect_list(entry)).alias("_edges"))
+    met = nodes.join(rows.hint(SHUFFLED), at)
+    known = F.array(*[
+        F.struct(F.lit(i).cast("smallint").alias("_type"), F.lit(e).alias("edge_type"), F.lit(s).alias("src_table"), F.lit(d).alias("_to"))
+        for i, (e, s, d) in enumerate(types)
+    ])
+    asked = met.select("*", F.inline(known)).where(F.col("_to") == F.col("dst_table"))
+    visible = F.filter("_edges", lambda e: (e["_type"] == F.col("_type")) & (e["_when"] <= F.col("seed_time")))
+    seen = asked.select("seed_id", "seed_time", *INTO, visible.alias("_seen")).where(F.size("_seen") > 0)
+    drawn = seen.withColumn("_drawn", _positions(F.size("_seen").cast("bigint"), k, strategy, seed))
+    found = F.transform("_drawn", lambda p: F.get("_seen", (p - 1).cast("int")))
+    return drawn.select("seed_id", "seed_time", *INTO, F.explode(found).alias("_edge")).select(
+        "seed_id", "seed_time", *INTO, "_edge.src_id", "_edge.src_time"
+    )
+
+
+def _node_neighbors(
+    edges: DataFrame, nodes: DataFrame, types: Sequence[tuple[str, str, str]], k: int, strategy: str, seed: int
+) -> DataFrame:
+    """At most k neighbours of each of ``nodes`` and of each of ``types`` that leads to it; k = -1 keeps all."""
+    if k < 0:
+        return temporal_neighbors(edges, _asks(nodes, types), k, strategy, seed)
+    at = ["dst_table", "dst_id"]
+    many = edges.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > NEAR_EDGES)
+    hubs = cut_lineage(many.select(*at))
+    if hubs.isEmpty():
+        return _near_neighbors(edges, nodes, types, k, strategy, seed)
+    near = [df.join(hubs, at, "left_anti") for df in (edges, nodes)]
+    far = [df.join(hubs, at, "left_semi") for df in (edges, nodes)]
+    return _near_neighbors(*near, types, k, strategy, seed).unionByName(
+        temporal_neighbors(far[0], _asks(far[1], types), k, strategy, seed)
+    )
+
+
 def sample_subgraphs(
     db: Database,
     seed_table: str,
@@ -270,13 +328,13 @@ def sample_subgraphs(
     frontier = seeds.select("seed_id", "seed_time", F.lit(seed_table).alias("dst_table"), F.col("node_id").alias("dst_id"))
     visited, hops = frontier, []
     for hop, k in enumerate(fanout, 1):
-        found = temporal_neighbors(
-            fk_edges(db, reached_tables), _asks(frontier, types), k, strategy, seed + hop
-        )
+        found = _node_neighbors(fk_edges(db, reached_tables), frontier, types, k, strategy, seed + hop)
         hops.append(found.withColumn("hop", F.lit(hop)))
         if hop < len(fanout):
             reached = found.select("seed_id", "seed_time", F.col("src_table").alias("dst_table"), F.col("src_id").alias("dst_id"))
-            frontier = reached.distinct().join(visited.hint(SHUFFLED), ["seed_id", "dst_table", "dst_id"], "left_anti")
+            by = ["seed_id", "dst_table", "dst_id"]
+            # dealt by what they are compared along, so that they are shuffled once for both
+            frontier = reached.repartition(*by).distinct().join(visited.hint(SHUFFLED), by, "left_anti")
             visited = visited.unionByName(frontier)
             reached_tables = {s for _, s, d in types if d in reached_tables}
     return union_all(hops)

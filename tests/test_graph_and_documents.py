@@ -439,3 +439,30 @@ def test_engagements_meet_their_event_in_one_shuffle(spark, part_rows):
             want[user].append([f and list(f) for f in first] + [start])
     for user in range(4):
         assert sorted(map(str, got[user])) == sorted(map(str, want[user]))
+
+
+@pytest.mark.parametrize("strategy", ["uniform", "last"])
+def test_neighbors_are_drawn_from_one_row_per_node(spark, monkeypatch, strategy):
+    """Seeds that come twice, unknown and NULL nodes and times; nodes of few and of many edges give the same sample."""
+    _, db = tiny(spark, 150)
+    db = graph.with_row_ids(db)
+    start = 1577836800
+    asked = [(i, start + 3600 * 40 * (i % 7) if i % 6 else None, i % 13 if i % 11 else None) for i in range(30)]
+    seeds = spark.createDataFrame(asked + asked[:3], "seed_id bigint, seed_time bigint, node_id bigint")
+
+    def sample():
+        out = graph.sample_subgraphs(db, "customer", seeds, [5, 3], strategy, 9)
+        return Counter(map(tuple, out.select("hop", "seed_id", "seed_time", "edge_type", "src_table", "dst_table", "dst_id", "src_id", "src_time").collect()))
+
+    found = {}
+    for near in (0, 12):
+        monkeypatch.setattr(graph, "NEAR_EDGES", near)
+        found[near] = sample()
+
+    def placed(*_):
+        raise AssertionError("asks of nodes of few edges were sorted and written")
+
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "running_totals", placed)
+    assert sample() == found[0] == found[12]
+    assert len(found[0]) > 100
