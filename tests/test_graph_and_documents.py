@@ -466,3 +466,34 @@ def test_neighbors_are_drawn_from_one_row_per_node(spark, monkeypatch, strategy)
     monkeypatch.setattr(graph, "running_totals", placed)
     assert sample() == found[0] == found[12]
     assert len(found[0]) > 100
+
+
+def test_labelled_documents_shuffle_texts_to_their_customer_only(spark):
+    """Products and reviews that come twice, unknown and NULL keys, equal times; only places of reviews meet products."""
+    at = [T0 + timedelta(days=i) for i in range(4)]
+    rows = [(i % 3 or None, i % 5 if i % 4 else None, at[i % 4] if i % 7 else None, f"text {i % 6}") for i in range(40)]
+    rows += rows[:9]
+    review = spark.createDataFrame(rows, "customer_id bigint, product_id bigint, review_time timestamp_ntz, review_text string")
+    products = [(0, "a"), (1, "b"), (1, "c"), (2, None), (2, "d"), (None, "x")]
+    product = spark.createDataFrame(products, "product_id bigint, title string")
+    customer = spark.createDataFrame([(1, "one"), (5, "five")], "customer_id bigint, customer_name string")
+    db = Database({
+        "customer": Table(customer, "customer_id"), "product": Table(product, "product_id"),
+        "review": Table(review, None, "review_time", {"customer_id": "customer", "product_id": "product"}),
+    })
+    asked = [(c, t, 1) for c in (1, 2, 5) for t in (at[0], at[2])]
+    labels = spark.createDataFrame(asked, "customer_id bigint, timestamp timestamp_ntz, churn int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = documents.labelled_documents(db, labels, "churn")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_product" in plan and "hashpartitioning(product_id" not in plan
+        docs = {r.key: json.loads(r.doc)["reviews"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for c, t, _ in asked:
+        want = [(when, p, text, title) for own, p, when, text in rows if own == c and when is not None and when <= t
+                for title in [x for k, x in products if k == p and p is not None] or [None]]
+        want.sort(key=lambda r: [(x is not None, x) for x in r])
+        got = [(x["review_time"], x["product"]["product_id"], x["review_text"], x["product"]["title"]) for x in docs[f"{c}|{t}"]]
+        assert got == [(str(r[0]), *r[1:]) for r in want]
