@@ -315,6 +315,9 @@ def meetup_user_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame
     )
     friends = db.df("user_friends").where(F.col("friend").isNotNull())
     engaged = _engagements(events, attendees, interest, nest.longest["attendees"] + nest.longest["interest_shown"] <= part_rows)
+    # a user is engaged in at most as many events as there are records, times the rows of an event
+    told = _longest({"attended": (attendees, "user_id"), "interested": (interest, "user"), "events": (events, "event_id")})
+    most = (told["attended"] + told["interested"]) * max(1, told["events"])
     users = nest.under(
         db.df("users"), "user_id",
         Child("friends", friends, "user", F.col("friend"), ["friend"]),
@@ -322,7 +325,10 @@ def meetup_user_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame
             "events_created", created, "user_id", F.struct(*fields(created)), ["start_time", "event_id"],
             holds=("attendees", "interest_shown"),
         ),
-        Child("event_engagements", engaged, "engaged_user", F.struct("user_engagement_details", "event"), ["engaged_event"]),
+        Child(
+            "event_engagements", engaged, "engaged_user", F.struct("user_engagement_details", "event"), ["engaged_event"],
+            longest=most if most <= part_rows else None,
+        ),
     )
     return nest.documents(users, ["user_id"], fields(users))
 
@@ -330,10 +336,12 @@ def meetup_user_documents(db: Database, part_rows: int = PART_ROWS) -> DataFrame
 def _engagements(events: DataFrame, attendees: DataFrame, interest: DataFrame, by_event: bool) -> DataFrame:
     """(engaged_user, engaged_event, user_engagement_details, event) for events the user did not create.
 
-    The first record of each kind counts. ``by_event`` deals all that is told of an event to one task, for events of bounded
-    size: then records, owners and events meet in one shuffle. Otherwise ``min`` of a struct is a partial aggregate, so a
-    user with very many records for an event is reduced before the shuffle, and a large event is spread.
+    The first record of each kind counts. ``by_event`` is for events of bounded size, whose records lie in one task: these are
+    dealt as for the lists of an event, and so are shuffled once for both. Otherwise ``min`` of a struct is a partial aggregate,
+    so a user with very many records for an event is reduced before the shuffle, and a large event is spread.
     """
+    if by_event:
+        return _engagements_by_event(events, attendees, interest)
     keys = ["engaged_user", "engaged_event"]
 
     def told(df: DataFrame, user: str, order: list[str], name: str) -> DataFrame:
@@ -345,14 +353,63 @@ def _engagements(events: DataFrame, attendees: DataFrame, interest: DataFrame, b
     kinds = told(attendees, "user_id", ["start_time", "status"], "attended"), told(interest, "user", ["timestamp"], "interest")
     for kind in kinds:
         met = met.unionByName(kind, allowMissingColumns=True)
-    met = met.dropna(subset=keys)
-    found = (met.repartition("engaged_event") if by_event else met).groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("_own", "attended", "interest")])
+    found = met.dropna(subset=keys).groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("_own", "attended", "interest")])
     about = events.select(F.col("event_id").alias("engaged_event"), F.struct(*fields(events, drop=["event_id"])).alias("event"))
     return found.where(F.col("_own").isNull()).join(about, "engaged_event", "left").select(
         *keys, F.struct("attended", "interest").alias("user_engagement_details"), "event"
     )
 
 
+def _engagements_by_event(events: DataFrame, attendees: DataFrame, interest: DataFrame) -> DataFrame:
+    """``_engagements`` of events of bounded size: all that is told of an event becomes one row, nothing is shuffled after that."""
+
+    def first(df: DataFrame, user: str, order: list[str], name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in (user, "event", *order)]
+        record = F.struct(*[field(df, c) for c in [*order, *rest]])
+        # dealt by the same plan as those of the event's list, filters included; a test of the user before would make it another
+        near = df.dropna(subset=["event"]).where(F.col("event").isNotNull()).repartition("event").groupBy("event", user)
+        found = near.agg(F.min(record).alias(name), F.max(user).alias("_user")).where(F.col("_user").isNotNull())
+        lists = found.groupBy(F.col("event").alias("engaged_event")).agg(F.collect_list(F.struct(F.col("_user").alias("user"), name)).alias(f"_{name}"))
+        return lists.join(about, "engaged_event", "left")
+
+    row = F.struct("user_id", F.struct(*fields(events, drop=["event_id"])).alias("event"))
+    about = events.select(F.col("event_id").alias("engaged_event"), row.alias("_row")).dropna(subset=["engaged_event"])
+    # an event is one row but for copies of its key
+    about = about.groupBy("engaged_event").agg(F.collect_list("_row").alias("_rows"))
+    attended = first(attendees, "user_id", ["start_time", "status"], "attended")
+    interested = first(interest, "user", ["timestamp"], "interest").withColumnRenamed("_rows", "_also")
+    kinds = {name: df.schema[f"_{name}"].dataType.elementType[name].dataType for name, df in (("attended", attended), ("interest", interested))}
+
+    def told(name: str) -> Column:
+        both = [F.lit(name == n).alias(f"is_{n}") for n in kinds]
+        return F.transform(
+            F.coalesce(f"_{name}", F.array()),
+            lambda e: F.struct(e["user"].alias("user"), *both, *[(e[n] if n == name else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()]),
+        )
+
+    met = attended.join(interested, "engaged_event", "full").select(
+        "engaged_event", F.coalesce("_rows", "_also", F.array()).alias("_rows"),
+        # at most two entries of a user, those of attendance first
+        F.array_sort(F.concat(*map(told, kinds)), lambda x, y: F.when(x["user"] < y["user"], -1).when(x["user"] > y["user"], 1).when(x["is_attended"], -1).otherwise(1)).alias("_told"),
+    )
+
+    def joined(e: Column, i: Column) -> Column:
+        then = F.get("_told", i + 1)
+        interest = F.when(e["user"] == then["user"], then["interest"]).otherwise(e["interest"])
+        second = F.when(i > 0, F.get("_told", i - 1)["user"] == e["user"]).otherwise(F.lit(False))
+        return F.struct(e["user"].alias("user"), e["attended"].alias("attended"), interest.alias("interest"), second.alias("second"))
+
+    own = F.transform("_rows", lambda r: r["user_id"])
+    others = F.filter(
+        F.transform("_told", joined), lambda e: ~e["second"] & ~F.coalesce(F.exists(own, lambda u: u == e["user"]), F.lit(False))
+    )
+    found = met.select("engaged_event", "_rows", F.explode(others).alias("_one"))
+    return found.select(
+        F.col("_one.user").alias("engaged_user"), "engaged_event", F.struct("_one.attended", "_one.interest").alias("user_engagement_details"),
+        F.explode_outer("_rows").alias("_row"),
+    ).select("engaged_user", "engaged_event", "user_engagement_details", "_row.event")
+
+
 # --- racing ---------------------------------------------------------------------------------------------
 
 

@@ -497,3 +497,26 @@ def test_labelled_documents_shuffle_texts_to_their_customer_only(spark):
         want.sort(key=lambda r: [(x is not None, x) for x in r])
         got = [(x["review_time"], x["product"]["product_id"], x["review_text"], x["product"]["title"]) for x in docs[f"{c}|{t}"]]
         assert got == [(str(r[0]), *r[1:]) for r in want]
+
+
+def test_records_of_an_event_are_dealt_once_for_its_lists_and_its_engagements(spark, small_dir, monkeypatch):
+    """Engagements are counted by their records, not by making them, and share the shuffles of the lists of events."""
+    from chronograin.queries.databases import meetups
+
+    db, asked, longest = meetups(spark, small_dir).full_db, [], documents._longest
+
+    def noted(rows):
+        asked.extend(rows)
+        return longest(rows)
+
+    monkeypatch.setattr(documents, "_longest", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = documents.meetup_user_documents(db)
+        assert "attendees" in asked and "event_engagements" not in asked
+        docs.collect()
+        plan = docs._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+        shared = [x for x in plan.splitlines() if "ReusedExchange" in x and "hashpartitioning(event#" in x]
+        assert len(shared) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
